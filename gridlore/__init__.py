@@ -1 +1,8 @@
 """Detection analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Workers get this package's functions by value, so executors need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
