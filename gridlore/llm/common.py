@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -44,10 +48,40 @@ def drop_scratch(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def spread(df: DataFrame, least: int = 0) -> DataFrame:
-    """Deal rows of a few large files evenly over the tasks, where a reader gave fewer tasks than there are cores."""
-    n = max(least, df.sparkSession.sparkContext.defaultParallelism)
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+def map_columns(df: DataFrame, schema: StructType | str, start: Callable[[], Callable[..., list]], rows: int = 2000) -> DataFrame:
+    """Arrow batches through a function of Python lists, one a column, that returns such lists for `schema`.
+
+    start() runs once a task and gives the function. Slices of at most `rows` rows bound memory; integers
+    and nulls stay exact."""
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                out = work(*(c.to_pylist() for c in batch.slice(i, rows).columns))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(each, kind)
+
+
+def replace_columns(df: DataFrame, names: list[str], start: Callable[[], Callable[..., list]], rows: int = 2000) -> DataFrame:
+    """As map_columns, but only the named columns go through the function; the others stay as they are."""
+    kind = df.schema
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                part = batch.slice(i, rows)
+                at = [part.schema.get_field_index(n) for n in names]
+                arrays = list(part.columns)
+                for k, column in zip(at, work(*(arrays[k].to_pylist() for k in at)), strict=True):
+                    arrays[k] = pa.array(column, arrays[k].type)
+                yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
+
+    return df.mapInArrow(each, kind)
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], rank: str, split: Column, splits: int) -> DataFrame:

@@ -17,10 +17,8 @@ import base64
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,27 +68,26 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id
     """One row a piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids.
 
     The remainder of a long document is its first piece, so that all later pieces fill a sequence."""
-    schema = WITH_IDS if ids else PIECES
     end = np.array([end_id], "<u4").tobytes()
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         tokens = Tokens(path)
-        for frame in frames:
-            for begin in range(0, len(frame), 1000):
-                rows = []
-                part = frame.iloc[begin : begin + 1000]
-                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-                    data = array("I", tokens.encode(text or "")).tobytes() + end
-                    at = len(data) // 4 % capacity or capacity
-                    place, piece = 0, 0
-                    while place * 4 < len(data):
-                        own = data[place * 4 : (place + at) * 4]
-                        rows.append((doc_id, piece, place, len(own) // 4, zlib.crc32(own), own)[: len(schema)])
-                        place, piece, at = place + at, piece + 1, capacity
-                out = pd.DataFrame(rows, columns=schema.names)
-                yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
+
+        def cut(doc_ids: list, texts: list) -> list:
+            out = [[] for _ in (WITH_IDS if ids else PIECES)]
+            for doc_id, text in zip(doc_ids, texts, strict=True):
+                data = array("I", tokens.encode(text or "")).tobytes() + end
+                place, piece, size = 0, 0, len(data) // 4 % capacity or capacity
+                while place * 4 < len(data):
+                    own = data[place * 4 : (place + size) * 4]
+                    for column, value in zip(out, (doc_id, piece, place, size, zlib.crc32(own), own), strict=False):
+                        column.append(value)
+                    place, piece, size = place + size, piece + 1, capacity
+            return out
+
+        return cut
+
+    return common.map_columns(docs.select(F.col("doc_id").cast("long"), "text"), WITH_IDS if ids else PIECES, start)
 
 
 def plan(counts: dict[int, int], capacity: int = 1024) -> list[tuple[list[int], int]]:

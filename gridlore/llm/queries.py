@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm import packing, quality, sharding
+from gridlore.llm import dedup, packing, pii, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1,
         "op3_sharding": sharding.op3,
+        "op4_minhash_near_dedup": dedup.op4,
+        "op7_pii": pii.op7,
+        "op8_warc": warc.op8,
         "op10_quality_rules": quality.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality.oracle()}
+    return {"op8_warc": warc.ORACLE, "op10_quality_rules": quality.oracle()}
