@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm import dedup, packing, pii, quality, sharding, warc
+from gridlore.llm import dedup, language, packing, pii, quality, sharding, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1,
+        "op2_embedding_near_dedup": vectors.op2,
         "op3_sharding": sharding.op3,
         "op4_minhash_near_dedup": dedup.op4,
+        "op5_language_id": language.op5,
         "op7_pii": pii.op7,
         "op8_warc": warc.op8,
         "op10_quality_rules": quality.op10,
