@@ -227,5 +227,11 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 8,
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def unique(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, the one with the smallest id, with all its columns."""
+    gone = components(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    return docs.join(common.scratch(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(common.table(spark, sf_dir, "documents"), k=2)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm import dedup, language, packing, pii, quality, sharding, vectors, warc
+from gridlore.llm import dedup, language, mixing, packing, pages, pii, quality, sharding, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": sharding.op3,
         "op4_minhash_near_dedup": dedup.op4,
         "op5_language_id": language.op5,
+        "op6_mixing": mixing.op6,
         "op7_pii": pii.op7,
         "op8_warc": warc.op8,
+        "op9_html_extraction": pages.op9,
         "op10_quality_rules": quality.op10,
     }
 
