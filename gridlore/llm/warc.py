@@ -141,12 +141,13 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
 def roles(pages: DataFrame, least: int) -> DataFrame:
     """page_id, url, html and refers_to: the page whose response stands for this one's payload.
 
-    Only digests, lengths and ids are shuffled to find repeated payloads, a partial maximum first; the
-    payloads that repeat are then joined to the pages, by broadcast only where Spark sees them small."""
+    Only digests and ids are shuffled to find repeated payloads, a partial maximum first. Those that repeat
+    are written, so that Spark knows their size: it broadcasts them to the pages only where that is small."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = base.where(F.octet_length("payload") >= least)
     again = large.groupBy(F.col("digest").alias("twin")).agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = common.scratch(again, "payloads")
     joined = base.join(again, F.col("digest") == F.col("twin"), "left")
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("refers_to")).alias("refers_to"))
