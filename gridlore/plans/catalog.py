@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridlore.plans import detection, spatial, stats
+from gridlore.plans import detection, rasters, spatial, stats
 
-MODULES = [detection, stats, spatial]
+MODULES = [detection, stats, spatial, rasters]
 
 
 def queries() -> dict:
