@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def encode(mask: np.ndarray) -> list[int]:
@@ -70,22 +71,22 @@ def fill(xs: np.ndarray, ys: np.ndarray, h: int, w: int, mode: str = "round") ->
     return inside
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def rle_encode_rows(flat: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     """Row-major booleans of a mask to its runs."""
     return pd.Series([encode(np.asarray(f, bool).reshape(a, b)) for f, a, b in zip(flat, h, w, strict=True)])
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def rle_decode_rows(counts: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     return pd.Series([decode(c, a, b).ravel().tolist() for c, a, b in zip(counts, h, w, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def rle_text(counts: pd.Series) -> pd.Series:
     return pd.Series([to_text(c) for c in counts])
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def rle_from_text(text: pd.Series) -> pd.Series:
     return pd.Series([from_text(t) for t in text])

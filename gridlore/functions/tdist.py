@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TINY, CLOSE, STEPS = 1e-300, 3e-12, 200
 # Two-sided 95 % points of t for 1 to 10 degrees of freedom.
@@ -44,6 +45,6 @@ def two_sided(t: float | None, df: float | None) -> float | None:
     return beta(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([two_sided(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridlore.plans import detection, rasters, spatial, stats
+from gridlore.plans import detection, formats, rasters, spatial, stats
 
-MODULES = [detection, stats, spatial, rasters]
+MODULES = [detection, stats, spatial, rasters, formats]
 
 
 def queries() -> dict:
