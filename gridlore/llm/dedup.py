@@ -7,10 +7,13 @@ are candidates. Candidates' similarity is estimated jointly with the sets' sizes
 the counts of registers that are greater, less and equal; those that may reach the threshold are confirmed
 on their full sets.
 
-Only connectivity is asked for, so a key's documents are not paired with one another: all are compared
-with one hub; keys whose documents are then still in different components get further hubs, and once the
-pairs left across components are few against the documents, all of them are compared. Every pair that
-shares a key thus ends up connected or compared. Sets that are equal as a whole are one class beforehand.
+Only connectivity is asked for, so pairs are never listed. A key's documents are candidates of its least
+one; candidates that are not far off by estimate form loose groups, and a group's documents share a task,
+which confirms pairs by falling estimate and passes over those already connected. Groups of over BLOCK
+documents are dealt into blocks; blocks are joined through a bounded sample of one block, and whatever then
+lies outside its group's largest component meets the whole group, block by block. So every pair of a group
+ends up connected or compared, no task holds more than two blocks, and a group of near copies costs few
+comparisons a document. Sets that are equal as a whole are one class beforehand.
 
 A null text, and one without words, has an empty set and links with nothing. Rows with a null id link with
 nothing and have no component; they are kept. Rows that share an id are one document. Ties do not matter:
@@ -19,13 +22,11 @@ the component is the smallest id. An empty table gives an empty result; other co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from gridlore.llm import common
 
@@ -147,86 +148,153 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return common.map_columns(docs.select(F.col("doc_id").cast("long"), "text"), SKETCH, start)
 
 
-def confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    sk = sketches.select("doc_id", "n_shingles", "regs")
-    side = lambda df, x: df.select(*(F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in df.columns))
-    both = pairs.join(side(sk, "a"), "a").join(side(sk, "b"), "b")
-    size = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent
-
-    def may(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i in range(0, len(f), 4000):
-                part = f.iloc[i : i + 4000]
-                a, b = (np.frombuffer(b"".join(part[c]), np.uint16).reshape(len(part), -1) for c in ("regs_a", "regs_b"))
-                near = likely(a, b, part["n_shingles_a"].to_numpy(float), part["n_shingles_b"].to_numpy(float))
-                yield part.loc[near >= percent / 100 - SLACK, ["a", "b"]]
-
-    may_be = both.where(size).select("a", "b", "n_shingles_a", "n_shingles_b", "regs_a", "regs_b").mapInPandas(may, "a long, b long")
-    full = may_be.join(side(texts, "b"), "b").join(side(texts, "a"), "a").select("a", "b", "text_a", "text_b")
-
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, seen, own = Shingler(k), None, None
-        for f in frames:
-            ok = np.zeros(len(f), bool)
-            for i, (a, ta, tb) in enumerate(zip(f["a"], f["text_a"], f["text_b"], strict=True)):
-                if a != seen:
-                    seen, own = a, shingles(ta)
-                other = shingles(tb)
-                common_n = len(np.intersect1d(own, other, assume_unique=True))
-                ok[i] = 100 * common_n >= percent * (len(own) + len(other) - common_n)
-            yield f.loc[ok, ["a", "b"]]
-
-    return full.mapInPandas(check, "a long, b long")
-
-
-def components(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 8, few: int = 200_000) -> DataFrame:
+def estimate(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose estimated similarity is at least that."""
+    side = lambda x: sketches.select(*(F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in ("doc_id", "n_shingles", "regs")))
+
+    def work(a: list, b: list, na: list, nb: list, ra: list, rb: list) -> list:
+        x, y = (np.frombuffer(b"".join(r), np.uint16).reshape(len(r), -1) for r in (ra, rb))
+        near = likely(x, y, np.array(na, float), np.array(nb, float)) >= least
+        return [[i for i, ok in zip(c, near, strict=True) if ok] for c in (a, b)]
+
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return common.map_columns(both.select("a", "b", "n_shingles_a", "n_shingles_b", "regs_a", "regs_b"), "a long, b long", lambda: work, rows=4000)
+
+
+class Linker:
+    """Forest of the links among some documents, confirmed on their full sets."""
+
+    def __init__(self, k: int, percent: int):
+        self.shingles, self.percent = Shingler(k), percent
+
+    def __call__(self, ids: list, texts: list, sizes: list, regs: list, roots: list, left: list, right: list) -> list[tuple[int, int]]:
+        """Pairs of left with right whose roots differ, by falling estimate; those that are connected by
+        then are passed over, the others confirmed."""
+        r, n = np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), -1), np.array(sizes, float)
+        sets: dict[int, np.ndarray] = {}
+        parent: dict = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        def own(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = self.shingles(texts[i])
+            return sets[i]
+
+        right_at, found, out = np.array(right), [], []
+        step = max(1, 40_000 // max(1, len(right)))
+        labels = {x: i for i, x in enumerate(dict.fromkeys(roots))}
+        label = np.array([labels[x] for x in roots])
+        for begin in range(0, len(left), step):
+            rows = np.array(left[begin : begin + step])
+            a, b = (x.ravel() for x in np.meshgrid(rows, right_at, indexing="ij"))
+            ok = (a != b) & (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= self.percent * np.maximum(n[a], n[b]))
+            a, b = a[ok], b[ok]
+            for s in range(0, len(a), 20_000):
+                x, y = a[s : s + 20_000], b[s : s + 20_000]
+                same = (r[x] == r[y]).mean(axis=1) >= self.percent / 100 - 2 * SLACK
+                x, y = x[same], y[same]
+                if len(x):
+                    e = likely(r[x], r[y], n[x], n[y])
+                    keep = e >= self.percent / 100 - SLACK
+                    found.append((e[keep], x[keep], y[keep]))
+        if found:
+            e, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            tried = set()
+            for at in np.argsort(-e, kind="stable"):
+                x, y = int(a[at]), int(b[at])
+                if (y, x) in tried or root(roots[x]) == root(roots[y]):
+                    continue
+                tried.add((x, y))
+                s, t = own(x), own(y)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= self.percent * (len(s) + len(t) - both):
+                    parent[root(roots[x])] = root(roots[y])
+                    out.append((ids[x], ids[y]))
+        return out
+
+
+EDGES = "src long, dst long"
+
+
+def forests(groups: DataFrame, keys: list[str], k: int, percent: int) -> DataFrame:
+    """Confirmed forest edges in each group of doc_id, text, n_shingles, regs, root, part (bit 1: left, 2: right)."""
+    columns = [*keys, "doc_id", "text", "n_shingles", "regs", "root", "part"]
+
+    def start():
+        link = Linker(k, percent)
+
+        def work(*c: list) -> list:
+            ids, texts, sizes, regs, roots, part = c[len(keys) :]
+            left, right = ([i for i, p in enumerate(part) if p & bit] for bit in (1, 2))
+            edges = link(ids, texts, sizes, regs, roots, left, right) if left and right else []
+            return [[e[0] for e in edges], [e[1] for e in edges]]
+
+        return work
+
+    return common.map_groups(groups.select(*columns), keys, EDGES, start)
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 500, hubs: int = 48) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sk = common.scratch(sketch(docs, k), "sketches")
     own = sk.where("doc_id is not null and n_shingles > 0")
     same = ["f1", "f2", "n_shingles"]
-    classes = own.groupBy(*same).agg(F.min("doc_id").alias("first"))
-    copies = own.select("doc_id", *same).join(classes, same).where("doc_id <> first").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"))
-    firsts = own.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = common.scratch(firsts.select("doc_id", F.explode("keys").alias("key")), "bands")
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = common.scratch(keyed.join(hubs.select("key", "hub"), "key"), "held")
-    near = held.select("doc_id").distinct()
-    texts = common.scratch(docs.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    sketches = common.scratch(sk.join(near, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "regs"), "near")
-    held, tried, links = held.select("key", "doc_id", "hub"), None, copies
-    pairs = held.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    few = max(few, 2 * sketches.count())
-    last = False
-    for turn in range(rounds + 1):
-        pairs = common.scratch(pairs, "pairs")
-        links = links.unionByName(common.scratch(confirm(pairs, sketches, texts, k, percent), "links").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = common.scratch(common.connected_components(links), "components")
-        if last:
-            break
-        labelled = held.select("key", "doc_id").join(found, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        sizes = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-        mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).where("n * n > nn")
-        mixed = common.scratch(labelled.join(mixed, "key"), "mixed")
-        across = mixed.groupBy("key").agg(F.first(F.expr("(n * n - nn) / 2")).alias("x")).agg(F.sum("x")).first()[0]
-        if not across:
-            break
-        last = across <= few or turn == rounds - 1
-        if last:
-            one, two = mixed.select("key", F.col("doc_id").alias("a"), F.col("c").alias("ca")), mixed.select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-            pairs = one.join(two, "key").where("ca <> cb and a < b").select("a", "b").distinct()
-        else:
-            pick = F.min_by(F.struct("doc_id", "c"), F.xxhash64("doc_id", F.lit(turn)))
-            hub = mixed.groupBy("key").agg(pick.alias("h")).select("key", F.col("h.doc_id").alias("hub"), F.col("h.c").alias("hub_c"))
-            pairs = mixed.join(hub, "key").where("c <> hub_c").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    classes = own.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    many = common.scratch(classes.where("copies > 1"), "classes")
+    copies = own.select("doc_id", *same).join(many, same).where("doc_id <> first").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"))
+    copies = common.scratch(copies, "copies")
+    firsts = own.join(copies.select(F.col("dst").alias("doc_id")), "doc_id", "left_anti")
+
+    # Candidates: every document of a key beside the key's least one. Keys of one document go early.
+    keyed = firsts.select("doc_id", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("key", "hub")
+    pairs = keyed.join(common.scratch(shared, "keys"), "key").where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = common.scratch(pairs, "pairs")
+    ids = common.scratch(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    sketches = common.scratch(firsts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "regs"), "near")
+    # A link to any document of a key keeps the hub within twice the distance and the estimate's slack.
+    loose = estimate(pairs, sketches, 1 - 2 * (1 - percent / 100) - SLACK)
+    groups = common.connected_components(loose.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+    # Documents of a group share tasks: groups of over `block` documents are dealt into several.
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = groups.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("c"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("i"))
+    held = common.scratch(sketches.join(placed, "doc_id"), "placed")
+    held = common.scratch(docs.dropDuplicates(["doc_id"]).join(held, "doc_id"), "held")
+    # A block's documents meet one another and a bounded sample of block 0, where most of a large group joins.
+    at = held.withColumn("part", F.lit(3))
+    order = Window.partitionBy("c").orderBy(F.xxhash64("doc_id", F.lit(2)))
+    hub = held.where("blocks > 1 and i = 0").withColumn("k", F.row_number().over(order)).where(F.col("k") <= hubs).drop("k")
+    hub = hub.withColumns({"i": F.explode(F.expr("sequence(1, blocks - 1)")), "part": F.lit(2)}).select(*at.columns)
+    links = common.scratch(forests(at.unionByName(hub).withColumn("root", F.col("doc_id")), ["c", "i"], k, percent), "links").unionByName(copies)
+    found = common.scratch(common.connected_components(links), "components")
+    large = held.where("blocks > 1")
+    if not large.isEmpty():
+        # The rest, whatever is outside its group's largest component, meets all of the group.
+        rooted = common.scratch(labelled(large, found), "rooted")
+        most = rooted.groupBy("c", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("largest"))
+        most = most.where("all > largest").withColumn("parts", F.ceil((F.col("all") - F.col("largest")) / block).cast("int"))
+        open_ = rooted.join(most, "c")
+        rest = open_.where("root <> main").withColumns({"j": F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"), "i": F.explode(F.expr("sequence(0, blocks - 1)")), "part": F.lit(1)})
+        all_ = open_.withColumns({"j": F.explode(F.expr("sequence(0, parts - 1)")), "part": F.lit(2)})
+        more = common.scratch(forests(rest.select(*all_.columns).unionByName(all_), ["c", "i", "j"], k, percent), "links")
+        if not more.isEmpty():
+            found = common.connected_components(links.unionByName(more))
     out = sk.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def labelled(held: DataFrame, comps: DataFrame) -> DataFrame:
+    return held.join(comps, F.col("doc_id") == F.col("id"), "left").withColumn("root", F.coalesce("component", "doc_id")).drop("id", "component")
+
+
 def unique(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns."""
     gone = components(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
