@@ -51,9 +51,9 @@ def o1(v):
     return paired(v).orderBy(F.regexp_replace("key", r"\D", "").cast("long")).limit(50).select("key")
 
 
-@reg("j3_broadcast_lookup", sql("SELECT gt_id, CASE cls WHEN 1 THEN 'building' WHEN 2 THEN 'platform' ELSE 'aguada' END AS name FROM gt", "gt"))
+@reg("j3_broadcast_lookup", sql("SELECT gt_id, CASE cls WHEN 1 THEN 'building' WHEN 2 THEN 'platform' ELSE 'basin' END AS name FROM gt", "gt"))
 def j3(v):
-    names = v.spark.createDataFrame([(1, "building"), (2, "platform"), (3, "aguada")], "cls int, name string")
+    names = v.spark.createDataFrame([(1, "building"), (2, "platform"), (3, "basin")], "cls int, name string")
     return v.gt().join(F.broadcast(names), "cls").select("gt_id", "name")
 
 
@@ -77,7 +77,7 @@ def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     around = F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     left = a.select(F.col("det_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.struct(cell("x").alias("cx"), cell("y").alias("cy")).alias("cell"))
     right = b.select(F.col("det_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("yb"), F.explode(around).alias("cell"))
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("yb")
     return left.join(right, "cell").where(dx * dx + dy * dy <= radius * radius).select("a", "b")
 
 
