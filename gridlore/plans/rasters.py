@@ -21,14 +21,14 @@ def c5(v, step: int = 4):
 
 
 STRETCH = {"lim": "SELECT tile, quantile_cont(dn, 0.02) AS lo, quantile_cont(dn, 0.98) AS hi FROM dn WHERE dn > 0 GROUP BY tile",
-           "byte": "SELECT tile, r, c, CAST(trunc(least(255, greatest(0, (dn - lo) * 255.0::DOUBLE / greatest(hi - lo, 1)))) AS INTEGER) AS b FROM dn JOIN lim USING (tile)"}
+           "byte": "SELECT tile, r, c, CAST(trunc(round(least(255, greatest(0, (dn - lo) * 255.0::DOUBLE / greatest(hi - lo, 1))), 6)) AS INTEGER) AS b FROM dn JOIN lim USING (tile)"}
 
 
 def stretched(v):
-    """Percentile stretch of each tile to a byte, truncated; the span is one at least."""
+    """Percentile stretch of each tile to a byte, truncated after six decimals; the span is one at least."""
     w = v.dn().where("dn > 0").groupBy("tile").agg(F.percentile("dn", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
     lo, hi = F.col("p")[0], F.col("p")[1]
-    b = clip((F.col("dn") - lo) * 255.0 / F.greatest(hi - lo, F.lit(1.0)), 0.0, 255.0).cast("int")
+    b = r6(clip((F.col("dn") - lo) * 255.0 / F.greatest(hi - lo, F.lit(1.0)), 0.0, 255.0)).cast("int")
     return v.dn().join(w, "tile").select("tile", "r", "c", b.alias("b"))
 
 
@@ -243,7 +243,7 @@ def m14(v):
     return iu.groupBy("t", "cls").agg(r6(ratio(F.sum("i"), F.sum("u"))).alias("pooled"), r6(F.avg(F.coalesce(each, F.lit(1.0)))).alias("empty_is_hit"), r6(F.avg(each)).alias("without_empty"))
 
 
-@reg("m14_overall", sql("SELECT t, round(avg(pooled), 6) AS overall FROM (SELECT t, cls, CASE WHEN sum(u) > 0 THEN sum(i) / sum(u)::DOUBLE ELSE 0 END AS pooled FROM iu GROUP BY ALL) GROUP BY t", "pixels", extra=IOU))
+@reg("m14_overall", sql("SELECT t, round(avg(round(pooled, 6)), 6) AS overall FROM (SELECT t, cls, CASE WHEN sum(u) > 0 THEN sum(i) / sum(u)::DOUBLE ELSE 0 END AS pooled FROM iu GROUP BY ALL) GROUP BY t", "pixels", extra=IOU))
 def m14_overall(v):
     return m14(v).groupBy("t").agg(r6(F.avg("pooled")).alias("overall"))
 
