@@ -7,9 +7,12 @@ are candidates. Candidates' similarity is estimated jointly with the sets' sizes
 the counts of registers that are greater, less and equal; those that may reach the threshold are confirmed
 on their full sets.
 
-Only connectivity is asked for, so pairs are never listed. A key's documents are candidates of its least
-one; candidates that are not far off by estimate form loose groups, and a group's documents share a task,
-which confirms pairs by falling estimate and passes over those already connected. Groups of over BLOCK
+Only connectivity is asked for, so pairs are never listed. A key's documents meet its least one, the hub;
+those that are not far off by estimate form loose groups with it. Where a hub is far from some document of
+its key, those of the key's documents that are not close to it meet a further hub, FURTHER times, and what
+then is left of the key meets in bounded blocks, by estimate. So two documents that share a key and may reach
+the threshold are in one loose group. A group's documents share a task, which confirms pairs by falling
+estimate and passes over those already connected. Groups of over BLOCK
 documents are dealt into blocks; blocks are joined through a bounded sample of one block, and whatever then
 lies outside its group's largest component meets the whole group, block by block. So every pair of a group
 ends up connected or compared, no task holds more than two blocks, and a group of near copies costs few
@@ -34,6 +37,8 @@ BANDS, ROWS = 32, 6
 BASE, RATE, Q = 1.02, 20.0, 2046
 #: Estimates this far below the threshold are still confirmed: four standard errors of BANDS * ROWS registers.
 SLACK = 0.12
+#: Hubs a key's documents meet after the first, before blocks of them meet one another.
+FURTHER = 2
 
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 2**64)
@@ -148,17 +153,85 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return common.map_columns(docs.select(F.col("doc_id").cast("long"), "text"), SKETCH, start)
 
 
-def estimate(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is at least that."""
+def estimate(pairs: DataFrame, sketches: DataFrame, least: float, close: float) -> DataFrame:
+    """The pairs (a, b) whose estimated similarity is at least `least`; inner: at least `close`."""
     side = lambda x: sketches.select(*(F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in ("doc_id", "n_shingles", "regs")))
 
     def work(a: list, b: list, na: list, nb: list, ra: list, rb: list) -> list:
         x, y = (np.frombuffer(b"".join(r), np.uint16).reshape(len(r), -1) for r in (ra, rb))
-        near = likely(x, y, np.array(na, float), np.array(nb, float)) >= least
-        return [[i for i, ok in zip(c, near, strict=True) if ok] for c in (a, b)]
+        e = likely(x, y, np.array(na, float), np.array(nb, float))
+        near = e >= least
+        return [*([i for i, ok in zip(c, near, strict=True) if ok] for c in (a, b)), (e[near] >= close).tolist()]
 
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return common.map_columns(both.select("a", "b", "n_shingles_a", "n_shingles_b", "regs_a", "regs_b"), "a long, b long", lambda: work, rows=4000)
+    return common.map_columns(both.select("a", "b", "n_shingles_a", "n_shingles_b", "regs_a", "regs_b"), "a long, b long, inner boolean", lambda: work, rows=4000)
+
+
+def meetings(keyed: DataFrame) -> DataFrame:
+    """key, a, b: every document b of a key beside the key's least one, a. Keys of one document go early."""
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("key", "hub")
+    return keyed.join(common.scratch(shared, "keys"), "key").where("hub <> doc_id").select("key", F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+
+
+def sharers(left: DataFrame, sketches: DataFrame, groups: DataFrame, percent: int, block: int) -> DataFrame:
+    """Loose edges (a, b) among left (key, doc_id), documents that share a key and that no hub has settled.
+
+    Keys whose documents are of one group have none. A key's documents are dealt into blocks, any two blocks
+    share a task, and a task returns a forest of the pairs that may reach the threshold."""
+    rooted = left.join(groups, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "blocks")
+    dealt = rooted.join(open_, "key").withColumns({"own": F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("blocks")).cast("int"), "other": F.explode(F.expr("sequence(0, blocks - 1)"))})
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(sketches, "doc_id")
+
+    def start():
+        def work(ids: list, roots: list, sizes: list, regs: list) -> list:
+            r, n = np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), -1), np.array(sizes, float)
+            label, out = np.unique(np.array(roots), return_inverse=True)[1], []
+            for x in range(len(ids) - 1):
+                y = np.flatnonzero(label[x + 1 :] != label[x]) + x + 1
+                y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+                y = y[(r[y] == r[x]).mean(axis=1) >= percent / 100 - 2 * SLACK]
+                if len(y):
+                    y = y[likely(np.broadcast_to(r[x], r[y].shape), r[y], np.full(len(y), n[x]), n[y]) >= percent / 100 - SLACK]
+                for at in y:
+                    if label[at] != label[x]:
+                        label[label == label[at]] = label[x]
+                        out.append((ids[x], ids[int(at)]))
+            return [[e[0] for e in out], [e[1] for e in out]]
+
+        return lambda key, i, j, *columns: work(*columns)
+
+    return common.map_groups(dealt.select("key", "i", "j", "doc_id", "root", "n_shingles", "regs"), ["key", "i", "j"], "a long, b long", start)
+
+
+def loosely(keyed: DataFrame, firsts: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Loose groups (id, component) that hold any two documents of a key which may be linked, and the sketches of their documents."""
+    met = common.scratch(meetings(keyed), "met")
+    pairs = common.scratch(met.select("a", "b").distinct(), "pairs")
+    ids = common.scratch(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    sketches = common.scratch(firsts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "regs"), "near")
+    # A link to a document that is close to the hub keeps the hub within twice the distance and the estimate's
+    # slack. Close leaves half as much slack again: four standard errors of the two estimates together.
+    least, close = 1 - 2 * (1 - percent / 100) - SLACK, percent / 100 + SLACK / 2
+    loose = common.scratch(estimate(pairs, sketches, least, close), "loose")
+    edges, now, left = loose.select("a", "b"), loose, None
+    for again in range(FURTHER + 1):
+        # Documents close to their hub are settled, and so are keys without a document that is far from it.
+        rest = met.join(now, ["a", "b"], "left").where("inner is null or not inner").select("key", F.col("b").alias("doc_id"), F.col("inner").isNull().alias("far"))
+        open_ = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).where("n > 1 and far").select("key")
+        left = common.scratch(rest.join(open_, "key", "left_semi").select("key", "doc_id"), "left")
+        if left.isEmpty() or again == FURTHER:
+            break
+        met = common.scratch(meetings(left), "met")
+        now = common.scratch(estimate(met.select("a", "b").distinct(), sketches, least, close), "loose")
+        edges = edges.unionByName(now.select("a", "b"))
+    group = lambda e: common.connected_components(e.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    groups = group(edges)
+    if not left.isEmpty():
+        more = common.scratch(sharers(left, sketches, groups, percent, block), "loose")
+        if not more.isEmpty():
+            groups = group(edges.unionByName(more))
+    return groups, sketches
 
 
 class Linker:
@@ -250,17 +323,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 500,
     copies = own.select("doc_id", *same).join(many, same).where("doc_id <> first").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"))
     copies = common.scratch(copies, "copies")
     firsts = own.join(copies.select(F.col("dst").alias("doc_id")), "doc_id", "left_anti")
-
-    # Candidates: every document of a key beside the key's least one. Keys of one document go early.
-    keyed = firsts.select("doc_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("key", "hub")
-    pairs = keyed.join(common.scratch(shared, "keys"), "key").where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = common.scratch(pairs, "pairs")
-    ids = common.scratch(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    sketches = common.scratch(firsts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "regs"), "near")
-    # A link to any document of a key keeps the hub within twice the distance and the estimate's slack.
-    loose = estimate(pairs, sketches, 1 - 2 * (1 - percent / 100) - SLACK)
-    groups = common.connected_components(loose.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    groups, sketches = loosely(firsts.select("doc_id", F.explode("keys").alias("key")), firsts, percent, block)
 
     # Documents of a group share tasks: groups of over `block` documents are dealt into several.
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -300,6 +363,5 @@ def unique(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     gone = components(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
     return docs.join(common.scratch(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
 
-
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(common.table(spark, sf_dir, "documents"), k=2)

@@ -150,6 +150,24 @@ def test_dedup(spark, table, k, block, hubs):
     assert all(g.kept == (g.doc_id is None or g.doc_id == g.component_id) for g in got)
 
 
+@pytest.mark.parametrize("block,further", [(500, 2), (3, 0), (3, 2)])
+def test_dedup_far_hubs(spark, monkeypatch, block, further):
+    # All share one key, whose least documents are similar to no other.
+    r = random.Random(6)
+    texts = [" ".join(f"h{i}_{j}" for j in range(80)) for i in range(4)]
+    for i in range(6):
+        base = [f"b{i}_{j}" for j in range(100)]
+        for _ in range(3):
+            w = list(base)
+            w[r.randrange(100)] = "new"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(dedup, "band_keys", lambda regs: np.zeros((len(regs), 1), np.int64))
+    monkeypatch.setattr(dedup, "FURTHER", further, raising=False)
+    got = {g.doc_id: (g.n_shingles, g.component_id) for g in dedup.components(df, k=2, block=block).collect()}
+    assert got == brute_components(df.collect(), 2)
+
+
 def test_dedup_empty(spark, table):
     assert dedup.components(empty(table)).count() == 0
     kept = dedup.unique(table, k=5)
