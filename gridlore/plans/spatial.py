@@ -261,6 +261,66 @@ def w15(v):
     return p.withColumns({"ka": ka, "kb": kb}).where("ka = 1 and kb = 1").select("a", "b", r6(F.col("rho")).alias("rho"))
 
 
+SEAM_ALL = {**SEAM, "st": "SELECT tile, c, r, v FROM pixels WHERE c IN (0, 7)"}
+
+
+def edges(v) -> DataFrame:
+    """Every right edge against every other left edge, blocks against blocks; pairs are never listed.
+
+    side 'a' and 'b': tile, its greatest correlation rho and the least tile that has it; side 'all': count, sum
+    and sum of squares of the correlations. A constant strip correlates at 0."""
+    import numpy as np
+    import pandas as pd
+
+    s = v.pixels().where("c in (0, 7)").groupBy("tile", "c").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("x"))
+    part, every = F.pmod(F.xxhash64("tile"), F.lit(8)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(7)))
+    both = s.where("c = 7").withColumns({"i": part, "j": every}).unionByName(s.where("c = 0").withColumns({"j": part, "i": every}))
+    names = ["side", "tile", "rho", "other", "n", "t", "q"]
+
+    def unit(f: pd.DataFrame) -> tuple:
+        f = f.sort_values("tile")
+        x = np.stack(f["x"])
+        x = x - x.mean(axis=1, keepdims=True)
+        return f["tile"].to_numpy(), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def block(f: pd.DataFrame) -> pd.DataFrame:
+        if f["c"].nunique() < 2:
+            return pd.DataFrame(columns=names)
+        (a, x), (b, y) = unit(f[f["c"] == 7]), unit(f[f["c"] == 0])
+        rows, top, own = [], np.full(len(b), -np.inf), np.zeros(len(b), "int64")
+        for k in range(0, len(a), 500):
+            # Added up term by term, so that equal strips have equal correlations wherever they are.
+            rho = sum(x[k : k + 500, d, None] * y[None, :, d] for d in range(x.shape[1]))
+            other = a[k : k + 500, None] != b[None, :]
+            rows.append(("all", None, None, None, int(other.sum()), rho[other].sum(), (rho[other] ** 2).sum()))
+            rho[~other] = -np.inf
+            best = rho.argmax(axis=1)
+            rows += [("a", t, rho[m, w], b[w], None, None, None) for m, (t, w) in enumerate(zip(a[k : k + 500], best, strict=True)) if rho[m, w] > -np.inf]
+            high, first = rho.max(axis=0), a[k + rho.argmax(axis=0)]
+            top, own = np.where(high > top, high, top), np.where(high > top, first, own)
+        rows += [("b", t, h, o, None, None, None) for t, h, o in zip(b, top, own, strict=True) if h > -np.inf]
+        f = pd.DataFrame(rows, columns=names)
+        return f.astype({"tile": "Int64", "other": "Int64", "n": "Int64"})
+
+    got = both.groupBy("i", "j").applyInPandas(block, "side string, tile long, rho double, other long, n long, t double, q double")
+    return got.groupBy("side", "tile").agg(F.max("rho").alias("rho"), F.max_by("other", F.struct("rho", -F.col("other"))).alias("other"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("q").alias("q"))
+
+
+@reg("w14_best_match_z_all", sql("SELECT a, round((max(rho) - (SELECT avg(rho) FROM pr)) / (SELECT stddev_pop(rho) FROM pr), 6) AS z FROM pr GROUP BY a", "pixels", extra=SEAM_ALL))
+def w14_all(v):
+    e = edges(v)
+    m = F.col("t") / F.col("n")
+    all_ = e.where("side = 'all'").select(m.alias("m"), F.sqrt(F.col("q") / F.col("n") - m * m).alias("s"))
+    return e.where("side = 'a'").select(F.col("tile").alias("a"), "rho").crossJoin(F.broadcast(all_)).select("a", r6((F.col("rho") - F.col("m")) / F.col("s")).alias("z"))
+
+
+@reg("w15_reciprocal_best_all", sql("SELECT a, b, round(rho, 6) AS rho FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY rho DESC, b) AS ka, row_number() OVER (PARTITION BY b ORDER BY rho DESC, a) AS kb FROM pr) WHERE ka = 1 AND kb = 1", "pixels", extra=SEAM_ALL))
+def w15_all(v):
+    e = edges(v)
+    a, b = e.where("side = 'a'").select(F.col("tile").alias("a"), F.col("other").alias("b"), "rho"), e.where("side = 'b'").select(F.col("other").alias("a"), F.col("tile").alias("b"))
+    return a.join(b, ["a", "b"]).select("a", "b", r6(F.col("rho")).alias("rho"))
+
+
 @reg("j11_offset_self_join", sql("SELECT o AS width, count(*) AS n, round(avg(abs(a.m - b.m)), 6) AS gap FROM (SELECT unnest(range(2, 40)) AS o), (SELECT tile, avg(v) AS m FROM pixels GROUP BY tile) a JOIN (SELECT tile, avg(v) AS m FROM pixels GROUP BY tile) b ON b.tile = a.tile + o GROUP BY o HAVING count(*) >= 100", "pixels"))
 def j11(v):
     m = v.pixels().groupBy("tile").agg(F.avg("v").alias("m"))
