@@ -1,14 +1,16 @@
 """Main text of web pages, with site templates found by counting subtrees.
 
 A page is parsed into elements; each gets a hash of its tag, its class, its text and its children's hashes.
-Spark counts how many pages of a host hold each hash (one row a page and hash, a partial count first).
+Spark counts how many distinct pages of a host hold each hash (one row a page and hash; equal html is one page).
 Subtrees that recur on many pages of the host, and elements that are boilerplate by tag, role or name, are
-deleted; the rest of the article is the text. Paragraphs, headings and the like inside an article or main
-element are its content and are not counted: a sentence that many articles share stays.
+deleted; the rest of the article is the text. Inside an article or main element only containers such as div and
+section are counted: paragraphs, headings and text-level elements are its content, and a sentence that many
+articles share stays. A container that holds most of the article's text, or of a page's articles, is not
+template however often it recurs.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by
 one line end. A null html is an empty page with empty text. Null or odd urls share one host. Null ids and
-repeated rows are kept (repeated rows count as pages each); pages of any length and depth are parsed whole,
+repeated rows are kept (those of equal html count as one page); pages of any length and depth are parsed whole,
 without recursion; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,7 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes title textarea".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split())
 GONE = frozenset("head script style xmp iframe noembed noframes noscript template title textarea nav footer aside form button select menu dialog svg math canvas object audio video search".split())
-CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dd dt pre blockquote figure figcaption table thead tbody tr td th b i em strong a span code".split())
+CONTAINERS = frozenset("aside center details dialog div fieldset footer form header menu nav search section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form status".split())
 NAMES = frozenset(
@@ -125,6 +127,11 @@ def parse(page: str) -> Element:
     return root
 
 
+def counted(e: Element) -> bool:
+    """Whether an element may be template: anything outside an article or main, and containers inside."""
+    return e.tag not in ("html", "body", "main", "article") and (not e.inside or e.tag in CONTAINERS)
+
+
 def subtrees(root: Element) -> set[int]:
     """Hashes that count towards the site's template."""
     out, todo = set(), [root]
@@ -132,16 +139,55 @@ def subtrees(root: Element) -> set[int]:
         e = todo.pop()
         if e.tag in ("script", "style", "head"):
             continue
-        if e.tag not in ("html", "body", "main", "article") and e.children and not (e.inside and not e.drop and e.tag in CONTENT):
+        if e.children and counted(e):
             out.add(e.hash)
         todo += [c for c in e.children if isinstance(c, Element)]
     return out
 
 
+def below(e: Element, least: tuple = ()) -> list[Element]:
+    """e and the elements below it that are not dropped; no further than the tags of `least`."""
+    out, todo = [], [e]
+    while todo:
+        x = todo.pop()
+        if not x.drop:
+            out.append(x)
+            if x.tag not in least:
+                todo += [c for c in x.children if isinstance(c, Element)]
+    return out
+
+
+def size(e: Element) -> int:
+    return sum(len(" ".join(c.split())) for x in below(e) for c in x.children if isinstance(c, str))
+
+
+def spared(root: Element, template: set[int]) -> set[int]:
+    """Elements (by id) that recur but hold most of an article's text, with all in them, or of the page's articles."""
+    articles = lambda e: sum(size(x) for x in below(e, ("article", "main")) if x.tag in ("article", "main"))
+    out, total, todo = set(), articles(root) if template else 0, [(root, 0)]
+    while total and todo:
+        e, own = todo.pop()
+        if e.drop:
+            continue
+        if e.tag in ("article", "main"):
+            own = size(e)
+        if e.hash in template and counted(e):
+            if e.inside:
+                if 2 * size(e) > own:
+                    out |= {id(x) for x in below(e)}
+                continue
+            if 2 * articles(e) <= total:
+                continue
+            out.add(id(e))
+        todo += [(c, own) for c in e.children if isinstance(c, Element)]
+    return out
+
+
 def main_text(root: Element, template: set[int]) -> str:
     found = {"article": [], "main": []}
     todo = [root]
-    gone = lambda e: e.drop or e.hash in template and e.tag not in ("html", "body", "main", "article") and not (e.inside and e.tag in CONTENT)
+    kept = spared(root, template)
+    gone = lambda e: e.drop or e.hash in template and counted(e) and id(e) not in kept
     while todo:
         e = todo.pop()
         if gone(e):
@@ -184,15 +230,16 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """__host and the hashes of its template: in `least` pages at least and in that share of its pages.
+    """__host and the hashes of its template: in `least` distinct pages at least and in that share of them.
 
     A page has a bounded number of subtrees, so a host has at most that number over `share` of them."""
 
-    def work(hosts: list, htmls: list) -> list:
-        rows = [(h, x) for h, page in zip(hosts, htmls, strict=True) for x in ([None, *sorted(subtrees(parse(page)))] if page else [None])]
-        return [[r[0] for r in rows], [None if r[1] is None else r[1] - 2**63 for r in rows]]
+    def work(hosts: list, htmls: list, prints: list) -> list:
+        rows = [(h, x, p) for h, page, p in zip(hosts, htmls, prints, strict=True) for x in ([None, *sorted(subtrees(parse(page)))] if page else [None])]
+        return [[r[0] for r in rows], [None if r[1] is None else r[1] - 2**63 for r in rows], [r[2] for r in rows]]
 
-    each = common.map_columns(pages.select(host(F.col("url")).alias("h"), "html"), "h string, hash long", lambda: work, rows=200)
+    named = pages.select(host(F.col("url")).alias("h"), "html", F.xxhash64("html").alias("print"))
+    each = common.map_columns(named, "h string, hash long, print long", lambda: work, rows=200).distinct()
     counts = common.scratch(each.groupBy("h", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("hash").isNull() | (F.col("n") >= least)), "subtrees")
     sizes = counts.where("hash is null").select("h", F.col("n").alias("total"))
     often = counts.where("hash is not null").join(sizes, "h").where(F.col("n") >= F.col("total") * share)

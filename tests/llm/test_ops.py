@@ -308,6 +308,22 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_pages_keep_articles(spark):
+    cell = "<html><head><title>{}</title></head><body><div class=top>Site name</div><div class=page><article><div class=text>{}</div></article></div></body></html>"
+    text = "<section><p>One long story told again</p></section><section>and its end</section>"
+    inline = [f"<p>Word {i}<sup>1</sup> of CO<sub>2</sub>, <abbr>NATO</abbr> <q>so</q> <x-y>it</x-y> is</p>" for i in range(12)]
+    rows = [(i, "http://a.com/", cell.format("t", text)) for i in range(5)] + [(10 + i, "http://a.com/", cell.format(i, f"<p>Other {i}</p>")) for i in range(7)]
+    rows += [(20 + i, "http://b.com/", cell.format(i, text)) for i in range(6)] + [(30 + i, "http://c.com/", cell.format("t", x)) for i, x in enumerate(inline)]
+    rows += [(50 + i, "http://d.com/", "<body><section><p>Told without article</p></section>") for i in range(5)] + [(60 + i, "http://d.com/", f"<body><section><p>Number {i}</p></section>") for i in range(9)]
+    rows += [(80 + i, "http://e.com/", f"<main><div>Share this</div><p>A text of its own, number {i}</p></main>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {g.page_id: g.text for g in pages.extract(df).collect()}
+    assert {got[i] for i in [*range(5), *range(20, 26)]} == {"One long story told again\nand its end"}
+    assert [got[30 + i] for i in range(12)] == [f"Word {i}1 of CO2, NATO so it is" for i in range(12)]
+    assert {got[50 + i] for i in range(5)} == {"Told without article"}
+    assert [got[80 + i] for i in range(6)] == [f"A text of its own, number {i}" for i in range(6)]
+
+
 def brute_quality(text):
     text = text or ""
     words = WORD.findall(text)
