@@ -81,25 +81,46 @@ def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, "cell").where(dx * dx + dy * dy <= radius * radius).select("a", "b")
 
 
-def sides(v):
-    return centres(v.map_pred().where("score >= 0.7")), centres(v.map_gt().where("det_id % 3 = 0"))
+def sides(v, part: str = "det_id % 3 = 0"):
+    """Centres of the scored predictions and of a part of the ground truth ("true": all of it)."""
+    return centres(v.map_pred().where("score >= 0.7")), centres(v.map_gt().where(part))
 
 
 @reg("j8_distance_semi_join", sql("SELECT DISTINCT a AS det_id FROM hit", "map_pred", "map_gt", extra=NEAR))
 def j8(v):
-    a, b = sides(v)
+    return near(*sides(v))
+
+
+def near(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(within(a, b, 20).select(F.col("a").alias("det_id")), "det_id", "left_semi").select("det_id")
 
 
 @reg("m19_concordance", sql("SELECT round(100 * (SELECT count(DISTINCT a) FROM hit) / (SELECT count(*) FROM ctr)::DOUBLE, 6) AS concordance, round(100 * (SELECT count(DISTINCT b) FROM hit) / (SELECT count(*) FROM ref)::DOUBLE, 6) AS recovery", "map_pred", "map_gt", extra=NEAR))
 def m19(v):
-    a, b = sides(v)
+    return concordance(*sides(v))
+
+
+def concordance(a: DataFrame, b: DataFrame) -> DataFrame:
     hits = within(a, b, 20)
     found = hits.select("a").distinct().agg(n_("fa")).crossJoin(hits.select("b").distinct().agg(n_("fb"))).crossJoin(a.agg(n_("na"))).crossJoin(b.agg(n_("nb")))
     pct = lambda x, y, n: r6(F.try_divide(100.0 * F.col(x), F.col(y))).alias(n)
     return found.select(pct("fa", "na", "concordance"), pct("fb", "nb", "recovery"))
 
 
+NEAR_ALL = {**NEAR, "ref": "SELECT det_id, cls, (x0 + x1) / 2.0::DOUBLE AS x, (y0 + y1) / 2.0::DOUBLE AS y FROM map_gt",
+            "hit": "SELECT c.det_id AS a, r.det_id AS b FROM (SELECT *, floor(x / 20) AS cx, floor(y / 20) AS cy FROM ctr) c JOIN (SELECT *, floor(x / 20) + i AS cx, floor(y / 20) + j AS cy FROM ref, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) r ON c.cx = r.cx AND c.cy = r.cy WHERE (c.x - r.x) * (c.x - r.x) + (c.y - r.y) * (c.y - r.y) <= 400"}
+
+
+@reg("j8_distance_semi_join_all", sql("SELECT DISTINCT a AS det_id FROM hit", "map_pred", "map_gt", extra=NEAR_ALL))
+def j8_all(v):
+    return near(*sides(v, "true"))
+
+
+@reg("m19_concordance_all", sql("SELECT round(100 * (SELECT count(DISTINCT a) FROM hit) / (SELECT count(*) FROM ctr)::DOUBLE, 6) AS concordance, round(100 * (SELECT count(DISTINCT b) FROM hit) / (SELECT count(*) FROM ref)::DOUBLE, 6) AS recovery", "map_pred", "map_gt", extra=NEAR_ALL))
+def m19_all(v):
+    return concordance(*sides(v, "true"))
+
+
 # Splits. Order comes from a digest of seed and key, which every engine computes alike.
 SPLIT = {"sp": "SELECT tile_id, aoi, k <= round_even(n * 0.2::DOUBLE, 0) AS val FROM (SELECT *, row_number() OVER (PARTITION BY aoi ORDER BY md5('7:' || tile_id), tile_id) AS k, count(*) OVER (PARTITION BY aoi) AS n FROM grid)"}
 

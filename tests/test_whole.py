@@ -23,3 +23,21 @@ def test_seams_of_all_tiles(spark, tmp_path):
     assert z.keys() == set(range(90)) and all(abs(z[i] - (c[i].max() - off.mean()) / off.std()) < 1e-5 for i in z)
     got = {(r.a, r.b) for r in catalog.queries()["w15_reciprocal_best_all"](spark, sf).collect()}
     assert got == {(i, int(c[i].argmax())) for i in range(90) if c[:, c[i].argmax()].argmax() == i} and (80, 75) in got
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_distance_joins_meet_all_of_the_reference(spark):
+    from gridlore.plans.views import Views
+
+    v = Views(spark, SF)
+    mid = lambda df: np.array([((r.x0 + r.x1) / 2, (r.y0 + r.y1) / 2) for r in df.orderBy("det_id").collect()])
+    p = v.map_pred().where("score >= 0.7")
+    ids, a, b = [r.det_id for r in p.orderBy("det_id").select("det_id").collect()], mid(p), mid(v.map_gt())
+    hit = np.stack([((b - x) ** 2).sum(axis=1) <= 400 for x in a])
+    got = [r.det_id for r in catalog.queries()["j8_distance_semi_join_all"](spark, SF).orderBy("det_id").collect()]
+    assert got == [i for i, h in zip(ids, hit.any(axis=1), strict=True) if h]
+    assert len(got) > catalog.queries()["j8_distance_semi_join"](spark, SF).count()
+    m = catalog.queries()["m19_concordance_all"](spark, SF).first()
+    assert abs(m.concordance - 100 * hit.any(axis=1).mean()) < 1e-5 and abs(m.recovery - 100 * hit.any(axis=0).mean()) < 1e-5
