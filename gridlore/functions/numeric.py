@@ -46,3 +46,9 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: Column, order: list[Colu
     within = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({f"__l_{n}": F.sum(c).over(within) for n, c in sums.items()})
     return local.join(shift, same).select(*df.columns, *((F.col(f"__l_{n}") + F.col(f"__s_{n}")).alias(n) for n in sums))
+
+
+def ranked(df: DataFrame, key: str, rank: str = "k") -> DataFrame:
+    """Add `rank`, gapless from 0 over the integer `key`, counted over buckets of a thousand values."""
+    rows = prefix_sums(df.withColumn("__one", F.lit(1)), [], F.floor(F.col(key) / 1000), [F.col(key)], {rank: "__one"})
+    return rows.withColumn(rank, F.col(rank) - 1).drop("__one")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlore.functions import rings, rle
-from gridlore.functions.numeric import clip, r6, ratio
+from gridlore.functions.numeric import clip, r6, ranked, ratio
 from gridlore.operators import raster as R
 from gridlore.plans.registry import Registry
 from gridlore.plans.views import sql
@@ -224,6 +224,16 @@ def j13(v):
     return m.join(v.dn().where("v <= 0"), ["tile", "r", "c"]).select("det_id")
 
 
+@reg("j13_point_in_raster_all", sql("SELECT m.det_id FROM (SELECT det_id, (x0 + x1) // 2 % 8 AS c, (y0 + y1) // 2 % 8 AS r, det_id % (SELECT count(*) FROM ti) AS k FROM map_gt WHERE x0 >= 0) m JOIN ti USING (k) JOIN dn USING (tile, r, c) WHERE dn.v <= 0", "map_gt", "dn", extra={"ti": "SELECT tile, row_number() OVER (ORDER BY tile) - 1 AS k FROM (SELECT DISTINCT tile FROM dn)"}))
+def j13_all(v):
+    """Detections fall on all rasters, by the rasters' gapless rank."""
+    mid = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
+    t = ranked(v.dn().select("tile").distinct(), "tile")
+    m = v.map_gt().where("x0 >= 0").crossJoin(F.broadcast(t.agg(F.count(F.lit(1)).alias("n"))))
+    m = m.select("det_id", (mid("x0", "x1") % 8).cast("int").alias("c"), (mid("y0", "y1") % 8).cast("int").alias("r"), (F.col("det_id") % F.col("n")).alias("k"))
+    return m.join(v.dn().where("v <= 0").join(t, "tile"), ["k", "r", "c"]).select("det_id")
+
+
 IOU = {"cl": "SELECT unnest([1, 2, 3]) AS cls", "th": "SELECT unnest([0.05, 0.1])::DOUBLE AS t",
        "gp": "SELECT tile, cls, r, c FROM pixels, cl WHERE v > 0.04 * cls AND tile % 4 <> cls", "pp": "SELECT tile, cls, t, r, c FROM pixels, cl, th WHERE v > 0.04 * cls + t - 0.06 AND tile % 5 <> cls",
        "grid3": "SELECT DISTINCT tile, cls, t FROM pixels, cl, th",

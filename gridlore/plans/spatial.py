@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridlore.functions.numeric import prefix_sums, r6
+from gridlore.functions.numeric import prefix_sums, r6, ranked
 from gridlore.plans.registry import Registry
 from gridlore.plans.views import sql
 
@@ -359,6 +359,16 @@ def c12(v, pairs: int = 4000):
     return p.join(a, "x").join(b, "y").agg(r6(F.percentile(F.abs(F.col("ma") - F.col("mb")), 0.99)).alias("p99"))
 
 
+@reg("c12_random_pairs_all", sql("SELECT round(quantile_cont(abs(a.m - b.m), 0.99), 6) AS p99 FROM (SELECT i, CAST(('0x' || substr(md5('a' || i), 1, 8)) AS BIGINT) % n AS x, CAST(('0x' || substr(md5('b' || i), 1, 8)) AS BIGINT) % n AS y FROM (SELECT unnest(range(0, 4000)) AS i), (SELECT count(*) AS n FROM ti)) JOIN ti a ON a.k = x JOIN ti b ON b.k = y WHERE x <> y", "pixels", extra={"ti": "SELECT tile, avg(v) AS m, row_number() OVER (ORDER BY tile) - 1 AS k FROM pixels GROUP BY tile"}))
+def c12_all(v, pairs: int = 4000):
+    """Both ends are drawn from all tiles, by their gapless rank."""
+    m = ranked(v.pixels().groupBy("tile").agg(F.avg("v").alias("m")), "tile")
+    h = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(s), F.col("id"))), 1, 8), 16, 10).cast("long") % F.col("n")
+    p = v.spark.range(pairs).crossJoin(F.broadcast(m.agg(n_()))).select(h("a").alias("x"), h("b").alias("y")).where("x <> y")
+    a, b = m.select(F.col("k").alias("x"), F.col("m").alias("ma")), m.select(F.col("k").alias("y"), F.col("m").alias("mb"))
+    return p.join(a, "x").join(b, "y").agg(r6(F.percentile(F.abs(F.col("ma") - F.col("mb")), 0.99)).alias("p99"))
+
+
 CLUSTER = {"cc": "SELECT label, count(*) AS n, count(*) FILTER (vec_id % 3 = 0) AS k0, count(*) FILTER (vec_id % 3 = 1) AS k1, count(*) FILTER (vec_id % 3 = 2) AS k2 FROM embeddings GROUP BY label",
            "rs": "SELECT *, unnest(range(0, 32)) AS restart FROM cc",
            "ru": "SELECT *, sum(n) OVER (PARTITION BY restart ORDER BY md5(restart || ':' || label), label ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY restart) AS total, sum(k0) OVER (PARTITION BY restart) AS t0, sum(k1) OVER (PARTITION BY restart) AS t1, sum(k2) OVER (PARTITION BY restart) AS t2 FROM rs",

@@ -41,3 +41,16 @@ def test_distance_joins_meet_all_of_the_reference(spark):
     assert len(got) > catalog.queries()["j8_distance_semi_join"](spark, SF).count()
     m = catalog.queries()["m19_concordance_all"](spark, SF).first()
     assert abs(m.concordance - 100 * hit.any(axis=1).mean()) < 1e-5 and abs(m.recovery - 100 * hit.any(axis=0).mean()) < 1e-5
+
+
+def test_draws_reach_all_tiles(spark, tmp_path):
+    # Ids with gaps, all of them above the fixed ranges of 500 and 600.
+    import hashlib
+
+    sf = embeddings(spark, tmp_path, np.arange(40)[:, None] ** 2 * np.ones(64), first=1000)
+    spark.read.parquet(f"{SF}/orders.parquet").write.parquet(f"{sf}/orders.parquet")
+    draw = lambda s, i: int(hashlib.md5(f"{s}{i}".encode()).hexdigest()[:8], 16) % 40
+    gaps = [abs(x * x - y * y) for x, y in ((draw("a", i), draw("b", i)) for i in range(4000)) if x != y]
+    assert abs(catalog.queries()["c12_random_pairs_all"](spark, sf).first().p99 - np.percentile(gaps, 99)) < 1e-5
+    got = {r.det_id for r in catalog.queries()["j13_point_in_raster_all"](spark, sf).collect()}
+    assert got == {r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect() if r.o_orderkey % 40 == 0} and got
