@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlore.functions import boxes
-from gridlore.functions.numeric import f1, r6, rates, ratio
+from gridlore.functions.numeric import f1, prefix_sums, r6, rates, ratio
 from gridlore.operators import matching as M
 from gridlore.plans.registry import Registry
 from gridlore.plans.views import greedy_sql, sql
@@ -78,8 +78,6 @@ def m7(v):
 
 def halves(v):
     """Alternate tiles by id: 1 selects, 0 reports. Tiles are numbered in range buckets of 1000 ids."""
-    from gridlore.functions.numeric import prefix_sums
-
     tiles = v.gt().select("tile_id", F.lit(1).alias("one")).distinct()
     return prefix_sums(tiles, [], F.floor(F.col("tile_id") / 1000), [F.col("tile_id")], {"k": "one"}).select("tile_id", (F.col("k") % 2).alias("h"))
 
@@ -345,6 +343,14 @@ def o2(v):
     return v.map_pred().orderBy(F.col("score").desc(), "x0", "y0", "det_id").limit(100).select("det_id", "score")
 
 
+@reg("o2_multi_key_sort_all", sql("SELECT det_id, score, row_number() OVER (ORDER BY score DESC, x0, y0, det_id) AS rank FROM map_pred", "map_pred"))
+def o2_all(v):
+    """Every detection with its rank, counted over buckets of scores."""
+    rows = v.map_pred().withColumn("one", F.lit(1))
+    order = [F.col("score").desc(), F.col("x0"), F.col("y0"), F.col("det_id")]
+    return prefix_sums(rows, [], -F.floor(F.col("score") * 1000), order, {"rank": "one"}).select("det_id", "score", "rank")
+
+
 @reg("w10_surrogate_ids", sql("SELECT det_id, printf('%s_%06d', 'A' || tile_id, row_number() OVER (PARTITION BY tile_id ORDER BY score DESC, x0, y0, det_id)) AS name FROM map_pred", "map_pred"))
 def w10(v):
     w = Window.partitionBy("tile_id").orderBy(F.col("score").desc(), "x0", "y0", "det_id")

@@ -69,6 +69,12 @@ def k9(v):
     return v.tiles().groupBy("aoi").agg(n_("n_images"), F.count_if(F.col("tile_id") % 5 == 0).alias("n_val"), F.when(some != "", some).alias("some"))
 
 
+@reg("k9_membership_record_all", sql("SELECT aoi, CASE WHEN tile_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, tile_id FROM tiles", "tiles"))
+def k9_all(v):
+    """Every member of each area's splits, a row each."""
+    return v.tiles().select("aoi", F.when(F.col("tile_id") % 5 == 0, "val").otherwise("train").alias("split"), "tile_id")
+
+
 def ring_area(mode: str):
     @F.pandas_udf(T.IntegerType())
     def area(x0, y0, x1, y1):

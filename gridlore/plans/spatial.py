@@ -51,6 +51,13 @@ def o1(v):
     return paired(v).orderBy(F.regexp_replace("key", r"\D", "").cast("long")).limit(50).select("key")
 
 
+@reg("o1_numeric_suffix_sort_all", sql("SELECT key, row_number() OVER (ORDER BY CAST(regexp_replace(key, '\\D', '', 'g') AS BIGINT)) AS rank FROM paired", "tiles", extra=FILES))
+def o1_all(v):
+    """Every key with its rank by number."""
+    rows = paired(v).select("key", F.regexp_replace("key", r"\D", "").cast("long").alias("number"))
+    return ranked(rows, "number", "rank").select("key", (F.col("rank") + 1).alias("rank"))
+
+
 @reg("j3_broadcast_lookup", sql("SELECT gt_id, CASE cls WHEN 1 THEN 'building' WHEN 2 THEN 'platform' ELSE 'basin' END AS name FROM gt", "gt"))
 def j3(v):
     names = v.spark.createDataFrame([(1, "building"), (2, "platform"), (3, "basin")], "cls int, name string")

@@ -54,3 +54,18 @@ def test_draws_reach_all_tiles(spark, tmp_path):
     assert abs(catalog.queries()["c12_random_pairs_all"](spark, sf).first().p99 - np.percentile(gaps, 99)) < 1e-5
     got = {r.det_id for r in catalog.queries()["j13_point_in_raster_all"](spark, sf).collect()}
     assert got == {r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect() if r.o_orderkey % 40 == 0} and got
+
+
+def test_sorts_and_membership_keep_all_rows(spark):
+    from gridlore.plans.spatial import paired
+    from gridlore.plans.views import Views
+
+    sf = SF.replace("0.001", "0.01")
+    v, q = Views(spark, sf), catalog.queries()
+    keys = sorted((r.key for r in paired(v).select("key").collect()), key=lambda k: int(k[3:]))
+    assert len(keys) > 50 and [r.key for r in q["o1_numeric_suffix_sort_all"](spark, sf).orderBy("rank").collect()] == keys
+    rows = sorted((-r.score, r.x0, r.y0, r.det_id) for r in v.map_pred().collect())
+    got = q["o2_multi_key_sort_all"](spark, sf).collect()
+    assert len(rows) > 100 and {r.rank: r.det_id for r in got} == {i: r[3] for i, r in enumerate(rows, 1)}
+    tiles = {(r.aoi, "train" if r.tile_id % 5 else "val", r.tile_id) for r in v.tiles().collect()}
+    assert {tuple(r) for r in q["k9_membership_record_all"](spark, sf).select("aoi", "split", "tile_id").collect()} == tiles
