@@ -278,6 +278,16 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_warc_long_url_and_gaps(spark, tmp_path, monkeypatch):
+    rows = [(1, "http://h.com/" + "u" * 300_000, "one"), (2, "u", "two"), (3, "http://h.com/" + "v" * 66_000, "three")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {(r.page_id, r.payload_bytes, r.record_type) for r in warc.op8(spark, str(tmp_path)).collect()} == {(1, 3, "response"), (2, 3, "response"), (3, 5, "response")}
+    one = warc.record
+    monkeypatch.setattr(warc, "record", lambda *a: one(*a).replace(b"two", b"owt"))
+    with pytest.raises(Exception, match="gap in"):
+        warc.op8(spark, str(tmp_path)).count()
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_salvage(packed):
     one = lambda i: warc.record("response", i, "u", warc.http_head(5), b"hello", hashlib.sha1(b"hello").hexdigest(), None)
