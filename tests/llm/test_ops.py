@@ -236,6 +236,22 @@ def test_mixing(spark, table):
     assert mixing.sample(table).columns == table.columns
 
 
+def test_mixing_paths_agree_where_raking_is_slow(spark, monkeypatch):
+    tokens = {("a", "x"): 9000, ("a", "y"): 300, ("b", "x"): 200, ("b", "y"): 4000, ("c", "y"): 50}
+    rows = spark.createDataFrame([(*k, "prose", n) for k, n in tokens.items()], "source string, lang string, topic string, tokens long")
+    wanted = {"source": {"a": 0.3, "b": 0.4, "c": 0.3}, "lang": {"x": 0.5, "y": 0.5}}
+    small, large = ({(c.source, c.lang): c for c in mixing.probabilities(rows, wanted, most_cells=m).collect()} for m in (9, 0))
+    total = sum(tokens.values())
+    for k in tokens:
+        assert abs(small[k].weight - large[k].weight) < 1e-8 * small[k].weight and abs(small[k].probability - large[k].probability) < 1e-8
+    for s, share in wanted["source"].items():
+        assert abs(sum(c.weight * c.tokens for k, c in large.items() if k[0] == s) / total - share) < 1e-8
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    for m in (9, 0):
+        with pytest.warns(RuntimeWarning, match="has not converged"):
+            mixing.probabilities(rows, wanted, most_cells=m)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
