@@ -19,19 +19,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gridlore-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Paths of the scratch tables of this process that are still there, in the order of their making.
+MADE: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    MADE.append(f"{shared_dir(spark)}/gridlore/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
 def write_scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridlore/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
+    spark, path, schema = df.sparkSession, new_path(df.sparkSession, name), df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
@@ -46,6 +55,29 @@ def drop_scratch(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+        if path in MADE:
+            MADE.remove(path)
+
+
+def drop_since(spark: SparkSession, mark: int, *keep: str) -> None:
+    """Delete what was made after MADE had `mark` paths, but for `keep`."""
+    drop_scratch(spark, *[p for p in MADE[mark:] if p not in keep])
+
+
+class Tables:
+    """Scratch tables of one operator, deleted once its result is planned, but for those that the result reads."""
+
+    def __init__(self):
+        self.made: list[tuple[DataFrame, str]] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(write_scratch(df, name))
+        return self.made[-1][0]
+
+    def drop_but(self, *keep: DataFrame) -> None:
+        for df, path in self.made:
+            if not any(df is k for k in keep):
+                drop_scratch(df.sparkSession, path)
 
 
 def map_columns(df: DataFrame, schema: StructType | str, start: Callable[[], Callable[..., list]], rows: int = 2000) -> DataFrame:

@@ -7,24 +7,28 @@ are candidates. Candidates' similarity is estimated jointly with the sets' sizes
 the counts of registers that are greater, less and equal; those that may reach the threshold are confirmed
 on their full sets.
 
-Only connectivity is asked for, so pairs are never listed. A key's documents meet its least one, the hub;
-those that are not far off by estimate form loose groups with it. Where a hub is far from some document of
-its key, those of the key's documents that are not close to it meet a further hub, FURTHER times, and what
-then is left of the key meets in bounded blocks, by estimate. So two documents that share a key and may reach
+Only connectivity is asked for, so pairs are never listed. A key's documents meet its least one, the hub; pairs
+that may reach the threshold by estimate are loose links, and their components loose groups. Where the other
+documents of a key are of several groups, they meet one another in bounded blocks of registers, and a forest of
+the pairs that may reach the threshold joins their groups. So two documents that share a key and may reach
 the threshold are in one loose group. A group's documents share a task, which confirms pairs by falling
-estimate and passes over those already connected. Groups of over BLOCK
-documents are dealt into blocks; blocks are joined through a bounded sample of one block, and whatever then
-lies outside its group's largest component meets the whole group, block by block. So every pair of a group
-ends up connected or compared, no task holds more than two blocks, and a group of near copies costs few
-comparisons a document. Sets that are equal as a whole are one class beforehand.
-
-A null text, and one without words, has an empty set and links with nothing. Rows with a null id link with
-nothing and have no component; they are kept. Rows that share an id are one document. Ties do not matter:
-the component is the smallest id. An empty table gives an empty result; other columns are ignored.
+estimate and passes over those already connected. Groups of over BLOCK documents are dealt into blocks; blocks
+are joined through a bounded sample of one block. Documents of such groups that share a key and are not connected
+then meet once more, in blocks of registers by key, and the texts of those that an estimate asks for are fetched
+and confirmed. So every pair that shares a key and may reach the threshold ends up connected or compared, no task
+holds more than two blocks, and a group of near copies costs few comparisons a document. Sets that are equal
+as a whole are one class beforehand.
+
+A null text, and one without words, has an empty set and links with nothing. Very long texts are read whole, one
+at a time. Rows with a null id link with nothing and have no component; they are kept. Rows that share an id are
+one document, whose set is that of the text with the least hash. Ties do not matter: the component is the
+smallest id. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +41,6 @@ BANDS, ROWS = 32, 6
 BASE, RATE, Q = 1.02, 20.0, 2046
 #: Estimates this far below the threshold are still confirmed: four standard errors of BANDS * ROWS registers.
 SLACK = 0.12
-#: Hubs a key's documents meet after the first, before blocks of them meet one another.
-FURTHER = 2
 
 _P = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_P, -1, 2**64)
@@ -124,6 +126,7 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, grid: i
 SKETCH = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("h", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
         T.StructField("f1", T.LongType()),
         T.StructField("f2", T.LongType()),
@@ -139,99 +142,94 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     def start():
         shingles = Shingler(k)
 
-        def work(doc_ids: list, texts: list) -> list:
+        def work(doc_ids: list, texts: list, hashes: list) -> list:
             regs, sizes, prints = np.empty((len(texts), BANDS * ROWS), np.uint16), [], np.zeros((2, len(texts)), np.uint64)
             for j, text in enumerate(texts):
                 s = shingles(text)
                 regs[j] = registers(s)
                 sizes.append(len(s))
                 prints[:, j] = s.sum(dtype=np.uint64), mix(s + np.uint64(1)).sum(dtype=np.uint64)
-            return [doc_ids, sizes, *prints.view(np.int64), [r.tobytes() for r in regs], list(band_keys(regs))]
+            return [doc_ids, hashes, sizes, *prints.view(np.int64), [r.tobytes() for r in regs], list(band_keys(regs))]
 
         return work
 
-    return common.map_columns(docs.select(F.col("doc_id").cast("long"), "text"), SKETCH, start)
+    return common.map_columns(docs.select("doc_id", "text", "h"), SKETCH, start)
 
 
-def estimate(pairs: DataFrame, sketches: DataFrame, least: float, close: float) -> DataFrame:
-    """The pairs (a, b) whose estimated similarity is at least `least`; inner: at least `close`."""
+def estimate(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose estimated similarity is at least `least`."""
     side = lambda x: sketches.select(*(F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in ("doc_id", "n_shingles", "regs")))
 
     def work(a: list, b: list, na: list, nb: list, ra: list, rb: list) -> list:
         x, y = (np.frombuffer(b"".join(r), np.uint16).reshape(len(r), -1) for r in (ra, rb))
-        e = likely(x, y, np.array(na, float), np.array(nb, float))
-        near = e >= least
-        return [*([i for i, ok in zip(c, near, strict=True) if ok] for c in (a, b)), (e[near] >= close).tolist()]
+        near = likely(x, y, np.array(na, float), np.array(nb, float)) >= least
+        return [[i for i, ok in zip(c, near, strict=True) if ok] for c in (a, b)]
 
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return common.map_columns(both.select("a", "b", "n_shingles_a", "n_shingles_b", "regs_a", "regs_b"), "a long, b long, inner boolean", lambda: work, rows=4000)
+    return common.map_columns(both.select("a", "b", "n_shingles_a", "n_shingles_b", "regs_a", "regs_b"), "a long, b long", lambda: work, rows=4000)
 
 
-def meetings(keyed: DataFrame) -> DataFrame:
+def meetings(keyed: DataFrame, tables: common.Tables) -> DataFrame:
     """key, a, b: every document b of a key beside the key's least one, a. Keys of one document go early."""
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("key", "hub")
-    return keyed.join(common.scratch(shared, "keys"), "key").where("hub <> doc_id").select("key", F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-
+    return keyed.join(tables(shared, "keys"), "key").where("hub <> doc_id").select("key", F.col("hub").alias("a"), F.col("doc_id").alias("b"))
 
-def sharers(left: DataFrame, sketches: DataFrame, groups: DataFrame, percent: int, block: int) -> DataFrame:
-    """Loose edges (a, b) among left (key, doc_id), documents that share a key and that no hub has settled.
 
-    Keys whose documents are of one group have none. A key's documents are dealt into blocks, any two blocks
-    share a task, and a task returns a forest of the pairs that may reach the threshold."""
-    rooted = left.join(groups, F.col("doc_id") == F.col("id"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("root"))
+def dealt(rooted: DataFrame, block: int) -> DataFrame:
+    """key, i, j, own, doc_id, root: documents of the keys that hold several roots, in blocks of which any two share a task."""
     open_ = rooted.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "blocks")
-    dealt = rooted.join(open_, "key").withColumns({"own": F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("blocks")).cast("int"), "other": F.explode(F.expr("sequence(0, blocks - 1)"))})
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(sketches, "doc_id")
+    rows = rooted.join(open_, "key").withColumns({"own": F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("blocks")).cast("int"), "other": F.explode(F.expr("sequence(0, blocks - 1)"))})
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "root")
+
+
+def close(r: np.ndarray, n: np.ndarray, x: int, y: np.ndarray, percent: int) -> np.ndarray:
+    """Those of y that may be linked with x, by sizes and by estimate."""
+    y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+    y = y[(r[y] == r[x]).mean(axis=1) >= percent / 100 - 2 * SLACK]
+    return y[likely(np.broadcast_to(r[x], r[y].shape), r[y], np.full(len(y), n[x]), n[y]) >= percent / 100 - SLACK] if len(y) else y
+
+
+def partners(i: int, j: int, own: np.ndarray, x: int) -> np.ndarray:
+    """The documents that x meets in the task of blocks i and j: a pair of one block meets in that block's own task."""
+    if i == j:
+        return np.arange(x + 1, len(own))
+    return np.flatnonzero(own != i) if own[x] == i else np.zeros(0, np.int64)
+
+
+def sharers(rooted: DataFrame, sketches: DataFrame, percent: int, block: int) -> DataFrame:
+    """Loose edges (a, b) among rooted (key, doc_id, root): a task returns a forest of its pairs that may be linked."""
 
     def start():
-        def work(ids: list, roots: list, sizes: list, regs: list) -> list:
-            r, n = np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), -1), np.array(sizes, float)
+        def work(i: int, j: int, own: list, ids: list, roots: list, sizes: list, regs: list) -> list:
+            r, n, own = np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), -1), np.array(sizes, float), np.array(own)
             label, out = np.unique(np.array(roots), return_inverse=True)[1], []
-            for x in range(len(ids) - 1):
-                y = np.flatnonzero(label[x + 1 :] != label[x]) + x + 1
-                y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
-                y = y[(r[y] == r[x]).mean(axis=1) >= percent / 100 - 2 * SLACK]
-                if len(y):
-                    y = y[likely(np.broadcast_to(r[x], r[y].shape), r[y], np.full(len(y), n[x]), n[y]) >= percent / 100 - SLACK]
-                for at in y:
+            for x in range(len(ids)):
+                y = partners(i, j, own, x)
+                for at in close(r, n, x, y[label[y] != label[x]], percent):
                     if label[at] != label[x]:
                         label[label == label[at]] = label[x]
                         out.append((ids[x], ids[int(at)]))
             return [[e[0] for e in out], [e[1] for e in out]]
 
-        return lambda key, i, j, *columns: work(*columns)
+        return lambda key, i, j, *columns: work(i[0], j[0], *columns)
 
-    return common.map_groups(dealt.select("key", "i", "j", "doc_id", "root", "n_shingles", "regs"), ["key", "i", "j"], "a long, b long", start)
+    rows = dealt(rooted, block).join(sketches, "doc_id").select("key", "i", "j", "own", "doc_id", "root", "n_shingles", "regs")
+    return common.map_groups(rows, ["key", "i", "j"], "a long, b long", start)
 
 
-def loosely(keyed: DataFrame, firsts: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+def loosely(keyed: DataFrame, firsts: DataFrame, percent: int, block: int, tables: common.Tables) -> tuple[DataFrame, DataFrame]:
     """Loose groups (id, component) that hold any two documents of a key which may be linked, and the sketches of their documents."""
-    met = common.scratch(meetings(keyed), "met")
-    pairs = common.scratch(met.select("a", "b").distinct(), "pairs")
-    ids = common.scratch(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    sketches = common.scratch(firsts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "regs"), "near")
-    # A link to a document that is close to the hub keeps the hub within twice the distance and the estimate's
-    # slack. Close leaves half as much slack again: four standard errors of the two estimates together.
-    least, close = 1 - 2 * (1 - percent / 100) - SLACK, percent / 100 + SLACK / 2
-    loose = common.scratch(estimate(pairs, sketches, least, close), "loose")
-    edges, now, left = loose.select("a", "b"), loose, None
-    for again in range(FURTHER + 1):
-        # Documents close to their hub are settled, and so are keys without a document that is far from it.
-        rest = met.join(now, ["a", "b"], "left").where("inner is null or not inner").select("key", F.col("b").alias("doc_id"), F.col("inner").isNull().alias("far"))
-        open_ = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).where("n > 1 and far").select("key")
-        left = common.scratch(rest.join(open_, "key", "left_semi").select("key", "doc_id"), "left")
-        if left.isEmpty() or again == FURTHER:
-            break
-        met = common.scratch(meetings(left), "met")
-        now = common.scratch(estimate(met.select("a", "b").distinct(), sketches, least, close), "loose")
-        edges = edges.unionByName(now.select("a", "b"))
-    group = lambda e: common.connected_components(e.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    met = tables(meetings(keyed, tables), "met")
+    pairs = tables(met.select("a", "b").distinct(), "pairs")
+    ids = tables(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    sketches = tables(firsts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "h", "n_shingles", "regs", "keys"), "near")
+    edges = tables(estimate(pairs, sketches, percent / 100 - SLACK), "loose")
+    group = lambda e: tables(common.connected_components(e.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "groups")
     groups = group(edges)
-    if not left.isEmpty():
-        more = common.scratch(sharers(left, sketches, groups, percent, block), "loose")
-        if not more.isEmpty():
-            groups = group(edges.unionByName(more))
-    return groups, sketches
+    # Every pair with a hub is estimated. Other pairs of a key are left only where its other documents are of several groups.
+    rooted = met.join(groups, F.col("b") == F.col("id"), "left").select("key", F.col("b").alias("doc_id"), F.coalesce("component", "b").alias("root"))
+    more = tables(sharers(rooted, sketches, percent, block), "loose")
+    return groups if more.isEmpty() else group(edges.unionByName(more)), sketches
 
 
 class Linker:
@@ -240,9 +238,9 @@ class Linker:
     def __init__(self, k: int, percent: int):
         self.shingles, self.percent = Shingler(k), percent
 
-    def __call__(self, ids: list, texts: list, sizes: list, regs: list, roots: list, left: list, right: list) -> list[tuple[int, int]]:
-        """Pairs of left with right whose roots differ, by falling estimate; those that are connected by
-        then are passed over, the others confirmed."""
+    def __call__(self, ids: list, texts: list, sizes: list, regs: list, roots: list, meet: Callable[[int], np.ndarray], wanted: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+        """Pairs of x with meet(x) whose roots differ, by falling estimate; those that are connected by then are
+        passed over, the others confirmed. wanted(x, y) may leave out pairs that another task confirms."""
         r, n = np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), -1), np.array(sizes, float)
         sets: dict[int, np.ndarray] = {}
         parent: dict = {}
@@ -258,31 +256,20 @@ class Linker:
                 sets[i] = self.shingles(texts[i])
             return sets[i]
 
-        right_at, found, out = np.array(right), [], []
-        step = max(1, 40_000 // max(1, len(right)))
-        labels = {x: i for i, x in enumerate(dict.fromkeys(roots))}
-        label = np.array([labels[x] for x in roots])
-        for begin in range(0, len(left), step):
-            rows = np.array(left[begin : begin + step])
-            a, b = (x.ravel() for x in np.meshgrid(rows, right_at, indexing="ij"))
-            ok = (a != b) & (label[a] != label[b]) & (100 * np.minimum(n[a], n[b]) >= self.percent * np.maximum(n[a], n[b]))
-            a, b = a[ok], b[ok]
-            for s in range(0, len(a), 20_000):
-                x, y = a[s : s + 20_000], b[s : s + 20_000]
-                same = (r[x] == r[y]).mean(axis=1) >= self.percent / 100 - 2 * SLACK
-                x, y = x[same], y[same]
-                if len(x):
-                    e = likely(r[x], r[y], n[x], n[y])
-                    keep = e >= self.percent / 100 - SLACK
-                    found.append((e[keep], x[keep], y[keep]))
+        label, found, out = np.unique(np.array(roots), return_inverse=True)[1], [], []
+        for x in range(len(ids)):
+            y = meet(x)
+            y = close(r, n, x, y[label[y] != label[x]], self.percent)
+            if wanted is not None and len(y):
+                y = wanted(x, y)
+            if len(y):
+                found.append(((r[y] == r[x]).mean(axis=1), np.full(len(y), x), y))
         if found:
             e, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-            tried = set()
             for at in np.argsort(-e, kind="stable"):
                 x, y = int(a[at]), int(b[at])
-                if (y, x) in tried or root(roots[x]) == root(roots[y]):
+                if root(roots[x]) == root(roots[y]):
                     continue
-                tried.add((x, y))
                 s, t = own(x), own(y)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 if 100 * both >= self.percent * (len(s) + len(t) - both):
@@ -295,16 +282,17 @@ EDGES = "src long, dst long"
 
 
 def forests(groups: DataFrame, keys: list[str], k: int, percent: int) -> DataFrame:
-    """Confirmed forest edges in each group of doc_id, text, n_shingles, regs, root, part (bit 1: left, 2: right)."""
-    columns = [*keys, "doc_id", "text", "n_shingles", "regs", "root", "part"]
+    """Confirmed forest edges in each group of doc_id, text, n_shingles, regs, extra; two extra documents do not meet."""
+    columns = [*keys, "doc_id", "text", "n_shingles", "regs", "extra"]
 
     def start():
         link = Linker(k, percent)
 
         def work(*c: list) -> list:
-            ids, texts, sizes, regs, roots, part = c[len(keys) :]
-            left, right = ([i for i, p in enumerate(part) if p & bit] for bit in (1, 2))
-            edges = link(ids, texts, sizes, regs, roots, left, right) if left and right else []
+            ids, texts, sizes, regs, extra = c[len(keys) :]
+            more = np.array(extra)
+            meet = lambda x: np.flatnonzero(~more[x + 1 :] | ~more[x]) + x + 1
+            edges = link(ids, texts, sizes, regs, ids, meet)
             return [[e[0] for e in edges], [e[1] for e in edges]]
 
         return work
@@ -312,56 +300,107 @@ def forests(groups: DataFrame, keys: list[str], k: int, percent: int) -> DataFra
     return common.map_groups(groups.select(*columns), keys, EDGES, start)
 
 
+def first_key(keys: list, here: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A filter of the partners y of x: those whose first key in common with x is `here`."""
+    all_ = np.array(keys, np.int64)
+
+    def only(x: int, y: np.ndarray) -> np.ndarray:
+        same = all_[y] == all_[x]
+        return y[all_[x][same.argmax(axis=1)] == here]
+
+    return only
+
+
+def apart(rooted: DataFrame, sketches: DataFrame, percent: int, block: int) -> DataFrame:
+    """key, i, j, own, doc_id, root: documents that in this task, and for this key first, meet one of another root to which they may be linked.
+
+    Only registers come here, so that texts move only where an estimate asks for them."""
+
+    def start():
+        def work(key: int, i: int, j: int, own: list, ids: list, roots: list, sizes: list, regs: list, keys: list) -> list:
+            r, n, at = np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), -1), np.array(sizes, float), np.array(own)
+            label, only, use = np.unique(np.array(roots), return_inverse=True)[1], first_key(keys, key), np.zeros(len(ids), bool)
+            for x in range(len(ids)):
+                y = partners(i, j, at, x)
+                y = close(r, n, x, y[label[y] != label[x]], percent)
+                if len(y) and len(y := only(x, y)):
+                    use[x] = use[y] = True
+            some = np.flatnonzero(use).tolist()
+            return [[key] * len(some), [i] * len(some), [j] * len(some), *([c[x] for x in some] for c in (own, ids, roots))]
+
+        return lambda key, i, j, *columns: work(key[0], i[0], j[0], *columns)
+
+    rows = dealt(rooted, block).join(sketches, "doc_id").select("key", "i", "j", "own", "doc_id", "root", "n_shingles", "regs", "keys")
+    return common.map_groups(rows, ["key", "i", "j"], "key long, i int, j int, own int, doc_id long, root long", start)
+
+
+def confirmed(groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirmed forest edges of what `apart` found, with texts."""
+
+    def start():
+        link = Linker(k, percent)
+
+        def work(key: list, i: list, j: list, own: list, ids: list, roots: list, texts: list, sizes: list, regs: list, keys: list) -> list:
+            at = np.array(own)
+            edges = link(ids, texts, sizes, regs, roots, lambda x: partners(i[0], j[0], at, x), first_key(keys, key[0]))
+            return [[e[0] for e in edges], [e[1] for e in edges]]
+
+        return work
+
+    return common.map_groups(groups.select("key", "i", "j", "own", "doc_id", "root", "text", "n_shingles", "regs", "keys"), ["key", "i", "j"], EDGES, start)
+
+
 def components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 500, hubs: int = 48) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sk = common.scratch(sketch(docs, k), "sketches")
+    tables = common.Tables()
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    sk = tables(sketch(docs, k), "sketches")
     own = sk.where("doc_id is not null and n_shingles > 0")
+    # Of texts under one id, the one with the least hash stands for it.
+    again = tables(own.groupBy("doc_id").agg(F.min("h").alias("least"), F.max("h").alias("most")).where("least <> most").select("doc_id", "least"), "again")
+    if not again.isEmpty():
+        own = own.join(again, "doc_id", "left").where("least is null or h = least").drop("least")
     same = ["f1", "f2", "n_shingles"]
-    classes = own.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    many = common.scratch(classes.where("copies > 1"), "classes")
+    classes = own.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    many = tables(classes.where("first <> last").drop("last"), "classes")
     copies = own.select("doc_id", *same).join(many, same).where("doc_id <> first").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"))
-    copies = common.scratch(copies, "copies")
+    copies = tables(copies.distinct(), "copies")
     firsts = own.join(copies.select(F.col("dst").alias("doc_id")), "doc_id", "left_anti")
-    groups, sketches = loosely(firsts.select("doc_id", F.explode("keys").alias("key")), firsts, percent, block)
+    keyed = firsts.select("doc_id", F.explode("keys").alias("key"))
+    groups, sketches = loosely(keyed, firsts, percent, block, tables)
 
     # Documents of a group share tasks: groups of over `block` documents are dealt into several.
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = groups.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("c"), "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("i"))
-    held = common.scratch(sketches.join(placed, "doc_id"), "placed")
-    held = common.scratch(docs.dropDuplicates(["doc_id"]).join(held, "doc_id"), "held")
+    held = tables(sketches.join(placed, "doc_id"), "placed")
+    held = tables(docs.join(held, ["doc_id", "h"]).dropDuplicates(["doc_id"]), "held")
     # A block's documents meet one another and a bounded sample of block 0, where most of a large group joins.
-    at = held.withColumn("part", F.lit(3))
+    at = held.withColumn("extra", F.lit(False))
     order = Window.partitionBy("c").orderBy(F.xxhash64("doc_id", F.lit(2)))
     hub = held.where("blocks > 1 and i = 0").withColumn("k", F.row_number().over(order)).where(F.col("k") <= hubs).drop("k")
-    hub = hub.withColumns({"i": F.explode(F.expr("sequence(1, blocks - 1)")), "part": F.lit(2)}).select(*at.columns)
-    links = common.scratch(forests(at.unionByName(hub).withColumn("root", F.col("doc_id")), ["c", "i"], k, percent), "links").unionByName(copies)
-    found = common.scratch(common.connected_components(links), "components")
-    large = held.where("blocks > 1")
+    hub = hub.withColumns({"i": F.explode(F.expr("sequence(1, blocks - 1)")), "extra": F.lit(True)}).select(*at.columns)
+    links = tables(forests(at.unionByName(hub), ["c", "i"], k, percent), "links").unionByName(copies)
+    found = tables(common.connected_components(links), "components")
+    # Documents of a large group that share a key and are not connected yet meet, by estimate and then by their texts.
+    large = held.where("blocks > 1").select("doc_id")
     if not large.isEmpty():
-        # The rest, whatever is outside its group's largest component, meets all of the group.
-        rooted = common.scratch(labelled(large, found), "rooted")
-        most = rooted.groupBy("c", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("largest"))
-        most = most.where("all > largest").withColumn("parts", F.ceil((F.col("all") - F.col("largest")) / block).cast("int"))
-        open_ = rooted.join(most, "c")
-        rest = open_.where("root <> main").withColumns({"j": F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")).cast("int"), "i": F.explode(F.expr("sequence(0, blocks - 1)")), "part": F.lit(1)})
-        all_ = open_.withColumns({"j": F.explode(F.expr("sequence(0, parts - 1)")), "part": F.lit(2)})
-        more = common.scratch(forests(rest.select(*all_.columns).unionByName(all_), ["c", "i", "j"], k, percent), "links")
-        if not more.isEmpty():
-            found = common.connected_components(links.unionByName(more))
+        rooted = large.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("root"))
+        rooted = tables(keyed.distinct().join(tables(rooted, "rooted"), "doc_id"), "rooted")
+        some = tables(apart(rooted, sketches, percent, block), "apart")
+        if not some.isEmpty():
+            more = tables(confirmed(some.join(held.select("doc_id", "text", "n_shingles", "regs", "keys"), "doc_id"), k, percent), "links")
+            found = tables(common.connected_components(links.unionByName(more)), "components")
+    tables.drop_but(sk, found)
     out = sk.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def labelled(held: DataFrame, comps: DataFrame) -> DataFrame:
-    return held.join(comps, F.col("doc_id") == F.col("id"), "left").withColumn("root", F.coalesce("component", "doc_id")).drop("id", "component")
-
-
 def unique(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns."""
-    gone = components(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(common.scratch(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = common.scratch(components(docs, k, percent).where(~F.col("kept")).select("doc_id"), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(common.table(spark, sf_dir, "documents"), k=2)

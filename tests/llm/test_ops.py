@@ -150,9 +150,9 @@ def test_dedup(spark, table, k, block, hubs):
     assert all(g.kept == (g.doc_id is None or g.doc_id == g.component_id) for g in got)
 
 
-@pytest.mark.parametrize("block,further", [(500, 2), (3, 0), (3, 2)])
-def test_dedup_far_hubs(spark, monkeypatch, block, further):
-    # All share one key, whose least documents are similar to no other.
+@pytest.mark.parametrize("block", [500, 3])
+def test_dedup_far_hubs(spark, monkeypatch, block):
+    # All share one key, whose least document is similar to no other.
     r = random.Random(6)
     texts = [" ".join(f"h{i}_{j}" for j in range(80)) for i in range(4)]
     for i in range(6):
@@ -163,11 +163,55 @@ def test_dedup_far_hubs(spark, monkeypatch, block, further):
             texts.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(dedup, "band_keys", lambda regs: np.zeros((len(regs), 1), np.int64))
-    monkeypatch.setattr(dedup, "FURTHER", further, raising=False)
     got = {g.doc_id: (g.n_shingles, g.component_id) for g in dedup.components(df, k=2, block=block).collect()}
     assert got == brute_components(df.collect(), 2)
 
 
+@pytest.mark.parametrize("background,block", [(40, 500), (400, 500), (400, 30)])
+def test_dedup_behind_half_copies(spark, background, block):
+    # Half copies with low ids are the hubs of most keys of the near copies, and similar enough to none.
+    r, texts = random.Random(3), {}
+    bases = [[" ".join(f"t{t}b{i}w{j}" for j in range(10)) for i in range(100)] for t in range(3)]
+    other = lambda: " ".join(f"x{r.random()}" for _ in range(10))
+    for base in bases:
+        for _ in range(background):
+            keep = set(r.sample(range(100), 50))
+            texts[len(texts)] = " ".join(b if i in keep else other() for i, b in enumerate(base))
+    for t, base in enumerate(bases):
+        for i in range(8):
+            gone = set(r.sample(range(100), 4))
+            texts[10_000 + 8 * t + i] = " ".join(other() if j in gone else b for j, b in enumerate(base))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {g.doc_id: g.component_id for g in dedup.components(df, k=2, block=block).collect()}
+    assert got == {i: 10_000 + (i - 10_000) // 8 * 8 if i >= 10_000 else i for i in texts}
+
+
+def test_dedup_large_group_in_blocks(spark):
+    # A chain of documents, each linked with the next only, and a group of near copies: both larger than a block.
+    words = [f"c{i}" for i in range(400)]
+    texts = [" ".join(words[i * 10 : i * 10 + 110]) for i in range(29)]
+    r = random.Random(2)
+    for _ in range(40):
+        w = [f"g{i}" for i in range(150)]
+        for _ in range(5):
+            w[r.randrange(150)] = f"n{r.random()}"
+        texts.append(" ".join(w))
+    r.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for k, block, hubs in ((2, 5, 1), (5, 4, 2)):
+        got = {g.doc_id: (g.n_shingles, g.component_id) for g in dedup.components(df, k=k, block=block, hubs=hubs).collect()}
+        assert got == brute_components(df.collect(), k)
+
+
+def test_dedup_one_id_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string").repartition(4)
+    for _ in range(3):
+        got = sorted((g.doc_id, g.component_id) for g in dedup.components(df, k=2).collect())
+        assert got in ([(1, 1), (1, 1), (2, 1), (3, 3)], [(1, 1), (1, 1), (2, 2), (3, 1)])
+        assert got == sorted((g.doc_id, g.component_id) for g in dedup.components(df.orderBy("text"), k=2).collect())
+
+
 def test_dedup_empty(spark, table):
     assert dedup.components(empty(table)).count() == 0
     kept = dedup.unique(table, k=5)
