@@ -2,18 +2,23 @@
 
 Equal vectors of a label are one class, with its count. A coarse quantiser and residual subspace codebooks
 are fitted on a bounded sample (SAMPLE vectors, more only as 16 a list up to MOST_LISTS lists); every class
-is indexed. A class stands in the list of its nearest centroid as that list's residual codes and probes the
-PROBES nearest lists. In a list, a query's table of distances to the codewords of each subspace gives
-asymmetric distances by lookup, corrected by the member's own quantisation error; pairs within SLACK of the
-threshold are reranked by exact cosine in double precision.
+is indexed. A class stands in the list of its nearest centroid as that list's residual codes, and its list
+meets the PROBES lists nearest to the class, so two lists meet if any class of either probes the other. Where the plane between
+two centres is further from a class than the threshold's distance, no member of the other list can link with it.
 
-A list's members and queries are dealt into blocks of bounded size, so a hot label or list is no one task's
-work. A block returns counts of links and a spanning forest of them, never the pairs themselves: a group of
-near copies costs comparisons but no rows. A pair that only one side's probes find counts for both.
+Lists are packed into chunks of at most CHUNK classes. A chunk meets the codes of the chunks of its own and of
+the lists it probes: its classes' tables of distances to the codewords of each subspace give asymmetric distances
+by lookup, corrected by the members' own quantisation errors. Only codes travel to other lists; classes with
+a partner within SLACK of the threshold are named, their vectors fetched, and the two chunks' survivors
+reranked by exact cosine in double precision. Every pair of chunks is met once, so a link counts for both sides.
+
+A hot label or list is many chunks, so no one task's work. A pair of chunks returns counts of links and a
+spanning forest of them, never the pairs themselves: a group of near copies costs comparisons but no rows.
 
 Vectors that are null, zero, or hold null or non-finite components, and those with a null label or id, link
 with nothing: no links, their own component, kept. Vectors of different lengths do not compare. Repeated
-rows are vectors each. An empty table gives an empty result; other columns are ignored.
+rows are vectors each, and vectors that share an id are one node of the components. Ties do not matter. An
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,24 +26,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.llm import common
 
-SAMPLE, PER_LIST, MOST_LISTS, PROBES = 16_384, 128, 4096, 10
+SAMPLE, PER_LIST, MOST_LISTS, PROBES = 16_384, 128, 32_768, 10
 SUBSPACES, WORDS = 8, 64
 SLACK = 0.12
-MEMBERS, QUERIES, CHUNK = 4096, 16_384, 512
+CHUNK = 1024
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
     """Indices of the k nearest centres of each row, nearest first."""
-    out = np.empty((len(x), min(k, len(centres))), np.int32)
+    k = min(k, len(centres))
+    out, norms = np.empty((len(x), k), np.int32), (centres * centres).sum(axis=1)
     for i in range(0, len(x), 2048):
-        d = (centres * centres).sum(axis=1) - 2 * x[i : i + 2048] @ centres.T
-        out[i : i + 2048] = np.argsort(d, axis=1, kind="stable")[:, :k] if k > 1 else d.argmin(axis=1)[:, None]
+        d = norms - 2 * x[i : i + 2048] @ centres.T
+        if k == 1:
+            out[i : i + 2048] = d.argmin(axis=1)[:, None]
+        else:
+            some = np.argpartition(d, k - 1, axis=1)[:, :k]
+            out[i : i + 2048] = np.take_along_axis(some, np.take_along_axis(d, some, 1).argsort(axis=1, kind="stable"), 1)
     return out
 
 
@@ -62,7 +72,7 @@ class Index:
         self.width = sample.shape[1] + pad
         x = self.unit(sample)
         self.centres = kmeans(x, lists)
-        rest = (x - self.centres[nearest(x, self.centres)[:, 0]]).reshape(len(x), SUBSPACES, -1)
+        rest = (x - self.centres[nearest(x, self.centres)[:, 0]])[:SAMPLE].reshape(min(len(x), SAMPLE), SUBSPACES, -1)
         self.words = np.stack([self.full(kmeans(rest[:, m], WORDS, seed=m)) for m in range(SUBSPACES)])
 
     @staticmethod
@@ -75,119 +85,232 @@ class Index:
         out[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
         return out
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lists by nearness (the first is home), residual codes, squared quantisation error."""
+    def reach(self, x: np.ndarray, home: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """How far rows of x are from the plane between two centres; what is nearer to `other` is no closer."""
+        a, b = self.centres[home], self.centres[other]
+        gap = np.linalg.norm(b - a, axis=-1)
+        far = np.einsum("...j,...j->...", x - (a + b) / 2, a - b)
+        return np.divide(far, gap, out=np.zeros_like(far), where=gap > 0)
+
+    def encode(self, x: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists by nearness (the first is home), residual codes, squared quantisation error.
+
+        A list whose members are all further than `far` is home instead."""
         probes = nearest(x, self.centres, PROBES)
+        for k in range(1, probes.shape[1]):
+            out = self.reach(x, probes[:, 0], probes[:, k]) > far
+            probes[out, k] = probes[out, 0]
         rest = (x - self.centres[probes[:, 0]]).reshape(len(x), SUBSPACES, -1)
         codes = np.stack([nearest(rest[:, m], self.words[m])[:, 0] for m in range(SUBSPACES)], axis=1)
         error = sum(((rest[:, m] - self.words[m][codes[:, m]]) ** 2).sum(axis=1) for m in range(SUBSPACES))
-        return probes, codes.astype(np.uint8), error
-
-    def distances(self, q: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric squared distances of queries to a list's members, by table lookup."""
-        rest = (q - self.centres[home]).reshape(len(q), SUBSPACES, -1)
-        out = np.zeros((len(q), len(codes)), np.float32)
-        for m in range(SUBSPACES):
-            table = ((rest[:, m, None] - self.words[m][None]) ** 2).sum(axis=2)
-            out += table[:, codes[:, m]]
+        return probes, codes.astype(np.uint8), error.astype(np.float32)
+
+    def offsets(self, home: np.ndarray, codes: np.ndarray, error: np.ndarray) -> np.ndarray:
+        """What of a member's squared distance no query changes: |y|^2 + 2cy, less its quantisation error."""
+        y = np.concatenate([self.words[m][codes[:, m]] for m in range(SUBSPACES)], axis=1)
+        return np.einsum("ij,ij->i", y, y + 2 * self.centres[home]) - error
+
+    def table(self, q: np.ndarray) -> np.ndarray:
+        """(subspace, word, query): -2 times the products of queries with codewords."""
+        return -2 * np.einsum("mwd,qmd->mwq", self.words, q.reshape(len(q), SUBSPACES, -1))
+
+    def distances(self, table: np.ndarray, q: np.ndarray, home: int, codes: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """Asymmetric squared distances (member, query) by table lookup: |q - c|^2 + |y|^2 + 2cy - 2qy."""
+        out = table[0].take(codes[:, 0], 0)
+        for m in range(1, SUBSPACES):
+            out += table[m].take(codes[:, m], 0)
+        out += offset[:, None]
+        rest = q - self.centres[home]
+        out += np.einsum("ij,ij->i", rest, rest)
         return out
 
 
-def matrix(column, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
-    for i, v in enumerate(column):
-        out[i, : len(v)] = v
+def apart(least: float) -> float:
+    """The distance of unit vectors at that cosine, with room for half-precision rounding."""
+    return float(np.sqrt(2 - 2 * least)) + 0.005
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists of numbers without nulls as rows of doubles, shorter ones zero-padded."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = np.asarray(column.offsets)
+    flat, sizes = np.asarray(column.values)[ends[0] : ends[-1]].astype(np.float64), np.diff(ends)
+    if (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width) < sizes[:, None]] = flat
     return out
 
 
-def search(index: Index, home: int, f: pd.DataFrame, least: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Counts of links by class and a spanning forest of the links, in one block."""
-    m, q = f[f["role"] == 0], f[f["role"] == 1]
-    if not len(m) or not len(q):
-        return {}, []
-    width = index.width
-    xm, xq = matrix(m["embedding"], width), matrix(q["embedding"], width)
-    um, uq = index.unit(xm), index.unit(xq)
-    norm_m, norm_q = np.linalg.norm(xm, axis=1), np.linalg.norm(xq, axis=1)
-    codes = np.frombuffer(b"".join(m["codes"]), np.uint8).reshape(len(m), SUBSPACES)
-    error, im, iq = m["error"].to_numpy(np.float32), m["rep"].to_numpy(), q["rep"].to_numpy()
-    nm, nq, home_q = m["n"].to_numpy(), q["n"].to_numpy(), q["home"].to_numpy()
-    sees = np.zeros((len(m), len(index.centres)), bool)
-    for i, p in enumerate(m["probes"]):
-        sees[i, p] = True
-    count_m, count_q = np.zeros(len(m), np.int64), np.zeros(len(q), np.int64)
-    root, forest = np.arange(len(m)), []
-    for begin in range(0, len(q), CHUNK):
-        d = index.distances(uq[begin : begin + CHUNK], home, codes) - error
-        a, b = np.nonzero(1 - d / 2 >= least - SLACK)
-        a += begin
-        other = iq[a] != im[b]
-        a, b = a[other], b[other]
-        ok = np.concatenate([np.einsum("ij,ij->i", xq[a[i : i + 65_536]], xm[b[i : i + 65_536]]) / (norm_q[a[i : i + 65_536]] * norm_m[b[i : i + 65_536]]) for i in range(0, len(a), 65_536)] or [np.zeros(0)]) >= least
-        a, b = a[ok], b[ok]
-        np.add.at(count_q, a, nm[b])
-        blind = ~sees[b, home_q[a]]  # the member's own probes do not find this query
-        np.add.at(count_m, b[blind], nq[a[blind]])
-        for i, rows in zip(*np.unique(a, return_index=True), strict=True):
-            own = b[rows : np.searchsorted(a, i, side="right")]
+def once(table: pa.Table, *keys: str) -> pa.Table:
+    """Rows in the order of the keys, repeated ones once."""
+    columns = [np.asarray(table[k]) for k in reversed(keys)]
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    return table.take(pa.array(order[new]))
+
+
+PACKED = "label {label}, dim int, home int, chunk int, ids binary, hashes binary, codes binary, offsets binary, vectors binary, probes array<int>"
+SURVIVORS = "task long, side int, rep long, h long"
+
+
+def packed(indexed: DataFrame, index: Index, label_type: str) -> DataFrame:
+    """One row a chunk of a list: its classes' ids, hashes, codes, offsets and rough vectors end to end, and the lists it meets."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = once(table, "rep", "h")
+        at = np.asarray(table["home"])
+        codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(len(at), SUBSPACES)
+        offsets = index.offsets(at, codes, np.asarray(table["error"])).astype("<f4").tobytes()
+        first = {k: table[k][:1] for k in ("label", "dim", "home", "chunk")}
+        met = np.unique(np.asarray(table["probes"].combine_chunks().flatten())).astype(np.int32)
+        numbers = lambda name, kind: pa.array([np.asarray(table[name]).astype(kind).tobytes()], pa.binary())
+        rest = {"ids": numbers("rep", "<i8"), "hashes": numbers("h", "<i8"), "codes": pa.array([codes.tobytes()], pa.binary()), "offsets": pa.array([offsets], pa.binary())}
+        return pa.table({**{k: v.combine_chunks() for k, v in first.items()}, **rest, "vectors": pa.array([b"".join(table["rough"].to_pylist())], pa.binary()), "probes": pa.array([met.tolist()], pa.list_(pa.int32()))})
+
+    sizes = indexed.groupBy("label", "dim", "home").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    dealt = indexed.join(sizes, ["label", "dim", "home"]).withColumn("chunk", F.pmod(F.xxhash64("rep", "h", F.lit(3)), F.col("chunks")).cast("int")).drop("chunks")
+    return dealt.groupBy("label", "dim", "home", "chunk").applyInArrow(pack, PACKED.format(label=label_type))
+
+
+def survivors(chunks: DataFrame, index: Index, least: float) -> DataFrame:
+    """task, side, rep, h: classes of two chunks that may link across them. A task is a pair of chunks."""
+    spot = ["label", "dim", "home", "chunk"]
+    ends = chunks.select("label", "dim", "home", F.explode("probes").alias("other"))
+    meets = ends.select("label", "dim", F.least("home", "other").alias("low"), F.greatest("home", "other").alias("high")).distinct()
+    codes = chunks.select("label", "dim", F.col("home").alias("high"), F.col("chunk").alias("other"), "ids", "hashes", "codes", "offsets")
+    lows = chunks.select("label", "dim", F.col("home").alias("low"), "chunk")
+    asked = lows.join(meets, ["label", "dim", "low"]).join(codes, ["label", "dim", "high"]).where("low <> high or chunk <= other")
+    task = F.xxhash64("label", "dim", "low", "chunk", "high", "other").alias("task")
+    blank = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    own = chunks.select("label", "dim", F.col("home").alias("low"), "chunk", F.lit(0).alias("role"), F.col("home").alias("high"), F.col("chunk").alias("other"), F.lit(0).cast("long").alias("task"), "ids", "hashes", blank("binary", "codes"), blank("binary", "offsets"), "vectors")
+    other = asked.select("label", "dim", "low", "chunk", F.lit(1).alias("role"), "high", "other", task, "ids", "hashes", "codes", "offsets", blank("binary", "vectors"))
+    place = ["label", "dim", "low", "chunk"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = hashes = vectors = table = None
+        far = apart(least)
+        spent = lambda rows: pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows]), t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["task", "side", "rep", "h"])
+        for batch in batches:
+            out = []
+            for row in batch.select(["low", "chunk", "role", "high", "other", "task", "ids", "hashes", "codes", "offsets", "vectors"]).to_pylist():
+                if row["role"] == 0:
+                    ids, hashes = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["hashes"], "<i8")
+                    vectors = np.frombuffer(row["vectors"], "<f2").astype(np.float32).reshape(len(ids), -1)
+                    table = index.table(vectors)
+                    continue
+                rep, h = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["hashes"], "<i8")
+                use = np.flatnonzero(index.reach(vectors, row["low"], row["high"]) <= far)
+                if not len(use):
+                    continue
+                d = index.distances(table[:, :, use], vectors[use], row["high"], np.frombuffer(row["codes"], np.uint8).reshape(len(rep), SUBSPACES), np.frombuffer(row["offsets"], "<f4"))
+                near = (d <= 2 * (1 - least + SLACK)).T
+                if row["low"] == row["high"] and row["chunk"] == row["other"]:
+                    np.fill_diagonal(near, False)
+                    near |= near.T
+                for side, some, i, j in ((0, near.any(axis=1), ids[use], hashes[use]), (1, near.any(axis=0), rep, h)):
+                    k = int(some.sum())
+                    if k:
+                        out.append((np.full(k, row["task"]), np.full(k, side, np.int32), i[some], j[some]))
+            if out:
+                yield spent(out)
+
+    rows = own.unionByName(other).repartition(*place).sortWithinPartitions(*place, "role")
+    return rows.mapInArrow(each, SURVIVORS)
+
+
+def rerank(side: np.ndarray, ids: np.ndarray, hashes: np.ndarray, n: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of each class by exact cosine, and a spanning forest of the links, in one pair of chunks."""
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    norm, count, root, forest = np.sqrt(np.einsum("ij,ij->i", x, x)), np.zeros(len(side), np.int64), np.arange(len(b)), []
+    within = len(np.intersect1d(hashes[a], hashes[b])) > 0  # a chunk with itself: a class is on both sides, and pairs come twice
+    for begin in range(0, len(a), 512):
+        part = a[begin : begin + 512]
+        # A matrix product picks the pairs near the threshold; each is decided by its own sum of products, as SQL would.
+        rough = (x[part] @ x[b].T) / (norm[part, None] * norm[b][None])
+        i, j = np.nonzero(rough >= least - 1e-9)
+        i, j = part[i], b[j]
+        ok = (hashes[i] != hashes[j]) | (ids[i] != ids[j])
+        ok &= np.concatenate([np.einsum("ij,ij->i", x[i[s : s + 65_536]], x[j[s : s + 65_536]]) / (norm[i[s : s + 65_536]] * norm[j[s : s + 65_536]]) for s in range(0, len(i), 65_536)] or [np.zeros(0)]) >= least
+        i, j = i[ok], j[ok]
+        np.add.at(count, i, n[j])
+        if not within:
+            np.add.at(count, j, n[i])
+        at = np.searchsorted(b, j)
+        for k, start in zip(*np.unique(i, return_index=True), strict=True):
+            own = at[start : np.searchsorted(i, k, side="right")]
             roots, first = np.unique(root[own], return_index=True)
-            forest += [(int(iq[i]), int(im[own[k]])) for k in first]
+            forest += [(int(ids[k]), int(ids[b[own[f]]])) for f in first]
             if len(roots) > 1:
                 root[np.isin(root, roots)] = roots[0]
-    counts: dict[int, int] = {}
-    for ids, c in ((im, count_m), (iq, count_q)):
-        for i in np.flatnonzero(c):
-            counts[int(ids[i])] = counts.get(int(ids[i]), 0) + int(c[i])
-    return counts, forest
+    return count, forest
 
 
-def near(vectors: DataFrame, least: float = 0.93) -> DataFrame:
+def linked(found: DataFrame, width: int, least: float) -> DataFrame:
+    """rep, h, links and edges (a, b) of survivors with their vectors (embedding) and counts (n)."""
+    kind = "rep long, h long, links long, a long, b long"
+
+    def each(table: pa.Table) -> pa.Table:
+        table = once(table, "side", "rep", "h")
+        ids, hashes, side, n = (np.asarray(table[c]) for c in ("rep", "h", "side", "n"))
+        count, forest = rerank(side, ids, hashes, n, matrix(table["embedding"], width), least)
+        some, m = np.flatnonzero(count), len(forest)
+        none = lambda k: pa.nulls(k, pa.int64())
+        both = lambda x, y: pa.concat_arrays([x, y])
+        values = lambda v: pa.array(v, pa.int64())
+        return pa.table({"rep": both(values(ids[some]), none(m)), "h": both(values(hashes[some]), none(m)), "links": both(values(count[some]), none(m)),
+                         "a": both(none(len(some)), values([e[0] for e in forest])), "b": both(none(len(some)), values([e[1] for e in forest]))})
+
+    return found.groupBy("task").applyInArrow(each, kind)
+
+
+def near(vectors: DataFrame, least: float = 0.93, per_list: int = PER_LIST) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors."""
-    v = vectors.select(F.col("vec_id").cast("long"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    tables = common.Tables()
+    cast = dict(vectors.dtypes)["embedding"] if dict(vectors.dtypes)["embedding"] in ("array<float>", "array<double>") else "array<double>"
+    v = vectors.select(F.col("vec_id").cast("long"), "label", F.col("embedding").cast(cast).alias("embedding"))
     fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     v = v.withColumn("fit", F.coalesce(fit & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
-    keyed = v.select("vec_id", "label", "embedding", "fit", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
-    keys = ["label", "dim", "h1", "h2"]
-    good = keyed.where("fit")
-    classes = common.scratch(good.groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")), "classes")
-    ids = keyed.select("vec_id", *keys, "fit")
-    total, labels, width = classes.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct("label", "dim")), F.max("dim")).first()
+    v = v.withColumns({"dim": F.coalesce(F.size("embedding"), F.lit(0)), "h": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
+    keys, label_type = ["label", "dim", "h", "h2"], dict(v.dtypes)["label"]
+    ids = tables(v.select("vec_id", *keys, "fit"), "ids")
+    classes = tables(ids.where("fit").groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    total, most, width = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n"), F.max("dim")).first()
     if not total:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    lists = int(min(MOST_LISTS, max(1, total // (PER_LIST * max(labels, 1)))))
-    sample = classes.orderBy(F.xxhash64("rep")).limit(max(SAMPLE, 16 * lists)).select("embedding").toArrow()["embedding"].to_pylist()
-    index = Index(matrix(sample, width), lists)
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i in range(0, len(f), 4096):
-                part = f.iloc[i : i + 4096].copy()
-                probes, codes, error = index.encode(index.unit(matrix(part["embedding"], index.width)))
-                part["home"], part["probes"], part["codes"], part["error"] = probes[:, 0], list(probes), [c.tobytes() for c in codes], error
-                yield part
-
-    label_type = dict(classes.dtypes)["label"]
-    indexed = common.scratch(classes.select("label", "dim", "rep", "n", "embedding").mapInPandas(assign, f"label {label_type}, dim int, rep long, n long, embedding array<double>, home int, probes array<int>, codes binary, error float"), "index")
-    asked = indexed.select("*", F.explode("probes").alias("list"))
-    place = ["label", "dim", "list"]
-    blocks = asked.groupBy(*place).agg(F.count(F.lit(1)).alias("q"), F.sum((F.col("list") == F.col("home")).cast("long")).alias("m"))
-    blocks = blocks.where("m > 0").select(*place, F.ceil(F.col("m") / MEMBERS).cast("int").alias("mp"), F.ceil(F.col("q") / QUERIES).cast("int").alias("qp"))
-    spot = F.xxhash64("rep", F.lit(3))
-    members = indexed.withColumn("list", F.col("home")).join(blocks, place).withColumns({"role": F.lit(0), "i": F.pmod(spot, F.col("mp")).cast("int"), "j": F.explode(F.expr("sequence(0, qp - 1)"))})
-    queries = asked.join(blocks, place).withColumns({"role": F.lit(1), "j": F.pmod(spot, F.col("qp")).cast("int"), "i": F.explode(F.expr("sequence(0, mp - 1)"))})
-    columns = [*place, "i", "j", "role", "rep", "n", "embedding", "home", "probes", "codes", "error"]
-    both = members.select(*columns).unionByName(queries.select(*columns))
-
-    def block(f: pd.DataFrame) -> pd.DataFrame:
-        counts, forest = search(index, int(f["list"].iloc[0]), f, least)
-        rows = [(a, None, n) for a, n in counts.items()] + [(a, b, None) for a, b in forest]
-        return pd.DataFrame(rows, columns=["a", "b", "links"]).astype("Int64")
-
-    found = common.scratch(both.groupBy(*place, "i", "j").applyInPandas(block, "a long, b long, links long"), "links")
-    counts = found.where("links is not null").groupBy(F.col("a").alias("__rep")).agg(F.sum("links").alias("links"))
-    comps = common.connected_components(found.where("b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    known = classes.select(*keys, "rep", "n").join(counts, F.col("rep") == F.col("__rep"), "left").join(comps, F.col("rep") == F.col("id"), "left")
+    # One row a class: where a class has several, copies are looked up in the small table of those.
+    copies = tables(classes.where("n > 1").select(*keys, F.col("rep").alias("first")), "copies")
+    firsts = v.where("fit").join(copies, keys, "left").where("first is null or first = vec_id").drop("first", "fit")
+    # The sample is thinned by hash where the vectors are read, to its bound in expectation.
+    lists = int(min(MOST_LISTS, max(1, most // per_list)))
+    share = min(1.0, max(SAMPLE, 16 * lists) / total)
+    drawn = firsts.where(F.pmod(F.xxhash64("h", F.lit(2)), F.lit(2**40)) <= int(share * 2**40)).select("h", "vec_id", "embedding").toArrow().sort_by([("h", "ascending"), ("vec_id", "ascending")])
+    index = Index(matrix(drawn["embedding"], width), lists) if drawn.num_rows else Index(np.eye(1, width), 1)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                x = index.unit(matrix(part["embedding"], width))
+                probes, codes, error = index.encode(x, apart(least))
+                lists_of = pa.ListArray.from_arrays(np.arange(0, probes.size + 1, probes.shape[1], dtype=np.int32), pa.array(probes.ravel(), pa.int32()))
+                blobs = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([part["label"], part["dim"], part["vec_id"], part["h"], pa.array(probes[:, 0], pa.int32()), lists_of, blobs(codes), pa.array(error), blobs(x.astype("<f2"))], names=["label", "dim", "rep", "h", "home", "probes", "codes", "error", "rough"])
+
+    indexed = tables(firsts.select("label", "dim", "vec_id", "h", "embedding").mapInArrow(assign, f"label {label_type}, dim int, rep long, h long, home int, probes array<int>, codes binary, error float, rough binary"), "index")
+    chunks = tables(packed(indexed, index, label_type), "chunks")
+    some = tables(survivors(chunks, index, least), "survivors")
+    wanted = firsts.join(tables(some.select(F.col("rep").alias("vec_id"), "h").distinct(), "wanted"), ["vec_id", "h"], "left_semi")
+    sized = wanted.join(classes.where("n > 1").select(*keys, "n"), keys, "left").select(F.col("vec_id").alias("rep"), "h", "embedding", F.coalesce("n", F.lit(1)).cast("long").alias("n"))
+    found = tables(linked(some.join(sized, ["rep", "h"]), width, least), "links")
+    counts = tables(found.where("links is not null").groupBy("rep", "h").agg(F.sum("links").alias("links")), "counts")
+    comps = tables(common.connected_components(found.where("b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
+    # Few classes have links or copies; the rest are alone.
+    known = classes.join(counts, ["rep", "h"], "left").join(comps, F.col("rep") == F.col("id"), "left").where("n > 1 or links is not null or component is not null")
     known = known.select(*keys, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("fit"))
+    known = tables(known, "known")
+    tables.drop_but(ids, known)
     out = ids.join(known, [*keys, "fit"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

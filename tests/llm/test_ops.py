@@ -450,3 +450,56 @@ def test_pipeline(spark):
             assert out.columns == source.columns
         df = corpus_pipeline.common.scratch(out, name)
     assert df.count() > 0
+
+
+def brute_links(rows, least=0.93):
+    """n_links and component_id by vec_id, all pairs of a label."""
+    ids, labels = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    x = np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= least) & (labels[:, None] == labels[None])
+    np.fill_diagonal(near, False)
+    root = ids.copy()
+    while True:
+        new = np.array([min(root[i], root[near[i]].min(initial=root[i])) for i in range(len(ids))])
+        if (new == root).all():
+            return {int(i): (int(n), int(c)) for i, n, c in zip(ids, near.sum(axis=1), root, strict=True)}
+        root = new
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_vectors_recall_over_many_lists(spark, clustered):
+    r = np.random.default_rng(3)
+    n, half = 6000, 3000
+    x = r.standard_normal((n, 24))
+    if clustered:
+        x = 0.8 * r.standard_normal((60, 24))[r.integers(0, 60, n)] + x
+    x[half:] = x[:half] + r.uniform(0.02, 0.5, (half, 1)) * r.standard_normal((half, 24))
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
+    per_list = 20  # 300 lists, of which a class probes 10
+    assert n // per_list > 10 * vectors.PROBES
+    got = {g.vec_id: (g.n_links, g.component_id) for g in vectors.near(df, per_list=per_list).collect()}
+    want = brute_links(rows)
+    found, there = sum(got[i][0] for i in got), sum(want[i][0] for i in want)
+    assert there > 3000 and found >= 0.98 * there and all(got[i][0] <= want[i][0] for i in got)
+    assert np.mean([got[i] == want[i] for i in got]) > 0.97
+
+
+def test_vectors_in_chunks_with_repeats(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CHUNK", 16)
+    r = np.random.default_rng(4)
+    hot = r.standard_normal(16)
+    rows = [(i, (hot + 0.15 * r.standard_normal(16)).astype(np.float32).tolist(), "a") for i in range(150)]
+    rows += [(200 + i, rows[i][1], "a") for i in range(40)] + [(300 + i, rows[0][1], "b") for i in range(30)]
+    want = brute_links(rows)
+    df = spark.createDataFrame([*rows, rows[5], rows[5], (500, None, "a"), (501, [], "a")], "vec_id long, embedding array<float>, label string").repartition(3)
+    got = {g.vec_id: (g.n_links, g.component_id) for g in vectors.near(df).collect()}
+    twins = {i for i in want if i < 300 and want[i][0]}
+    for i, (n, c) in want.items():
+        assert got[i][1] == c
+        if i >= 300:
+            assert got[i][0] == n
+    extra = [got[i][0] - want[i][0] for i in twins]
+    assert set(extra) <= {0, 2}  # id 5 stands there thrice
+    assert got[500] == (0, 500) and got[501] == (0, 501)
