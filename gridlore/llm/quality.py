@@ -1,15 +1,19 @@
 """Quality rules with adaptive thresholds.
 
-Features of a text are exact counts. Each feature's ratio, in millionths, goes into a mergeable quantile
-sketch: a log-linear histogram whose buckets keep the leading `BITS` binary digits of the value (relative
-error under 2 ** (1 - BITS)). Sketches add bucket by bucket, so they merge exactly in any order, and one
-language and source needs a bounded number of buckets however many documents it has. A threshold is the
-fence q75 + reach * max(q75 - q25, spread) of the document's own language and source; groups of under
-`least` documents use the merged sketch of their language, then that of the corpus. The verdict is a join
-of the documents' features with the thresholds.
-
-A null text is an empty one: no words, so base_failed. Null languages and sources are groups of their own.
-Repeated rows are judged each; an empty table gives an empty result; other columns are ignored.
+Features of a text are exact counts. Each rule's share, (numerator + 1) / (denominator + 1) in thousand-millionths, goes
+into a mergeable quantile sketch: a log-linear histogram whose buckets keep the leading `BITS` binary digits of
+the value (relative error under 2 ** (1 - BITS)). Adding one keeps a share of nothing apart by the text's length, so
+that quartiles carry a spread even where most texts have none. Sketches add bucket by bucket, so they merge
+exactly in any order, and one language and source needs a bounded number of buckets however many documents it has.
+
+Fences are ratios, for shares vary by factors: above, q75 * (q75 / q50) ** reach, and below, for rules with two tails,
+q25 * (q25 / q50) ** reach, of the document's own language and source. No cutoff is fixed: a group whose texts vary
+more has wider fences. Groups of under `LEAST` documents use the merged sketch of their language, then that of the
+corpus. The verdict is a join of the documents' features with the thresholds.
+
+A null text is an empty one: no words, so base_failed. Very long texts are read whole; counts are 64-bit. Null
+languages and sources are groups of their own. Repeated rows and ties are judged each, a share on a fence is kept;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +24,20 @@ from pyspark.sql.window import Window
 
 from gridlore.llm import common
 
-BITS = 6
+BITS = 10
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Rule: (numerator, denominator, least spread in millionths).
-RULES = {"symbols": ("n_symbols", "word_chars", 100_000), "dup_lines": ("n_dup_lines", "n_lines", 150_000), "repeats": ("n_repeat_words", "n_words", 100_000)}
-REACH, LEAST = 3, 30
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rule: (numerator, denominator, reach above, reach below or none).
+RULES = {
+    "symbols": ("n_symbols", "word_chars", 4, None),
+    "dup_lines": ("n_dup_lines", "n_lines", 3, None),
+    "repeats": ("n_repeat_words", "n_words", 5, None),
+    "capitals": ("n_capitals", "word_chars", 6, None),
+    "word_length": ("word_chars", "n_words", 6, 6),
+}
+SCALE, LEAST = 1_000_000_000, 30
 
 
 def let(value: Column, body) -> Column:
@@ -35,33 +46,36 @@ def let(value: Column, body) -> Column:
 
 
 def repeated(words: Column) -> Column:
-    """Number of words in 3-word windows that occur twice or more in the array."""
-    near = lambda w, i: F.xxhash64(w, F.get(words_of, i + 1), F.get(words_of, i + 2))
+    """Number of words in 3-word windows that occur twice or more in the array. A word is hashed once, a window by its words' hashes."""
 
     def count(pairs: Column) -> Column:
         same = F.filter(pairs, lambda e, j: F.coalesce((e["h"] == F.get(pairs, j - 1)["h"]) | (e["h"] == F.get(pairs, j + 1)["h"]), F.get(pairs, j - 1)["h"] == e["h"], F.lit(False)))
         at = F.flatten(F.transform(same, lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))
         return F.size(F.array_distinct(at))
 
-    words_of = words
-    hashes = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), near)
-    found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), count)))
+    def windows(own: Column) -> Column:
+        return F.transform(F.slice(own, 1, F.greatest(F.size(own) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(own, i + 1), F.get(own, i + 2)))
+
+    some = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), count))
+    found = let(F.transform(words, lambda w: F.xxhash64(w)), lambda own: let(windows(own), some))
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(found)
 
 
 def features(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    blanks = " \t\n\x0b\x0c\r"
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, blanks, "") != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     words = F.array_remove(F.split(text, GAP, -1), "")
     row = docs.select(F.col("doc_id").cast("long"), "lang", "source", text.alias("__text"), words.alias("__words"), lines.alias("__lines"))
+    without = lambda pattern: F.length(F.regexp_replace("__text", pattern, "")).cast("long")
+    size = F.length("__text").cast("long")
     return row.select(
         "doc_id",
         "lang",
         "source",
         F.size("__words").cast("long").alias("n_words"),
-        F.length(F.translate("__text", blanks, "")).cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        without(GAP).alias("word_chars"),
+        (size - without(f"[{SYMBOLS}]+")).alias("n_symbols"),
+        (size - without("[A-Z]+")).alias("n_capitals"),
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         let(F.col("__words"), repeated).cast("long").alias("n_repeat_words"),
@@ -74,13 +88,30 @@ def bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
+def share(n: str, d: str) -> str:
+    """SQL of a rule's value, at least 1; the same in both engines, `//` and `div` aside."""
+    return f"greatest(({n} + 1) * CAST({SCALE} AS BIGINT) // ({d} + 1), 1)"
+
+
+def value(n: str, d: str) -> Column:
+    return F.expr(share(n, d).replace("//", "div"))
+
+
 def sketches(rows: DataFrame) -> DataFrame:
     """lang, source, rule, bucket, n: one mergeable sketch a language, source and rule."""
-    rules = F.array(*(F.struct(F.lit(k).alias("rule"), F.when(F.col(d) > 0, F.expr(f"{n} * 1000000L div {d}")).otherwise(F.lit(0).cast("long")).alias("v")) for k, (n, d, _) in RULES.items()))
+    rules = F.array(*(F.struct(F.lit(k).alias("rule"), value(n, d).alias("v")) for k, (n, d, *_) in RULES.items()))
     each = rows.select("lang", "source", F.inline(rules))
     return each.groupBy("lang", "source", "rule", bucket(F.col("v")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def fence(quartile, middle, reach: int):
+    """quartile * (quartile / middle) ** reach by products in this order, so that engines agree."""
+    out = quartile
+    for _ in range(reach):
+        out = out * (quartile / middle)
+    return out
+
+
 def fences(sketch: DataFrame) -> DataFrame:
     """lang, source and a fence a rule, from the finest sketch with LEAST documents."""
     levels = {"own": ["lang", "source"], "language": ["lang"], "corpus": []}
@@ -89,28 +120,34 @@ def fences(sketch: DataFrame) -> DataFrame:
         merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*keys, "rule")
         run = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-        quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket")))
-        at = run.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("rule").alias("__rule")).agg(quartile(1).alias(f"{level}_25"), quartile(3).alias(f"{level}_75"), F.max("total").alias(f"{level}_n"))
+        quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket"))).cast("double")
+        at = run.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("rule").alias("__rule")).agg(*(quartile(k).alias(f"{level}_{25 * k}") for k in (1, 2, 3)), F.max("total").alias(f"{level}_n"))
         same = F.col("rule") == F.col("__rule")
         for k in keys:
             same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
         found = found.join(at, same).drop("__rule", *[f"__{k}" for k in keys])
     pick = lambda q: F.when(F.col("own_n") >= LEAST, F.col(f"own_{q}")).when(F.col("language_n") >= LEAST, F.col(f"language_{q}")).otherwise(F.col(f"corpus_{q}"))
-    spread = F.create_map(*[F.lit(x) for k, (_, _, s) in RULES.items() for x in (k, s)])[F.col("rule")]
-    fence = (pick(75) + REACH * F.greatest(pick(75) - pick(25), spread)).cast("long")
-    one = found.select("lang", "source", "rule", fence.alias("fence"))
-    return one.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == k, F.col("fence"))).alias(f"fence_{k}") for k in RULES))
+    one = found.select("lang", "source", "rule", *(pick(q).alias(f"q{q}") for q in (25, 50, 75)))
+    of = lambda k, c: F.max(F.when(F.col("rule") == k, c))
+    above = [of(k, fence(F.col("q75"), F.col("q50"), up)).alias(f"above_{k}") for k, (_, _, up, _) in RULES.items()]
+    below = [of(k, fence(F.col("q25"), F.col("q50"), down)).alias(f"below_{k}") for k, (_, _, _, down) in RULES.items() if down is not None]
+    return one.groupBy("lang", "source").agg(*above, *below)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_failed, kept. Features are written once; sketches and verdicts read them."""
-    rows = common.scratch(features(docs), "features")
-    limits = fences(sketches(rows)).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[f"fence_{k}" for k in RULES])
+    tables = common.Tables()
+    rows = tables(features(docs), "features")
+    limits = fences(tables(sketches(rows), "sketches"))
+    limits = tables(limits.withColumnsRenamed({"lang": "__lang", "source": "__source"}), "fences")
+    tables.drop_but(rows, limits)
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = F.lit(True)
-    for k, (n, d, _) in RULES.items():
-        fine &= F.expr(f"{n} * 1000000L <= fence_{k} * {d}")
+    for k, (n, d, _, down) in RULES.items():
+        fine &= value(n, d) <= F.col(f"above_{k}")
+        if down is not None:
+            fine &= value(n, d) >= F.col(f"below_{k}")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return joined.select(*columns, failed.alias("base_failed"), (~failed & fine).alias("kept"))
 
@@ -120,12 +157,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    rules = "\n".join(f"UNION ALL SELECT lang, source, '{k}' AS rule, CASE WHEN {d} > 0 THEN {n} * 1000000 // {d} ELSE 0 END AS v FROM f" for k, (n, d, _) in RULES.items()).removeprefix("UNION ALL ")
-    spread = "CASE rule " + " ".join(f"WHEN '{k}' THEN {s}" for k, (_, _, s) in RULES.items()) + " END"
-    level = lambda name, keys: f"""{name} AS (SELECT {keys} rule, max(total) AS n, min(bucket) FILTER (upto * 4 >= total) AS q25, min(bucket) FILTER (upto * 4 >= total * 3) AS q75 FROM (
+    rules = "\n".join(f"UNION ALL SELECT lang, source, '{k}' AS rule, {share(n, d)} AS v FROM f" for k, (n, d, *_) in RULES.items()).removeprefix("UNION ALL ")
+    quartiles = ", ".join(f"min(bucket) FILTER (upto * 4 >= total * {k})::DOUBLE AS q{25 * k}" for k in (1, 2, 3))
+    level = lambda name, keys: f"""{name} AS (SELECT {keys} rule, max(total) AS n, {quartiles} FROM (
         SELECT {keys} rule, bucket, sum(n) OVER (PARTITION BY {keys} rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} rule) AS total
         FROM (SELECT {keys} rule, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL)"""
-    fine = " AND ".join(f"{n} * 1000000 <= fence_{k} * {d}" for k, (n, d, _) in RULES.items())
+    limit = lambda q, reach: " * ".join([q, *[f"({q} / q50)"] * reach])
+    limits = ", ".join(f"max({limit('q75', up)}) FILTER (rule = '{k}') AS above_{k}" + (f", max({limit('q25', down)}) FILTER (rule = '{k}') AS below_{k}" if down is not None else "") for k, (_, _, up, down) in RULES.items())
+    fine = " AND ".join(f"{share(n, d)} <= above_{k}" + (f" AND {share(n, d)} >= below_{k}" if down is not None else "") for k, (n, d, _, down) in RULES.items())
     return f"""
     WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
     l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
@@ -133,17 +172,15 @@ def oracle() -> str:
     t AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d)),
     r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM t) WHERE k > 1) GROUP BY doc_id),
     f AS (SELECT d.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
-                 CAST(length(text) - length(translate(text, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
-                 CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+                 CAST(length(text) - length(translate(text, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+                 CAST(length(text) - length(translate(text, '{CAPITALS}', '')) AS BIGINT) AS n_capitals, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
           FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
     sketch AS (SELECT lang, source, rule, (v >> greatest(length(bin(v)) - {BITS}, 0)) << greatest(length(bin(v)) - {BITS}, 0) AS bucket, count(*) AS n FROM (
           {rules}) GROUP BY ALL),
     {level("own", "lang, source,")}, {level("language", "lang,")}, {level("corpus", "")},
-    picked AS (SELECT o.lang, o.source, o.rule, CASE WHEN o.n >= {LEAST} THEN o.q25 WHEN g.n >= {LEAST} THEN g.q25 ELSE c.q25 END AS q25,
-                      CASE WHEN o.n >= {LEAST} THEN o.q75 WHEN g.n >= {LEAST} THEN g.q75 ELSE c.q75 END AS q75
+    picked AS (SELECT o.lang, o.source, o.rule, {", ".join(f"CASE WHEN o.n >= {LEAST} THEN o.q{q} WHEN g.n >= {LEAST} THEN g.q{q} ELSE c.q{q} END AS q{q}" for q in (25, 50, 75))}
                FROM own o JOIN language g ON o.lang IS NOT DISTINCT FROM g.lang AND o.rule = g.rule JOIN corpus c ON o.rule = c.rule),
-    fences AS (SELECT lang, source, {", ".join(f"max(fence) FILTER (rule = '{k}') AS fence_{k}" for k in RULES)}
-               FROM (SELECT lang, source, rule, q75 + {REACH} * greatest(q75 - q25, {spread}) AS fence FROM picked) GROUP BY ALL)
+    fences AS (SELECT lang, source, {limits} FROM picked GROUP BY ALL)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {fine} AS kept
     FROM f JOIN fences ON f.lang IS NOT DISTINCT FROM fences.lang AND f.source IS NOT DISTINCT FROM fences.source"""

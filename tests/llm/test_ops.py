@@ -503,3 +503,35 @@ def test_vectors_in_chunks_with_repeats(spark, monkeypatch):
     extra = [got[i][0] - want[i][0] for i in twins]
     assert set(extra) <= {0, 2}  # id 5 stands there thrice
     assert got[500] == (0, 500) and got[501] == (0, 501)
+
+
+def prose(r, n, length=(3, 8)):
+    return " ".join("".join(r.choices("abcdefghij", k=r.randint(*length))) for _ in range(n))
+
+
+def test_quality_fences_adapt(spark):
+    r, rows = random.Random(12), []
+    for s in range(8):  # each source has words of its own length and its own share of symbols
+        for i in range(60):
+            text = prose(r, r.randint(60, 200), (3 + s // 2, 6 + s)).split(" ")
+            rows.append((len(rows), " ".join(w + ("%" if r.random() < 0.01 * s else "") for w in text), "en", f"s{s}"))
+    plain, odd = prose(r, 120, (3, 6)), prose(r, 120, (9, 13))
+    rows += [(9000, odd, "en", "s0"), (9001, odd, "en", "s7"), (9002, plain, "en", "s0"), (9003, plain, "en", "s7"), (9004, " ".join(w + "$$" for w in plain.split()), "en", "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {g.doc_id: g.kept for g in quality.judge(df).collect()}
+    assert [kept[i] for i in range(9000, 9005)] == [False, True, True, False, False]  # a source's own texts set its fences
+    assert sum(kept[i] for i in range(480)) >= 470
+    limits = quality.fences(quality.sketches(quality.features(df))).collect()
+    for column in ("above_symbols", "above_repeats", "above_word_length", "below_word_length"):
+        assert len({f[column] for f in limits}) >= len(limits) / 2
+    moved = df.withColumn("text", F.when(F.col("source") == "s3", F.regexp_replace("text", r"(\S) ", "$1## ")).otherwise(F.col("text")))
+    after = {f.source: f.above_symbols for f in quality.fences(quality.sketches(quality.features(moved))).collect()}
+    assert all((after[f.source] > 2 * f.above_symbols) == (f.source == "s3") for f in limits)
+
+
+def test_quality_long_text_and_other_columns(spark):
+    r = random.Random(3)
+    rows = [(1, prose(r, 300_000), "en", "a", "x", 1), (2, "", None, None, "y", 2), (2, None, None, "a", "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `__lang` string, rule int")
+    got = sorted((g.doc_id, g.n_words, g.base_failed) for g in quality.judge(df).collect())
+    assert got[0][:2] == (1, 300_000) and got[1:] == [(2, 0, True), (2, 0, True)]
