@@ -93,13 +93,21 @@ def share(n: str, d: str) -> str:
     return f"greatest(({n} + 1) * CAST({SCALE} AS BIGINT) // ({d} + 1), 1)"
 
 
-def value(n: str, d: str) -> Column:
-    return F.expr(share(n, d).replace("//", "div"))
+def fine(rule: str) -> str:
+    """SQL of the test of a text's values against its fences. A fence lies within a bucket, and one count is forgiven."""
+    n, d, _, down = RULES[rule]
+    least = share(n, d).replace(f"({n} + 1)", f"greatest({n}, 1)")
+    below = "" if down is None else f" AND {share(n, d)} >= below_{rule}"
+    return f"{least} - ({least} >> {BITS - 1}) <= above_{rule}{below}"
+
+
+def native(sql: str) -> Column:
+    return F.expr(sql.replace("//", "div"))
 
 
 def sketches(rows: DataFrame) -> DataFrame:
     """lang, source, rule, bucket, n: one mergeable sketch a language, source and rule."""
-    rules = F.array(*(F.struct(F.lit(k).alias("rule"), value(n, d).alias("v")) for k, (n, d, *_) in RULES.items()))
+    rules = F.array(*(F.struct(F.lit(k).alias("rule"), native(share(n, d)).alias("v")) for k, (n, d, *_) in RULES.items()))
     each = rows.select("lang", "source", F.inline(rules))
     return each.groupBy("lang", "source", "rule", bucket(F.col("v")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -143,13 +151,8 @@ def judge(docs: DataFrame) -> DataFrame:
     tables.drop_but(rows, limits)
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    fine = F.lit(True)
-    for k, (n, d, _, down) in RULES.items():
-        fine &= value(n, d) <= F.col(f"above_{k}")
-        if down is not None:
-            fine &= value(n, d) >= F.col(f"below_{k}")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return joined.select(*columns, failed.alias("base_failed"), (~failed & fine).alias("kept"))
+    return joined.select(*columns, failed.alias("base_failed"), (~failed & native(" AND ".join(map(fine, RULES)))).alias("kept"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +167,6 @@ def oracle() -> str:
         FROM (SELECT {keys} rule, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL)"""
     limit = lambda q, reach: " * ".join([q, *[f"({q} / q50)"] * reach])
     limits = ", ".join(f"max({limit('q75', up)}) FILTER (rule = '{k}') AS above_{k}" + (f", max({limit('q25', down)}) FILTER (rule = '{k}') AS below_{k}" if down is not None else "") for k, (_, _, up, down) in RULES.items())
-    fine = " AND ".join(f"{share(n, d)} <= above_{k}" + (f" AND {share(n, d)} >= below_{k}" if down is not None else "") for k, (n, d, _, down) in RULES.items())
     return f"""
     WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
     l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
@@ -182,5 +184,5 @@ def oracle() -> str:
                FROM own o JOIN language g ON o.lang IS NOT DISTINCT FROM g.lang AND o.rule = g.rule JOIN corpus c ON o.rule = c.rule),
     fences AS (SELECT lang, source, {limits} FROM picked GROUP BY ALL)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {fine} AS kept
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {" AND ".join(map(fine, RULES))} AS kept
     FROM f JOIN fences ON f.lang IS NOT DISTINCT FROM fences.lang AND f.source IS NOT DISTINCT FROM fences.source"""

@@ -515,7 +515,7 @@ def test_quality_fences_adapt(spark):
         for i in range(60):
             text = prose(r, r.randint(60, 200), (3 + s // 2, 6 + s)).split(" ")
             rows.append((len(rows), " ".join(w + ("%" if r.random() < 0.01 * s else "") for w in text), "en", f"s{s}"))
-    plain, odd = prose(r, 120, (3, 6)), prose(r, 120, (9, 13))
+    plain, odd = prose(r, 120, (3, 6)), prose(r, 120, (6, 13))
     rows += [(9000, odd, "en", "s0"), (9001, odd, "en", "s7"), (9002, plain, "en", "s0"), (9003, plain, "en", "s7"), (9004, " ".join(w + "$$" for w in plain.split()), "en", "s0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {g.doc_id: g.kept for g in quality.judge(df).collect()}
