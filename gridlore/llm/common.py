@@ -146,6 +146,27 @@ def replace_columns(df: DataFrame, names: list[str], start: Callable[[], Callabl
     return df.mapInArrow(each, kind)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """What the files of a written table hold."""
+    jvm, conf, total = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), 0
+    for name in df.inputFiles():
+        p = jvm.org.apache.hadoop.fs.Path(name)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+    return total
+
+
+def look_up(left: DataFrame, right: DataFrame, key: str, other: str, spread: list[str], how: str = "inner", most: int = 16_000_000, salts: int = 64) -> DataFrame:
+    """left joined with the written table `right`, one row a key, whichever share of left one key holds.
+
+    A right of at most `most` bytes of files is broadcast; a larger one is copied `salts` times, and each key of
+    left dealt over the copies by a hash of the columns `spread`."""
+    if stored_bytes(right) <= most:
+        return left.join(F.broadcast(right), F.col(key) == F.col(other), how)
+    some = left.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return some.join(copies, (F.col(key) == F.col(other)) & (F.col("__salt") == F.col("__copy")), how).drop("__salt", "__copy")
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], rank: str, split: Column, splits: int) -> DataFrame:
     """Add `rank`, gapless from 0 within `keys`, without sorting any one key in one task.
 

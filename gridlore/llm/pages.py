@@ -8,10 +8,13 @@ section are counted: paragraphs, headings and text-level elements are its conten
 articles share stays. A container that holds most of the article's text, or of a page's articles, is not
 template however often it recurs.
 
+Names count only as a whole: share-buttons is boilerplate, share-price, side-by-side and notice-period are not. A form
+around an article, or around most of a page's paragraphs where it has no article, is no form of the reader's.
+
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by
 one line end. A null html is an empty page with empty text. Null or odd urls share one host. Null ids and
 repeated rows are kept (those of equal html count as one page); pages of any length and depth are parsed whole,
-without recursion; an empty table gives an empty result; other columns are ignored.
+in time proportional to their length and without recursion; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,28 +42,49 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner breadcrumb breadcrumbs comment comments disqus cookie cookies consent gdpr notice notices alert "
     "footer foot header masthead menu nav navbar navigation newsletter subscribe signup paywall popup modal overlay related recommended share sharing social sidebar side toolbar widget widgets pagination pager skip".split()
 )
+#: Words that do not change what a name of the above says: nav-main, site-footer, ad-slot-2.
+PLAIN = frozenset(
+    "site page main top bottom left right center middle inner outer wrapper wrap container content area slot unit box bar block list item items link links section panel group row col column "
+    "primary secondary global mobile desktop small large wide fixed sticky button buttons form post posts article articles title text js id the of and my".split()
+)
+HEADS = frozenset("head header masthead".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"}}
 HOLDS = frozenset("table ul ol dl select body html article main section div button".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-SPLIT = re.compile(r"[^a-z0-9]+")
+SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
+
+
+def named(label: str) -> set[str]:
+    """The names of boilerplate in a class or id, if it holds nothing else: share-buttons, but not share-price or side-by-side."""
+    parts = {w.lower() for w in SPLIT.split(label) if w and not w.isdigit()}
+    known = {label.lower()} & NAMES or parts & NAMES
+    return known if known and (label.lower() in NAMES or parts <= NAMES | PLAIN) else set()
 
 
 class Element:
-    __slots__ = ("tag", "drop", "name", "children", "hash", "inside")
+    """`own` is the tag, and `tag` what it stands for; `measure` sets `size`, `held` and `prose`."""
+
+    __slots__ = ("tag", "own", "drop", "head", "name", "children", "hash", "inside", "size", "held", "prose")
 
     def __init__(self, tag: str, attributes: str, inside: bool):
-        self.tag, self.name, self.children, self.hash = tag, "", [], 0
-        self.drop = tag in GONE
+        self.tag = self.own = tag
+        self.name, self.children, self.hash, self.size, self.held, self.prose = "", [], 0, 0, 0, 0
+        self.drop, self.head = tag in GONE, tag == "header"
         self.inside = inside or tag in ("article", "main")
         if len(attributes) > 1:
             found = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)}
-            self.name = f"{found.get('class', '')} {found.get('id', '')}".strip().lower()
+            labels = f"{found.get('class', '')} {found.get('id', '')}".split()
+            self.name = " ".join(labels).lower()
             if tag not in ("html", "body", "main"):
-                words = [w for label in self.name.split() for w in (label, SPLIT.split(label)[0])]
+                words = set().union(*map(named, labels))
+                if self.inside and words and words <= HEADS:  # an article's own header keeps its headings
+                    self.head, words = True, set()
+                if tag == "article":
+                    words &= {"comment", "comments"}
                 hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-                self.drop |= hidden or found.get("role", "").lower() in ROLES or (tag not in ("article",) or "comment" in self.name) and not NAMES.isdisjoint(words)
+                self.drop |= hidden or found.get("role", "").lower() in ROLES or bool(words)
             if found.get("role", "").lower() == "main":
                 self.tag, self.inside = "main", True
 
@@ -70,15 +94,40 @@ class Element:
             own.update(b"\1" + child.hash.to_bytes(8) if isinstance(child, Element) else b"\2" + " ".join(child.split()).encode(errors="replace"))
         self.hash = int.from_bytes(own.digest())
 
+    def elements(self) -> list[Element]:
+        return [c for c in self.children if isinstance(c, Element)]
 
-def parse(page: str) -> Element:
-    root = Element("html", "", False)
-    stack, at, size = [root], 0, len(page)
 
-    def pop_to(depth: int) -> None:
-        while len(stack) > depth:
-            stack.pop().close()
+class Open:
+    """The open elements, with the depths of each tag and of those that hold others, so that no search walks the stack."""
+
+    def __init__(self, root: Element):
+        self.stack, self.depths, self.holds = [root], {root.own: [0]}, [0]
+
+    def push(self, e: Element) -> None:
+        self.depths.setdefault(e.own, []).append(len(self.stack))
+        if e.own in HOLDS:
+            self.holds.append(len(self.stack))
+        self.stack.append(e)
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            e = self.stack.pop()
+            self.depths[e.own].pop()
+            if e.own in HOLDS:
+                self.holds.pop()
+            e.close()
+
+    def last(self, tag: str) -> int:
+        """Depth of the innermost open element of that tag; 0 if there is none."""
+        at = self.depths.get(tag)
+        return at[-1] if at else 0
+
 
+def parse(page: str) -> Element:
+    root = Element("html", "", False)
+    open_, at, size = Open(root), 0, len(page)
+    stack = open_.stack
     while at < size:
         m = TOKEN.search(page, at)
         upto = m.start() if m else size
@@ -93,24 +142,19 @@ def parse(page: str) -> Element:
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag or tag == "main" == stack[depth].tag:
-                    pop_to(depth)
-                    break
-                if stack[depth].tag in HOLDS and tag not in BLOCK:  # a stray inline end tag ends nothing
-                    break
+            depth = open_.last(tag)
+            if depth and (tag in BLOCK or depth >= open_.holds[-1]):  # a stray inline end tag ends nothing
+                open_.pop_to(depth)
             if tag == "br":
                 stack[-1].children.append(" ")
             continue
         if tag == "html":
             continue
-        ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCK else set())
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in ends:
-                pop_to(depth)
-                break
-            if stack[depth].tag in HOLDS:
-                break
+        depth = max(map(open_.last, CLOSES.get(tag, ())), default=0)
+        if tag in BLOCK:
+            depth = max(depth, open_.last("p"))
+        if depth and depth >= open_.holds[-1]:
+            open_.pop_to(depth)
         new = Element(tag, m[3], stack[-1].inside)
         stack[-1].children.append(new)
         if tag in RAW:
@@ -120,13 +164,52 @@ def parse(page: str) -> Element:
             close = page.find(">", at)
             at = size if close < 0 else close + 1
         elif tag not in VOID:
-            stack.append(new)
+            open_.push(new)
         else:
             new.close()
-    pop_to(0)
+    open_.pop_to(0)
     return root
 
 
+def measure(root: Element) -> None:
+    """Set on every element the text below it that is not dropped, what of it stands in articles and what in paragraphs."""
+    order, todo = [], [root]
+    while todo:
+        e = todo.pop()
+        order.append(e)
+        todo += e.elements()
+    for e in reversed(order):
+        e.size = e.held = e.prose = 0
+        if e.drop:
+            continue
+        for c in e.children:
+            if isinstance(c, Element):
+                e.size, e.held, e.prose = e.size + c.size, e.held + c.held, e.prose + c.prose
+            else:
+                e.size += len(" ".join(c.split()))
+        if e.tag in ("article", "main"):
+            e.held = e.size
+        if e.tag == "p":
+            e.prose = e.size
+
+
+def unwrap(root: Element) -> None:
+    """Measure the page, and keep forms that wrap its article, or most of its paragraphs where it has no article."""
+    forms, todo = [], [root]
+    while todo:
+        e = todo.pop()
+        if e.own == "form" and e.drop:
+            e.drop = False
+            forms.append(e)
+        todo += e.elements()
+    measure(root)
+    shut = [e for e in forms if not e.held and (root.held or 2 * e.prose <= root.prose)]
+    for e in shut:
+        e.drop = True
+    if shut:
+        measure(root)
+
+
 def counted(e: Element) -> bool:
     """Whether an element may be template: anything outside an article or main, and containers inside."""
     return e.tag not in ("html", "body", "main", "article") and (not e.inside or e.tag in CONTAINERS)
@@ -141,49 +224,46 @@ def subtrees(root: Element) -> set[int]:
             continue
         if e.children and counted(e):
             out.add(e.hash)
-        todo += [c for c in e.children if isinstance(c, Element)]
+        todo += e.elements()
     return out
 
 
-def below(e: Element, least: tuple = ()) -> list[Element]:
-    """e and the elements below it that are not dropped; no further than the tags of `least`."""
-    out, todo = [], [e]
-    while todo:
-        x = todo.pop()
-        if not x.drop:
-            out.append(x)
-            if x.tag not in least:
-                todo += [c for c in x.children if isinstance(c, Element)]
-    return out
-
-
-def size(e: Element) -> int:
-    return sum(len(" ".join(c.split())) for x in below(e) for c in x.children if isinstance(c, str))
-
-
 def spared(root: Element, template: set[int]) -> set[int]:
     """Elements (by id) that recur but hold most of an article's text, with all in them, or of the page's articles."""
-    articles = lambda e: sum(size(x) for x in below(e, ("article", "main")) if x.tag in ("article", "main"))
-    out, total, todo = set(), articles(root) if template else 0, [(root, 0)]
-    while total and todo:
-        e, own = todo.pop()
+    out, todo = set(), [(root, 0, False)] if template and root.held else []
+    while todo:
+        e, own, free = todo.pop()
         if e.drop:
             continue
-        if e.tag in ("article", "main"):
-            own = size(e)
-        if e.hash in template and counted(e):
+        if free:
+            out.add(id(e))
+        elif e.tag in ("article", "main"):
+            own = e.size
+        elif e.hash in template and counted(e):
             if e.inside:
-                if 2 * size(e) > own:
-                    out |= {id(x) for x in below(e)}
-                continue
-            if 2 * articles(e) <= total:
+                if 2 * e.size <= own:
+                    continue
+                free = True
+            elif 2 * e.held <= root.held:
                 continue
             out.add(id(e))
-        todo += [(c, own) for c in e.children if isinstance(c, Element)]
+        todo += [(c, own, free) for c in e.elements()]
+    return out
+
+
+def headings(e: Element) -> list[Element]:
+    out, todo = [], [e]
+    while todo:
+        x = todo.pop()
+        if x.tag in HEADINGS:
+            out.append(x)
+        elif x is e or not x.drop:
+            todo += reversed(x.elements())
     return out
 
 
 def main_text(root: Element, template: set[int]) -> str:
+    unwrap(root)
     found = {"article": [], "main": []}
     todo = [root]
     kept = spared(root, template)
@@ -195,7 +275,7 @@ def main_text(root: Element, template: set[int]) -> str:
         if e.tag in found:
             found[e.tag].append(e)
         if e.tag != "article":
-            todo += [c for c in reversed(e.children) if isinstance(c, Element)]
+            todo += reversed(e.elements())
     blocks, now = [], []
 
     def flush() -> None:
@@ -213,8 +293,8 @@ def main_text(root: Element, template: set[int]) -> str:
                 flush()
             elif not gone(e):
                 children = e.children
-                if e.tag == "header":
-                    children = [c for c in children if isinstance(c, Element) and c.tag in HEADINGS] if e.inside else []
+                if e.head:
+                    children = headings(e) if e.inside else []
                 if e.tag in BLOCK:
                     flush()
                     walk.append(None)
@@ -229,7 +309,7 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
 
 
-def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def templates(pages: DataFrame, tables: common.Tables, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """__host and the hashes of its template: in `least` distinct pages at least and in that share of them.
 
     A page has a bounded number of subtrees, so a host has at most that number over `share` of them."""
@@ -238,18 +318,20 @@ def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE)
         rows = [(h, x, p) for h, page, p in zip(hosts, htmls, prints, strict=True) for x in ([None, *sorted(subtrees(parse(page)))] if page else [None])]
         return [[r[0] for r in rows], [None if r[1] is None else r[1] - 2**63 for r in rows], [r[2] for r in rows]]
 
-    named = pages.select(host(F.col("url")).alias("h"), "html", F.xxhash64("html").alias("print"))
-    each = common.map_columns(named, "h string, hash long, print long", lambda: work, rows=200).distinct()
-    counts = common.scratch(each.groupBy("h", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("hash").isNull() | (F.col("n") >= least)), "subtrees")
-    sizes = counts.where("hash is null").select("h", F.col("n").alias("total"))
-    often = counts.where("hash is not null").join(sizes, "h").where(F.col("n") >= F.col("total") * share)
+    rows = pages.select(host(F.col("url")).alias("h"), "html", F.xxhash64("html").alias("print"))
+    each = common.map_columns(rows, "h string, hash long, print long", lambda: work, rows=200).distinct()
+    counts = tables(each.groupBy("h", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("hash").isNull() | (F.col("n") >= least)), "subtrees")
+    sizes = counts.where("hash is null").select(F.col("h").alias("__h"), F.col("n").alias("total"))
+    often = common.look_up(counts.where("hash is not null"), tables(sizes, "sizes"), "h", "__h", ["hash"]).where(F.col("n") >= F.col("total") * share)
     return often.groupBy(F.col("h").alias("__host")).agg(F.collect_list("hash").alias("__template"))
 
 
 def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """page_id, url, text, n_chars. The written templates are broadcast only where Spark sees them small."""
-    sites = common.scratch(templates(pages, least, share), "templates")
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("__h")).join(sites, F.col("__h") == F.col("__host"), "left").select("page_id", "url", "html", "__template")
+    """page_id, url, text, n_chars. A host's template is bounded, and hosts are looked up without gathering a host's pages."""
+    tables = common.Tables()
+    sites = tables(templates(pages, tables, least, share), "templates")
+    tables.drop_but(sites)
+    rows = common.look_up(pages.select("page_id", "url", "html", host(F.col("url")).alias("__h")), sites, "__h", "__host", ["page_id", "html"], "left").select("page_id", "url", "html", "__template")
 
     def work(ids: list, urls: list, htmls: list, known: list) -> list:
         texts = [main_text(parse(page), {x + 2**63 for x in t or ()}) if page else "" for page, t in zip(htmls, known, strict=True)]

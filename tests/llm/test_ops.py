@@ -535,3 +535,67 @@ def test_quality_long_text_and_other_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `__lang` string, rule int")
     got = sorted((g.doc_id, g.n_words, g.base_failed) for g in quality.judge(df).collect())
     assert got[0][:2] == (1, 300_000) and got[1:] == [(2, 0, True), (2, 0, True)]
+
+
+def texts_of(spark, htmls):
+    df = spark.createDataFrame([(i, f"http://h{i}.com/", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [g.text for g in sorted(pages.extract(df).collect(), key=lambda g: g.page_id)]
+
+
+def test_pages_names_and_forms(spark):
+    kept = ["side-by-side", "share-price", "notice-period", "comment-free zone", "headline", "adverse", "popupkin"]
+    gone = ["ad", "share-buttons", "site-footer", "nav-main", "ad-slot-3", "cookieBanner", "sidebar left", "comments", "related-posts"]
+    article = "<article><p>Start.</p><div class='{}'><p>middle</p></div><p>End.</p></article>"
+    got = texts_of(spark, [article.format(c) for c in [*kept, *gone]])
+    assert got[: len(kept)] == ["Start.\nmiddle\nEnd."] * len(kept) and got[len(kept) :] == ["Start.\nEnd."] * len(gone)
+    got = texts_of(spark, [
+        "<form id=aspnetForm><article><p>In a form</p></article><form><p>Sign up</p><input></form></form>",
+        "<body><form method=post><p>All of it</p><p>stands in a form</p></form><div>x</div></body>",
+        "<body><p>A page of its own</p><p>and more</p><form><p>Sign up</p></form></body>",
+        "<article><div class=header><div><h1>Title</h1></div>By me</div><header><h2>Sub</h2>x</header><p>Text</p></article>",
+        "<div role=main><div>One</div></div><div>After</div>",
+    ])
+    assert got == ["In a form", "All of it\nstands in a form\nx", "A page of its own\nand more", "Title\nSub\nText", "One"]
+
+
+def test_pages_in_linear_time():
+    import time
+
+    def seconds(text):
+        begin = time.perf_counter()
+        pages.main_text(pages.parse(text), {1})
+        return time.perf_counter() - begin
+
+    for make in (lambda n: "<b>" * n + "</i>" * n, lambda n: "<p><div>" + "<b><h1>" * n, lambda n: "<form><div>" * n, lambda n: "<div class=a>" * n + "x" + "</div>" * n, lambda n: "<a '>" * n + "<" * n):
+        small, large = min(seconds(make(4000)) for _ in range(3)), seconds(make(32_000))
+        assert large < 24 * small + 0.5, make(2)
+
+
+def test_templates_equal_brute_force(spark):
+    from gridlore.llm import common
+
+    r = random.Random(9)
+    bits = [f"<div class=c{i}>{'word ' * i}</div>" for i in range(12)] + [f"<section><p>p{i}</p><div>d{i}</div></section>" for i in range(6)]
+    rows = []
+    for i in range(160):
+        inner = "".join(r.sample(bits, r.randint(0, 5)))
+        rows.append((i, f"http://{r.choice(['a', 'b', 'c'])}.com/{i}", f"<body>{inner}<article>{r.choice(bits)}own {i % 90}</article></body>"))
+    rows += [(500, None, None), (501, "http://a.com/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {t["__host"]: {x + 2**63 for x in t["__template"]} for t in pages.templates(df, common.Tables(), 5, 0.2).collect()}
+    by = {}
+    for _, url, html in rows:
+        by.setdefault((url or "//").split("/")[2] if url else "", set()).add(html)
+    for host, htmls in by.items():
+        seen, total = {}, len(htmls - {None})
+        for x in htmls - {None}:
+            for h in pages.subtrees(pages.parse(x)):
+                seen[h] = seen.get(h, 0) + 1
+        assert got.get(host, set()) == {h for h, n in seen.items() if n >= 5 and n >= 0.2 * total}, host
+    few = sorted((g.page_id, g.text) for g in pages.extract(df, share=0.2).collect())
+    look = common.look_up
+    try:
+        common.look_up = lambda *a, **k: look(*a, most=-1, salts=3, **k)
+        assert sorted((g.page_id, g.text) for g in pages.extract(df, share=0.2).collect()) == few
+    finally:
+        common.look_up = look
