@@ -167,14 +167,16 @@ def look_up(left: DataFrame, right: DataFrame, key: str, other: str, spread: lis
     return some.join(copies, (F.col(key) == F.col(other)) & (F.col("__salt") == F.col("__copy")), how).drop("__salt", "__copy")
 
 
-def rank_within(df: DataFrame, keys: list[str], order: list[Column], rank: str, split: Column, splits: int) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], rank: str, part_rows: int = 200_000, most_parts: int = 4096) -> DataFrame:
     """Add `rank`, gapless from 0 within `keys`, without sorting any one key in one task.
 
-    Each key is dealt into `splits` parts by a hash; parts are numbered on their own and shifted by the
-    number of rows in the parts before them. The table of part sizes has at most splits rows a key.
-    df is read twice, so it should be a written table or cheap to compute.
+    df is a written table. Each key is dealt into parts by a hash of the row's place in its file, so that equal
+    rows part too, about `part_rows` rows a part at most; parts are numbered on their own and shifted by the number of
+    rows in the parts before them. Few rows need one part, and are ranked by `order`.
     """
-    part = df.withColumn("__part", F.pmod(F.xxhash64(split), F.lit(splits)).cast("int"))
+    splits = int(min(most_parts, 1 + df.count() // part_rows))
+    spot = F.pmod(F.xxhash64("_metadata.file_name", "_metadata.row_index"), F.lit(splits)) if splits > 1 else F.lit(0)
+    part = df.select("*", spot.cast("int").alias("__part"))
     sizes = part.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__size"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.withColumn("__shift", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")

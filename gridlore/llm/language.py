@@ -7,7 +7,9 @@ each language, SAMPLE_CHARS characters of each. Texts are labelled whole, in seg
 
 A null text or one without a letter is `und` with score 0, as is every text where no language could be
 learned. Rows with a null id are predicted, not learned from, and not held out. Ties go to the language
-that sorts first; repeated rows are predicted each; an empty table gives an empty result.
+that sorts first; repeated rows are predicted each; an empty table gives an empty result. The MOST_LANGUAGES languages
+with most labelled documents are learned, part of the sample's bound. Very long texts are read whole in bounded
+segments. Other columns are ignored by `predict`; `accept` keeps them all.
 """
 
 from __future__ import annotations
@@ -147,18 +149,17 @@ def learn(docs: DataFrame) -> Network:
     """Train on documents with a language whose crc32 of the id leaves 0 or 2 of 3.
 
     The sample is thinned by a hash of the id to about twice its bound before documents are ranked, so no
-    language is sorted whole."""
+    language is sorted whole; the documents with a language's least hash always stay."""
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    order = F.xxhash64("doc_id", F.lit(5))
     rows = docs.select("doc_id", "text", "lang").where((rest != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("least")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Network([])
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * PER_LANGUAGE / r["n"]))])[F.col("lang")]
-    order = F.xxhash64("doc_id", F.lit(5))
-    thin = rows.where(F.pmod(order, F.lit(1_000_000)) < share * 1_000_000)
+    of = lambda value: F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], value(r))])[F.col("lang")]
+    share, least = of(lambda r: min(1.0, 2 * PER_LANGUAGE / r["n"])), of(lambda r: r["least"])
+    thin = rows.where((F.pmod(order, F.lit(1_000_000)) < share * 1_000_000) | (order == least))
     some = thin.withColumn("__k", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id", "text"))).where(F.col("__k") <= PER_LANGUAGE)
     begin = F.pmod(order, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
     got = some.select("lang", F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("t"), order.alias("o")).collect()

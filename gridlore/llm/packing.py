@@ -8,12 +8,15 @@ counts allow. Each piece then looks its place up by its rank among the pieces of
 global but no task holds more than a slice of one length.
 
 Nulls and empty texts are one piece that holds the end id alone; null ids are kept; repeated rows are packed
-once each; ties in length are ordered by id, piece and checksum; an empty table gives an empty result.
+once each; pieces of one length are interchangeable, and take their places in any order. Very long texts are encoded
+whole, one at a time, and cut into as many pieces as they need. An empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -38,11 +41,12 @@ WITH_IDS = T.StructType([*PIECES.fields, T.StructField("ids", T.BinaryType())])
 
 
 class Tokens:
-    """Texts to token ids.
+    """Texts to token ids, as the tokenizer's JSON file gives them.
 
-    `path` is the tokenizer's JSON file; the ranks file beside it holds the same vocabulary for a faster
-    encoder with the same ids. The vocabulary's own pattern needs a look-ahead, and so a backtracking
-    matcher, only where two white-space characters meet; other texts are encoded with the rest of it.
+    `path` is that file; the ranks file beside it holds the same vocabulary for a faster encoder with the same
+    ids. Tokens that the JSON file adds to the vocabulary are found first, in the text as it stands. The vocabulary's
+    own pattern needs a look-ahead, and so a backtracking matcher, only where two white-space characters meet; other
+    texts are encoded with the rest of it.
     """
 
     PAIRS = re.compile(r"\s\s")
@@ -51,12 +55,24 @@ class Tokens:
         import tiktoken
         from public_tokenizers import PATTERN
 
+        with open(path, encoding="utf-8") as file:
+            more = json.load(file).get("added_tokens") or []
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in more):
+            raise ValueError("an added token that takes in its surroundings")
+        self.added = {t["content"]: t["id"] for t in more}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(k): int(v) for k, v in (line.split() for line in lines)}
         plain = PATTERN.replace(r"|\s+(?!\S)", "")
         self.whole, self.plain = (tiktoken.Encoding("bpe", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, plain))
 
     def encode(self, text: str) -> list[int]:
+        for word in self.added:
+            if word in text:
+                return [i for part in self.split.split(text) if part for i in ([self.added[part]] if part in self.added else self.ordinary(part))]
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> list[int]:
         if text.replace("\n", "").isprintable():  # no white space but spaces and line ends
             pairs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
         else:
@@ -165,7 +181,7 @@ def places(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, i
     return rows
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, splits: int = 64, ids: bool = False, most_places: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, part_rows: int = 200_000, ids: bool = False, most_places: int = 200_000) -> DataFrame:
     """Pieces with sequence_id and offset.
 
     Pieces that fill a sequence get one of their own, numbered below zero; the others are planned. The
@@ -173,13 +189,13 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, spli
     lengths, whatever the input; it is broadcast if it has at most `most_places` rows, else joined."""
     spark = docs.sparkSession
     cut = common.scratch(pieces(docs, path, capacity, end_id, ids), "pieces")
-    part = cut.where(F.col("length") < capacity)
+    part = cut.where(F.col("length") < capacity)  # still a scan of the written table
     counts = {r[0]: r[1] for r in part.groupBy("length").agg(F.count(F.lit(1))).collect()}
     rows = places(plan(counts, capacity))
     at = spark.createDataFrame(rows, "p_length long, low long, high long, first long, at long")
     at = F.broadcast(at) if len(rows) <= most_places else at
     keys = [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")]
-    ranked = common.rank_within(part, ["length"], keys, "rank", F.struct("doc_id", "piece"), splits)
+    ranked = common.rank_within(part, ["length"], keys, "rank", part_rows)
     found = ranked.join(at, (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     found = found.select(*cut.columns, (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("at").alias("offset"))
     full = cut.where(F.col("length") == capacity)

@@ -6,8 +6,9 @@ document and child, and the least wins. A child's draw depends on its own weight
 weight moves documents only into or out of the subtrees whose weights change. A grown tree gets its new
 shard as a region of its own: no other weight changes, so the new shard takes documents only into itself.
 
-Null ids and texts are hashed as such and placed; repeated rows land together in one shard, in slots of
-their own; an empty table gives an empty result; other columns are ignored.
+Null ids and texts are hashed as such and placed; empty texts have size 1; very long texts are digested whole, in
+place. Rows that share an id share a shard, in slots of their own; equal draws, as good as impossible, go to the
+first child. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,9 +64,9 @@ def assign(key: Column, tree: Tree) -> Column:
     return least(key, regions)
 
 
-def shard(docs: DataFrame, tree: Tree, splits: int = 64) -> DataFrame:
+def shard(docs: DataFrame, tree: Tree, part_rows: int = 200_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard. Texts are digested where they are read;
-    only the digests are shuffled, a shard in `splits` parts."""
+    only the digests are shuffled, a shard in parts of about `part_rows` rows."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     placed = docs.select(
@@ -78,31 +79,9 @@ def shard(docs: DataFrame, tree: Tree, splits: int = 64) -> DataFrame:
     )
     placed = common.scratch(placed, "shards")
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    ranked = common.rank_within(placed, ["shard"], order, "slot", F.struct("doc_id", "text_crc32"), splits)
+    ranked = common.rank_within(placed, ["shard"], order, "slot", part_rows)
     return ranked.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), "grown_shard")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(common.table(spark, sf_dir, "documents"), Tree.regular(8))
-
-
-def oracle(tree: Tree | None = None) -> str:
-    tree = tree or Tree.regular(8)
-
-    def pick(nodes: list[tuple[str, float, str]]) -> str:
-        if len(nodes) == 1:
-            return nodes[0][2]
-        rows = ", ".join(f"{{'t': -ln((CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{n}'), 1, 15)) AS BIGINT) + 0.5::DOUBLE) / {float(2**60)!r}::DOUBLE) / {w!r}::DOUBLE, 's': {s}}}" for n, w, s in nodes)
-        return f"list_sort([{rows}])[1].s"
-
-    def expr(t: Tree) -> str:
-        regions = []
-        for i, region in enumerate(t.regions):
-            racks = [(f"region{i}rack{j}", float(sum(w for _, w in rack)), pick([(f"shard{s}", float(w), str(s)) for s, w in rack])) for j, rack in enumerate(region)]
-            regions.append((f"region{i}", sum(w for _, w, _ in racks), pick(racks)))
-        return pick(regions)
-
-    return f"""
-    WITH placed AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, text,
-                           CAST({expr(tree)} AS INTEGER) AS shard, CAST({expr(tree.grown())} AS INTEGER) AS grown_shard FROM documents)
-    SELECT doc_id, size, 'key' AS law, shard, grown_shard FROM placed"""

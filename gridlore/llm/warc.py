@@ -8,7 +8,9 @@ from there, and logs the bytes passed over as a quarantined gap.
 
 A null payload is an empty one. A null id is written as an empty target and read back as null. Repeated
 rows are records each: of equal payloads the largest id is the response, and rows that share that id too
-are all responses. Ties, empty tables and very long payloads need no care; other columns are ignored.
+are all responses. Long payloads go into archives of fewer records, since Spark reads an archive whole; headers may
+have any length; a payload and its headers must stay below 2 GB, the most that a Spark value holds. An empty table
+gives archives without records and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from gridlore.llm import common
 END = b"\r\n\r\n"
 VERSION = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b\x08"
-HEADERS = 65_536
+#: Payloads up to so many bytes go into archives of so many records: no archive holds more than 64 MB, or one record.
+CLASSES = ((65_536, 1_000), (4_194_304, 16), (2**63 - 1, 1))
 
 
 def b32(data: bytes) -> str:
@@ -74,61 +77,77 @@ class Bad(Exception):
     pass
 
 
-def parse(data: memoryview | bytes, at: int) -> tuple[Record, int]:
-    """The record at `at` and where the next begins; Bad names the check that failed."""
-    if bytes(data[at : at + len(VERSION)]) != VERSION:
+class Finder:
+    """Where a mark comes next in data, for places that only grow: the data are passed over once a mark."""
+
+    def __init__(self, data: bytes):
+        self.data, self.known = data, {}
+
+    def __call__(self, mark: bytes, at: int) -> int:
+        """Where it begins, or the length of the data."""
+        if self.known.get(mark, -1) < at:
+            found = self.data.find(mark, at)
+            self.known[mark] = len(self.data) if found < 0 else found
+        return self.known[mark]
+
+
+def parse(data: bytes, at: int, find: Finder) -> tuple[Record, int]:
+    """The record at `at` and where the next begins; Bad names the check that failed. Headers may have any length."""
+    if not data.startswith(VERSION, at):
         raise Bad("no version line")
-    seen = HEADERS  # looked through first, and ever more where headers are longer
-    while (end := (head := bytes(data[at : at + seen])).find(END)) < 0 and at + seen < len(data):
-        seen *= 4
-    if end < 0:
+    headers, line = {}, at + len(VERSION)
+    end = find(END, at)
+    if end == len(data):
         raise Bad("headers do not end")
-    headers = {}
-    for line in head[len(VERSION) : end].decode(errors="replace").split("\r\n"):
-        key, colon, value = line.partition(":")
+    while line < end + 2:
+        after = data.find(b"\r\n", line, end + 2)
+        key, colon, value = data[line:after].decode(errors="replace").partition(":")
         if not colon or not key.strip():
             raise Bad("header without a colon")
-        headers[key.strip().lower()] = value.strip()
+        headers[key.strip().lower()], line = value.strip(), after + 2
     if not headers.get("content-length", "").isdigit() or "warc-type" not in headers:
         raise Bad("no length or type")
-    begin, size = at + end + len(END), int(headers["content-length"])
-    if bytes(data[begin + size : begin + size + len(END)]) != END:
+    begin, size = end + len(END), int(headers["content-length"])
+    if not data.startswith(END, begin + size):
         raise Bad("no separator where the record should end")
-    block = bytes(data[begin : begin + size])
+    block = data[begin : begin + size]
     if "warc-block-digest" in headers and headers["warc-block-digest"] != b32(block):
         raise Bad("block digest differs")
     return Record(at, headers, block), begin + size + len(END)
 
 
 def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    try:
-        unpack = zlib.decompressobj(31)
-        out = unpack.decompress(data[at:]) + unpack.flush()
-    except zlib.error as e:
-        raise Bad(f"member: {e}") from None
+    """The member at `at` and where the next begins, read in steps: no more than the member is copied."""
+    view, unpack, out = memoryview(data), zlib.decompressobj(31), []
+    while at < len(data) and not unpack.eof:
+        step = view[at : at + 65_536]
+        try:
+            out.append(unpack.decompress(step))
+        except zlib.error as e:
+            raise Bad(f"member: {e}") from None
+        at += len(step)
     if not unpack.eof:
         raise Bad("member does not end")
-    return out, len(data) - len(unpack.unused_data)
+    return b"".join(out), at - len(unpack.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All records that pass their checks, in order, and the gaps between them."""
-    at, lost, why, view = 0, None, "", memoryview(data)
+    at, lost, why, find = 0, None, "", Finder(data)
     while at < len(data):
         try:
             if data.startswith(GZIP, at):
                 inner, after = inflate(data, at)
-                found, end = parse(inner, 0)
+                found, end = parse(inner, 0, Finder(inner))
                 if end != len(inner):
                     raise Bad("more than a record in a member")
                 found.at = at
             else:
-                found, after = parse(view, at)
+                found, after = parse(data, at, find)
         except Bad as e:
             if lost is None:
                 lost, why = at, str(e)
-            ahead = [i for i in (data.find(VERSION, at + 1), data.find(GZIP, at + 1)) if i >= 0]
-            at = min(ahead, default=len(data))
+            at = min(find(VERSION, at + 1), find(GZIP, at + 1))
             continue
         if lost is not None:
             yield Gap(lost, at - lost, why)
@@ -139,32 +158,40 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(lost, len(data) - lost, why)
 
 
-def roles(pages: DataFrame, least: int) -> DataFrame:
+def roles(pages: DataFrame, least: int, tables: common.Tables) -> DataFrame:
     """page_id, url, html and refers_to: the page whose response stands for this one's payload.
 
     Only digests and ids are shuffled to find repeated payloads, a partial maximum first. Those that repeat
-    are written, so that Spark knows their size: it broadcasts them to the pages only where that is small."""
+    are written, and looked up by their checked size: a payload that very many pages share stays dealt."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     large = base.where(F.octet_length("payload") >= least)
     again = large.groupBy(F.col("digest").alias("twin")).agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = common.scratch(again, "payloads")
-    joined = base.join(again, F.col("digest") == F.col("twin"), "left")
+    joined = common.look_up(base, tables(again, "payloads"), "digest", "twin", ["page_id"], "left")
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("refers_to")).alias("refers_to"))
 
 
-def records(pages: DataFrame) -> DataFrame:
+def records(pages: DataFrame, rows: int) -> DataFrame:
     def work(ids: list, urls: list, payloads: list, digests: list, to: list) -> list:
         return [[record("response" if t is None else "revisit", i, u, http_head(len(p)), p, d, t) for i, u, p, d, t in zip(ids, urls, payloads, digests, to, strict=True)]]
 
-    return common.map_columns(pages.select("page_id", "url", "payload", "digest", "refers_to"), "record binary", lambda: work, rows=500)
+    return common.map_columns(pages.select("page_id", "url", "payload", "digest", "refers_to"), "record binary", lambda: work, rows=rows)
 
 
-def write(pages: DataFrame, path: str, least: int = 1000, per_file: int = 1_000) -> None:
-    """Write archives of at most `per_file` records below path."""
-    lines = records(roles(pages, least)).select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(path)
+def write(pages: DataFrame, path: str, least: int = 1000, classes: tuple = CLASSES) -> None:
+    """Write archives below path, in a folder a class of payload sizes."""
+    tables = common.Tables()
+    rows, size = roles(pages, least, tables), F.octet_length(F.coalesce(F.col("html"), F.lit("")))
+    most = pages.agg(F.max(size)).first()[0] or 0
+    low = -1
+    for k, (high, per_file) in enumerate(classes):
+        if low < most or not k:
+            own = rows.where((F.octet_length("payload") > low) & (F.octet_length("payload") <= high)) if most > classes[0][0] else rows
+            lines = records(own, max(1, min(500, per_file))).select(F.col("record").cast("string").alias("value"))
+            lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).text(f"{path}/size{k}")
+        low = high
+    tables.drop_but()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -197,14 +224,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{common.shared_dir(spark)}/gridlore/warc-{uuid.uuid4().hex}"
+    path = common.new_path(spark, "warc")
     write(common.table(spark, sf_dir, "pages"), path)
     # These archives were just written, so a gap is a fault of the writer or the disk and not to be passed over.
     fault = F.raise_error(F.concat(F.lit("gap in "), "archive", F.lit(" at "), F.col("at").cast("string"), F.lit(": "), "note"))
     got = read(spark, path).where(F.when(F.col("kind") != "gap", F.lit(True)).otherwise(fault.cast("boolean")))
-    return got.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    got = common.scratch(got.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to"), "records")
+    common.drop_scratch(spark, path)
+    return got
 
 
 ORACLE = """

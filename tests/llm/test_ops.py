@@ -43,8 +43,8 @@ def test_packing(spark, table):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    rows = packing.pack(table, path, ids=True).collect()
+    table = table.unionByName(spark.createDataFrame([(800 + i, x, *[None] * 6) for i, x in enumerate(("a<|endoftext|>b", "<|endoftext|>", " <|endoftext|><|endoftext|> \n\n<|endoftext", "x" * 50_000 + " long " * 9000))], DOC))
+    rows = packing.pack(table, path, part_rows=7, ids=True).collect()
     texts = {}
     for d in table.collect():
         texts.setdefault(d.doc_id, []).append(t.encode(d.text or "", add_special_tokens=False).ids + [2])
@@ -84,9 +84,22 @@ def test_plan_uses_every_length():
         assert used == counts
 
 
+def brute_shard(doc_id, tree):
+    """Descend by the least of -ln(u) / weight over the children, u from the first 60 bits of an MD5."""
+    def draw(node, weight):
+        bits = int(hashlib.md5(f"{'null' if doc_id is None else doc_id}:{node}".encode()).hexdigest()[:15], 16)
+        return -np.log((bits + 0.5) / 2.0**60) / weight
+
+    total = lambda x: x[1] if isinstance(x[0], int) else sum(map(total, x))
+    pick = lambda named: named[0] if len(named) == 1 else min(named, key=lambda c: draw(c[0], total(c[1])))
+    name, region = pick([(f"region{i}", r) for i, r in enumerate(tree.regions)])
+    _, rack = pick([(f"{name}rack{j}", r) for j, r in enumerate(region)])
+    return pick([(f"shard{s[0]}", s) for s in rack])[1][0]
+
+
 def test_sharding(spark, table):
     tree = sharding.Tree.regular(8)
-    rows = sharding.shard(table, tree, splits=3).collect()
+    rows = sharding.shard(table, tree, part_rows=9).collect()
     assert len(rows) == table.count()
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
@@ -95,6 +108,8 @@ def test_sharding(spark, table):
     for r in rows:
         assert by.setdefault(r.doc_id, r.shard) == r.shard
     texts = {d.doc_id: (d.text or "").encode() for d in table.collect()}
+    want = {i: (brute_shard(i, tree), brute_shard(i, tree.grown())) for i in texts}
+    assert all((r.shard, r.grown_shard) == want[r.doc_id] for r in rows)
     assert all(r.size == len(texts[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) for r in rows)
     assert sharding.shard(empty(table), tree).count() == 0
 
@@ -227,7 +242,7 @@ def test_sketches_merge_and_estimate():
     assert abs(est - 1600 / 2400) < 0.1
 
 
-def test_language(spark):
+def test_language(spark, monkeypatch):
     r = random.Random(1)
     parts = {"xx": ["the", "ing", "and", "er", "th"], "yy": ["ch", "sch", "ei", "und", "ie"]}
     rows = []
@@ -242,6 +257,10 @@ def test_language(spark):
     assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[902].score == 0
     assert 0 <= got[903].score <= 1 and not got[None].held_out
     assert language.predict(df.limit(0)).count() == 0
+    one = spark.createDataFrame([(7, f"the anding {i}", "xx") for i in range(900)] + [(i, "scheiund", "yy") for i in range(20, 40)], "doc_id long, text string, lang string")
+    assert set(language.learn(one).languages) == {"xx", "yy"}  # 900 rows of one id, whatever its hash
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    assert language.learn(one).languages == ["xx"]
     assert language.accept(df).where("doc_id in (900, 901, 902)").count() == 0
 
 
@@ -328,7 +347,7 @@ def test_warc(spark, tmp_path):
     big, other = "x" * 1500 + "é", "WARC/1.1\r\n" + "y" * 1200
     rows = [(1, "u", big), (2, "u", big), (3, None, big), (4, "u\r\nv", "small"), (5, "u", "small"), (6, "u", None), (7, "u", other), (8, "u", other + "\r\n\r\n")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    warc.write(df, f"file://{tmp_path}/a", per_file=3)
+    warc.write(df, f"file://{tmp_path}/a", classes=((1000, 3), (2**63 - 1, 1)))
     got = {r.page_id: r for r in warc.read(spark, f"file://{tmp_path}/a").collect()}
     assert {i: (g.kind, g.refers_to) for i, g in got.items()} == {1: ("revisit", 3), 2: ("revisit", 3)} | {i: ("response", None) for i in range(3, 9)}
     for i, _, html in rows:
@@ -599,3 +618,26 @@ def test_templates_equal_brute_force(spark):
         assert sorted((g.page_id, g.text) for g in pages.extract(df, share=0.2).collect()) == few
     finally:
         common.look_up = look
+
+
+def test_salvage_in_linear_time():
+    import time
+
+    def seconds(data):
+        begin = time.perf_counter()
+        assert sum(g.size for g in warc.salvage(data) if isinstance(g, warc.Gap)) == len(data)
+        return time.perf_counter() - begin
+
+    for bad in (warc.VERSION, warc.GZIP + b"x" * 20, warc.VERSION + b"a: b\r\n"):
+        small, large = min(seconds(bad * 5000) for _ in range(3)), seconds(bad * 40_000)
+        assert large < 24 * small + 0.5
+
+
+def test_warc_long_payloads(spark, tmp_path):
+    rows = [(i, "u", ("ab%d" % i) * n) for i, n in enumerate([10, 300_000, 40_000, 2_000_000, 0, 1])]
+    df = spark.createDataFrame([*rows, (90, "u", rows[1][2]), (None, None, None)], "page_id long, url string, html string").coalesce(1)
+    warc.write(df, f"file://{tmp_path}/a")
+    got = {r.page_id: r for r in warc.read(spark, f"file://{tmp_path}/a").collect()}
+    assert {i: (g.payload_bytes, g.kind) for i, g in got.items()} == {i: (len(t), "revisit" if i == 1 else "response") for i, _, t in rows} | {90: (900_000, "response"), None: (0, "response")}
+    files = {r.archive for r in warc.read(spark, f"file://{tmp_path}/a").where("payload_bytes > 4194304 and page_id is not null").select("archive").collect()}
+    assert len(files) == 1
