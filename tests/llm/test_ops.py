@@ -292,11 +292,31 @@ def test_mixing(spark, table):
         goal = {k: v**mixing.ALPHA for k, v in want.items()}
         for k in goal:
             assert abs(have[k] / sum(have.values()) - goal[k] / sum(goal.values())) < 1e-5
-    small = {(c.source, c.lang, c.topic): c.probability for c in mixing.probabilities(mixing.facts(table)).collect()}
-    large = {(c.source, c.lang, c.topic): c.probability for c in mixing.probabilities(mixing.facts(table), most_cells=0).collect()}
+    facts = mixing.facts(table).cache()
+    small, large = ({(c.source, c.lang, c.topic): c.probability for c in mixing.probabilities(facts, most_cells=m).collect()} for m in (1000, 0))
     assert small.keys() == large.keys() and all(abs(small[k] - large[k]) < 1e-4 for k in small)
     assert mixing.mix(empty(table)).count() == 0
-    assert mixing.sample(table).columns == table.columns
+    odd = table.select("*", F.lit(1).alias("topic"), F.lit("x").alias("own 3"), F.lit("y").alias("a.b"), F.lit(2).alias("probability"))
+    got = mixing.sample(odd)
+    assert got.columns == odd.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == sorted((r.doc_id or -1, t) for r, t in ((r, {d.doc_id: d.text or "" for d in table.collect()}[r.doc_id]) for r in rows if r.kept))
+
+
+def test_mixing_counts_tokens_and_finds_topics(spark):
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(path), random.Random(2)
+    themes = [[f"{c}{i}" for i in range(40)] for c in ("sea", "law", "oven")]
+    rows = [(i, " ".join(r.choices(themes[i % 3], k=60) + [f"l{i % 2}_{r.randrange(50)}" for _ in range(60)]), f"l{i % 2}", "s") for i in range(240)] + [(900, None, "l0", "s"), (901, " \n", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {f.doc_id: f for f in mixing.facts(df).collect()}
+    assert all(got[i].tokens == len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x, *_ in rows)
+    assert got[900].topic == got[901].topic == "-1"
+    for topic in {f.topic for f in got.values()} - {"-1"}:  # a topic is of one theme, and of both languages
+        own = [i for i, f in got.items() if f.topic == topic]
+        assert max(sum(i % 3 == k for i in own) for k in range(3)) >= 0.9 * len(own)
+    for k in range(3):
+        assert sum(len({i % 2 for i, f in got.items() if f.topic == topic and i % 3 == k}) == 2 for topic in {f.topic for f in got.values()}) >= 1
 
 
 def test_mixing_paths_agree_where_raking_is_slow(spark, monkeypatch):
