@@ -186,30 +186,46 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], rank: str,
     return joined.select(*kept, (F.col("__shift") + F.col("__local") - 1).alias(rank))
 
 
+#: Edges of a task that writes a round of components.
+EDGES_A_TASK = 100_000
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Component of every node of `edges` (src, dst: long): columns id, component (smallest id reachable).
 
     Alternating large-star and small-star steps; each keeps the edge count within the input's and halves
     distances, so a few rounds suffice, none where the edges are stars. Rounds are cut by tables in the shared
-    folder; only whether they have settled reaches the driver. Nulls and self loops are ignored; an empty table gives an empty one.
+    folder; only counts and whether they have settled reach the driver. Nulls and self loops are ignored; an empty table gives an empty one.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("src is not null and dst is not null and u <> v").distinct()
     e, path = write_scratch(e, "edges")
+    tasks = 8 + e.count() // EDGES_A_TASK  # later rounds have no more edges
     for _ in range(rounds):
-        # Settled: every node has one edge, up to a root that has none.
-        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty():
-            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        # Least neighbour, edges up to smaller nodes, and whether there are edges down. Settled: all have one edge up or only some down.
+        low, low_path = write_scratch(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.sum((F.col("v") < F.col("u")).cast("int")).alias("up"), F.max((F.col("v") > F.col("u")).cast("int")).alias("down")).coalesce(tasks), "low")
+        if low.where("up + down > 1").isEmpty():
+            drop_scratch(spark, low_path)
+            break
+        large = both.where("v > u").join(low.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
-        new, new_path = write_scratch(small, "edges")
-        drop_scratch(spark, path)
+        new, new_path = write_scratch(small.coalesce(tasks), "edges")
+        drop_scratch(spark, path, low_path)
         e, path = new, new_path
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def merge_components(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components as of connected_components (found, written) once the edges `more` (src, dst), few of them, are added."""
+    old = found.select(F.col("id").alias("__id"), F.col("component").alias("__c"))
+    for side in ("src", "dst"):
+        more = more.join(old, F.col(side) == F.col("__id"), "left").withColumn(side, F.coalesce("__c", side)).drop("__id", "__c")
+    new, path = write_scratch(connected_components(more).withColumnsRenamed({"id": "__id", "component": "__c"}), "merged")
+    kept = found.join(new, F.col("component") == F.col("__id"), "left").select("id", F.coalesce("__c", "component").alias("component"))
+    alone = new.join(found, F.col("__id") == F.col("id"), "left_anti").select(F.col("__id").alias("id"), F.col("__c").alias("component"))
+    return kept.unionByName(alone)

@@ -7,17 +7,17 @@ are candidates. Candidates' similarity is estimated jointly with the sets' sizes
 the counts of registers that are greater, less and equal; those that may reach the threshold are confirmed
 on their full sets.
 
-Only connectivity is asked for, so pairs are never listed. A key's documents meet its least one, the hub; pairs
-that may reach the threshold by estimate are loose links, and their components loose groups. Where the other
-documents of a key are of several groups, they meet one another in bounded blocks of registers, and a forest of
-the pairs that may reach the threshold joins their groups. So two documents that share a key and may reach
-the threshold are in one loose group. A group's documents share a task, which confirms pairs by falling
+Only connectivity is asked for, so pairs are never listed. A key's documents meet its least and its greatest one;
+pairs that may reach the threshold by estimate are loose links, and their components loose groups. Where the other
+documents of a key are of several groups, those of the lesser groups meet all others in bounded blocks of registers, and
+a forest of the pairs that may reach the threshold joins their groups. So two documents that share a key and may
+reach the threshold are in one loose group. A group's documents share a task, which confirms pairs by falling
 estimate and passes over those already connected. Groups of over BLOCK documents are dealt into blocks; blocks
-are joined through a bounded sample of one block. Documents of such groups that share a key and are not connected
-then meet once more, in blocks of registers by key, and the texts of those that an estimate asks for are fetched
-and confirmed. So every pair that shares a key and may reach the threshold ends up connected or compared, no task
-holds more than two blocks, and a group of near copies costs few comparisons a document. Sets that are equal
-as a whole are one class beforehand.
+are joined through a bounded sample of one block. Documents of such groups that are not connected then meet once
+more, in blocks of registers (by key where the group is very large), and the texts of those that an estimate asks
+for are fetched and confirmed. So every pair that shares a key and may reach the threshold ends up connected or
+compared, no task holds more than two blocks, and a group of near copies costs few comparisons a document. Sets
+that are equal as a whole are one class beforehand.
 
 A null text, and one without words, has an empty set and links with nothing. Very long texts are read whole, one
 at a time. Rows with a null id link with nothing and have no component; they are kept. Rows that share an id are
@@ -170,16 +170,40 @@ def estimate(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 
 
 def meetings(keyed: DataFrame, tables: common.Tables) -> DataFrame:
-    """key, a, b: every document b of a key beside the key's least one, a. Keys of one document go early."""
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("key", "hub")
-    return keyed.join(tables(shared, "keys"), "key").where("hub <> doc_id").select("key", F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    """key, a, b: the key's least and greatest documents, each as a beside every other document b. Keys of one document go early."""
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
+    rows = keyed.join(tables(shared, "keys"), "key").select("key", F.explode(F.array("low", "high")).alias("a"), F.col("doc_id").alias("b"), "low")
+    return rows.where("a <> b and (a = low or b <> low)").drop("low")
+
+
+def gathered(rooted: DataFrame, most: int, tables: common.Tables) -> DataFrame:
+    """rooted without the keys of one root, and with a key's largest root in place of the key: keys that the same
+    documents share become one, which holds every pair of theirs. Of over `most` documents, the keys stay apart."""
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    rows = tables(rooted.join(sizes.where("roots > 1").drop("roots"), "key"), "rooted")
+    one = tables(rows.select(F.col("main").alias("key"), "doc_id", "root").distinct(), "gathered")
+    large = tables(one.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "large")
+    if large.isEmpty():
+        return one
+    return one.join(large, "key", "left_anti").unionByName(rows.join(large.withColumnRenamed("key", "main"), "main", "left_semi").select("key", "doc_id", "root"))
 
 
 def dealt(rooted: DataFrame, block: int) -> DataFrame:
-    """key, i, j, own, doc_id, root: documents of the keys that hold several roots, in blocks of which any two share a task."""
-    open_ = rooted.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "blocks")
-    rows = rooted.join(open_, "key").withColumns({"own": F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("blocks")).cast("int"), "other": F.explode(F.expr("sequence(0, blocks - 1)"))})
-    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "root")
+    """key, i, j, part, doc_id, root: documents of the keys that hold several roots, dealt so that each of a lesser
+    root of its key shares a task with every other document of the key.
+
+    The documents of the key's largest root are dealt into blocks i, those of lesser roots into blocks j. Each of these
+    visits all i with its own j; with i below zero, they meet one another, in pairs of blocks. part is their own j, or -1."""
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots"))
+    open_ = sizes.where("roots > 1").select("key", "main", F.ceil(F.col("most") / block).cast("int").alias("ni"), F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("nj"), (F.col("roots") - 1).alias("lesser"))
+    rows = rooted.join(open_, "key").withColumns({"minor": F.col("root") != F.col("main"), "spot": F.xxhash64("doc_id", F.lit(4))})
+    main = rows.where("not minor").select("key", F.expr("cast(pmod(spot, ni) as int)").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), F.lit(-1).alias("part"), "doc_id", "root")
+    lesser = rows.where("minor").withColumn("part", F.expr("cast(pmod(spot, nj) as int)"))
+    across = lesser.select("key", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), F.col("part").alias("j"), "part", "doc_id", "root")
+    within = lesser.where("lesser > 1").withColumn("other", F.explode(F.expr("sequence(0, nj - 1)")))
+    within = within.select("key", (-1 - F.least("part", "other")).alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "root")
+    return main.unionByName(across).unionByName(within)
 
 
 def close(r: np.ndarray, n: np.ndarray, x: int, y: np.ndarray, percent: int) -> np.ndarray:
@@ -189,47 +213,49 @@ def close(r: np.ndarray, n: np.ndarray, x: int, y: np.ndarray, percent: int) ->
     return y[likely(np.broadcast_to(r[x], r[y].shape), r[y], np.full(len(y), n[x]), n[y]) >= percent / 100 - SLACK] if len(y) else y
 
 
-def partners(i: int, j: int, own: np.ndarray, x: int) -> np.ndarray:
-    """The documents that x meets in the task of blocks i and j: a pair of one block meets in that block's own task."""
-    if i == j:
-        return np.arange(x + 1, len(own))
-    return np.flatnonzero(own != i) if own[x] == i else np.zeros(0, np.int64)
+def partners(i: int, j: int, part: np.ndarray, x: int) -> np.ndarray:
+    """The documents that x meets in a task of `dealt`, so that every pair meets in one task of its key."""
+    if i >= 0:
+        return np.flatnonzero(part < 0) if part[x] >= 0 else np.zeros(0, np.int64)
+    if -1 - i == j:
+        return np.arange(x + 1, len(part))
+    return np.flatnonzero(part == j) if part[x] == -1 - i else np.zeros(0, np.int64)
 
 
 def sharers(rooted: DataFrame, sketches: DataFrame, percent: int, block: int) -> DataFrame:
     """Loose edges (a, b) among rooted (key, doc_id, root): a task returns a forest of its pairs that may be linked."""
 
     def start():
-        def work(i: int, j: int, own: list, ids: list, roots: list, sizes: list, regs: list) -> list:
-            r, n, own = np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), -1), np.array(sizes, float), np.array(own)
+        def work(i: int, j: int, part: list, ids: list, roots: list, sizes: list, regs: list) -> list:
+            r, n, at = np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), -1), np.array(sizes, float), np.array(part)
             label, out = np.unique(np.array(roots), return_inverse=True)[1], []
             for x in range(len(ids)):
-                y = partners(i, j, own, x)
-                for at in close(r, n, x, y[label[y] != label[x]], percent):
-                    if label[at] != label[x]:
-                        label[label == label[at]] = label[x]
-                        out.append((ids[x], ids[int(at)]))
+                y = partners(i, j, at, x)
+                for k in close(r, n, x, y[label[y] != label[x]], percent):
+                    if label[k] != label[x]:
+                        label[label == label[k]] = label[x]
+                        out.append((ids[x], ids[int(k)]))
             return [[e[0] for e in out], [e[1] for e in out]]
 
         return lambda key, i, j, *columns: work(i[0], j[0], *columns)
 
-    rows = dealt(rooted, block).join(sketches, "doc_id").select("key", "i", "j", "own", "doc_id", "root", "n_shingles", "regs")
+    rows = dealt(rooted, block).join(sketches, "doc_id").select("key", "i", "j", "part", "doc_id", "root", "n_shingles", "regs")
     return common.map_groups(rows, ["key", "i", "j"], "a long, b long", start)
 
 
-def loosely(keyed: DataFrame, firsts: DataFrame, percent: int, block: int, tables: common.Tables) -> tuple[DataFrame, DataFrame]:
+def loosely(keyed: DataFrame, firsts: DataFrame, percent: int, block: int, most: int, tables: common.Tables) -> tuple[DataFrame, DataFrame]:
     """Loose groups (id, component) that hold any two documents of a key which may be linked, and the sketches of their documents."""
     met = tables(meetings(keyed, tables), "met")
     pairs = tables(met.select("a", "b").distinct(), "pairs")
     ids = tables(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     sketches = tables(firsts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "h", "n_shingles", "regs", "keys"), "near")
     edges = tables(estimate(pairs, sketches, percent / 100 - SLACK), "loose")
-    group = lambda e: tables(common.connected_components(e.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "groups")
-    groups = group(edges)
+    ends = [F.col("a").alias("src"), F.col("b").alias("dst")]
+    groups = tables(common.connected_components(edges.select(*ends)), "groups")
     # Every pair with a hub is estimated. Other pairs of a key are left only where its other documents are of several groups.
-    rooted = met.join(groups, F.col("b") == F.col("id"), "left").select("key", F.col("b").alias("doc_id"), F.coalesce("component", "b").alias("root"))
-    more = tables(sharers(rooted, sketches, percent, block), "loose")
-    return groups if more.isEmpty() else group(edges.unionByName(more)), sketches
+    rooted = met.groupBy("key", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").join(groups, F.col("b") == F.col("id"), "left").select("key", F.col("b").alias("doc_id"), F.coalesce("component", "b").alias("root"))
+    more = tables(sharers(gathered(rooted, most * block, tables), sketches, percent, block), "loose")
+    return groups if more.isEmpty() else tables(common.merge_components(groups, more.select(*ends)), "groups"), sketches
 
 
 class Linker:
@@ -311,46 +337,46 @@ def first_key(keys: list, here: int) -> Callable[[int, np.ndarray], np.ndarray]:
     return only
 
 
-def apart(rooted: DataFrame, sketches: DataFrame, percent: int, block: int) -> DataFrame:
-    """key, i, j, own, doc_id, root: documents that in this task, and for this key first, meet one of another root to which they may be linked.
+def apart(rooted: DataFrame, sketches: DataFrame, percent: int, block: int, banded: bool) -> DataFrame:
+    """key, i, j, part, doc_id, root: documents that in this task meet one of another root to which they may be linked; of several band keys, for the first one.
 
     Only registers come here, so that texts move only where an estimate asks for them."""
 
     def start():
-        def work(key: int, i: int, j: int, own: list, ids: list, roots: list, sizes: list, regs: list, keys: list) -> list:
-            r, n, at = np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), -1), np.array(sizes, float), np.array(own)
-            label, only, use = np.unique(np.array(roots), return_inverse=True)[1], first_key(keys, key), np.zeros(len(ids), bool)
+        def work(key: int, i: int, j: int, part: list, ids: list, roots: list, sizes: list, regs: list, keys: list) -> list:
+            r, n, at = np.frombuffer(b"".join(regs), np.uint16).reshape(len(ids), -1), np.array(sizes, float), np.array(part)
+            label, only, use = np.unique(np.array(roots), return_inverse=True)[1], first_key(keys, key) if banded else lambda x, y: y, np.zeros(len(ids), bool)
             for x in range(len(ids)):
                 y = partners(i, j, at, x)
                 y = close(r, n, x, y[label[y] != label[x]], percent)
                 if len(y) and len(y := only(x, y)):
                     use[x] = use[y] = True
             some = np.flatnonzero(use).tolist()
-            return [[key] * len(some), [i] * len(some), [j] * len(some), *([c[x] for x in some] for c in (own, ids, roots))]
+            return [[key] * len(some), [i] * len(some), [j] * len(some), *([c[x] for x in some] for c in (part, ids, roots))]
 
         return lambda key, i, j, *columns: work(key[0], i[0], j[0], *columns)
 
-    rows = dealt(rooted, block).join(sketches, "doc_id").select("key", "i", "j", "own", "doc_id", "root", "n_shingles", "regs", "keys")
-    return common.map_groups(rows, ["key", "i", "j"], "key long, i int, j int, own int, doc_id long, root long", start)
+    rows = dealt(rooted, block).join(sketches, "doc_id").select("key", "i", "j", "part", "doc_id", "root", "n_shingles", "regs", "keys")
+    return common.map_groups(rows, ["key", "i", "j"], "key long, i int, j int, part int, doc_id long, root long", start)
 
 
-def confirmed(groups: DataFrame, k: int, percent: int) -> DataFrame:
+def confirmed(groups: DataFrame, k: int, percent: int, banded: bool) -> DataFrame:
     """Confirmed forest edges of what `apart` found, with texts."""
 
     def start():
         link = Linker(k, percent)
 
-        def work(key: list, i: list, j: list, own: list, ids: list, roots: list, texts: list, sizes: list, regs: list, keys: list) -> list:
-            at = np.array(own)
-            edges = link(ids, texts, sizes, regs, roots, lambda x: partners(i[0], j[0], at, x), first_key(keys, key[0]))
+        def work(key: list, i: list, j: list, part: list, ids: list, roots: list, texts: list, sizes: list, regs: list, keys: list) -> list:
+            at = np.array(part)
+            edges = link(ids, texts, sizes, regs, roots, lambda x: partners(i[0], j[0], at, x), first_key(keys, key[0]) if banded else None)
             return [[e[0] for e in edges], [e[1] for e in edges]]
 
         return work
 
-    return common.map_groups(groups.select("key", "i", "j", "own", "doc_id", "root", "text", "n_shingles", "regs", "keys"), ["key", "i", "j"], EDGES, start)
+    return common.map_groups(groups.select("key", "i", "j", "part", "doc_id", "root", "text", "n_shingles", "regs", "keys"), ["key", "i", "j"], EDGES, start)
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 500, hubs: int = 48) -> DataFrame:
+def components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 500, hubs: int = 48, most: int = 40) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     tables = common.Tables()
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
@@ -367,7 +393,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 500,
     copies = tables(copies.distinct(), "copies")
     firsts = own.join(copies.select(F.col("dst").alias("doc_id")), "doc_id", "left_anti")
     keyed = firsts.select("doc_id", F.explode("keys").alias("key"))
-    groups, sketches = loosely(keyed, firsts, percent, block, tables)
+    groups, sketches = loosely(keyed, firsts, percent, block, most, tables)
 
     # Documents of a group share tasks: groups of over `block` documents are dealt into several.
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -381,15 +407,21 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 500,
     hub = hub.withColumns({"i": F.explode(F.expr("sequence(1, blocks - 1)")), "extra": F.lit(True)}).select(*at.columns)
     links = tables(forests(at.unionByName(hub), ["c", "i"], k, percent), "links").unionByName(copies)
     found = tables(common.connected_components(links), "components")
-    # Documents of a large group that share a key and are not connected yet meet, by estimate and then by their texts.
-    large = held.where("blocks > 1").select("doc_id")
+    # Documents of a large group that are not connected yet meet, by estimate and then by their texts: in a group of
+    # up to `most` blocks each with each of another component, in a larger one those that share a key.
+    large = held.where("blocks > 1").select("doc_id", "c", "blocks")
     if not large.isEmpty():
-        rooted = large.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("root"))
-        rooted = tables(keyed.distinct().join(tables(rooted, "rooted"), "doc_id"), "rooted")
-        some = tables(apart(rooted, sketches, percent, block), "apart")
-        if not some.isEmpty():
-            more = tables(confirmed(some.join(held.select("doc_id", "text", "n_shingles", "regs", "keys"), "doc_id"), k, percent), "links")
-            found = tables(common.connected_components(links.unionByName(more)), "components")
+        rooted = large.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "c", "blocks", F.coalesce("component", "doc_id").alias("root"))
+        rooted = tables(rooted, "rooted")
+        for banded, rows in ((False, rooted.where(F.col("blocks") <= most)), (True, rooted.where(F.col("blocks") > most))):
+            if rows.isEmpty():
+                continue
+            rows = tables(keyed.distinct().join(rows, "doc_id").select("key", "doc_id", "root"), "rooted") if banded else rows.select(F.col("c").alias("key"), "doc_id", "root")
+            some = tables(apart(rows, sketches, percent, block, banded), "apart")
+            if some.isEmpty():
+                continue
+            more = tables(confirmed(some.join(held.select("doc_id", "text", "n_shingles", "regs", "keys"), "doc_id"), k, percent, banded), "links")
+            found = found if more.isEmpty() else tables(common.merge_components(found, more), "components")
     tables.drop_but(sk, found)
     out = sk.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")

@@ -213,8 +213,8 @@ def test_dedup_large_group_in_blocks(spark):
         texts.append(" ".join(w))
     r.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for k, block, hubs in ((2, 5, 1), (5, 4, 2)):
-        got = {g.doc_id: (g.n_shingles, g.component_id) for g in dedup.components(df, k=k, block=block, hubs=hubs).collect()}
+    for k, block, hubs, most in ((2, 5, 1, 40), (5, 4, 2, 0)):
+        got = {g.doc_id: (g.n_shingles, g.component_id) for g in dedup.components(df, k=k, block=block, hubs=hubs, most=most).collect()}
         assert got == brute_components(df.collect(), k)
 
 
