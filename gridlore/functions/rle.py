@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,22 +72,44 @@ def fill(xs: np.ndarray, ys: np.ndarray, h: int, w: int, mode: str = "round") ->
     return inside
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def rle_encode_rows(flat: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+# Functions of columns make their pandas functions anew, so that no module holds one that is bound to a session.
+
+
+def rle_encode_rows(flat, h, w) -> Column:
     """Row-major booleans of a mask to its runs."""
-    return pd.Series([encode(np.asarray(f, bool).reshape(a, b)) for f, a, b in zip(flat, h, w, strict=True)])
+    return F.pandas_udf(lambda f, a, b: pd.Series([encode(np.asarray(x, bool).reshape(i, j)) for x, i, j in zip(f, a, b, strict=True)]), T.ArrayType(T.IntegerType()))(flat, h, w)
+
+
+def rle_decode_rows(counts, h, w) -> Column:
+    return F.pandas_udf(lambda c, a, b: pd.Series([decode(x, i, j).ravel().tolist() for x, i, j in zip(c, a, b, strict=True)]), T.ArrayType(T.BooleanType()))(counts, h, w)
+
+
+def rle_text(counts) -> Column:
+    return F.pandas_udf(lambda c: pd.Series([to_text(x) for x in c]), T.StringType())(counts)
+
+
+def rle_from_text(text) -> Column:
+    return F.pandas_udf(lambda t: pd.Series([from_text(x) for x in t]), T.ArrayType(T.IntegerType()))(text)
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def rle_decode_rows(counts: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-    return pd.Series([decode(c, a, b).ravel().tolist() for c, a, b in zip(counts, h, w, strict=True)])
+def box_runs(x0: int, y0: int, x1: int, y1: int, size: int) -> np.ndarray:
+    """(begin, end) of the runs of ones of a filled box in a square tile, clipped to it, column by column."""
+    x0, y0, x1, y1 = (min(max(int(v), 0), size) for v in (x0, y0, x1, y1))
+    columns = np.arange(x0, x1) * size
+    return np.stack([columns + y0, columns + y1], axis=1) if y1 > y0 else np.zeros((0, 2), int)
 
 
-@F.pandas_udf(T.StringType())
-def rle_text(counts: pd.Series) -> pd.Series:
-    return pd.Series([to_text(c) for c in counts])
+def runs_iou(a: np.ndarray, b: np.ndarray) -> float:
+    """Intersection over union of two masks given as sorted runs of ones, without their pixels."""
+    size = lambda r: int((r[:, 1] - r[:, 0]).sum())
+    upto = np.concatenate([[0], np.cumsum(b[:, 1] - b[:, 0])])
 
+    def below(x: np.ndarray) -> np.ndarray:
+        """Ones of b before each place."""
+        k = np.searchsorted(b[:, 0], x, side="right")
+        last = np.where(k > 0, np.minimum(x, b[k - 1, 1]) - b[k - 1, 0], 0) if len(b) else np.zeros(len(x), int)
+        return np.where(k > 0, upto[k - 1] + last, 0)
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def rle_from_text(text: pd.Series) -> pd.Series:
-    return pd.Series([from_text(t) for t in text])
+    both = int((below(a[:, 1]) - below(a[:, 0])).sum())
+    union = size(a) + size(b) - both
+    return both / union if union else 0.0

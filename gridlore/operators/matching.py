@@ -25,22 +25,32 @@ def candidates(gt: DataFrame, pred: DataFrame, same_class: bool = False) -> Data
     return both.select("tile_id", "pred_id", "score", "pred_cls", "gt_id", "gt_cls", "gt_area", boxes.iou("p_", "g_").alias("iou"))
 
 
-def greedy(cand: DataFrame, by: list[str], least: Column) -> DataFrame:
-    """One-to-one matches: predictions by falling score take the free ground truth they overlap most.
-
-    Returns by, pred_id, gt_id, iou of the accepted pairs (IoU >= least). Ties go to the smaller id. Pairs
-    below the threshold cannot be accepted, so they are filtered out before the one shuffle on `by`; a
-    group is one image's candidates and is folded in place."""
+def grouped(cand: DataFrame, by: list[str], least: Column) -> DataFrame:
+    """by and preds: a group's predictions by falling score, each with its pairs of IoU >= least."""
     options = cand.where(F.col("iou") >= least).groupBy(*by, "pred_id").agg(F.max("score").alias("score"), F.collect_list(F.struct("iou", (-F.col("gt_id")).alias("g"))).alias("c"))
-    images = options.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pred_id", "c"))).alias("preds"))
+    return options.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pred_id", "c"))).alias("preds"))
+
+
+def fold(preds: str, least: Column | None = None) -> Column:
+    """Accepted pairs of a group: each prediction takes the free ground truth it overlaps most, from `least` on if given."""
     empty = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<struct<pred_id:bigint,gt_id:bigint,iou:double>>").alias("out"))
 
     def step(state: Column, p: Column) -> Column:
-        best = F.array_max(F.filter(p["c"], lambda x: ~F.array_contains(state["taken"], -x["g"])))
+        free = lambda x: ~F.array_contains(state["taken"], -x["g"])
+        best = F.array_max(F.filter(p["c"], free if least is None else lambda x: (x["iou"] >= least) & free(x)))
         hit = F.struct(p["pred_id"].alias("pred_id"), (-best["g"]).alias("gt_id"), best["iou"].alias("iou"))
         return F.when(best.isNull(), state).otherwise(F.struct(F.array_append(state["taken"], -best["g"]).alias("taken"), F.array_append(state["out"], hit).alias("out")))
 
-    return images.select(*by, F.inline(F.aggregate("preds", empty, step)["out"]))
+    return F.aggregate(preds, empty, step)["out"]
+
+
+def greedy(cand: DataFrame, by: list[str], least: Column) -> DataFrame:
+    """One-to-one matches: predictions by falling score take the free ground truth they overlap most.
+
+    Returns by, pred_id, gt_id, iou of the accepted pairs (IoU >= least). Ties go to the smaller id. Pairs
+    below the threshold cannot be accepted, so they are filtered out before the one shuffle on `by`; a
+    group is one image's candidates and is folded in place."""
+    return grouped(cand, by, least).select(*by, F.inline(fold("preds")))
 
 
 def records(pred: DataFrame, matches: DataFrame) -> DataFrame:
@@ -80,15 +90,19 @@ def average_precision(pred: DataFrame, gt: DataFrame, ious: list[float] | None =
 
     Predictions beyond the `most` best of an image and class are left out. Precision at recall i / 100 is
     the greatest at that recall or beyond, so rows reduce to one maximum a recall step before the envelope."""
-    spark = pred.sparkSession
-    thresholds = spark.createDataFrame([(t,) for t in ious or COCO_IOUS], "thr double")
+    thresholds = ious or COCO_IOUS
     image = Window.partitionBy("tile_id", "cls").orderBy(F.col("score").desc(), "pred_id")
     kept = pred.withColumn("__r", F.row_number().over(image)).where(F.col("__r") <= most).drop("__r")
-    cand = candidates(gt, kept, same_class=True).crossJoin(F.broadcast(thresholds))
-    found = greedy(cand, ["tile_id", "pred_cls", "thr"], F.col("thr")).select("pred_id", "thr", F.lit(1).alias("hit"))
-    rows = kept.select("pred_id", "cls", "score").crossJoin(F.broadcast(thresholds)).join(found, ["pred_id", "thr"], "left")
-    rows = rows.select("cls", "thr", "score", "pred_id", F.coalesce("hit", F.lit(0)).alias("hit"), F.lit(1).alias("one"))
-    run = prefix_sums(rows, ["cls", "thr"], F.floor(-F.col("score") * 1000), [F.col("score").desc(), F.col("pred_id")], {"tp": "hit", "n": "one"})
+    # An image and class is grouped once and folded for every threshold in place; a prediction's hits are bits.
+    images = grouped(candidates(gt, kept, same_class=True), ["tile_id", "pred_cls"], F.lit(min(thresholds)))
+    hit = lambda i: lambda x: F.struct(x["pred_id"].alias("pred_id"), F.lit(1 << i).alias("bit"))
+    hits = F.flatten(F.array(*(F.transform(fold("preds", F.lit(t)), hit(i)) for i, t in enumerate(thresholds))))
+    bits = images.select(F.inline(hits)).groupBy("pred_id").agg(F.bit_or("bit").alias("bits"))
+    rows = kept.select("pred_id", "cls", "score").join(bits, "pred_id", "left")
+    rows = rows.select("cls", "score", "pred_id", F.lit(1).alias("one"), *(F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, 1).otherwise(0).alias(f"hit{i}") for i in range(len(thresholds))))
+    sums = {"n": "one"} | {f"tp{i}": f"hit{i}" for i in range(len(thresholds))}
+    run = prefix_sums(rows, ["cls"], F.floor(-F.col("score") * 1000), [F.col("score").desc(), F.col("pred_id")], sums)
+    run = run.select("cls", "n", F.inline(F.array(*(F.struct(F.lit(t).alias("thr"), F.col(f"tp{i}").alias("tp")) for i, t in enumerate(thresholds)))))
     total = gt.groupBy("cls").agg(F.count(F.lit(1)).alias("n_gt"))
     step = run.join(F.broadcast(total), "cls").select("cls", "thr", F.expr("100 * tp div n_gt").cast("int").alias("step"), (F.col("tp") / F.col("n")).alias("p"))
     tops = step.groupBy("cls", "thr", "step").agg(F.max("p").alias("p"))
@@ -98,20 +112,18 @@ def average_precision(pred: DataFrame, gt: DataFrame, ious: list[float] | None =
     return filled.select("cls", "thr", ap.alias("ap"))
 
 
-def nms(dets: DataFrame, most: float = 0.5, cell: int = 480, rounds: int = 100) -> DataFrame:
+def nms(dets: DataFrame, most: float = 0.5, cell: int = 480) -> DataFrame:
     """Greedy suppression in map space, class-agnostic: a detection goes if one that is kept, and comes
     before it by score, overlaps it by more than `most`. Returns det_id of those kept.
 
     Only pairs that overlap that much matter; they come from an equi-join on grid cells. Decisions settle in
-    rounds: what no undecided earlier neighbour can suppress is kept, and its neighbours go."""
+    rounds until none is open: what no undecided earlier neighbour can suppress is kept, and its neighbours go."""
     side = lambda p: dets.select(F.explode(boxes.cells("", cell)).alias("cell"), *[F.col(c).alias(f"{p}{c}") for c in ("det_id", "score", "x0", "y0", "x1", "y1")])
     first = (F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col("a_det_id") < F.col("b_det_id")))
     pairs = side("a_").join(side("b_"), "cell").where(boxes.meets("a_", "b_") & first)
     pairs = cut(pairs.where(boxes.iou("a_", "b_") > most).select(F.col("a_det_id").alias("over"), F.col("b_det_id").alias("under")).distinct())
     open_pairs, gone = pairs, None
-    for _ in range(rounds):
-        if open_pairs.isEmpty():
-            break
+    while not open_pairs.isEmpty():  # the first of the open ones is decided in every round
         under = open_pairs.select(F.col("under").alias("over")).distinct()
         kept = open_pairs.join(under, "over", "left_anti")
         lost = cut(kept.select("under").distinct())

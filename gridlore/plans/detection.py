@@ -338,13 +338,8 @@ def w2(v):
     return halves(v)
 
 
-@reg("o2_multi_key_sort", sql("SELECT det_id, score FROM map_pred ORDER BY score DESC, x0, y0, det_id LIMIT 100", "map_pred"))
+@reg("o2_multi_key_sort", sql("SELECT det_id, score, row_number() OVER (ORDER BY score DESC, x0, y0, det_id) AS rank FROM map_pred", "map_pred"))
 def o2(v):
-    return v.map_pred().orderBy(F.col("score").desc(), "x0", "y0", "det_id").limit(100).select("det_id", "score")
-
-
-@reg("o2_multi_key_sort_all", sql("SELECT det_id, score, row_number() OVER (ORDER BY score DESC, x0, y0, det_id) AS rank FROM map_pred", "map_pred"))
-def o2_all(v):
     """Every detection with its rank, counted over buckets of scores."""
     rows = v.map_pred().withColumn("one", F.lit(1))
     order = [F.col("score").desc(), F.col("x0"), F.col("y0"), F.col("det_id")]

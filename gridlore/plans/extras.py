@@ -63,28 +63,23 @@ def s15(v):
     return readers.via(lines).select(F.col("name").cast("long").alias("gt_id"), F.col("x")[0].alias("x"), F.col("y")[2].alias("y"))
 
 
-@reg("k9_membership_record", sql("SELECT aoi, count(*) AS n_images, count(*) FILTER (tile_id % 5 = 0) AS n_val, string_agg(CAST(tile_id AS VARCHAR), ',' ORDER BY tile_id) FILTER (tile_id % 50 = 0) AS some FROM tiles GROUP BY aoi", "tiles"))
+@reg("k9_membership_record", sql("SELECT aoi, CASE WHEN tile_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, tile_id FROM tiles", "tiles"))
 def k9(v):
-    some = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("tile_id") % 50 == 0, F.col("tile_id")))), lambda x: x.cast("string")), ",")
-    return v.tiles().groupBy("aoi").agg(n_("n_images"), F.count_if(F.col("tile_id") % 5 == 0).alias("n_val"), F.when(some != "", some).alias("some"))
-
-
-@reg("k9_membership_record_all", sql("SELECT aoi, CASE WHEN tile_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, tile_id FROM tiles", "tiles"))
-def k9_all(v):
     """Every member of each area's splits, a row each."""
     return v.tiles().select("aoi", F.when(F.col("tile_id") % 5 == 0, "val").otherwise("train").alias("split"), "tile_id")
 
 
 def ring_area(mode: str):
-    @F.pandas_udf(T.IntegerType())
+    from gridlore.functions.rle import fill
+
     def area(x0, y0, x1, y1):
         import numpy as np
         import pandas as pd
 
-        out = [int(rle.fill(np.array([a, c, c, a]), np.array([b, b, d, d]), 64, 64, mode).sum()) for a, b, c, d in zip(x0, y0, x1, y1, strict=True)]
+        out = [int(fill(np.array([a, c, c, a]), np.array([b, b, d, d]), 64, 64, mode).sum()) for a, b, c, d in zip(x0, y0, x1, y1, strict=True)]
         return pd.Series(out, dtype="int32")
 
-    return area
+    return F.pandas_udf(area, T.IntegerType())
 
 
 @reg("g4_fill_rounded_truncated", sql("SELECT gt_id, CAST(round_even(w + 0.5::DOUBLE, 0) * round_even(h + 0.5::DOUBLE, 0) AS INTEGER) AS rounded, CAST(w * h AS INTEGER) AS cut FROM gt", "gt"))

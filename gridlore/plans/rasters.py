@@ -217,15 +217,8 @@ def r16(v, half: int = 2):
     return v.dn().join(q, "tile").where(near("r", "cy") & near("c", "cx")).select("tile", "r", "c", "dn")
 
 
-@reg("j13_point_in_raster", sql("SELECT m.det_id FROM (SELECT det_id, (x0 + x1) // 2 % 8 AS c, (y0 + y1) // 2 % 8 AS r, det_id % 600 AS tile FROM map_gt WHERE x0 >= 0) m JOIN dn USING (tile, r, c) WHERE dn.v <= 0", "map_gt", "dn"))
+@reg("j13_point_in_raster", sql("SELECT m.det_id FROM (SELECT det_id, (x0 + x1) // 2 % 8 AS c, (y0 + y1) // 2 % 8 AS r, det_id % (SELECT count(*) FROM ti) AS k FROM map_gt WHERE x0 >= 0) m JOIN ti USING (k) JOIN dn USING (tile, r, c) WHERE dn.v <= 0", "map_gt", "dn", extra={"ti": "SELECT tile, row_number() OVER (ORDER BY tile) - 1 AS k FROM (SELECT DISTINCT tile FROM dn)"}))
 def j13(v):
-    mid = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
-    m = v.map_gt().where("x0 >= 0").select("det_id", (mid("x0", "x1") % 8).cast("int").alias("c"), (mid("y0", "y1") % 8).cast("int").alias("r"), (F.col("det_id") % 600).alias("tile"))
-    return m.join(v.dn().where("v <= 0"), ["tile", "r", "c"]).select("det_id")
-
-
-@reg("j13_point_in_raster_all", sql("SELECT m.det_id FROM (SELECT det_id, (x0 + x1) // 2 % 8 AS c, (y0 + y1) // 2 % 8 AS r, det_id % (SELECT count(*) FROM ti) AS k FROM map_gt WHERE x0 >= 0) m JOIN ti USING (k) JOIN dn USING (tile, r, c) WHERE dn.v <= 0", "map_gt", "dn", extra={"ti": "SELECT tile, row_number() OVER (ORDER BY tile) - 1 AS k FROM (SELECT DISTINCT tile FROM dn)"}))
-def j13_all(v):
     """Detections fall on all rasters, by the rasters' gapless rank."""
     mid = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2)
     t = ranked(v.dn().select("tile").distinct(), "tile")

@@ -46,13 +46,8 @@ def u1(v):
     return part(a.intersect(b), "both").unionByName(part(a.exceptAll(b), "image_only")).unionByName(part(b.exceptAll(a), "label_only"))
 
 
-@reg("o1_numeric_suffix_sort", sql("SELECT key FROM paired ORDER BY CAST(regexp_replace(key, '\\D', '', 'g') AS BIGINT) LIMIT 50", "tiles", extra=FILES))
+@reg("o1_numeric_suffix_sort", sql("SELECT key, row_number() OVER (ORDER BY CAST(regexp_replace(key, '\\D', '', 'g') AS BIGINT)) AS rank FROM paired", "tiles", extra=FILES))
 def o1(v):
-    return paired(v).orderBy(F.regexp_replace("key", r"\D", "").cast("long")).limit(50).select("key")
-
-
-@reg("o1_numeric_suffix_sort_all", sql("SELECT key, row_number() OVER (ORDER BY CAST(regexp_replace(key, '\\D', '', 'g') AS BIGINT)) AS rank FROM paired", "tiles", extra=FILES))
-def o1_all(v):
     """Every key with its rank by number."""
     rows = paired(v).select("key", F.regexp_replace("key", r"\D", "").cast("long").alias("number"))
     return ranked(rows, "number", "rank").select("key", (F.col("rank") + 1).alias("rank"))
@@ -70,8 +65,8 @@ def j4(v):
     return v.tiles().join(g, "tile_id", "left").select("tile_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.lit("")).alias("ids"))
 
 
-NEAR = {"ctr": "SELECT det_id, cls, (x0 + x1) / 2.0::DOUBLE AS x, (y0 + y1) / 2.0::DOUBLE AS y FROM map_pred WHERE score >= 0.7", "ref": "SELECT det_id, cls, (x0 + x1) / 2.0::DOUBLE AS x, (y0 + y1) / 2.0::DOUBLE AS y FROM map_gt WHERE det_id % 3 = 0",
-        "hit": "SELECT c.det_id AS a, r.det_id AS b FROM ctr c JOIN ref r ON abs(c.x - r.x) <= 20 AND (c.x - r.x) * (c.x - r.x) + (c.y - r.y) * (c.y - r.y) <= 400"}
+NEAR = {"ctr": "SELECT det_id, cls, (x0 + x1) / 2.0::DOUBLE AS x, (y0 + y1) / 2.0::DOUBLE AS y FROM map_pred WHERE score >= 0.7", "ref": "SELECT det_id, cls, (x0 + x1) / 2.0::DOUBLE AS x, (y0 + y1) / 2.0::DOUBLE AS y FROM map_gt",
+        "hit": "SELECT c.det_id AS a, r.det_id AS b FROM (SELECT *, floor(x / 20) AS cx, floor(y / 20) AS cy FROM ctr) c JOIN (SELECT *, floor(x / 20) + i AS cx, floor(y / 20) + j AS cy FROM ref, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) r ON c.cx = r.cx AND c.cy = r.cy WHERE (c.x - r.x) * (c.x - r.x) + (c.y - r.y) * (c.y - r.y) <= 400"}
 
 
 def centres(df: DataFrame) -> DataFrame:
@@ -88,25 +83,15 @@ def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, "cell").where(dx * dx + dy * dy <= radius * radius).select("a", "b")
 
 
-def sides(v, part: str = "det_id % 3 = 0"):
-    """Centres of the scored predictions and of a part of the ground truth ("true": all of it)."""
-    return centres(v.map_pred().where("score >= 0.7")), centres(v.map_gt().where(part))
-
-
-@reg("j8_distance_semi_join", sql("SELECT DISTINCT a AS det_id FROM hit", "map_pred", "map_gt", extra=NEAR))
-def j8(v):
-    return near(*sides(v))
+def sides(v):
+    """Centres of the scored predictions and of the ground truth."""
+    return centres(v.map_pred().where("score >= 0.7")), centres(v.map_gt())
 
 
 def near(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(within(a, b, 20).select(F.col("a").alias("det_id")), "det_id", "left_semi").select("det_id")
 
 
-@reg("m19_concordance", sql("SELECT round(100 * (SELECT count(DISTINCT a) FROM hit) / (SELECT count(*) FROM ctr)::DOUBLE, 6) AS concordance, round(100 * (SELECT count(DISTINCT b) FROM hit) / (SELECT count(*) FROM ref)::DOUBLE, 6) AS recovery", "map_pred", "map_gt", extra=NEAR))
-def m19(v):
-    return concordance(*sides(v))
-
-
 def concordance(a: DataFrame, b: DataFrame) -> DataFrame:
     hits = within(a, b, 20)
     found = hits.select("a").distinct().agg(n_("fa")).crossJoin(hits.select("b").distinct().agg(n_("fb"))).crossJoin(a.agg(n_("na"))).crossJoin(b.agg(n_("nb")))
@@ -114,18 +99,15 @@ def concordance(a: DataFrame, b: DataFrame) -> DataFrame:
     return found.select(pct("fa", "na", "concordance"), pct("fb", "nb", "recovery"))
 
 
-NEAR_ALL = {**NEAR, "ref": "SELECT det_id, cls, (x0 + x1) / 2.0::DOUBLE AS x, (y0 + y1) / 2.0::DOUBLE AS y FROM map_gt",
-            "hit": "SELECT c.det_id AS a, r.det_id AS b FROM (SELECT *, floor(x / 20) AS cx, floor(y / 20) AS cy FROM ctr) c JOIN (SELECT *, floor(x / 20) + i AS cx, floor(y / 20) + j AS cy FROM ref, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) r ON c.cx = r.cx AND c.cy = r.cy WHERE (c.x - r.x) * (c.x - r.x) + (c.y - r.y) * (c.y - r.y) <= 400"}
-
 
-@reg("j8_distance_semi_join_all", sql("SELECT DISTINCT a AS det_id FROM hit", "map_pred", "map_gt", extra=NEAR_ALL))
-def j8_all(v):
-    return near(*sides(v, "true"))
+@reg("j8_distance_semi_join", sql("SELECT DISTINCT a AS det_id FROM hit", "map_pred", "map_gt", extra=NEAR))
+def j8(v):
+    return near(*sides(v))
 
 
-@reg("m19_concordance_all", sql("SELECT round(100 * (SELECT count(DISTINCT a) FROM hit) / (SELECT count(*) FROM ctr)::DOUBLE, 6) AS concordance, round(100 * (SELECT count(DISTINCT b) FROM hit) / (SELECT count(*) FROM ref)::DOUBLE, 6) AS recovery", "map_pred", "map_gt", extra=NEAR_ALL))
-def m19_all(v):
-    return concordance(*sides(v, "true"))
+@reg("m19_concordance", sql("SELECT round(100 * (SELECT count(DISTINCT a) FROM hit) / (SELECT count(*) FROM ctr)::DOUBLE, 6) AS concordance, round(100 * (SELECT count(DISTINCT b) FROM hit) / (SELECT count(*) FROM ref)::DOUBLE, 6) AS recovery", "map_pred", "map_gt", extra=NEAR))
+def m19(v):
+    return concordance(*sides(v))
 
 
 # Splits. Order comes from a digest of seed and key, which every engine computes alike.
@@ -258,40 +240,10 @@ def c10(v):
     return nearest_train(v).agg(r6(F.avg("sim")).alias("mean"), r6(F.percentile("sim", 0.95)).alias("p95"), r6(F.max("sim")).alias("top"))
 
 
-SEAM = {"st": "SELECT tile, c, r, v FROM pixels WHERE c IN (0, 7) AND tile < 60", "un": "SELECT tile, c, list((v - m) / s ORDER BY r) AS u FROM (SELECT *, avg(v) OVER w AS m, sqrt(sum(v * v) OVER w - count(*) OVER w * (avg(v) OVER w) ** 2) AS s FROM st WINDOW w AS (PARTITION BY tile, c)) GROUP BY tile, c",
+SEAM = {"st": "SELECT tile, c, r, v FROM pixels WHERE c IN (0, 7)", "un": "SELECT tile, c, list((v - m) / s ORDER BY r) AS u FROM (SELECT *, avg(v) OVER w AS m, sqrt(sum(v * v) OVER w - count(*) OVER w * (avg(v) OVER w) ** 2) AS s FROM st WINDOW w AS (PARTITION BY tile, c)) GROUP BY tile, c",
         "pr": "SELECT a.tile AS a, b.tile AS b, list_dot_product(a.u, b.u) AS rho FROM un a JOIN un b ON a.c = 7 AND b.c = 0 AND a.tile <> b.tile"}
 
 
-def seams(v) -> DataFrame:
-    """Correlation of every right edge with every other left edge; strips are centred and scaled first."""
-    s = v.pixels().where("c in (0, 7) and tile < 60")
-    w = s.groupBy("tile", "c").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("x"))
-    add = lambda a, f: F.aggregate(F.transform(a, f), F.lit(0.0), lambda t, y: t + y)
-    w = w.withColumn("m", add(F.col("x"), lambda y: y) / F.size("x")).withColumn("s", F.sqrt(add(F.col("x"), lambda y: (y - F.col("m")) * (y - F.col("m")))))
-    u = w.withColumn("u", F.transform("x", lambda y: F.try_divide(y - F.col("m"), F.col("s"))))
-    a, b = u.where("c = 7").select(F.col("tile").alias("a"), F.col("u").alias("ua")), u.where("c = 0").select(F.col("tile").alias("b"), F.col("u").alias("ub"))
-    dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda t, y: t + y)
-    return a.join(b, F.col("a") != F.col("b")).select("a", "b", dot.alias("rho"))
-
-
-@reg("w14_best_match_z", sql("SELECT a, round((max(rho) - (SELECT avg(rho) FROM pr)) / (SELECT stddev_pop(rho) FROM pr), 6) AS z FROM pr GROUP BY a", "pixels", extra=SEAM))
-def w14(v):
-    p = seams(v)
-    all_ = p.agg(F.avg("rho").alias("m"), F.stddev_pop("rho").alias("s"))
-    return p.groupBy("a").agg(F.max("rho").alias("top")).crossJoin(F.broadcast(all_)).select("a", r6((F.col("top") - F.col("m")) / F.col("s")).alias("z"))
-
-
-@reg("w15_reciprocal_best", sql("SELECT a, b, round(rho, 6) AS rho FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY rho DESC, b) AS ka, row_number() OVER (PARTITION BY b ORDER BY rho DESC, a) AS kb FROM pr) WHERE ka = 1 AND kb = 1", "pixels", extra=SEAM))
-def w15(v):
-    p = seams(v)
-    ka = F.row_number().over(Window.partitionBy("a").orderBy(F.col("rho").desc(), "b"))
-    kb = F.row_number().over(Window.partitionBy("b").orderBy(F.col("rho").desc(), "a"))
-    return p.withColumns({"ka": ka, "kb": kb}).where("ka = 1 and kb = 1").select("a", "b", r6(F.col("rho")).alias("rho"))
-
-
-SEAM_ALL = {**SEAM, "st": "SELECT tile, c, r, v FROM pixels WHERE c IN (0, 7)"}
-
-
 def edges(v) -> DataFrame:
     """Every right edge against every other left edge, blocks against blocks; pairs are never listed.
 
@@ -334,16 +286,16 @@ def edges(v) -> DataFrame:
     return got.groupBy("side", "tile").agg(F.max("rho").alias("rho"), F.max_by("other", F.struct("rho", -F.col("other"))).alias("other"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("q").alias("q"))
 
 
-@reg("w14_best_match_z_all", sql("SELECT a, round((max(rho) - (SELECT avg(rho) FROM pr)) / (SELECT stddev_pop(rho) FROM pr), 6) AS z FROM pr GROUP BY a", "pixels", extra=SEAM_ALL))
-def w14_all(v):
+@reg("w14_best_match_z", sql("SELECT a, round((max(rho) - (SELECT avg(rho) FROM pr)) / (SELECT stddev_pop(rho) FROM pr), 6) AS z FROM pr GROUP BY a", "pixels", extra=SEAM))
+def w14(v):
     e = edges(v)
     m = F.col("t") / F.col("n")
     all_ = e.where("side = 'all'").select(m.alias("m"), F.sqrt(F.col("q") / F.col("n") - m * m).alias("s"))
     return e.where("side = 'a'").select(F.col("tile").alias("a"), "rho").crossJoin(F.broadcast(all_)).select("a", r6((F.col("rho") - F.col("m")) / F.col("s")).alias("z"))
 
 
-@reg("w15_reciprocal_best_all", sql("SELECT a, b, round(rho, 6) AS rho FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY rho DESC, b) AS ka, row_number() OVER (PARTITION BY b ORDER BY rho DESC, a) AS kb FROM pr) WHERE ka = 1 AND kb = 1", "pixels", extra=SEAM_ALL))
-def w15_all(v):
+@reg("w15_reciprocal_best", sql("SELECT a, b, round(rho, 6) AS rho FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY rho DESC, b) AS ka, row_number() OVER (PARTITION BY b ORDER BY rho DESC, a) AS kb FROM pr) WHERE ka = 1 AND kb = 1", "pixels", extra=SEAM))
+def w15(v):
     e = edges(v)
     a, b = e.where("side = 'a'").select(F.col("tile").alias("a"), F.col("other").alias("b"), "rho"), e.where("side = 'b'").select(F.col("other").alias("a"), F.col("tile").alias("b"))
     return a.join(b, ["a", "b"]).select("a", "b", r6(F.col("rho")).alias("rho"))
@@ -357,17 +309,8 @@ def j11(v):
     return j.groupBy(F.col("width").cast("long").alias("width")).agg(n_(), r6(F.avg(F.abs(F.col("ma") - F.col("mb")))).alias("gap")).where("n >= 100")
 
 
-@reg("c12_random_pairs", sql("SELECT round(quantile_cont(abs(a.m - b.m), 0.99), 6) AS p99 FROM (SELECT i, CAST(('0x' || substr(md5('a' || i), 1, 8)) AS BIGINT) % 500 AS x, CAST(('0x' || substr(md5('b' || i), 1, 8)) AS BIGINT) % 500 AS y FROM (SELECT unnest(range(0, 4000)) AS i)) JOIN (SELECT tile, avg(v) AS m FROM pixels GROUP BY tile) a ON a.tile = x JOIN (SELECT tile, avg(v) AS m FROM pixels GROUP BY tile) b ON b.tile = y WHERE x <> y", "pixels"))
+@reg("c12_random_pairs", sql("SELECT round(quantile_cont(abs(a.m - b.m), 0.99), 6) AS p99 FROM (SELECT i, CAST(('0x' || substr(md5('a' || i), 1, 8)) AS BIGINT) % n AS x, CAST(('0x' || substr(md5('b' || i), 1, 8)) AS BIGINT) % n AS y FROM (SELECT unnest(range(0, 4000)) AS i), (SELECT count(*) AS n FROM ti)) JOIN ti a ON a.k = x JOIN ti b ON b.k = y WHERE x <> y", "pixels", extra={"ti": "SELECT tile, avg(v) AS m, row_number() OVER (ORDER BY tile) - 1 AS k FROM pixels GROUP BY tile"}))
 def c12(v, pairs: int = 4000):
-    m = v.pixels().groupBy("tile").agg(F.avg("v").alias("m"))
-    h = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(s), F.col("id"))), 1, 8), 16, 10).cast("long") % 500
-    p = v.spark.range(pairs).select(h("a").alias("x"), h("b").alias("y")).where("x <> y")
-    a, b = m.select(F.col("tile").alias("x"), F.col("m").alias("ma")), m.select(F.col("tile").alias("y"), F.col("m").alias("mb"))
-    return p.join(a, "x").join(b, "y").agg(r6(F.percentile(F.abs(F.col("ma") - F.col("mb")), 0.99)).alias("p99"))
-
-
-@reg("c12_random_pairs_all", sql("SELECT round(quantile_cont(abs(a.m - b.m), 0.99), 6) AS p99 FROM (SELECT i, CAST(('0x' || substr(md5('a' || i), 1, 8)) AS BIGINT) % n AS x, CAST(('0x' || substr(md5('b' || i), 1, 8)) AS BIGINT) % n AS y FROM (SELECT unnest(range(0, 4000)) AS i), (SELECT count(*) AS n FROM ti)) JOIN ti a ON a.k = x JOIN ti b ON b.k = y WHERE x <> y", "pixels", extra={"ti": "SELECT tile, avg(v) AS m, row_number() OVER (ORDER BY tile) - 1 AS k FROM pixels GROUP BY tile"}))
-def c12_all(v, pairs: int = 4000):
     """Both ends are drawn from all tiles, by their gapless rank."""
     m = ranked(v.pixels().groupBy("tile").agg(F.avg("v").alias("m")), "tile")
     h = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(s), F.col("id"))), 1, 8), 16, 10).cast("long") % F.col("n")

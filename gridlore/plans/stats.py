@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlore.functions.numeric import prefix_sums, r6, ratio
-from gridlore.functions.tdist import T95, t_two_sided_p
+from gridlore.functions.tdist import t_point_95, t_two_sided_p
 from gridlore.operators.regression import Gram
 from gridlore.plans.registry import Registry
 from gridlore.plans.views import sql
@@ -215,8 +215,7 @@ def a18(v, noise: float = 0.5):
 
 @reg("a19_confidence", sql("SELECT a, b, round(mean - 2.776 * sd / sqrt(n), 6) AS low, round(mean + 2.776 * sd / sqrt(n), 6) AS high, round(mean / sd, 6) AS dz FROM pt", "runs", extra=PAIR))
 def a19(v):
-    t95 = F.array(*map(F.lit, T95))[F.col("n").cast("int") - 2]
-    half = t95 * F.col("sd") / F.sqrt("n")
+    half = t_point_95(F.col("n") - 1) * F.col("sd") / F.sqrt("n")
     return paired(v).select("a", "b", r6(F.col("mean") - half).alias("low"), r6(F.col("mean") + half).alias("high"), r6(F.try_divide("mean", "sd")).alias("dz"))
 
 

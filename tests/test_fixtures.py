@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlore.functions import rle
-from gridlore.functions.tdist import two_sided
+from gridlore.functions.tdist import T95, point, two_sided
 from gridlore.operators import matching as M
 from gridlore.sources import readers
 from gridlore.streaming import metrics
@@ -44,9 +44,14 @@ def test_nms_chain(spark):
 
 
 def test_student_t():
-    assert two_sided(2.776, 4) == pytest.approx(0.05, abs=1e-4)
-    assert two_sided(-7.88, 2.23) == pytest.approx(0.011, abs=2e-3)
-    assert two_sided(None, 4) is None and two_sided(0.0, 4) == pytest.approx(1.0)
+    p = two_sided([2.776, -7.88, None, 0.0, 1.0, 12.0, 2.0], [4, 2.23, 4, 4, 0, 3, 1e6])
+    assert p[[0, 1, 3]] == pytest.approx([0.05, 0.011, 1.0], abs=1e-3) and np.isnan(p[[2, 4]]).all()
+    # Closed forms: one and two degrees of freedom, and the normal limit.
+    t = np.array([0.1, 1.0, 3.0, 40.0])
+    assert two_sided(t, np.full(4, 1.0)) == pytest.approx(1 - 2 * np.arctan(t) / np.pi, rel=1e-9)
+    assert two_sided(t, np.full(4, 2.0)) == pytest.approx(1 - t / np.sqrt(2 + t * t), rel=1e-9)
+    assert p[6] == pytest.approx(math.erfc(2 / math.sqrt(2)), rel=1e-4)
+    assert point(np.arange(1, 11)) == pytest.approx(T95, abs=6e-4) and point(np.array([30.0])) == pytest.approx([2.0423], abs=1e-4)
 
 
 def test_rle():
@@ -100,3 +105,32 @@ def test_drain_writes_once(spark, tmp_path):
 
 def test_ceiling():
     assert math.isclose(625 / (625 + 100), 0.862, abs_tol=1e-3)
+
+
+def test_functions_of_columns_ship_in_any_order(spark):
+    # Functions made for one query must not keep the session in the package that later ones ship to workers.
+    from gridlore.plans import catalog
+
+    q = catalog.queries()
+    for name in ("g3_rle_area", "a20_t_two_sided_p", "g3_rle_round_trip", "g4_fill_rounded_truncated", "g3_rle_area"):
+        assert q[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_confidence_beyond_the_table(spark):
+    from gridlore.functions.tdist import t_point_95
+
+    got = [r.t for r in spark.range(1, 40).select("id", t_point_95(F.col("id")).alias("t")).orderBy("id").collect()]
+    assert got[:10] == T95 and got[11] == pytest.approx(2.1788, abs=1e-4) and all(a > b for a, b in zip(got, got[1:]))
+
+
+def test_run_iou():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = (rle.box_runs(*r.integers(-3, 9, 2), *r.integers(4, 24, 2), 16) for _ in range(2))
+        full = []
+        for runs in (a, b):
+            flat = np.zeros(256, bool)
+            for x, y in runs:
+                flat[x:y] = True
+            full.append(flat)
+        assert rle.runs_iou(a, b) == pytest.approx(rle.iou(*full))

@@ -19,9 +19,9 @@ def test_seams_of_all_tiles(spark, tmp_path):
     c = unit(x[:, :, 7].astype(float)) @ unit(x[:, :, 0].astype(float)).T
     off = c[~np.eye(90, dtype=bool)]
     np.fill_diagonal(c, -np.inf)
-    z = {r.a: r.z for r in catalog.queries()["w14_best_match_z_all"](spark, sf).collect()}
+    z = {r.a: r.z for r in catalog.queries()["w14_best_match_z"](spark, sf).collect()}
     assert z.keys() == set(range(90)) and all(abs(z[i] - (c[i].max() - off.mean()) / off.std()) < 1e-5 for i in z)
-    got = {(r.a, r.b) for r in catalog.queries()["w15_reciprocal_best_all"](spark, sf).collect()}
+    got = {(r.a, r.b) for r in catalog.queries()["w15_reciprocal_best"](spark, sf).collect()}
     assert got == {(i, int(c[i].argmax())) for i in range(90) if c[:, c[i].argmax()].argmax() == i} and (80, 75) in got
 
 
@@ -36,10 +36,9 @@ def test_distance_joins_meet_all_of_the_reference(spark):
     p = v.map_pred().where("score >= 0.7")
     ids, a, b = [r.det_id for r in p.orderBy("det_id").select("det_id").collect()], mid(p), mid(v.map_gt())
     hit = np.stack([((b - x) ** 2).sum(axis=1) <= 400 for x in a])
-    got = [r.det_id for r in catalog.queries()["j8_distance_semi_join_all"](spark, SF).orderBy("det_id").collect()]
+    got = [r.det_id for r in catalog.queries()["j8_distance_semi_join"](spark, SF).orderBy("det_id").collect()]
     assert got == [i for i, h in zip(ids, hit.any(axis=1), strict=True) if h]
-    assert len(got) > catalog.queries()["j8_distance_semi_join"](spark, SF).count()
-    m = catalog.queries()["m19_concordance_all"](spark, SF).first()
+    m = catalog.queries()["m19_concordance"](spark, SF).first()
     assert abs(m.concordance - 100 * hit.any(axis=1).mean()) < 1e-5 and abs(m.recovery - 100 * hit.any(axis=0).mean()) < 1e-5
 
 
@@ -51,8 +50,8 @@ def test_draws_reach_all_tiles(spark, tmp_path):
     spark.read.parquet(f"{SF}/orders.parquet").write.parquet(f"{sf}/orders.parquet")
     draw = lambda s, i: int(hashlib.md5(f"{s}{i}".encode()).hexdigest()[:8], 16) % 40
     gaps = [abs(x * x - y * y) for x, y in ((draw("a", i), draw("b", i)) for i in range(4000)) if x != y]
-    assert abs(catalog.queries()["c12_random_pairs_all"](spark, sf).first().p99 - np.percentile(gaps, 99)) < 1e-5
-    got = {r.det_id for r in catalog.queries()["j13_point_in_raster_all"](spark, sf).collect()}
+    assert abs(catalog.queries()["c12_random_pairs"](spark, sf).first().p99 - np.percentile(gaps, 99)) < 1e-5
+    got = {r.det_id for r in catalog.queries()["j13_point_in_raster"](spark, sf).collect()}
     assert got == {r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect() if r.o_orderkey % 40 == 0} and got
 
 
@@ -63,9 +62,9 @@ def test_sorts_and_membership_keep_all_rows(spark):
     sf = SF.replace("0.001", "0.01")
     v, q = Views(spark, sf), catalog.queries()
     keys = sorted((r.key for r in paired(v).select("key").collect()), key=lambda k: int(k[3:]))
-    assert len(keys) > 50 and [r.key for r in q["o1_numeric_suffix_sort_all"](spark, sf).orderBy("rank").collect()] == keys
+    assert len(keys) > 50 and [r.key for r in q["o1_numeric_suffix_sort"](spark, sf).orderBy("rank").collect()] == keys
     rows = sorted((-r.score, r.x0, r.y0, r.det_id) for r in v.map_pred().collect())
-    got = q["o2_multi_key_sort_all"](spark, sf).collect()
+    got = q["o2_multi_key_sort"](spark, sf).collect()
     assert len(rows) > 100 and {r.rank: r.det_id for r in got} == {i: r[3] for i, r in enumerate(rows, 1)}
     tiles = {(r.aoi, "train" if r.tile_id % 5 else "val", r.tile_id) for r in v.tiles().collect()}
-    assert {tuple(r) for r in q["k9_membership_record_all"](spark, sf).select("aoi", "split", "tile_id").collect()} == tiles
+    assert {tuple(r) for r in q["k9_membership_record"](spark, sf).select("aoi", "split", "tile_id").collect()} == tiles
