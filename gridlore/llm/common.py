@@ -80,6 +80,18 @@ class Tables:
                 drop_scratch(df.sparkSession, path)
 
 
+def give_back() -> None:
+    """Return the memory that this worker has freed to the system; else it stays with the idle worker, beside the next stage's."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def map_columns(df: DataFrame, schema: StructType | str, start: Callable[[], Callable[..., list]], rows: int = 2000) -> DataFrame:
     """Arrow batches through a function of Python lists, one a column, that returns such lists for `schema`.
 
@@ -94,6 +106,8 @@ def map_columns(df: DataFrame, schema: StructType | str, start: Callable[[], Cal
             for i in range(0, batch.num_rows, rows):
                 out = work(*(c.to_pylist() for c in batch.slice(i, rows).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+        work = out = batch = None
+        give_back()
 
     return df.mapInArrow(each, kind)
 
@@ -124,6 +138,8 @@ def map_groups(df: DataFrame, keys: list[str], schema: StructType | str, start:
                         key = own
                     held.append(row)
         yield from flush()
+        work = batch = None
+        give_back()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, kind)
 
@@ -142,6 +158,8 @@ def replace_columns(df: DataFrame, names: list[str], start: Callable[[], Callabl
                 for k, column in zip(at, work(*(arrays[k].to_pylist() for k in at)), strict=True):
                     arrays[k] = pa.array(column, arrays[k].type)
                 yield pa.RecordBatch.from_arrays(arrays, schema=part.schema)
+        work = batch = part = arrays = None
+        give_back()
 
     return df.mapInArrow(each, kind)
 

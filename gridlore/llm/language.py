@@ -24,7 +24,7 @@ from gridlore.llm import common
 
 PER_LANGUAGE, SAMPLE_CHARS, MOST_LANGUAGES = 400, 600, 1000
 HIDDEN, WINDOW, BATCH, STEPS, RATE = 8, 48, 192, 350, 0.02
-SEGMENT, ROWS = 256, 1024
+SEGMENT, ROWS = 256, 512
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -187,6 +187,8 @@ def accept(docs: DataFrame, least: float = 0.3) -> DataFrame:
                 part = batch.slice(i, 500)
                 _, score = model.pooled(part.column(at).to_pylist())
                 yield part.filter(pa.array([s >= least for s in score]))
+        batch = part = None
+        common.give_back()
 
     return docs.mapInArrow(each, docs.schema)
 
