@@ -34,3 +34,11 @@ def cells(a: str, size: int) -> Column:
     """All grid cells a box touches, for equi-joins in place of range joins."""
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
     return F.flatten(F.transform(span(f"{a}x0", f"{a}x1"), lambda i: F.transform(span(f"{a}y0", f"{a}y1"), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+
+
+def turned(box: list[Column], quarters: int, size: int) -> list[Column]:
+    """A box of a square tile turned left by quarter turns; 4 - quarters is the inverse."""
+    x0, y0, x1, y1 = box
+    for _ in range(quarters % 4):
+        x0, y0, x1, y1 = y0, size - x1, y1, size - x0
+    return [x0, y0, x1, y1]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlore.operators import matching as M
+from gridlore.plans.cut import cut
 
 
 class Evaluator:
@@ -42,8 +43,8 @@ class Evaluator:
 
 
 def compose(rows: DataFrame, metrics: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
-    """Several metrics of one cached match table."""
-    held = rows.persist()
+    """Several metrics of one match table, written once in the shared folder."""
+    held = cut(rows)
     return {name: f(held) for name, f in metrics.items()}
 
 

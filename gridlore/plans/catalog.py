@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridlore.plans import detection, extras, formats, rasters, spatial, stats
+from gridlore.plans import detection, extras, files, formats, rasters, spatial, stats
 
-MODULES = [detection, stats, spatial, rasters, formats, extras]
+MODULES = [detection, stats, spatial, rasters, formats, extras, files]
 
 
 def queries() -> dict:

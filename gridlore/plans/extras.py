@@ -10,59 +10,17 @@ from gridlore.functions.numeric import r6
 from gridlore.operators import evaluator
 from gridlore.plans.registry import Registry
 from gridlore.plans.views import sql
-from gridlore.sources import readers, writers
-from gridlore.streaming import metrics
 
 reg = Registry()
 n_ = lambda name="n": F.count(F.lit(1)).alias(name)
 
 
-@reg("s3_geojson_features", sql("SELECT 'EPSG:4326' AS crs, CASE WHEN det_id % 10 = 0 THEN 'none' ELSE 'Polygon' END AS kind, count(*) AS n FROM map_gt GROUP BY ALL", "map_gt"))
-def s3(v):
-    """Feature collections with some null geometries; those stay and are counted."""
-    f = writers.feature_lines(v.map_gt()).select(F.from_json("value", "properties map<string,string>, geometry struct<type:string,coordinates:string>").alias("f"))
-    f = f.select(F.struct("f.properties", F.when(F.col("f.properties")["det_id"].cast("long") % 10 != 0, F.col("f.geometry")).alias("geometry")).alias("f"))
-    docs = f.groupBy((F.col("f.properties")["det_id"].cast("long") % 50).alias("part")).agg(F.collect_list("f").alias("features")).select(F.lit(None).cast("string").alias("crs"), "features")
-    return readers.features(docs).groupBy("crs", F.coalesce("geometry.type", F.lit("none")).alias("kind")).agg(n_())
-
-
 @reg("s6_header_scan", sql("SELECT tile_id, tile_id % 20 * 480 * 0.5::DOUBLE AS left_m, -(tile_id // 20) * 480 * 0.5::DOUBLE AS top_m FROM tiles", "tiles"))
 def s6(v, m: float = 0.5):
     """Bounds from a tile's place, without its pixels."""
     return v.grid().select("tile_id", (F.col("col") * 480 * m).alias("left_m"), (-F.col("row") * 480 * m).alias("top_m"))
 
 
-@reg("s9_flat_predictions", sql("SELECT tile_id, count(*) AS n FROM pred GROUP BY tile_id", "pred"))
-def s9(v):
-    """The nested form, one row an image, exploded to the flat one."""
-    nested = v.pred().groupBy("tile_id").agg(F.to_json(F.struct(F.col("tile_id").alias("image_id"), F.collect_list(F.struct(F.col("cls").alias("category_id"), "score")).alias("instances"))).alias("j"))
-    p = nested.select(F.from_json("j", readers.NESTED).alias("p")).select("p.image_id", F.explode_outer("p.instances").alias("i"))
-    return p.groupBy(F.col("image_id").alias("tile_id")).agg(n_())
-
-
-@reg("s10_complete_folds", sql("SELECT arm, count(DISTINCT fold) = 5 AS complete FROM runs GROUP BY arm", "runs"))
-def s10(v, folds: int = 5):
-    return v.runs().groupBy("arm").agg((F.count_distinct("fold") == folds).alias("complete"))
-
-
-@reg("s12_strict_log", sql("SELECT arm, count(*) FILTER (iteration % 5000 = 1) = 0 AS usable FROM runs GROUP BY arm", "runs"))
-def s12(v):
-    """A log with any line that does not parse is refused whole."""
-    line = F.when(F.col("iteration") % 5000 == 1, F.lit("{cut")).otherwise(F.to_json(F.struct("iteration", "metric")))
-    rows = v.runs().select("arm", F.from_json(line, "iteration long, metric double").alias("r"))
-    return rows.groupBy("arm").agg((F.count_if(F.col("r.metric").isNull()) == 0).alias("usable"))
-
-
-@reg("s15_via_regions", sql("SELECT gt_id, x0 + 0.5::DOUBLE AS x, y1 + 0.5::DOUBLE AS y FROM gt", "gt"))
-def s15(v):
-    xs, ys = F.array("x0", "x1", "x1", "x0"), F.array("y0", "y0", "y1", "y1")
-    shape = F.struct(F.struct(xs.alias("all_points_x"), ys.alias("all_points_y")).alias("shape_attributes"))
-    as_list = F.to_json(F.struct(F.col("gt_id").cast("string").alias("filename"), F.array(shape).alias("regions")))
-    as_map = F.to_json(F.struct(F.col("gt_id").cast("string").alias("filename"), F.create_map(F.lit("0"), shape).alias("regions")))
-    lines = v.gt().select(F.when(F.col("gt_id") % 2 == 0, as_list).otherwise(as_map).alias("value"))
-    return readers.via(lines).select(F.col("name").cast("long").alias("gt_id"), F.col("x")[0].alias("x"), F.col("y")[2].alias("y"))
-
-
 @reg("k9_membership_record", sql("SELECT aoi, CASE WHEN tile_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, tile_id FROM tiles", "tiles"))
 def k9(v):
     """Every member of each area's splits, a row each."""
@@ -120,14 +78,6 @@ def c7(v, k: int = 10, seed: int = 7):
     return KMeans(k=k, seed=seed, featuresCol="x", maxIter=20).fit(e).transform(e).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-@reg("e1_evaluator", sql("SELECT count(*) > 0 AS found FROM pred", "pred"))
-def e1(v):
-    ev = evaluator.Evaluator(v.gt())
-    ev.process(v.pred().where("tile_id % 2 = 0"))
-    ev.process(v.pred())
-    return ev.evaluate().select((F.col("f1") > 0).alias("found"))
-
-
 @reg("e3_row_mapper", sql("SELECT gt_id, CAST(w * h AS BIGINT) AS area FROM gt WHERE cls <> 3", "gt"))
 def e3(v):
     return evaluator.map_records(v.gt().select("gt_id", "cls", "w", "h"), lambda r: None if r["cls"] == 3 else {"gt_id": r["gt_id"], "area": r["w"] * r["h"]}, "gt_id long, area long")
@@ -136,16 +86,3 @@ def e3(v):
 @reg("e9_query_parameters", sql("SELECT gt_id FROM gt WHERE area > 700 AND cls = 2", "gt"))
 def e9(v):
     return v.spark.sql("SELECT gt_id FROM {gt} WHERE area > :least AND cls = :cls", args={"least": 700, "cls": 2}, gt=v.gt())
-
-
-@reg("t1_monotone_drain", "SELECT count(*) AS n, max(event_id) AS last FROM events")
-def t1(v):
-    s = metrics.events(v.spark, f"{v.dir}/events.parque[t]").groupBy().agg(n_(), F.max("event_id").alias("last"))
-    return metrics.settled(s, "t1")
-
-
-@reg("t6_idempotent_register", sql("SELECT count(*) AS n FROM tiles", "tiles"))
-def t6(v):
-    for _ in range(2):
-        v.tiles().createOrReplaceTempView("gridlore_tiles")
-    return v.spark.table("gridlore_tiles").agg(n_())

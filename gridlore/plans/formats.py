@@ -5,57 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlore.functions.numeric import r6
+from gridlore.plans.cut import folder
 from gridlore.plans.registry import Registry
 from gridlore.plans.views import sql
-from gridlore.sources import readers, writers
 from gridlore.streaming import metrics
 
 reg = Registry()
 n_ = lambda name="n": F.count(F.lit(1)).alias(name)
 
 
-def documents(v):
-    """One COCO document an area, made by the writer."""
-    t = v.tiles()
-    images = t.select("aoi", F.col("tile_id").alias("image_id"), F.format_string("img%d.tif", "tile_id").alias("file_name"), F.lit(480).alias("width"), F.lit(480).alias("height"))
-    notes = v.gt().join(t, "tile_id").select("aoi", F.col("gt_id").alias("id"), F.col("tile_id").alias("image_id"), "cls", "x0", "y0", "x1", "y1", "area")
-    return writers.coco_documents(images, notes, "aoi")
-
-
-@reg("s1_coco_scan", sql("SELECT gt_id AS id, tile_id AS image_id, x0::DOUBLE AS x0, y1::DOUBLE AS y1, area::DOUBLE AS area FROM gt", "gt"))
-def s1(v):
-    parsed = documents(v).select(F.from_json("document", readers.COCO).alias("d")).select("d.*")
-    return readers.coco(parsed)["annotations"].select("id", "image_id", "x0", "y1", "area")
-
-
-@reg("k1_coco_documents", sql("SELECT aoi, count(DISTINCT tile_id) AS images, count(gt_id) AS annotations FROM tiles LEFT JOIN gt USING (tile_id) GROUP BY aoi", "tiles"))
-def k1(v):
-    d = F.from_json("document", readers.COCO)
-    return documents(v).select("aoi", d.alias("d")).select("aoi", F.size("d.images").cast("long").alias("images"), F.size("d.annotations").cast("long").alias("annotations"))
-
-
-@reg("k3_fold_roles", sql("SELECT fold, role, count(*) AS n FROM (SELECT tile_id % 5 AS f, tile_id FROM tiles) JOIN (SELECT unnest(range(0, 5)) AS fold) ON TRUE CROSS JOIN LATERAL (SELECT CASE WHEN f = fold THEN 'val' ELSE 'train' END AS role) GROUP BY ALL", "tiles"))
-def k3(v, folds: int = 5):
-    t = v.tiles().select("tile_id", (F.col("tile_id") % folds).alias("f"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long"))).alias("fold"))
-    return t.groupBy("fold", F.when(F.col("f") == F.col("fold"), "val").otherwise("train").alias("role")).agg(n_())
-
-
-@reg("k4_geojson_features", sql("SELECT det_id, x0::DOUBLE AS x0 FROM map_gt", "map_gt"))
-def k4(v):
-    f = writers.feature_lines(v.map_gt())
-    p = F.from_json("value", "struct<properties:struct<det_id:bigint>,geometry:struct<coordinates:array<array<array<double>>>>>")
-    return f.select(p.alias("p")).select("p.properties.det_id", F.array_min(F.transform(F.col("p.geometry.coordinates")[0], lambda q: q[0])).alias("x0"))
-
-
-@reg("s11_metric_log_lenient", sql("SELECT arm, fold, arg_max(metric, iteration) AS final FROM runs WHERE iteration % 9 <> 0 GROUP BY ALL", "runs"))
-def s11(v):
-    """Lines of a log, every ninth cut short; those do not parse and are left out."""
-    line = F.to_json(F.struct("arm", "fold", "iteration", "metric"))
-    broken = F.when(F.col("iteration") % 9 == 0, F.substring(line, 1, 12)).otherwise(line)
-    rows = v.runs().select(F.from_json(broken, "arm string, fold long, iteration long, metric double").alias("r")).where("r.metric is not null")
-    return rows.groupBy("r.arm", "r.fold").agg(F.max_by("r.metric", "r.iteration").alias("final"))
-
-
 @reg("s2_key_listing", "SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS key FROM pages WHERE url LIKE '%/en/%'")
 def s2(v):
     return v.table("pages").where("url like '%/en/%'").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("key"))
@@ -186,23 +144,23 @@ def stream(v):
     return metrics.events(v.spark, f"{v.dir}/events.parque[t]")
 
 
-@reg("t2_first_seen_stream", "SELECT user_id, count(*) > 0 AS seen FROM events GROUP BY user_id")
+@reg("t2_first_seen_stream", "SELECT DISTINCT user_id FROM events")
 def t2(v):
-    s = stream(v).groupBy("user_id").agg((F.count(F.lit(1)) > 0).alias("seen"))
-    return metrics.settled(s, "t2")
+    """One event a user; state for ten years of event time, so that none is forgotten here."""
+    return metrics.settled(metrics.first_seen(stream(v), "user_id", "3650 days"), folder(v.spark, "t2"), "append").select("user_id")
 
 
 @reg("t3_one_pass_stream", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
 def t3(v):
-    return metrics.settled(metrics.moments(stream(v)), "t3").withColumn("total", F.round("total", 4))
+    return metrics.settled(metrics.moments(stream(v)), folder(v.spark, "t3")).withColumn("total", F.round("total", 4))
 
 
 @reg("t4_best_so_far_stream", "SELECT event_type, arg_min(event_id, (-value, event_id)) AS event_id, max(value) AS value FROM events GROUP BY event_type")
 def t4(v):
-    return metrics.settled(metrics.best_so_far(stream(v)), "t4")
+    return metrics.settled(metrics.best_so_far(stream(v)), folder(v.spark, "t4"))
 
 
 @reg("t_windowed_stream", "SELECT CAST(date_trunc('day', ts) AS DATE)::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def t_windowed(v):
-    w = metrics.settled(metrics.windowed(stream(v)), "tw")
+    w = metrics.settled(metrics.windowed(stream(v)), folder(v.spark, "tw"))
     return w.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

@@ -15,15 +15,28 @@ def coco_documents(images: DataFrame, annotations: DataFrame, by: str) -> DataFr
     return i.join(a, by, "left").select(by, F.to_json(F.struct(info, "images", F.coalesce("annotations", F.array()).alias("annotations"))).alias("document"))
 
 
-def feature_lines(dets: DataFrame) -> DataFrame:
-    """One GeoJSON feature a detection, coordinates of its closed ring first."""
+def feature_lines(dets: DataFrame, *keep: str) -> DataFrame:
+    """One GeoJSON feature a detection (`value`), and the columns to keep beside it."""
     corner = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0")]
     ring = F.array(*[F.array(F.col(x).cast("double"), F.col(y).cast("double")) for x, y in corner])
     geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
     properties = F.struct("det_id", "score", "cls")
-    return dets.select(F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))).alias("value"))
+    return dets.select(*keep, F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))).alias("value"))
 
 
 def write_pooled(df: DataFrame, path: str, *by: str) -> None:
     """Parquet below one folder a split and area."""
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def write_text(df: DataFrame, value: str, path: str, *by: str) -> str:
+    """A column as text files, below a folder for each value of `by`."""
+    out = df.select(*by, value).write.mode("overwrite")
+    (out.partitionBy(*by) if by else out).text(path)
+    return path
+
+
+def collections(lines: DataFrame, by: str) -> DataFrame:
+    """by and one GeoJSON feature collection of the feature lines (`value`) of each value; without a crs of its own."""
+    joined = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.sort_array(F.collect_list("value")), ","), F.lit("]}"))
+    return lines.groupBy(by).agg(joined.alias("document"))

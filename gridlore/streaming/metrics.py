@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gridlore.sources.jobs import existing
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -15,27 +17,23 @@ def events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFr
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def drain(stream: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Metric events to a sink once each: only iterations over the last written, which then advances.
+def drain(stream: DataFrame, path: str, state: str = "state") -> StreamingQuery:
+    """Metric events to Parquet below path once each: only iterations over the last written, which then advances.
 
-    The mark lives beside the query's checkpoint, so a restart does not write again."""
+    A batch writes to a folder of its own name, and its mark beside it, so that a batch that is run again after a
+    failure replaces what it wrote. Another `state` replays the stream: the marks of the earlier run hold it off."""
     spark = stream.sparkSession
-    mark = f"{checkpoint}/mark"
-
-    def write(batch: DataFrame, _: int) -> None:
-        try:
-            last = spark.read.parquet(mark).agg(F.max("last")).first()[0]
-        except Exception as e:  # the first batch has no mark
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            last = None
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = f"run={state}-{number}"
+        marks = existing(spark, f"{path}/marks")
+        last = marks.where(F.col("run") != own.removeprefix("run=")).agg(F.max("last")).first()[0] if marks is not None else None
         fresh = batch if last is None else batch.where(F.col("iteration") > last)
-        top = fresh.agg(F.max("iteration").alias("last")).first()[0]
-        if top is not None:
-            sink(fresh)
-            spark.createDataFrame([(top,)], "last long").write.mode("append").parquet(mark)
+        fresh.write.mode("overwrite").parquet(f"{path}/events/{own}")
+        top = spark.read.parquet(f"{path}/events/{own}").agg(F.max("iteration").alias("last")).where("last is not null")
+        top.write.mode("overwrite").parquet(f"{path}/marks/{own}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/{state}").trigger(availableNow=True).start()
 
 
 def first_seen(stream: DataFrame, key: str, delay: str = "1 day") -> DataFrame:
@@ -56,11 +54,14 @@ def windowed(stream: DataFrame, width: str = "1 day", delay: str = "2 days") ->
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def settled(frame: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """The result table of a stream over all that is there now."""
-    import uuid
+def settled(frame: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """The result table of a stream over all that is there now, in files below path.
+
+    In complete mode a batch replaces the table; in append mode it adds a folder of its own name."""
+    run = uuid.uuid4().hex[:12]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{run}/table" + (f"/batch={number}" if mode == "append" else ""))
 
-    name = f"{name}_{uuid.uuid4().hex[:8]}"
-    query = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return frame.sparkSession.table(name)
+    frame.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/{run}/state").trigger(availableNow=True).start().awaitTermination()
+    return frame.sparkSession.read.schema(frame.schema).parquet(f"{path}/{run}/table")

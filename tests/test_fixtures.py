@@ -94,13 +94,17 @@ def test_registry_order():
 
 
 def test_drain_writes_once(spark, tmp_path):
-    src, got = tmp_path / "in", []
-    rows = [(i, None, i % 3, "a", float(i), None) for i in range(10)]
-    spark.createDataFrame(rows, metrics.EVENTS).coalesce(1).write.parquet(str(src))
-    for _ in range(2):
+    src, path = tmp_path / "in", f"file://{tmp_path}/out"
+    rows = lambda ids: spark.createDataFrame([(i, None, i % 3, "a", float(i), None) for i in ids], metrics.EVENTS).coalesce(1)
+    written = lambda: sorted(r.iteration for r in spark.read.parquet(f"{path}/events").select("iteration").collect())
+    rows(range(10)).write.parquet(str(src))
+    for state in ("state", "state", "again"):  # run again, then replayed without the state
         s = metrics.events(spark, str(src)).withColumn("iteration", F.col("event_id"))
-        metrics.drain(s, lambda b: got.extend(r.iteration for r in b.collect()), str(tmp_path / "ck")).awaitTermination()
-    assert sorted(got) == list(range(10))
+        metrics.drain(s, path, state).awaitTermination()
+        assert written() == list(range(10))
+    rows([3, 9, 12, 15]).write.mode("append").parquet(str(src))
+    metrics.drain(metrics.events(spark, str(src)).withColumn("iteration", F.col("event_id")), path, "again").awaitTermination()
+    assert written() == [*range(10), 12, 15]
 
 
 def test_ceiling():
