@@ -68,3 +68,30 @@ def test_sorts_and_membership_keep_all_rows(spark):
     assert len(rows) > 100 and {r.rank: r.det_id for r in got} == {i: r[3] for i, r in enumerate(rows, 1)}
     tiles = {(r.aoi, "train" if r.tile_id % 5 else "val", r.tile_id) for r in v.tiles().collect()}
     assert {tuple(r) for r in q["k9_membership_record"](spark, sf).select("aoi", "split", "tile_id").collect()} == tiles
+
+
+def test_principal_components_and_clusters_equal_numpy(spark):
+    x = np.array([r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()], float)
+    _, _, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    norms = [r.norm for r in catalog.queries()["c6_principal_components"](spark, SF).orderBy("vec_id").collect()]
+    assert np.allclose(norms, np.linalg.norm(x @ v[:8].T, axis=1), rtol=1e-6)
+    at = np.array([r.cluster for r in catalog.queries()["c7_clusters"](spark, SF).orderBy("vec_id").collect()])
+    centres = np.array([x[at == k].mean(axis=0) for k in range(10)])
+    near = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+    assert (near.argmin(axis=1) == at).mean() > 0.9  # settled but for the last of its rounds
+    assert near.min(axis=1).sum() < 0.99 * ((x - x.mean(axis=0)) ** 2).sum()
+
+
+def test_welch_p_equals_simulation_free_integral(spark):
+    rows = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").select("event_type", "value").collect():
+        rows.setdefault(r.event_type, []).append(r.value)
+    for r in catalog.queries()["a23_welch_p"](spark, SF).collect():
+        a, b = np.array(rows[r.a]), np.array(rows[r.b])
+        va, vb = a.var(ddof=1) / len(a), b.var(ddof=1) / len(b)
+        t, df = abs((a.mean() - b.mean()) / np.sqrt(va + vb)), (va + vb) ** 2 / (va**2 / (len(a) - 1) + vb**2 / (len(b) - 1))
+        y = np.linspace(0, t, 200_001)
+        f = (1 + y * y / df) ** (-(df + 1) / 2)
+        whole = np.linspace(0, 200, 2_000_001)
+        g = (1 + whole * whole / df) ** (-(df + 1) / 2)
+        assert abs(r.p - (1 - np.trapezoid(f, y) / np.trapezoid(g, whole))) < 1e-5
