@@ -144,16 +144,21 @@ def map_groups(df: DataFrame, keys: list[str], schema: StructType | str, start:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, kind)
 
 
+def map_whole(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Arrow batches with all columns of df, in their order, through a function that returns such batches. Names may be any."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(each, plain.schema).toDF(*df.columns)
+
+
 def replace_columns(df: DataFrame, names: list[str], start: Callable[[], Callable[..., list]], rows: int = 2000) -> DataFrame:
     """As map_columns, but only the named columns go through the function; the others stay as they are."""
-    kind = df.schema
+    at = [df.columns.index(n) for n in names]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
             for i in range(0, batch.num_rows, rows):
                 part = batch.slice(i, rows)
-                at = [part.schema.get_field_index(n) for n in names]
                 arrays = list(part.columns)
                 for k, column in zip(at, work(*(arrays[k].to_pylist() for k in at)), strict=True):
                     arrays[k] = pa.array(column, arrays[k].type)
@@ -161,7 +166,7 @@ def replace_columns(df: DataFrame, names: list[str], start: Callable[[], Callabl
         work = batch = part = arrays = None
         give_back()
 
-    return df.mapInArrow(each, kind)
+    return map_whole(df, each)
 
 
 def stored_bytes(df: DataFrame) -> int:

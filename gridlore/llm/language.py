@@ -178,11 +178,10 @@ def predict(docs: DataFrame) -> DataFrame:
 
 def accept(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents in which a language is found with at least that score, with all their columns."""
-    model = learn(docs)
+    model, at = learn(docs), docs.columns.index("text")
 
     def each(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 _, score = model.pooled(part.column(at).to_pylist())
@@ -190,7 +189,7 @@ def accept(docs: DataFrame, least: float = 0.3) -> DataFrame:
         batch = part = None
         common.give_back()
 
-    return docs.mapInArrow(each, docs.schema)
+    return common.map_whole(docs, each)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
