@@ -204,6 +204,15 @@ def c11(v):
     return v.tiles().orderBy(F.md5(F.concat(F.lit("5:"), F.col("tile_id"))), "tile_id").limit(100).select("tile_id")
 
 
+#: Rows of a block that meets other blocks in one task.
+BLOCK = 4000
+
+
+def blocks(rows: DataFrame) -> int:
+    """How many blocks these rows are dealt into, by their number."""
+    return 1 + rows.count() // BLOCK
+
+
 DOT = "list_aggregate(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE), 'sum')"
 SIM = {"e": "SELECT vec_id, embedding, vec_id % 5 = 0 AS val, sqrt(list_aggregate(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE), 'sum')) AS norm FROM embeddings",
        "best": f"SELECT a.vec_id, max({DOT} / (a.norm * b.norm)) AS sim FROM e a JOIN e b ON a.val AND NOT b.val GROUP BY a.vec_id"}
@@ -215,9 +224,11 @@ def nearest_train(v) -> DataFrame:
     import pandas as pd
 
     e = v.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), (F.col("vec_id") % 5 == 0).alias("val"))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int")
-    q = e.where("val").withColumns({"i": part, "j": F.explode(F.sequence(F.lit(0), F.lit(7)))})
-    t = e.where("not val").withColumns({"j": part, "i": F.explode(F.sequence(F.lit(0), F.lit(7)))})
+    ni, nj = blocks(e.where("val")), blocks(e.where("not val"))
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = e.where("val").withColumns({"i": part(ni), "j": every(nj)})
+    t = e.where("not val").withColumns({"j": part(nj), "i": every(ni)})
 
     def block(f: pd.DataFrame) -> pd.DataFrame:
         a, b = f[f["val"]], f[~f["val"]]
@@ -253,7 +264,8 @@ def edges(v) -> DataFrame:
     import pandas as pd
 
     s = v.pixels().where("c in (0, 7)").groupBy("tile", "c").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("x"))
-    part, every = F.pmod(F.xxhash64("tile"), F.lit(8)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(7)))
+    n = blocks(v.pixels().select("tile").distinct())
+    part, every = F.pmod(F.xxhash64("tile"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     both = s.where("c = 7").withColumns({"i": part, "j": every}).unionByName(s.where("c = 0").withColumns({"j": part, "i": every}))
     names = ["side", "tile", "rho", "other", "n", "t", "q"]
 
