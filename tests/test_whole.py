@@ -95,3 +95,18 @@ def test_welch_p_equals_simulation_free_integral(spark):
         whole = np.linspace(0, 200, 2_000_001)
         g = (1 + whole * whole / df) ** (-(df + 1) / 2)
         assert abs(r.p - (1 - np.trapezoid(f, y) / np.trapezoid(g, whole))) < 1e-5
+
+
+def test_balanced_folds_equal_a_plain_loop(spark):
+    counts = {}
+    for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("label", "vec_id").collect():
+        own = counts.setdefault(r.label, [0, 0, 0, 0])
+        own[0] += 1
+        own[1 + r.vec_id % 3] += 1
+    fill, want = [[0, 0, 0, 0] for _ in range(5)], {}
+    for label, own in sorted(counts.items(), key=lambda c: (-c[1][0], c[0])):
+        cost = [sum((a + b) ** 2 - a * a for a, b in zip(f, own, strict=True)) for f in fill]
+        fold = cost.index(min(cost))
+        fill[fold] = [a + b for a, b in zip(fill[fold], own, strict=True)]
+        want[label] = fold
+    assert {r.label: r.fold for r in catalog.queries()["c9_balanced_folds"](spark, SF).collect()} == want
