@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm import dedup, language, mixing, packing, pages, pii, quality, sharding, vectors, warc
+from gridlore.llm import asof, dedup, language, mixing, packing, pages, pii, quality, sharding, vectors, warc
 
 
 #: All pairs by label and cosine, then the least vector reachable over links.
@@ -41,8 +41,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": warc.op8,
         "op9_html_extraction": pages.op9,
         "op10_quality_rules": quality.op10,
+        "op12_tolerant_asof_join": asof.op12,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": VECTORS, "op4_minhash_near_dedup": SHINGLES, "op8_warc": warc.ORACLE, "op10_quality_rules": quality.oracle()}
+    return {"op2_embedding_near_dedup": VECTORS, "op4_minhash_near_dedup": SHINGLES, "op8_warc": warc.ORACLE, "op10_quality_rules": quality.oracle(), "op12_tolerant_asof_join": asof.ORACLE}
