@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlore.llm import asof, dedup, language, lines, mixing, packing, pages, pii, quality, sharding, vectors, warc
+from gridlore.llm import asof, dedup, language, lines, mixing, negatives, packing, pages, pii, quality, sharding, vectors, warc
 
 
 #: All pairs by label and cosine, then the least vector reachable over links.
@@ -43,8 +43,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": quality.op10,
         "op11_line_dedup": lines.op11,
         "op12_tolerant_asof_join": asof.op12,
+        "op13_hard_negatives": negatives.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": VECTORS, "op4_minhash_near_dedup": SHINGLES, "op8_warc": warc.ORACLE, "op10_quality_rules": quality.oracle(), "op11_line_dedup": lines.ORACLE, "op12_tolerant_asof_join": asof.ORACLE}
+    return {"op2_embedding_near_dedup": VECTORS, "op4_minhash_near_dedup": SHINGLES, "op8_warc": warc.ORACLE, "op10_quality_rules": quality.oracle(), "op11_line_dedup": lines.ORACLE, "op12_tolerant_asof_join": asof.ORACLE, "op13_hard_negatives": negatives.ORACLE}
