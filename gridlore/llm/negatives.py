@@ -126,7 +126,7 @@ class Block:
         for level in range(self.depth):
             ends = self.spans(level)
             for s, e in zip(ends[:-1], ends[1:], strict=True):
-                rows = order[s:e]
+                rows = order[s:e].copy()
                 i, d = vantage(self.space, self.x[rows], extra[rows])
                 by = np.argsort(d, kind="stable")
                 m = (s + e) // 2 - s
