@@ -8,7 +8,9 @@ and do not overlap; a match that fails its validation is dropped and not tried a
 The kinds email, ip, card and phone are the base. The method adds `address` (a scheme's address that names
 a user or carries an identifying parameter) and `account` (an IBAN, SSN or account number after a cue).
 Offsets are code points, ends exclusive. A null text is empty and has no spans; null ids and repeated rows
-are kept; texts of any length are scanned whole; an empty table gives an empty result.
+are kept; texts of any length are scanned whole, in time proportional to their length; an empty table gives an
+empty result. Spans that start together come in the order of the kinds, ties in the table are rows each. Other
+columns are ignored by find; clean returns all of them, in their order and under their names.
 """
 
 from __future__ import annotations
@@ -121,9 +123,10 @@ class Finder:
                 if start < last and (m := DOMAIN.match(text, last + 1)):
                     keep("email", start, m.end(), True)
             elif kind == "scheme":
-                m, rest = SCHEME.search(text[max(0, last - 18) : last - 2]), ADDRESS.match(text, last + 1)
+                m = SCHEME.search(text[max(0, last - 18) : last - 2])
                 start = last - 2 - len(m[0]) if m else -1
-                if m and rest and start >= upto["address"]:
+                # What an earlier address covers is not matched again: a run of characters is read once.
+                if start >= upto["address"] and (rest := ADDRESS.match(text, last + 1)):
                     found = rest[0].rstrip(".,;:!?)]")
                     host, slash, path = found.partition("/")
                     keep("address", start, last + 1 + len(found), "@" in host or bool(NAMES.search(slash + path)))

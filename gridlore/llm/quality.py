@@ -8,7 +8,10 @@ exactly in any order, and one language and source needs a bounded number of buck
 
 Fences are ratios, for shares vary by factors: above, q75 * (q75 / q50) ** reach, and below, for rules with two tails,
 q25 * (q25 / q50) ** reach, of the document's own language and source. No cutoff is fixed: a group whose texts vary
-more has wider fences. Groups of under `LEAST` documents use the merged sketch of their language, then that of the
+more has wider fences. Where most texts have none of what a rule counts, quartiles say more of the texts' lengths than of
+the rule, so parts of a whole have a second sketch, of the texts that have any: no fence above is further than
+halfway, by factors, from the upper quartile of those (or of all, if that is larger) to the whole, and so none is out of
+reach. A sketch of under `LEAST` documents gives way to the merged one of its language, then to that of the
 corpus. The verdict is a join of the documents' features with the thresholds.
 
 A null text is an empty one: no words, so base_failed. Very long texts are read whole; counts are 64-bit. Null
@@ -37,6 +40,8 @@ RULES = {
     "capitals": ("n_capitals", "word_chars", 6, None),
     "word_length": ("word_chars", "n_words", 6, 6),
 }
+#: Rules whose share is part of a whole, which no share exceeds.
+PARTS = [k for k in RULES if k != "word_length"]
 SCALE, LEAST = 1_000_000_000, 30
 
 
@@ -96,7 +101,7 @@ def share(n: str, d: str) -> str:
 def fine(rule: str) -> str:
     """SQL of the test of a text's values against its fences. A fence lies within a bucket, and one count is forgiven."""
     n, d, _, down = RULES[rule]
-    least = share(n, d).replace(f"({n} + 1)", f"greatest({n}, 1)")
+    least = share(n, d).replace(f"({n} + 1)", n)
     below = "" if down is None else f" AND {share(n, d)} >= below_{rule}"
     return f"{least} - ({least} >> {BITS - 1}) <= above_{rule}{below}"
 
@@ -105,10 +110,15 @@ def native(sql: str) -> Column:
     return F.expr(sql.replace("//", "div"))
 
 
+def some(n: str, d: str) -> str:
+    """SQL of a rule's value where it is not zero, null elsewhere."""
+    return f"CASE WHEN {n} > 0 THEN {n} * CAST({SCALE} AS BIGINT) // greatest({d}, 1) END"
+
+
 def sketches(rows: DataFrame) -> DataFrame:
-    """lang, source, rule, bucket, n: one mergeable sketch a language, source and rule."""
-    rules = F.array(*(F.struct(F.lit(k).alias("rule"), native(share(n, d)).alias("v")) for k, (n, d, *_) in RULES.items()))
-    each = rows.select("lang", "source", F.inline(rules))
+    """lang, source, rule, bucket, n: one mergeable sketch a language, source and rule, and of a part's texts that have any (rule+)."""
+    values = [(k, share(n, d)) for k, (n, d, *_) in RULES.items()] + [(f"{k}+", some(*RULES[k][:2])) for k in PARTS]
+    each = rows.select("lang", "source", F.inline(F.array(*(F.struct(F.lit(k).alias("rule"), native(v).alias("v")) for k, v in values)))).where("v is not null")
     return each.groupBy("lang", "source", "rule", bucket(F.col("v")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -123,7 +133,7 @@ def fence(quartile, middle, reach: int):
 def fences(sketch: DataFrame) -> DataFrame:
     """lang, source and a fence a rule, from the finest sketch with LEAST documents."""
     levels = {"own": ["lang", "source"], "language": ["lang"], "corpus": []}
-    found = sketch.select("lang", "source", "rule").distinct()
+    found = sketch.select("lang", "source").distinct().withColumn("rule", F.explode(F.array(*map(F.lit, [*RULES, *(f"{k}+" for k in PARTS)]))))
     for level, keys in levels.items():
         merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*keys, "rule")
@@ -133,11 +143,13 @@ def fences(sketch: DataFrame) -> DataFrame:
         same = F.col("rule") == F.col("__rule")
         for k in keys:
             same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
-        found = found.join(at, same).drop("__rule", *[f"__{k}" for k in keys])
+        found = found.join(at, same, "left").drop("__rule", *[f"__{k}" for k in keys])
     pick = lambda q: F.when(F.col("own_n") >= LEAST, F.col(f"own_{q}")).when(F.col("language_n") >= LEAST, F.col(f"language_{q}")).otherwise(F.col(f"corpus_{q}"))
     one = found.select("lang", "source", "rule", *(pick(q).alias(f"q{q}") for q in (25, 50, 75)))
     of = lambda k, c: F.max(F.when(F.col("rule") == k, c))
-    above = [of(k, fence(F.col("q75"), F.col("q50"), up)).alias(f"above_{k}") for k, (_, _, up, _) in RULES.items()]
+    half = lambda k: F.sqrt(F.greatest(of(k, F.col("q75")), F.coalesce(of(f"{k}+", F.col("q75")), F.lit(0.0))) * F.lit(float(SCALE)))
+    limit = lambda k, up: F.least(of(k, fence(F.col("q75"), F.col("q50"), up)), *([half(k)] if k in PARTS else []), F.lit(float("inf")))
+    above = [limit(k, up).alias(f"above_{k}") for k, (_, _, up, _) in RULES.items()]
     below = [of(k, fence(F.col("q25"), F.col("q50"), down)).alias(f"below_{k}") for k, (_, _, _, down) in RULES.items() if down is not None]
     return one.groupBy("lang", "source").agg(*above, *below)
 
@@ -146,11 +158,11 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_failed, kept. Features are written once; sketches and verdicts read them."""
     tables = common.Tables()
     rows = tables(features(docs), "features")
-    limits = fences(tables(sketches(rows), "sketches"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    limits = fences(tables(sketches(rows.where(~failed)), "sketches"))  # of the texts that the verdict is about
     limits = tables(limits.withColumnsRenamed({"lang": "__lang", "source": "__source"}), "fences")
     tables.drop_but(rows, limits)
     joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return joined.select(*columns, failed.alias("base_failed"), (~failed & native(" AND ".join(map(fine, RULES)))).alias("kept"))
 
@@ -160,13 +172,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    rules = "\n".join(f"UNION ALL SELECT lang, source, '{k}' AS rule, {share(n, d)} AS v FROM f" for k, (n, d, *_) in RULES.items()).removeprefix("UNION ALL ")
+    values = [(k, share(n, d)) for k, (n, d, *_) in RULES.items()] + [(f"{k}+", some(*RULES[k][:2])) for k in PARTS]
+    rules = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {v} AS v FROM f WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)" for k, v in values)
     quartiles = ", ".join(f"min(bucket) FILTER (upto * 4 >= total * {k})::DOUBLE AS q{25 * k}" for k in (1, 2, 3))
     level = lambda name, keys: f"""{name} AS (SELECT {keys} rule, max(total) AS n, {quartiles} FROM (
         SELECT {keys} rule, bucket, sum(n) OVER (PARTITION BY {keys} rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys} rule) AS total
         FROM (SELECT {keys} rule, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL)"""
     limit = lambda q, reach: " * ".join([q, *[f"({q} / q50)"] * reach])
-    limits = ", ".join(f"max({limit('q75', up)}) FILTER (rule = '{k}') AS above_{k}" + (f", max({limit('q25', down)}) FILTER (rule = '{k}') AS below_{k}" if down is not None else "") for k, (_, _, up, down) in RULES.items())
+    half = lambda k: f", sqrt(greatest(max(q75) FILTER (rule = '{k}'), coalesce(max(q75) FILTER (rule = '{k}+'), 0)) * {SCALE}::DOUBLE)" if k in PARTS else ""
+    limits = ", ".join(f"least(max({limit('q75', up)}) FILTER (rule = '{k}'){half(k)}, 'inf'::DOUBLE) AS above_{k}" + (f", max({limit('q25', down)}) FILTER (rule = '{k}') AS below_{k}" if down is not None else "") for k, (_, _, up, down) in RULES.items())
     return f"""
     WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
     l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
@@ -178,11 +192,13 @@ def oracle() -> str:
                  CAST(length(text) - length(translate(text, '{CAPITALS}', '')) AS BIGINT) AS n_capitals, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
           FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
     sketch AS (SELECT lang, source, rule, (v >> greatest(length(bin(v)) - {BITS}, 0)) << greatest(length(bin(v)) - {BITS}, 0) AS bucket, count(*) AS n FROM (
-          {rules}) GROUP BY ALL),
+          {rules}) WHERE v IS NOT NULL GROUP BY ALL),
     {level("own", "lang, source,")}, {level("language", "lang,")}, {level("corpus", "")},
-    picked AS (SELECT o.lang, o.source, o.rule, {", ".join(f"CASE WHEN o.n >= {LEAST} THEN o.q{q} WHEN g.n >= {LEAST} THEN g.q{q} ELSE c.q{q} END AS q{q}" for q in (25, 50, 75))}
-               FROM own o JOIN language g ON o.lang IS NOT DISTINCT FROM g.lang AND o.rule = g.rule JOIN corpus c ON o.rule = c.rule),
+    base AS (SELECT * FROM (SELECT DISTINCT lang, source FROM sketch), (SELECT DISTINCT rule FROM sketch)),
+    picked AS (SELECT e.lang, e.source, e.rule, {", ".join(f"CASE WHEN o.n >= {LEAST} THEN o.q{q} WHEN g.n >= {LEAST} THEN g.q{q} ELSE c.q{q} END AS q{q}" for q in (25, 50, 75))}
+               FROM base e LEFT JOIN own o ON e.lang IS NOT DISTINCT FROM o.lang AND e.source IS NOT DISTINCT FROM o.source AND e.rule = o.rule
+               LEFT JOIN language g ON e.lang IS NOT DISTINCT FROM g.lang AND e.rule = g.rule LEFT JOIN corpus c ON e.rule = c.rule),
     fences AS (SELECT lang, source, {limits} FROM picked GROUP BY ALL)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND {" AND ".join(map(fine, RULES))} AS kept
-    FROM f JOIN fences ON f.lang IS NOT DISTINCT FROM fences.lang AND f.source IS NOT DISTINCT FROM fences.source"""
+    FROM f LEFT JOIN fences ON f.lang IS NOT DISTINCT FROM fences.lang AND f.source IS NOT DISTINCT FROM fences.source"""

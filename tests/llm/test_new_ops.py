@@ -218,3 +218,76 @@ def test_query_results_hash(spark, tmp_path):
     spark.createDataFrame([(1, "a\n" * 3), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in lines.op11(spark, str(tmp_path)).collect()}
     assert got == {1: (4, 0, hashlib.sha256(b"a\na\na\n").hexdigest()), 2: (1, 0, hashlib.sha256(b"").hexdigest())}
+
+
+ADVERSE = ["a://", "a1://b@", "://", "a@", "a@b.", "@", "+1", "+1(", "+1 -", "1 ", "1-", "1.", "1.1.1.", "1111.", "iban 1", "iban-1", "ssn:1 a1 ", "account no 12 ", "iban DE12 AB34 ", "a", "1", "a.b-", "user=x&", "http://a/?user=", ")", "a://b)"]
+
+
+@pytest.mark.parametrize("unit", ADVERSE)
+def test_pii_takes_time_in_proportion_to_the_text(unit):
+    import time
+
+    from gridlore.llm import pii
+
+    find = pii.Finder()
+
+    def seconds(size):
+        text, best = unit * (size // len(unit)), float("inf")
+        for _ in range(2):
+            begin = time.perf_counter()
+            find(text)
+            best = min(best, time.perf_counter() - begin)
+        return best
+
+    small, large = seconds(125_000), seconds(1_000_000)
+    assert large < 4 * 8 * small + 0.2 and large < 20
+
+
+def test_pii_of_covered_addresses():
+    from gridlore.llm import pii
+
+    assert pii.Finder()("x a://u@b://c@d. e://f@g") == [(2, 15, "address"), (17, 24, "address")]
+
+
+def test_every_quality_rule_removes_what_is_planted_and_spares_the_rest(spark):
+    """Each rule on its own finds a planted text among clean ones, most of which have none of what it counts."""
+    from gridlore.llm import quality
+
+    r, rows = random.Random(21), []
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randint(3, 8)))
+
+    def prose(n, lines=8):
+        words = [word() for _ in range(n)]
+        return "\n".join(" ".join(words[i * n // lines : (i + 1) * n // lines]) for i in range(lines))
+
+    for i in range(400):
+        text = prose(r.randint(60, 500), r.randint(3, 20))
+        if i % 20 == 0:
+            text += "\n" + text.split("\n")[0]  # one repeated line
+        if i % 9 == 0:
+            text += "\nof the same kind and of the same kind"
+        if i % 30 == 0:
+            text += " $"
+        rows.append((i, text, "en", f"s{i % 4}"))
+    line = " ".join(word() for _ in range(7))
+    planted = {
+        "symbols": " ".join(word() + "$#" for _ in range(120)),
+        "dup_lines": "\n".join([word() + " ok"] * 60 + [prose(100, 1)]),
+        "repeats": prose(90, 6) + "\n" + "\n".join(f"{line} {word()} {word()} {word()}" for _ in range(20)),
+        "capitals": prose(200).upper(),
+        "word_length": " ".join(word() * 8 for _ in range(120)),
+    }
+    rows += [(1000 + i, t, "en", "s0") for i, t in enumerate(planted.values())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    facts = quality.features(df)
+    limits = quality.fences(quality.sketches(facts))
+    verdicts = facts.join(limits, ["lang", "source"]).select("doc_id", *(quality.native(quality.fine(k)).alias(k) for k in quality.RULES)).collect()
+    by = {v.doc_id: v for v in verdicts}
+    for i, k in enumerate(planted):
+        assert not by[1000 + i][k], k
+    for k in quality.RULES:
+        assert sum(not by[i][k] for i in range(400)) <= 4, k
+    kept = {g.doc_id: (g.kept, g.base_failed) for g in quality.judge(df).collect()}
+    assert all(kept[1000 + i] == (False, False) for i, k in enumerate(planted) if k != "dup_lines")
+    for f in limits.collect():
+        assert all(f[f"above_{k}"] < quality.SCALE for k in quality.PARTS)
