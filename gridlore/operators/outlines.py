@@ -30,12 +30,12 @@ def edges(mask: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rings(mask: DataFrame, keys: list[str], part: str | None = None) -> DataFrame:
-    """keys, part, ring, area, points, border, inner_x, inner_y: the loops around the set pixels (r, c) of each group, eight-connected.
+    """keys, part, ring, area, points, border, px, py: the loops around the set pixels (r, c) of each group, eight-connected.
 
     With `part` (a whole number, as a component's label) pixels of different parts of a group are no neighbours.
 
     points runs along pixel edges, corners only; area is signed, holes are negative. border runs through the centres
-    of the pixels the loop goes by, as border following does, corners only; inner is the first of them. A group's
+    of the pixels the loop goes by, as border following does, corners only; (px, py) is the centre of the first of them. A group's
     edges are chained in one call on whole arrays, so a group should be a tile."""
     kinds = dict(mask.dtypes)
     arrow = pa.schema([(k, pa.int64() if kinds[k] == "bigint" else pa.int32() if kinds[k] == "int" else pa.string()) for k in keys])
@@ -58,10 +58,10 @@ def rings(mask: DataFrame, keys: list[str], part: str | None = None) -> DataFram
 
         n = len(begins)
         same = {k: pa.array([table[k][0].as_py()] * n, arrow.field(k).type) for k in keys} | ({part: pa.array(own[begins], pa.int64())} if part else {})
-        rest = {"ring": pa.array(np.arange(n), pa.int32()), "area": pa.array(np.add.reduceat(cross, begins) / 2), "points": lists(start), "border": lists(pixel), "inner_x": pa.array(pixel[begins, 0], pa.int32()), "inner_y": pa.array(pixel[begins, 1], pa.int32())}
+        rest = {"ring": pa.array(np.arange(n), pa.int32()), "area": pa.array(np.add.reduceat(cross, begins) / 2), "points": lists(start), "border": lists(pixel), "px": pa.array(pixel[begins, 0] + 0.5), "py": pa.array(pixel[begins, 1] + 0.5)}
         return pa.table(same | rest)
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + (f", {part} long" if part else "") + f", ring int, area double, points {POINTS}, border {POINTS}, inner_x int, inner_y int"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + (f", {part} long" if part else "") + f", ring int, area double, points {POINTS}, border {POINTS}, px double, py double"
     return edges(mask, [*keys, part] if part else keys).groupBy(*keys).applyInArrow(each, schema)
 
 
@@ -75,9 +75,9 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
 def polygons(found: DataFrame, keys: list[str]) -> DataFrame:
     """keys, ring, exterior, holes, area (holes taken off): each hole under the smallest outer ring that contains it.
 
-    The pixel beside a hole is in the mask, so it lies strictly inside its outer ring. Rings of a group meet by their keys."""
+    found has a point (px, py) beside each hole's edge, strictly inside its outer ring. Rings of a group meet by their keys."""
     outer = found.where("area > 0").select(*keys, "ring", F.col("points").alias("exterior"), F.col("area").alias("own"))
-    hole = found.where("area < 0").select(*keys, F.col("ring").alias("hole"), "points", (F.col("inner_x") + 0.5).alias("px"), (F.col("inner_y") + 0.5).alias("py"), F.col("area").alias("less"))
+    hole = found.where("area < 0").select(*keys, F.col("ring").alias("hole"), "points", "px", "py", F.col("area").alias("less"))
     over = outer.join(hole, keys).where(inside(F.col("px"), F.col("py"), F.col("exterior")))
     first = Window.partitionBy(*keys, "hole").orderBy("own", "ring")
     nested = over.withColumn("k", F.row_number().over(first)).where("k = 1").groupBy(*keys, "ring").agg(F.sort_array(F.collect_list(F.struct("hole", "points"))).alias("h"), F.sum("less").alias("less"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlore.functions import rings
 from gridlore.operators import outlines as O
+from gridlore.operators import polygons
 from gridlore.operators import raster as R
 from gridlore.plans.rasters import COMP, components
 from gridlore.plans.registry import Registry
@@ -35,11 +37,11 @@ def g5(v):
 
     SQL has them from 2 x 2 windows: Euler's number, convex and concave corners, and sides without a neighbour."""
     found = O.rings(mask(v), ["tile"])
-    polygons = O.polygons(found, ["tile"])
+    nested = O.polygons(found, ["tile"])
     after = F.concat(F.slice("points", 2, F.size("points")), F.slice("points", 1, 1))
     length = F.aggregate(F.zip_with("points", after, lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])), F.lit(0.0), lambda s, x: s + x)
     sizes = found.groupBy("tile").agg(F.sum(F.size("points")).cast("long").alias("corners"), F.sum(length).cast("long").alias("length"))
-    shape = polygons.groupBy("tile").agg(F.count(F.lit(1)).alias("outers"), F.sum(F.size("holes")).cast("long").alias("holes"), F.sum("area").alias("area"))
+    shape = nested.groupBy("tile").agg(F.count(F.lit(1)).alias("outers"), F.sum(F.size("holes")).cast("long").alias("holes"), F.sum("area").alias("area"))
     wrong = O.refilled(found, ["tile"], v.pixels().select("tile", "r", "c", (F.col("v") > 0).alias("m"))).groupBy("tile").agg(F.count_if(F.col("filled") != F.col("m")).alias("differ"))
     return shape.join(sizes, "tile").join(wrong, "tile").select("tile", "outers", "holes", "corners", "area", "length", "differ")
 
@@ -57,3 +59,48 @@ def g6(v):
 def g6_dropped(v):
     """How many borders are kept, and how many dropped for which reason."""
     return O.contours(R.label_components(mask(v), 8, 8)).groupBy(F.coalesce("dropped", F.lit("kept")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def odd_shapes(v):
+    """Rings of every kind from the boxes: plain, crossing itself, open at the top, and traced out and back. Shifted, so that some leave the frame."""
+    x0, y0, x1, y1 = (F.col(n) - 50 for n in ("x0", "y0", "x1", "y1"))
+    xm, ym = x0 + F.floor(F.col("w") / 2), y0 + F.floor(F.col("h") / 2)
+    shape = F.col("gt_id") % 4
+    box = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    eight = [(x0, y0), (xm, y0), (xm, y1), (x1, y1), (x1, ym), (x0, ym)]
+    open_ = [(x0, y0), (x0 + 4, y0), (x0 + 4, y1 - 4), (x1 - 4, y1 - 4), (x1 - 4, y0), (x1, y0), (x1, y1), (x0, y1)]
+    spur = [*box, (x0, ym), (x0 - 5, ym), (x0, ym)]
+    ring = lambda points: F.array(rings.ring(*points))
+    of = F.when(F.col("gt_id") % 101 == 7, None).when(shape == 0, ring(box)).when(shape == 1, ring(eight)).when(shape == 2, ring(open_)).otherwise(ring(spur))
+    return v.gt().select(F.col("tile_id").alias("image"), F.col("gt_id").alias("id"), of.alias("rings"))
+
+
+CLIPPED = """SELECT gt_id, shape, a, ax0, ay0, ax1, ay1 FROM (
+    SELECT gt_id, shape, greatest(ax1 - ax0, 0) * greatest(ay1 - ay0, 0) AS a, ax0, ay0, ax1, ay1 FROM (
+    SELECT gt_id, shape, greatest(bx0 - 50, 0) AS ax0, greatest(by0 - 50, 0) AS ay0, least(bx1 - 50, 350) AS ax1, least(by1 - 50, 350) AS ay1 FROM (
+        SELECT gt_id, gt_id % 4 AS shape, x0 AS bx0, y0 AS by0, x1 AS bx1, y1 AS by1 FROM gt WHERE gt_id % 4 IN (0, 3)
+        UNION ALL SELECT gt_id, 1, x0, y0, x0 + w // 2, y0 + h // 2 FROM gt WHERE gt_id % 4 = 1
+        UNION ALL SELECT gt_id, 1, x0 + w // 2, y0 + h // 2, x1, y1 FROM gt WHERE gt_id % 4 = 1
+        UNION ALL SELECT gt_id, 2, x0, y0, x0 + 4, y1 - 4 FROM gt WHERE gt_id % 4 = 2
+        UNION ALL SELECT gt_id, 2, x1 - 4, y0, x1, y1 - 4 FROM gt WHERE gt_id % 4 = 2
+        UNION ALL SELECT gt_id, 4, x0, y1 - 4, x1, y1 FROM gt WHERE gt_id % 4 = 2) WHERE gt_id % 101 <> 7)) WHERE a > 0"""
+#: An open shape whose base shows is one piece, with its legs.
+WHOLE = """SELECT gt_id, sum(a) AS a, min(ax0) AS x0, min(ay0) AS y0, max(ax1) AS x1, max(ay1) AS y1 FROM clipped WHERE gt_id IN (SELECT gt_id FROM clipped WHERE shape = 4) GROUP BY gt_id
+    UNION ALL SELECT gt_id, a, ax0, ay0, ax1, ay1 FROM clipped WHERE gt_id NOT IN (SELECT gt_id FROM clipped WHERE shape = 4)"""
+SHAPES = {"clipped": CLIPPED, "whole": WHOLE}
+
+
+def fitted(v):
+    return polygons.fit_to_frame(odd_shapes(v), 350, 350)
+
+
+@reg("g1_fit_to_frame", sql("SELECT gt_id, count(a) AS pieces, coalesce(sum(a), 0)::DOUBLE AS area, min(w.x0)::DOUBLE AS x0, min(w.y0)::DOUBLE AS y0, max(w.x1)::DOUBLE AS x1, max(w.y1)::DOUBLE AS y1 FROM gt LEFT JOIN (SELECT gt_id AS id, a, x0, y0, x1, y1 FROM whole WHERE a > 1) w ON id = gt_id GROUP BY gt_id", "gt", extra=SHAPES))
+def g1_fit(v):
+    return fitted(v).select(F.col("id").alias("gt_id"), F.size("pieces").cast("long").alias("pieces"), "area", "x0", "y0", "x1", "y1")
+
+
+@reg("g1_reasons", sql("""SELECT unnest(['null_geometry', 'repaired', 'outside', 'split', 'dropped', 'slivers']) AS reason, unnest([count(*) FILTER (gt_id % 101 = 7), count(*) FILTER (gt_id % 101 <> 7 AND gt_id % 4 IN (1, 3)),
+        count(*) FILTER (gt_id % 101 <> 7 AND n IS NULL), count(*) FILTER (k > 1), count(*) FILTER (coalesce(k, 0) = 0), CAST(coalesce(sum(n - k), 0) AS BIGINT)]) AS n
+    FROM gt LEFT JOIN (SELECT gt_id AS id, count(*) AS n, count(*) FILTER (a > 1) AS k FROM whole GROUP BY gt_id) ON id = gt_id""", "gt", extra=SHAPES))
+def g1_why(v):
+    return polygons.reasons(fitted(v))
