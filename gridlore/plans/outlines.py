@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridlore.functions import rings
+from gridlore.functions import boxes, rings, runs
+from gridlore.functions.numeric import r6
+from gridlore.operators import matching as M
 from gridlore.operators import outlines as O
 from gridlore.operators import polygons
 from gridlore.operators import raster as R
 from gridlore.plans.rasters import COMP, components
 from gridlore.plans.registry import Registry
-from gridlore.plans.views import sql
+from gridlore.plans.views import greedy_sql, sql
 
 reg = Registry()
 
@@ -104,3 +106,46 @@ def g1_fit(v):
     FROM gt LEFT JOIN (SELECT gt_id AS id, count(*) AS n, count(*) FILTER (a > 1) AS k FROM whole GROUP BY gt_id) ON id = gt_id""", "gt", extra=SHAPES))
 def g1_why(v):
     return polygons.reasons(fitted(v))
+
+
+def instances(df, key: str, shape):
+    """Masks of several rings from boxes: one box, a ring that crosses itself, or two boxes that overlap, which are one instance."""
+    x0, y0, x1, y1 = (F.col(n) + 16 for n in ("x0", "y0", "x1", "y1"))
+    xm, ym = x0 + F.floor((x1 - x0) / 2), y0 + F.floor((y1 - y0) / 2)
+    box = rings.box_ring(x0, y0, x1, y1)
+    eight = rings.ring((x0, y0), (xm, y0), (xm, y1), (x1, y1), (x1, ym), (x0, ym))
+    of = F.when(shape == 0, F.array(box)).when(shape == 1, F.array(eight)).otherwise(F.array(box, rings.box_ring(x0 + 4, y0 + 4, x1 + 4, y1 + 4)))
+    masked = df.withColumns({"runs": runs.filled(of, SIZE, SIZE), "x1": F.col("x1") + 4, "y1": F.col("y1") + 4})
+    return masked.select("tile_id", F.col(key).alias("key"), *[c for c in ("score",) if c in df.columns], "x0", "y0", "x1", "y1", "runs", runs.size("runs").alias("area"))
+
+
+SIZE = 512
+PARTS = """SELECT tile_id, id, score, x0 AS a0, y0 AS b0, x1 AS a1, y1 AS b1 FROM {0} WHERE shape = 0
+    UNION ALL SELECT tile_id, id, score, x0, y0, x0 + (x1 - x0) // 2, y0 + (y1 - y0) // 2 FROM {0} WHERE shape = 1
+    UNION ALL SELECT tile_id, id, score, x0 + (x1 - x0) // 2, y0 + (y1 - y0) // 2, x1, y1 FROM {0} WHERE shape = 1
+    UNION ALL SELECT tile_id, id, score, unnest([x0, x1, x0 + 4]), unnest([y0, y0 + 4, y1]), unnest([x1, x1 + 4, x1]), unnest([y1, y1 + 4, y1 + 4]) FROM {0} WHERE shape = 2"""
+MASKS = {
+    "gs": "SELECT tile_id, gt_id AS id, 1.0 AS score, x0, y0, x1, y1, gt_id % 3 AS shape FROM gt", "ps": "SELECT tile_id, pred_id AS id, score, x0, y0, x1, y1, pred_id // 8 % 3 AS shape FROM pred",
+    "gb": PARTS.format("gs"), "pb": PARTS.format("ps"),
+    "ga": "SELECT id, sum((a1 - a0) * (b1 - b0)) AS area FROM gb GROUP BY id", "pa": "SELECT id, sum((a1 - a0) * (b1 - b0)) AS area FROM pb GROUP BY id",
+    "cand": """SELECT tile_id, pred_id, score, 0 AS pred_cls, gt_id, inter / (pa.area + ga.area - inter)::DOUBLE AS iou FROM (
+        SELECT p.tile_id, p.id AS pred_id, any_value(p.score) AS score, g.id AS gt_id, sum(greatest(least(p.a1, g.a1) - greatest(p.a0, g.a0), 0) * greatest(least(p.b1, g.b1) - greatest(p.b0, g.b0), 0)) AS inter
+        FROM pb p JOIN gb g ON p.tile_id = g.tile_id AND p.a0 < g.a1 AND g.a0 < p.a1 AND p.b0 < g.b1 AND g.b0 < p.b1 GROUP BY ALL) JOIN pa ON pa.id = pred_id JOIN ga ON ga.id = gt_id""",
+}
+
+
+@reg("j6_true_masks", sql("SELECT tile_id, pred_id, gt_id, round(iou, 6) AS iou FROM m", "gt", "pred", extra=MASKS | greedy_sql()[1]))
+def j6(v):
+    """Greedy matches by the IoU of masks that are no boxes: boxes only choose the pairs whose run lists are compared."""
+    g, p = instances(v.gt(), "gt_id", F.col("gt_id") % 3), instances(v.pred(), "pred_id", F.floor(F.col("pred_id") / 8) % 3)
+    side = lambda df, n: df.select("tile_id", *[F.col(c).alias(f"{n}{c}") for c in df.columns if c != "tile_id"])
+    pairs = side(p, "p_").join(side(g, "g_"), "tile_id").where(boxes.meets("p_", "g_")).withColumn("both", runs.shared("p_runs", "g_runs", SIZE * SIZE + 1))
+    iou = F.col("both") / (F.col("p_area") + F.col("g_area") - F.col("both"))
+    cand = pairs.select("tile_id", F.col("p_key").alias("pred_id"), F.col("p_score").alias("score"), F.col("g_key").alias("gt_id"), iou.alias("iou"))
+    return M.greedy(cand, ["tile_id"], F.lit(0.5)).select("tile_id", "pred_id", "gt_id", r6(F.col("iou")).alias("iou"))
+
+
+@reg("g4_polygon_fill", sql("SELECT gt_id, coalesce(CAST(sum(a) AS BIGINT), 0) AS pixels FROM gt LEFT JOIN (SELECT gt_id AS id, a FROM clipped) ON id = gt_id WHERE gt_id % 101 <> 7 GROUP BY gt_id", "gt", extra=SHAPES))
+def g4(v):
+    """Pixels of rings that cross, retrace or leave the frame, filled in one pass over each batch."""
+    return odd_shapes(v).where("rings is not null").select(F.col("id").alias("gt_id"), runs.size(runs.filled("rings", 350, 350)).alias("pixels"))
