@@ -20,6 +20,11 @@ def flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.repeat(np.arange(len(lists)), sizes)
 
 
+def fields(values: pa.StructArray) -> list[np.ndarray]:
+    """The columns of an array of structs, of the part that it shows where it is a slice."""
+    return [np.asarray(v) for v in values.flatten()]
+
+
 def lists(rows: int, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
     return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["b", "e"]))
@@ -60,7 +65,7 @@ def fill(rings: pa.Array, width: int, height: int) -> pa.Array:
     Every side that is not level crosses the rows whose centres it spans; crossings of a ring and row, in order, pair up."""
     ring, row = flat(rings)
     points, of = flat(ring)
-    x, y = (np.asarray(points.field(n)).astype(float) for n in "xy")
+    x, y = (v.astype(float) for v in fields(points))
     n = len(x)
     starts = np.flatnonzero(np.diff(of, prepend=-1))
     after = np.arange(1, n + 1)
@@ -89,7 +94,7 @@ def united(runs, span: int) -> Column:
 
     def each(column: pa.Array) -> pa.Array:
         values, row = flat(column)
-        return lists(len(column), *merge(row, np.asarray(values.field("b")), np.asarray(values.field("e")), span))
+        return lists(len(column), *merge(row, *fields(values), span))
 
     return F.arrow_udf(each, RUNS)(runs)
 
@@ -101,7 +106,7 @@ def shared(a, b, span: int) -> Column:
         parts = []
         for column in (left, right):
             values, row = flat(column)
-            parts.append((row, np.asarray(values.field("b")), np.asarray(values.field("e"))))
+            parts.append((row, *fields(values)))
         return pa.array(overlap(*parts, len(left), span), pa.int64())
 
     return F.arrow_udf(each, "bigint")(a, b)

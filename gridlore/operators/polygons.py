@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlore.functions import chains
+from gridlore.functions import chains, runs
 from gridlore.operators import outlines
 
 GRID = 4096
@@ -125,7 +125,8 @@ def chained(rows: DataFrame) -> DataFrame:
     def each(table: pa.Table) -> pa.Table:
         pieces = table["pieces"].combine_chunks()
         flat, sizes = pieces.flatten(), np.diff(np.asarray(pieces.offsets))
-        start, end = (np.stack([np.asarray(flat.field(f"{e}{v}")) for v in "xy"], axis=1) for e in "ab")
+        ends = runs.fields(flat)  # ax, ay, bx, by
+        start, end = np.stack(ends[:2], axis=1), np.stack(ends[2:], axis=1)
         row = np.repeat(np.arange(len(sizes)), sizes)
         by = np.lexsort((start[:, 0], start[:, 1], row))
         start, end, row = start[by], end[by], row[by]
