@@ -76,8 +76,8 @@ def fill(rings: pa.Array, width: int, height: int) -> pa.Array:
     count = np.maximum(np.clip(np.ceil(high - 0.5), 0, height).astype(np.int64) - first, 0)
     side = np.repeat(np.arange(n), count)
     line = first[side] + np.arange(len(side)) - np.repeat(np.cumsum(count) - count, count)
-    slope = (x[after] - x)[side] / np.where(count[side] > 0, (y[after] - y)[side], 1) if n else np.zeros(0)
-    cross = x[side] + slope * (line + 0.5 - y[side])
+    far = after[side]
+    cross = (x[far] - x[side]) * (line + 0.5 - y[side]) / (y[far] - y[side]) + x[side]
     order = np.lexsort((cross, line, of[side]))
     place = np.clip(np.ceil(cross[order] - 0.5), 0, width).astype(np.int64) + line[order] * width
     kept = merge(row[of[side][order][::2]], place[::2], place[1::2], width * height + 1)
