@@ -291,3 +291,78 @@ def test_every_quality_rule_removes_what_is_planted_and_spares_the_rest(spark):
     assert all(kept[1000 + i] == (False, False) for i, k in enumerate(planted) if k != "dup_lines")
     for f in limits.collect():
         assert all(f[f"above_{k}"] < quality.SCALE for k in quality.PARTS)
+
+
+GOING = ["user-comments", "reader-comments", "comment-thread", "comment-respond", "commentlist", "fb-comments", "disqus_thread", "replies", "ad-placeholder", "adsbygoogle", "cookie-law-info", "related-stories", "social-icons", "comment-17"]
+STAYING = ["share-price", "side-by-side", "notice-period", "ad-hoc", "cookie-recipe", "comment-on-policy", "social-history", "related-work", "reply-rate", "post-content", "header-text", "alert-level", "story-body"]
+
+
+def extracted(spark, pages_of):
+    from gridlore.llm import pages
+
+    df = spark.createDataFrame(pages_of, "page_id long, url string, html string")
+    return {g.page_id: g.text for g in pages.extract(df).collect()}
+
+
+def test_pages_keep_every_main_and_all_of_the_article():
+    from gridlore.llm import pages
+
+    text = lambda h: pages.main_text(pages.parse(h), set())
+    assert text("<main><p>one one</p></main><main><p>two two</p></main>") == "one one\ntwo two"
+    assert text("<main>a<main>b</main></main>") == "a\nb"
+    assert text("<p>Energy is <math>E=mc2</math> always") == "Energy is E=mc2 always"
+    for tag in ("noscript", "video", "audio", "object", "canvas", "svg", "dialog", "xmp"):
+        assert text(f"<article><p>a</p><{tag}>b</{tag}><p>c</p></article>").split() == ["a", "b", "c"], tag
+    assert text("<article><p hidden>a</p><p style='display:none'>b</p></article>") == "a\nb"
+    assert text("<article><div class='header-text'><h1>T</h1><p>body</p></div></article>") == "T\nbody"
+
+
+def test_pages_names_in_both_directions(spark):
+    page = "<article><p>Start of it all, a long beginning.</p><div class='{}'><p>middle {}</p></div><p>End.</p></article>"
+    rows = [(i, f"http://h{i}.com/", page.format(c, i)) for i, c in enumerate(GOING + STAYING)]
+    got = extracted(spark, rows)
+    for i, c in enumerate(GOING + STAYING):
+        assert ("middle" in got[i]) == (c in STAYING), c
+    # The same on hosts where every page has its own text in such an element, so that only names and shapes recur.
+    rows = [(100 * i + k, f"http://g{i}.com/{k}", page.format(c, f"{k} words of its own")) for i, c in enumerate(GOING + STAYING) for k in range(12)]
+    got = extracted(spark, rows)
+    for i, c in enumerate(GOING + STAYING):
+        assert {("middle" in got[100 * i + k]) for k in range(12)} == {c in STAYING}, c
+
+
+def test_pages_of_generated_hosts(spark):
+    """Hosts with names of no meaning: what recurs only in shape goes if it is dated talk, links or adverts, and content of the same kinds of element stays."""
+    r = random.Random(17)
+    words = [f"w{i}" for i in range(400)]
+    say = lambda a, b: " ".join(r.choices(words, k=r.randint(a, b))) + "."
+    rows, want = [], {}
+    for host in range(4):
+        names = r.sample([f"q{c}z" for c in "abcdefghijklmnop"], 8)
+        for k in range(15):
+            keep = [say(2, 5), *[say(20, 60) for _ in range(r.randint(2, 5))]]
+            body = f"<h1>{keep[0]}</h1><div class='{names[0]}'><span>By {say(1, 2)}</span> <time>2024-01-0{1 + k % 9}</time></div>"
+            texts = [keep[0], None]
+            inner = ""
+            for j, t in enumerate(keep[1:]):
+                if j == 1:
+                    quote, links = say(4, 9), [say(1, 3) for _ in range(3)]
+                    inner += f"<blockquote class='{names[1]}'>{quote}</blockquote><div class='{names[2]}'>{say(3, 6)} and <a href=/x>{links[0]}</a></div>"
+                    texts += [quote, re.findall(r"<div class='%s'>(.*?) and " % names[2], inner)[0] + f" and {links[0]}"]
+                inner += f"<p>{t}</p>"
+                texts.append(t)
+            body += f"<div class='{names[3]}'>{inner}</div>"
+            texts[1] = re.sub("<[^>]*>", "", body.split(f"<div class='{names[0]}'>")[1].split("</div>")[0])
+            links = "".join(f"<li><a href=/{i}>{say(2, 4)}</a></li>" for i in range(r.randint(2, 6)))
+            talk = "".join(f"<div class='{names[5]}{i}'><b>{say(1, 1)}</b> <i>{i + 1} days ago</i><p>{say(5, 90)}</p></div>" for i in range(r.randint(1, 9)))
+            rows.append((host * 100 + k, f"http://h{host}.org/{k}", f"<body><nav><a href=/>x</a></nav><article>{body}<ul class='{names[4]}'>{links}</ul><section class='{names[6]}'>{talk}</section></article><footer>f</footer></body>"))
+            want[host * 100 + k] = "\n".join(texts)
+    got = extracted(spark, rows)
+    for i, t in want.items():
+        assert got[i] == t, i
+
+
+def test_pages_shapes_leave_lists_of_articles_alone(spark):
+    article = "<article class=post><h2>T{0}</h2><time>2024-02-0{1}</time><p>text {0} {1} of its own</p></article>"
+    rows = [(k, f"http://a.com/{k}", "".join(article.format(k, i) for i in range(1, 6))) for k in range(12)]
+    got = extracted(spark, rows)
+    assert all(got[k].count("of its own") == 5 for k in range(12))
