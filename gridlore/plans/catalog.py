@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridlore.plans import detection, extras, files, formats, outlines, rasters, spatial, stats
+from gridlore.plans import blocks, detection, extras, files, formats, outlines, rasters, spatial, stats
 
-MODULES = [detection, stats, spatial, rasters, formats, extras, files, outlines]
+MODULES = [detection, stats, spatial, rasters, formats, extras, files, outlines, blocks]
 
 
 def queries() -> dict:
