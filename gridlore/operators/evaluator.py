@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridlore.operators import matching as M
 from gridlore.plans.cut import cut
@@ -42,6 +43,53 @@ class Evaluator:
         return M.best(M.sweep(M.records(pred, found), self.gt.count()))
 
 
+class Partial:
+    """States of an evaluator that merge: image, batch, score and, of that image's predictions of that score in that batch, tp and n.
+
+    An image counts in the least batch that has it, and a batch's rows of an image count once, so merging is commutative,
+    associative and idempotent: states may come in any order, twice, and from any tree of merges. A state has
+    at most a row a prediction, and is all that a batch leaves; its plan is never run again."""
+
+    SCHEMA = "image long, batch int, score double, tp long, n long"
+
+    @staticmethod
+    def of(gt: DataFrame, pred: DataFrame, batch: int, least: float = 0.5) -> DataFrame:
+        rows = M.records(pred, M.greedy(M.candidates(gt, pred), ["tile_id"], F.lit(least)))
+        return rows.groupBy(F.col("tile_id").alias("image"), F.lit(batch).alias("batch"), "score").agg(F.sum("is_tp").cast("long").alias("tp"), F.count(F.lit(1)).alias("n"))
+
+    @staticmethod
+    def merge(*states: DataFrame) -> DataFrame:
+        rows = states[0]
+        for s in states[1:]:
+            rows = rows.unionByName(s)
+        once = rows.groupBy("image", "batch", "score").agg(F.max("tp").alias("tp"), F.max("n").alias("n"))
+        first = F.min("batch").over(Window.partitionBy("image"))
+        return once.withColumn("__first", first).where("batch = __first").drop("__first")
+
+    @staticmethod
+    def finalise(state: DataFrame, n_gt: int) -> DataFrame:
+        """The best point of the threshold sweep."""
+        return M.best(M.curve(state.groupBy("score").agg(F.sum("tp").alias("tp1"), F.sum("n").alias("n1")), n_gt, []))
+
+
+class States:
+    """An evaluator whose batches leave their states in files: process once each, in any process, then evaluate.
+
+    A batch that is processed again replaces its state."""
+
+    def __init__(self, gt: DataFrame, path: str, least: float = 0.5):
+        self.gt, self.path, self.least = gt, path, least
+
+    def process(self, pred: DataFrame, batch: int) -> None:
+        Partial.of(self.gt, pred, batch, self.least).drop("batch").write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def state(self) -> DataFrame:
+        return Partial.merge(self.gt.sparkSession.read.schema(Partial.SCHEMA).parquet(self.path))
+
+    def evaluate(self) -> DataFrame:
+        return Partial.finalise(self.state(), self.gt.count())
+
+
 def compose(rows: DataFrame, metrics: dict[str, Callable[[DataFrame], DataFrame]]) -> dict[str, DataFrame]:
     """Several metrics of one match table, written once in the shared folder."""
     held = cut(rows)

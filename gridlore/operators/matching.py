@@ -62,7 +62,11 @@ def records(pred: DataFrame, matches: DataFrame) -> DataFrame:
 def sweep(rows: DataFrame, n_gt: int, keys: list[str] | None = None) -> DataFrame:
     """Precision, recall and F1 at every distinct score, all predictions of that score included."""
     keys = keys or []
-    at = rows.groupBy(*keys, "score").agg(F.sum("is_tp").alias("tp1"), F.count(F.lit(1)).alias("n1"))
+    return curve(rows.groupBy(*keys, "score").agg(F.sum("is_tp").alias("tp1"), F.count(F.lit(1)).alias("n1")), n_gt, keys)
+
+
+def curve(at: DataFrame, n_gt: int, keys: list[str]) -> DataFrame:
+    """As sweep, from true positives (tp1) and predictions (n1) a score."""
     run = prefix_sums(at, keys, F.floor(-F.col("score") * 1000), [F.col("score").desc()], {"tp": "tp1", "n": "n1"})
     return run.select(*keys, "score", "tp", (F.col("n") - F.col("tp")).alias("fp"), *rates(F.col("tp"), F.col("n"), F.lit(n_gt)))
 

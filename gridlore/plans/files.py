@@ -278,6 +278,15 @@ def e1(v):
     return ev.evaluate()
 
 
+@reg("e1_mergeable_states", sql(BEST, *NEED, extra=CURVE))
+def e1_states(v):
+    """The same batches, each leaving its state in files: the second again, the last one first."""
+    ev = evaluator.States(v.gt(), folder(v.spark, f"states-{v.dir.strip('/').replace('/', '-')}"))
+    for batch, images in ((2, "true"), (0, "tile_id % 2 = 1"), (1, "tile_id % 2 = 0"), (0, "tile_id % 2 = 1")):
+        ev.process(v.pred().where(images), batch)
+    return ev.evaluate()
+
+
 @reg("e2_composed_evaluators", sql("SELECT 'matched' AS metric, CAST(sum(is_tp) AS BIGINT) AS value FROM rec UNION ALL SELECT 'predictions', count(*) FROM rec UNION ALL SELECT 'images', count(DISTINCT tile_id) FROM rec", *NEED, extra=REC))
 def e2(v):
     """Several metrics from one pass."""

@@ -150,6 +150,13 @@ def t2(v):
     return metrics.settled(metrics.first_seen(stream(v), "user_id", "3650 days"), folder(v.spark, "t2"), "append").select("user_id")
 
 
+@reg("t2_running_counts", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def t2_counts(v):
+    """What the last row of each user's running state says, after all events."""
+    rows = metrics.running(stream(v), "user_id", folder(v.spark, "t2-state"))
+    return rows.groupBy(F.col("key").alias("user_id")).agg(F.max_by(F.struct("n", "total"), "round").alias("s")).select("user_id", "s.n", F.round("s.total", 4).alias("total"))
+
+
 @reg("t3_one_pass_stream", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
 def t3(v):
     return metrics.settled(metrics.moments(stream(v)), folder(v.spark, "t3")).withColumn("total", F.round("total", 4))

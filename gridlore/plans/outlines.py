@@ -10,7 +10,7 @@ from gridlore.operators import matching as M
 from gridlore.operators import outlines as O
 from gridlore.operators import polygons
 from gridlore.operators import raster as R
-from gridlore.plans.rasters import COMP, components
+from gridlore.plans.rasters import COMP, SIZES, components
 from gridlore.plans.registry import Registry
 from gridlore.plans.views import greedy_sql, sql
 
@@ -149,3 +149,48 @@ def j6(v):
 def g4(v):
     """Pixels of rings that cross, retrace or leave the frame, filled in one pass over each batch."""
     return odd_shapes(v).where("rings is not null").select(F.col("id").alias("gt_id"), runs.size(runs.filled("rings", 350, 350)).alias("pixels"))
+
+
+class Annotations:
+    """Annotations of a tile from its labelled pixels (tile, r, c, component): a table function over TABLE(...) PARTITION BY tile.
+
+    A tile's rows come one after another; its annotations are yielded when they end."""
+
+    def __init__(self):
+        self.parts = {}
+
+    def eval(self, row):
+        self.parts.setdefault((row["tile"], row["component"]), []).append((row["r"], row["c"]))
+
+    def terminate(self):
+        import numpy as np
+
+        from gridlore.functions import chains
+        from gridlore.operators.outlines import WAYS
+
+        for (tile, component), own in sorted(self.parts.items()):
+            if len(own) < 2:
+                continue
+            r, c = np.array(own).T
+            grid = np.zeros((r.max() - r.min() + 3, c.max() - c.min() + 3), bool)
+            grid[r - r.min() + 1, c - c.min() + 1] = True
+            sides = [(grid & ~np.roll(grid, d, axis), way) for way, (d, axis) in enumerate(((1, 0), (-1, 1), (-1, 0), (1, 1)))]
+            corner = ((0, 0), (1, 0), (1, 1), (0, 1))
+            start = np.concatenate([np.argwhere(m)[:, ::-1] + corner[way] for m, way in sides])
+            way = np.concatenate([np.full(m.sum(), w) for m, w in sides])
+            order, begins = chains.loops(start, start + WAYS[way], True)
+            points, first = chains.corners(start[order], begins)
+            shift = np.array([c.min() - 1, r.min() - 1])
+            rings = [(p + shift).ravel().tolist() for p in np.split(points, first[1:])]
+            yield tile, component, len(own), int(c.min()), int(r.min()), int(c.max() - c.min() + 1), int(r.max() - r.min() + 1), rings
+
+
+@reg("e8_table_function", sql("SELECT cs.tile, CAST(cs.component AS BIGINT) AS component, cs.n AS area, CAST(c0 AS INTEGER) AS x, CAST(r0 AS INTEGER) AS y, CAST(c1 - c0 + 1 AS INTEGER) AS w, CAST(r1 - r0 + 1 AS INTEGER) AS h, cs.n::DOUBLE AS ring_area FROM cs WHERE n >= 2", "pixels", extra=SIZES))
+def e8(v):
+    """One tile to many annotations with their rings: areas by the rings equal the pixels'."""
+    v.spark.udtf.register("annotations", F.udtf(Annotations, returnType="tile: bigint, component: bigint, area: bigint, x: int, y: int, w: int, h: int, rings: array<array<int>>"))
+    found = v.spark.sql("SELECT * FROM annotations(TABLE({labels}) PARTITION BY tile)", labels=components(v))
+    points = lambda r: F.transform(F.sequence(F.lit(0), (F.size(r) / 2 - 1).cast("int")), lambda i: F.struct(F.get(r, 2 * i).cast("double").alias("x"), F.get(r, 2 * i + 1).cast("double").alias("y")))
+    signed = lambda p: F.aggregate(F.zip_with(p, rings.rolled(p), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, t: s + t) / 2
+    area = F.aggregate(F.transform("rings", lambda r: signed(points(r))), F.lit(0.0), lambda s, t: s + t)
+    return found.select("tile", "component", "area", "x", "y", "w", "h", area.alias("ring_area"))
