@@ -9,7 +9,7 @@ from gridlore.functions import boxes, rle
 from gridlore.functions.numeric import r6
 from gridlore.operators import evaluator
 from gridlore.operators import matching as M
-from gridlore.plans.cut import folder
+from gridlore.plans.cut import folder, shared_dir
 from gridlore.plans.detection import CURVE, NEED, REC
 from gridlore.plans.registry import Registry
 from gridlore.plans.views import greedy_sql, sql
@@ -89,12 +89,9 @@ def s10(v, folds: int = 5):
     first = r.agg(F.min("arm")).first()[0]
     flat = F.struct(F.col("iteration").alias("image_id"), F.lit(1).alias("category_id"), F.col("metric").alias("score"))
     files = r.where((F.col("arm") != first) | (F.col("fold") != 0)).groupBy("arm", "fold").agg(F.to_json(F.collect_list(flat)).alias("value"))
-    writers.write_text(files, "value", path, "arm", "fold")
-    out = []
-    for arm in sorted(a["arm"] for a in r.select("arm").distinct().collect()):
-        df = readers.read_flat_predictions(v.spark, [f"{path}/arm={arm}"], folds)
-        out.append((arm, 0, 0) if df is None else (arm, df.select("fold").distinct().count(), df.count()))
-    return v.spark.createDataFrame(out, "arm string, folds int, n long")
+    found = readers.read_complete_folds(v.spark, writers.write_text(files, "value", path, "arm", "fold"), "arm", folds)
+    count = found.groupBy("arm").agg(F.count_distinct("path").alias("folds"), n_())
+    return r.select("arm").distinct().join(count, "arm", "left").select("arm", F.coalesce("folds", F.lit(0)).cast("int").alias("folds"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @reg("s11_metric_log_lenient", sql("SELECT arm, fold, arg_max(metric, iteration) AS final FROM runs WHERE iteration % 9 <> 0 GROUP BY ALL", "runs"))
@@ -109,20 +106,10 @@ def s11(v):
 @reg("s12_strict_log", sql("SELECT arm, count(*) FILTER (iteration % 307 = 1) = 0 AS usable FROM runs GROUP BY arm", "runs"))
 def s12(v):
     """A log with any line that does not parse is refused whole: one file of lines an arm, read strictly."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import PySparkException
-
     line = F.when(F.col("iteration") % 307 == 1, F.lit("{cut")).otherwise(F.to_json(F.struct("iteration", "metric")))
-    path, out = writers.write_text(v.runs().select("arm", line.alias("value")), "value", folder(v.spark, "strict"), "arm"), []
-    for arm in sorted(a["arm"] for a in v.runs().select("arm").distinct().collect()):
-        try:
-            readers.read_metric_log(v.spark, f"{path}/arm={arm}", "iteration long, metric double", strict=True).agg(F.sum("metric")).collect()
-            out.append((arm, True))
-        except (PySparkException, Py4JJavaError) as e:
-            if "MALFORMED_RECORD" not in str(e):
-                raise
-            out.append((arm, False))
-    return v.spark.createDataFrame(out, "arm string, usable boolean")
+    path = writers.write_text(v.runs().select("arm", line.alias("value")), "value", folder(v.spark, "strict"), "arm")
+    bad = readers.malformed(v.spark, path, "iteration long, metric double", ["arm"])
+    return bad.select("arm", (F.col("malformed") == 0).alias("usable"))
 
 
 @reg("s13_cached_edges", sql("SELECT tile, c, round(avg(v), 6) AS mean FROM pixels WHERE c IN (0, 7) GROUP BY ALL", "pixels"))
@@ -130,7 +117,7 @@ def s13(v):
     """Edge strips kept under the number of tiles, read back from there by whoever asks next."""
     make = lambda: v.pixels().where("c in (0, 7)").select("tile", "c", "r", "v")
     n = v.pixels().select("tile").distinct().count()
-    path = f"{folder(v.spark, 'edges')}/{abs(hash(v.dir))}"
+    path = f"{shared_dir(v.spark)}/gridlore/edges/{jobs.digest(v.table('embeddings'))}"
     jobs.cached(v.spark, path, n, make)
     return jobs.cached(v.spark, path, n, lambda: make().limit(0)).groupBy("tile", "c").agg(r6(F.avg("v")).alias("mean"))
 
@@ -309,26 +296,29 @@ def e4(v, size: int = 480):
     return turned.select("gt_id", "rx0", "ry0", "rx1", "ry1", same.alias("same"))
 
 
-@reg("e6_hook_order", "SELECT * FROM (VALUES (0, 'timer'), (1, 'events'), (2, 'more'), (3, 'writer')) AS t(place, hook)")
+@reg("e6_hook_order", "SELECT CAST(row_number() OVER (ORDER BY r_name = 'ASIA', r_regionkey) - 1 AS INTEGER) AS place, r_name AS hook, n FROM region JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY ALL) ON n_regionkey = r_regionkey")
 def e6(v):
+    """A hook a region, each of which counts its nations; one must come last, whenever it was added."""
     hooks, seen = jobs.Hooks(), []
-    for name in ("timer", "writer", "events", "more"):
-        hooks.add(name, lambda name=name: seen.append(name), last=name == "writer")
+    for key, name in sorted((r.r_regionkey, r.r_name) for r in v.table("region").collect()):  # a fixed dimension
+        hooks.add(name, lambda key=key, name=name: seen.append((name, v.table("nation").where(F.col("n_regionkey") == key).count())), last=name == "ASIA")
     hooks.run()
-    return v.spark.createDataFrame(list(enumerate(seen)), "place int, hook string")
+    return v.spark.createDataFrame([(i, *x) for i, x in enumerate(seen)], "place int, hook string, n long")
 
 
-@reg("e7_resolve", "SELECT * FROM (VALUES ('explicit', 'a'), ('registry', 'b'), ('environment', 'c'), ('none', 'fails')) AS t(given, found)")
+@reg("e7_resolve", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name WHEN n_nationkey % 3 = 0 THEN 'registry' WHEN n_nationkey % 5 = 0 THEN 'environment' ELSE 'fails' END AS found FROM nation")
 def e7(v):
-    def found(**given) -> str:
+    """Where a nation's project comes from: its own name, else a register's, else the environment's, else nowhere."""
+
+    def each(r: dict) -> dict:
+        k = r["n_nationkey"]
         try:
-            return readers.resolve("k", **{"environment": {}} | given)
+            found = readers.resolve(str(k), r["n_name"] if k % 2 == 0 else None, {str(i): "registry" for i in range(0, k + 1, 3)}, {"GRIDLORE_PROJECT": "environment"} if k % 5 == 0 else {})
         except KeyError:
-            return "fails"
+            found = "fails"
+        return {"n_nationkey": k, "found": found}
 
-    environment = {"GRIDLORE_PROJECT": "c"}
-    rows = [("explicit", found(explicit="a", registry={"k": "b"}, environment=environment)), ("registry", found(registry={"k": "b"}, environment=environment)), ("environment", found(environment=environment)), ("none", found())]
-    return v.spark.createDataFrame(rows, "given string, found string")
+    return evaluator.map_records(v.table("nation").select("n_nationkey", "n_name"), each, "n_nationkey int, found string")
 
 
 @reg("t5_resumable_jobs", sql("SELECT run, 'aoi' || k AS job, CASE WHEN k = 2 THEN 'failed' WHEN run = 1 THEN 'skipped' ELSE 'done' END AS status, CASE WHEN k = 2 THEN 0 ELSE (SELECT count(*) FROM tiles WHERE tile_id % 5 = k) END AS n FROM (SELECT unnest(range(0, 5)) AS k), (SELECT unnest(range(0, 2)) AS run)", "tiles"))

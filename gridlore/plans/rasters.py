@@ -170,11 +170,17 @@ def r10(v, low: float = 0.0, high: float = 50.0):
     return v.pixels().select("tile", "r", "c", b.alias("plain"), (255 - b).alias("inverted"))
 
 
-@reg("r10_implied_physical", "SELECT band, round(CASE WHEN inv THEN hi - b / 255.0::DOUBLE * (hi - lo) ELSE lo + b / 255.0::DOUBLE * (hi - lo) END, 4) AS physical FROM (VALUES ('svf', 216.527::DOUBLE, 0.7::DOUBLE, 1.0::DOUBLE, FALSE), ('openness', 198.453, 68.0, 93.0, FALSE), ('slope', 228.612, 0.0, 50.0, TRUE)) t(band, b, lo, hi, inv)")
+#: What each band's bytes stand for: least and greatest value, and whether they run backwards.
+SCALES = {"svf": (0.7, 1.0, False), "openness": (68.0, 93.0, False), "slope": (0.0, 50.0, True)}
+IMPLIED = " UNION ALL ".join(f"SELECT tile, r, c, '{k}' AS band, round({f'{hi}::DOUBLE - dn % 256 / 255.0::DOUBLE * {hi - lo}' if inv else f'{lo}::DOUBLE + dn % 256 / 255.0::DOUBLE * {hi - lo}'}, 4) AS physical FROM dn" for k, (lo, hi, inv) in SCALES.items())
+
+
+@reg("r10_implied_physical", sql(IMPLIED, "dn"))
 def r10_inverse(v):
-    t = v.spark.createDataFrame([("svf", 216.527, 0.7, 1.0, False), ("openness", 198.453, 68.0, 93.0, False), ("slope", 228.612, 0.0, 50.0, True)], "band string, b double, lo double, hi double, inv boolean")
-    part = F.col("b") / 255.0 * (F.col("hi") - F.col("lo"))
-    return t.select("band", F.round(F.when(F.col("inv"), F.col("hi") - part).otherwise(F.col("lo") + part), 4).alias("physical"))
+    """The values that the bytes of stretched bands imply."""
+    part = lambda lo, hi: F.col("dn") % 256 / 255.0 * (hi - lo)
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.round(hi - part(lo, hi) if inv else lo + part(lo, hi), 4).alias("physical")) for k, (lo, hi, inv) in SCALES.items()])
+    return v.dn().select("tile", "r", "c", F.inline(bands))
 
 
 @reg("r11_mean_sd_match", sql("SELECT tile, r, c, round(CASE WHEN s > 1e-3 THEN (v - m) / s * 40 + 128 ELSE v END, 6) AS matched FROM (SELECT *, avg(v) OVER (PARTITION BY tile) AS m, stddev_pop(v) OVER (PARTITION BY tile) AS s FROM pixels)", "pixels"))

@@ -219,10 +219,10 @@ def a19(v):
     return paired(v).select("a", "b", r6(F.col("mean") - half).alias("low"), r6(F.col("mean") + half).alias("high"), r6(F.try_divide("mean", "sd")).alias("dz"))
 
 
-@reg("a20_t_two_sided_p", f"SELECT t, round({P4}, 6) AS p FROM (SELECT unnest(range(0, 60)) / 10.0::DOUBLE AS t)")
+@reg("a20_t_two_sided_p", sql(f"SELECT a, b, round(t, 6) AS t, round({P4}, 6) AS p FROM pt", "runs", extra=PAIR))
 def a20(v):
-    t = v.spark.range(60).select((F.col("id") / 10.0).alias("t"))
-    return t.select("t", r6(t_two_sided_p(F.col("t"), F.lit(4.0))).alias("p"))
+    """Probabilities of the paired t of every two arms."""
+    return paired(v).select("a", "b", r6(F.col("t")).alias("t"), r6(t_two_sided_p(F.col("t"), (F.col("n") - 1).cast("double"))).alias("p"))
 
 
 @reg("a21_sign_flip", sql("SELECT a, b, round(avg(CAST(abs(s) >= abs(o) - 1e-12 AS INTEGER)), 6) AS p FROM (SELECT a, b, f, sum(CASE WHEN (f >> fold) & 1 = 1 THEN -d ELSE d END) AS s, sum(d) AS o FROM arms, (SELECT unnest(range(0, 32)) AS f) GROUP BY a, b, f) GROUP BY a, b", "runs", extra=PAIR))

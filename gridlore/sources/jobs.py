@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import logging
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
@@ -18,6 +20,11 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def digest(table: DataFrame) -> str:
+    """A name for what a table is read from: its files, in any session alike."""
+    return hashlib.md5("\n".join(sorted(table.inputFiles())).encode()).hexdigest()
+
+
 def cached(spark: SparkSession, path: str, key: object, make: Callable[[], DataFrame]) -> DataFrame:
     """A table kept below path under a key such as the number of its ids; another key makes it anew."""
     place = f"{path}/key={key}"
@@ -27,7 +34,7 @@ def cached(spark: SparkSession, path: str, key: object, make: Callable[[], DataF
 
 
 def resume(spark: SparkSession, names: Iterable[str], job: Callable[[str], DataFrame], path: str) -> list[tuple[str, str]]:
-    """Run the jobs whose result is not below path yet; one that fails is noted and the others go on.
+    """Run the jobs whose result is not below path yet; one that fails is logged with its error and the others go on.
 
     (name, status) of each: skipped, done or failed. A result counts once it is committed whole."""
     out = []
@@ -40,6 +47,7 @@ def resume(spark: SparkSession, names: Iterable[str], job: Callable[[str], DataF
             job(name).write.mode("overwrite").parquet(place)
             out.append((name, "done"))
         except Exception:  # the loop's contract: whatever a job raises, go on with the next
+            logging.getLogger(__name__).exception("job %s failed", name)
             out.append((name, "failed"))
     return out
 

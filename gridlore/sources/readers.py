@@ -52,6 +52,22 @@ def read_flat_predictions(spark: SparkSession, paths: list[str], folds: int | No
     return df
 
 
+def read_complete_folds(spark: SparkSession, path: str, arm: str, folds: int) -> DataFrame:
+    """Predictions of every arm (a partition below path) that has `folds` files, with their path; the other arms have none.
+
+    All arms are read at once, and files are counted by arm beside the read."""
+    df = spark.read.schema(f"{FLAT}, {arm} string, fold int").option("multiLine", True).json(path).withColumn("path", F.input_file_name())
+    whole = df.groupBy(arm).agg(F.count_distinct("path").alias("__n")).where(F.col("__n") == folds).select(arm)
+    return df.join(whole, arm, "left_semi")
+
+
+def malformed(spark: SparkSession, path: str, schema: str, by: list[str]) -> DataFrame:
+    """by (partitions below path), lines and malformed: JSON lines, and those that do not parse."""
+    lines = spark.read.schema(f"value string, {', '.join(f'{k} string' for k in by)}").text(path)
+    bad = F.from_json("value", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})["__bad"]
+    return lines.groupBy(*by).agg(F.count(F.lit(1)).alias("lines"), F.count(bad).alias("malformed"))
+
+
 def read_nested_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NESTED).json(path).select("image_id", F.explode_outer("instances").alias("i")).select("image_id", "i.*")
 
