@@ -1,8 +1,10 @@
 """Near-duplicates of embeddings by product quantisation over coarse inverted lists.
 
 Equal vectors of a label are one class, with its count. A coarse quantiser and residual subspace codebooks
-are fitted on a bounded sample (SAMPLE vectors, more only as 16 a list up to MOST_LISTS lists); every class
-is indexed. A class stands in the list of its nearest centroid as that list's residual codes, and its list
+are fitted on a bounded sample (SAMPLE vectors, more only as PER_CENTRE a list up to MOST_LISTS lists); every class
+is indexed. Beyond TOP lists the quantiser is fitted in two levels: about the root of the number of lists as cells, in the
+driver on SAMPLE vectors, and then each cell's own lists in a Spark task on its part of the larger sample, which never
+leaves the executors. Only centres come back, and the index is broadcast once. A class stands in the list of its nearest centroid as that list's residual codes, and its list
 meets the PROBES lists nearest to the class, so two lists meet if any class of either probes the other. Where the plane between
 two centres is further from a class than the threshold's distance, no member of the other list can link with it.
 
@@ -27,12 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlore.llm import common
 
 SAMPLE, PER_LIST, MOST_LISTS, PROBES = 16_384, 128, 32_768, 10
+#: Lists that the driver fits on its own, and sample vectors a list.
+TOP, PER_CENTRE = 256, 16
 SUBSPACES, WORDS = 8, 64
 SLACK = 0.12
 CHUNK = 1024
@@ -66,12 +71,36 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
     return centres
 
 
+def refined(sample: DataFrame, lists: int, width: int) -> np.ndarray:
+    """Centres of all lists: those of each cell are fitted in a task of its own, in proportion to its share of the sample.
+
+    sample: cell and unit (half-precision vectors, binary). A cell's share is bounded by its part of the sample, PER_CENTRE * lists
+    vectors in all; a hot cell is one task of at most that many rows, with as many more centres."""
+    total = sample.count()
+
+    def each(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(sorted(table["unit"].to_pylist())), "<f2").astype(np.float32).reshape(-1, width)
+        k = max(1, round(lists * len(x) / total))
+        # A large cell is parted again, so that no step compares all its rows with all its centres.
+        if k > TOP:
+            top = kmeans(x[:: max(1, len(x) // SAMPLE)], int(np.sqrt(k)))
+            at = nearest(x, top)[:, 0]
+            found = np.concatenate([kmeans(x[at == i], max(1, round(k * (at == i).sum() / len(x)))) for i in np.unique(at)])
+        else:
+            found = kmeans(x, k)
+        return pa.table({"centre": pa.array([c.astype("<f4").tobytes() for c in found], pa.binary())})
+
+    rows = sample.groupBy("cell").applyInArrow(each, "centre binary").toArrow()  # at most MOST_LISTS centres, but for rounding
+    return np.frombuffer(b"".join(sorted(rows["centre"].to_pylist())), "<f4").reshape(-1, width).copy()
+
+
 class Index:
-    def __init__(self, sample: np.ndarray, lists: int):
+    def __init__(self, sample: np.ndarray, lists: int, centres: np.ndarray | None = None):
+        """From a sample in the driver; centres, if given, are those of all lists."""
         pad = -sample.shape[1] % SUBSPACES
         self.width = sample.shape[1] + pad
         x = self.unit(sample)
-        self.centres = kmeans(x, lists)
+        self.centres = kmeans(x, lists) if centres is None else centres
         rest = (x - self.centres[nearest(x, self.centres)[:, 0]])[:SAMPLE].reshape(min(len(x), SAMPLE), SUBSPACES, -1)
         self.words = np.stack([self.full(kmeans(rest[:, m], WORDS, seed=m)) for m in range(SUBSPACES)])
 
@@ -155,14 +184,14 @@ PACKED = "label {label}, dim int, home int, chunk int, ids binary, hashes binary
 SURVIVORS = "task long, side int, rep long, h long"
 
 
-def packed(indexed: DataFrame, index: Index, label_type: str) -> DataFrame:
+def packed(indexed: DataFrame, shared: Broadcast, label_type: str) -> DataFrame:
     """One row a chunk of a list: its classes' ids, hashes, codes, offsets and rough vectors end to end, and the lists it meets."""
 
     def pack(table: pa.Table) -> pa.Table:
         table = once(table, "rep", "h")
         at = np.asarray(table["home"])
         codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(len(at), SUBSPACES)
-        offsets = index.offsets(at, codes, np.asarray(table["error"])).astype("<f4").tobytes()
+        offsets = shared.value.offsets(at, codes, np.asarray(table["error"])).astype("<f4").tobytes()
         first = {k: table[k][:1] for k in ("label", "dim", "home", "chunk")}
         met = np.unique(np.asarray(table["probes"].combine_chunks().flatten())).astype(np.int32)
         numbers = lambda name, kind: pa.array([np.asarray(table[name]).astype(kind).tobytes()], pa.binary())
@@ -174,7 +203,7 @@ def packed(indexed: DataFrame, index: Index, label_type: str) -> DataFrame:
     return dealt.groupBy("label", "dim", "home", "chunk").applyInArrow(pack, PACKED.format(label=label_type))
 
 
-def survivors(chunks: DataFrame, index: Index, least: float) -> DataFrame:
+def survivors(chunks: DataFrame, shared: Broadcast, least: float) -> DataFrame:
     """task, side, rep, h: classes of two chunks that may link across them. A task is a pair of chunks."""
     spot = ["label", "dim", "home", "chunk"]
     ends = chunks.select("label", "dim", "home", F.explode("probes").alias("other"))
@@ -190,7 +219,7 @@ def survivors(chunks: DataFrame, index: Index, least: float) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = hashes = vectors = table = None
-        far = apart(least)
+        index, far = shared.value, apart(least)
         spent = lambda rows: pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows]), t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["task", "side", "rep", "h"])
         for batch in batches:
             out = []
@@ -284,11 +313,26 @@ def near(vectors: DataFrame, least: float = 0.93, per_list: int = PER_LIST) -> D
     firsts = v.where("fit").join(copies, keys, "left").where("first is null or first = vec_id").drop("first", "fit")
     # The sample is thinned by hash where the vectors are read, to its bound in expectation.
     lists = int(min(MOST_LISTS, max(1, most // per_list)))
-    share = min(1.0, max(SAMPLE, 16 * lists) / total)
-    drawn = firsts.where(F.pmod(F.xxhash64("h", F.lit(2)), F.lit(2**40)) <= int(share * 2**40)).select("h", "vec_id", "embedding").toArrow().sort_by([("h", "ascending"), ("vec_id", "ascending")])
-    index = Index(matrix(drawn["embedding"], width), lists) if drawn.num_rows else Index(np.eye(1, width), 1)
+    drawn_by = lambda share, seed: F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(2**40)) <= int(min(1.0, share) * 2**40)
+    drawn = firsts.where(drawn_by(SAMPLE / total, 2)).select("h", "vec_id", "embedding").toArrow().sort_by([("h", "ascending"), ("vec_id", "ascending")])
+    first = matrix(drawn["embedding"], width) if drawn.num_rows else np.eye(1, width)
+    index = Index(first, 1 if not drawn.num_rows else min(lists, TOP))
+    if lists > TOP and drawn.num_rows:
+        cells = kmeans(index.unit(first), int(np.sqrt(lists)))
+        coarse = v.sparkSession.sparkContext.broadcast((index, cells))
+
+        def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, tops = coarse.value
+            for batch in batches:
+                x = own.unit(matrix(batch["embedding"], width))
+                yield pa.RecordBatch.from_arrays([pa.array(nearest(x, tops)[:, 0]), pa.array([r.tobytes() for r in x.astype("<f2")], pa.binary())], names=["cell", "unit"])
+
+        sample = tables(firsts.where(drawn_by(PER_CENTRE * lists / total, 4)).select("embedding").mapInArrow(cell, "cell int, unit binary"), "sample")
+        index = Index(first, lists, refined(sample, lists, index.width))
+    shared = v.sparkSession.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
@@ -299,8 +343,8 @@ def near(vectors: DataFrame, least: float = 0.93, per_list: int = PER_LIST) -> D
                 yield pa.RecordBatch.from_arrays([part["label"], part["dim"], part["vec_id"], part["h"], pa.array(probes[:, 0], pa.int32()), lists_of, blobs(codes), pa.array(error), blobs(x.astype("<f2"))], names=["label", "dim", "rep", "h", "home", "probes", "codes", "error", "rough"])
 
     indexed = tables(firsts.select("label", "dim", "vec_id", "h", "embedding").mapInArrow(assign, f"label {label_type}, dim int, rep long, h long, home int, probes array<int>, codes binary, error float, rough binary"), "index")
-    chunks = tables(packed(indexed, index, label_type), "chunks")
-    some = tables(survivors(chunks, index, least), "survivors")
+    chunks = tables(packed(indexed, shared, label_type), "chunks")
+    some = tables(survivors(chunks, shared, least), "survivors")
     wanted = firsts.join(tables(some.select(F.col("rep").alias("vec_id"), "h").distinct(), "wanted"), ["vec_id", "h"], "left_semi")
     sized = wanted.join(classes.where("n > 1").select(*keys, "n"), keys, "left").select(F.col("vec_id").alias("rep"), "h", "embedding", F.coalesce("n", F.lit(1)).cast("long").alias("n"))
     found = tables(linked(some.join(sized, ["rep", "h"]), width, least), "links")
