@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 
 from gridlore.functions import rings, rle
 from gridlore.functions.numeric import r6
-from gridlore.operators import evaluator
+from gridlore.operators import clustering, evaluator
+from gridlore.plans.cut import folder
 from gridlore.plans.registry import Registry
 from gridlore.plans.views import sql
 
@@ -86,3 +87,22 @@ def e3(v):
 @reg("e9_query_parameters", sql("SELECT gt_id FROM gt WHERE area > 700 AND cls = 2", "gt"))
 def e9(v):
     return v.spark.sql("SELECT gt_id FROM {gt} WHERE area > :least AND cls = :cls", args={"least": 700, "cls": 2}, gt=v.gt())
+
+
+def thumbnails(v):
+    return v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+@reg("c6_signed_components")
+def c6_signed(v, k: int = 32):
+    """All 32 components of each row, with fixed signs."""
+    z = clustering.components(thumbnails(v), k)
+    return z.select(F.col("id").alias("vec_id"), F.posexplode("z").alias("k", "value")).withColumn("value", r6(F.col("value")))
+
+
+@reg("c7_seeded_clusters")
+def c7_seeded(v, k: int = 10, seed: int = 7):
+    """Clusters of the 32 components, seeded by squared distance."""
+    z = clustering.components(thumbnails(v)).withColumnRenamed("z", "x")
+    z.write.mode("overwrite").parquet(path := folder(v.spark, f"components-{v.dir.strip('/').replace('/', '-')}"))
+    return clustering.clusters(v.spark.read.schema(z.schema).parquet(path), k, seed).withColumnRenamed("id", "vec_id")
