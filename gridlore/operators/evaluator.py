@@ -39,7 +39,7 @@ class Evaluator:
         pred = self.predictions()
         if pred is None:
             return None
-        found = M.greedy(M.candidates(self.gt, pred), ["tile_id"], F.lit(self.least))
+        found = M.greedy(M.candidates(self.gt, pred), ["tile_id"], self.least)
         return M.best(M.sweep(M.records(pred, found), self.gt.count()))
 
 
@@ -54,7 +54,7 @@ class Partial:
 
     @staticmethod
     def of(gt: DataFrame, pred: DataFrame, batch: int, least: float = 0.5) -> DataFrame:
-        rows = M.records(pred, M.greedy(M.candidates(gt, pred), ["tile_id"], F.lit(least)))
+        rows = M.records(pred, M.greedy(M.candidates(gt, pred), ["tile_id"], least))
         return rows.groupBy(F.col("tile_id").alias("image"), F.lit(batch).alias("batch"), "score").agg(F.sum("is_tp").cast("long").alias("tp"), F.count(F.lit(1)).alias("n"))
 
     @staticmethod

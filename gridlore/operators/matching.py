@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,32 +29,42 @@ def candidates(gt: DataFrame, pred: DataFrame, same_class: bool = False) -> Data
     return both.select("tile_id", "pred_id", "score", "pred_cls", "gt_id", "gt_cls", "gt_area", boxes.iou("p_", "g_").alias("iou"))
 
 
-def grouped(cand: DataFrame, by: list[str], least: Column) -> DataFrame:
-    """by and preds: a group's predictions by falling score, each with its pairs of IoU >= least."""
-    options = cand.where(F.col("iou") >= least).groupBy(*by, "pred_id").agg(F.max("score").alias("score"), F.collect_list(F.struct("iou", (-F.col("gt_id")).alias("g"))).alias("c"))
-    return options.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pred_id", "c"))).alias("preds"))
-
-
-def fold(preds: str, least: Column | None = None) -> Column:
-    """Accepted pairs of a group: each prediction takes the free ground truth it overlaps most, from `least` on if given."""
-    empty = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<struct<pred_id:bigint,gt_id:bigint,iou:double>>").alias("out"))
-
-    def step(state: Column, p: Column) -> Column:
-        free = lambda x: ~F.array_contains(state["taken"], -x["g"])
-        best = F.array_max(F.filter(p["c"], free if least is None else lambda x: (x["iou"] >= least) & free(x)))
-        hit = F.struct(p["pred_id"].alias("pred_id"), (-best["g"]).alias("gt_id"), best["iou"].alias("iou"))
-        return F.when(best.isNull(), state).otherwise(F.struct(F.array_append(state["taken"], -best["g"]).alias("taken"), F.array_append(state["out"], hit).alias("out")))
-
-    return F.aggregate(preds, empty, step)["out"]
-
-
-def greedy(cand: DataFrame, by: list[str], least: Column) -> DataFrame:
+def passed(cand: DataFrame, by: list[str], thresholds: list[float]) -> DataFrame:
+    """by, pred_id, gt_id, iou, bits: pairs accepted for at least one threshold, a bit for each that accepts.
+
+    One shuffle by group and one sort (both spill) bring a group's pairs in the order in which greedy matching looks at them: predictions
+    by falling score, each with its ground truth by falling overlap, smaller ids first on ties. Then the first free
+    ground truth of a prediction is its match, in one pass that holds only what is taken so far in the group."""
+    columns = [*by, "pred_id", "gt_id", "iou"]
+    rows = cand.where(F.col("iou") >= min(thresholds)).select(*columns, "score").repartition(*by).sortWithinPartitions(*by, F.desc("score"), "pred_id", F.desc("iou"), "gt_id")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, taken, done = None, [], []
+        for batch in batches:
+            out = []
+            for *own, pred, gt, iou in zip(*(batch[c].to_pylist() for c in columns), strict=True):
+                if own != group:
+                    group, taken, done = own, [set() for _ in thresholds], [None] * len(thresholds)
+                bits = 0
+                for i, least in enumerate(thresholds):
+                    if iou >= least and done[i] != pred and gt not in taken[i]:
+                        done[i] = pred
+                        taken[i].add(gt)
+                        bits |= 1 << i
+                out.append(bits)
+            found = pa.array(out, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), found], names=[*columns, "bits"]).filter(pc.greater(found, 0))
+
+    kinds = dict(cand.dtypes)
+    return rows.mapInArrow(each, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", bits long")
+
+
+def greedy(cand: DataFrame, by: list[str], least: Column | float) -> DataFrame:
     """One-to-one matches: predictions by falling score take the free ground truth they overlap most.
 
     Returns by, pred_id, gt_id, iou of the accepted pairs (IoU >= least). Ties go to the smaller id. Pairs
-    below the threshold cannot be accepted, so they are filtered out before the one shuffle on `by`; a
-    group is one image's candidates and is folded in place."""
-    return grouped(cand, by, least).select(*by, F.inline(fold("preds")))
+    below the threshold cannot be accepted, so they are filtered out before the one shuffle on `by`."""
+    return passed(cand.where(F.col("iou") >= least), by, [0.0]).drop("bits")
 
 
 def records(pred: DataFrame, matches: DataFrame) -> DataFrame:
@@ -97,11 +111,8 @@ def average_precision(pred: DataFrame, gt: DataFrame, ious: list[float] | None =
     thresholds = ious or COCO_IOUS
     image = Window.partitionBy("tile_id", "cls").orderBy(F.col("score").desc(), "pred_id")
     kept = pred.withColumn("__r", F.row_number().over(image)).where(F.col("__r") <= most).drop("__r")
-    # An image and class is grouped once and folded for every threshold in place; a prediction's hits are bits.
-    images = grouped(candidates(gt, kept, same_class=True), ["tile_id", "pred_cls"], F.lit(min(thresholds)))
-    hit = lambda i: lambda x: F.struct(x["pred_id"].alias("pred_id"), F.lit(1 << i).alias("bit"))
-    hits = F.flatten(F.array(*(F.transform(fold("preds", F.lit(t)), hit(i)) for i, t in enumerate(thresholds))))
-    bits = images.select(F.inline(hits)).groupBy("pred_id").agg(F.bit_or("bit").alias("bits"))
+    # An image and class is passed once for all thresholds; a prediction's hits are bits.
+    bits = passed(candidates(gt, kept, same_class=True), ["tile_id", "pred_cls"], thresholds).groupBy("pred_id").agg(F.bit_or("bits").alias("bits"))
     rows = kept.select("pred_id", "cls", "score").join(bits, "pred_id", "left")
     rows = rows.select("cls", "score", "pred_id", F.lit(1).alias("one"), *(F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, 1).otherwise(0).alias(f"hit{i}") for i in range(len(thresholds))))
     sums = {"n": "one"} | {f"tp{i}": f"hit{i}" for i in range(len(thresholds))}

@@ -113,8 +113,9 @@ def m9(v):
 def sweep_ious(v):
     """Matches at each IoU over predictions filtered by score first, which gives those of a later filter."""
     t = v.spark.createDataFrame([(x,) for x in IOUS], "thr double")
-    cand = v.cand().where(F.col("score") >= THRESHOLD).crossJoin(F.broadcast(t))
-    tp = M.greedy(cand, ["tile_id", "thr"], F.col("thr")).groupBy("thr").agg(F.count(F.lit(1)).alias("tp"))
+    bits = M.passed(v.cand().where(F.col("score") >= THRESHOLD), ["tile_id"], IOUS).select("bits")
+    hits = F.array(*[F.struct(F.lit(x).alias("thr"), (F.col("bits").bitwiseAND(F.lit(1 << i)) != 0).alias("hit")) for i, x in enumerate(IOUS)])
+    tp = bits.select(F.inline(hits)).where("hit").groupBy("thr").agg(F.count(F.lit(1)).alias("tp"))
     n = v.pred().where(F.col("score") >= THRESHOLD).agg(F.count(F.lit(1)).alias("n_pred")).crossJoin(v.gt().agg(F.count(F.lit(1)).alias("n_gt")))
     return t.join(tp, "thr", "left").crossJoin(F.broadcast(n)).withColumn("tp", F.coalesce("tp", F.lit(0)))
 
@@ -175,7 +176,7 @@ KM2 = "(SELECT count(*) FROM tiles) * 0.0576::DOUBLE"
 @reg("m12_operating_points", sql(f"SELECT thr, cls, count(*) FILTER (score >= thr AND tp = 1) AS tp, count(*) FILTER (score >= thr AND tp = 0) AS fp, round(count(*) FILTER (score >= thr AND tp = 1) / max(n)::DOUBLE, 6) AS recall, round(count(*) FILTER (score >= thr AND tp = 0) / max({KM2}), 6) AS fp_km2 FROM ot, os JOIN (SELECT cls, count(*) AS n FROM gt GROUP BY cls) USING (cls) GROUP BY thr, cls", "tiles", *ONEED, extra=OPS))
 def m12(v):
     """Matches by class once; the matches at a threshold are those of the predictions that reach it."""
-    m = M.greedy(v.cand(same_class=True), ["tile_id", "pred_cls"], F.lit(0.5)).select("pred_id", F.lit(1).alias("hit"))
+    m = M.greedy(v.cand(same_class=True), ["tile_id", "pred_cls"], 0.5).select("pred_id", F.lit(1).alias("hit"))
     t = v.spark.createDataFrame([(x,) for x in POINTS], "thr double")
     rows = v.pred().select("pred_id", "cls", "score").join(m, "pred_id", "left").crossJoin(F.broadcast(t))
     over = F.col("score") >= F.col("thr")
@@ -231,7 +232,7 @@ def m17(v):
 
 @reg("m18_tile_f1", sql("SELECT tile_id, n_gt, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp, round(2 * coalesce(tp, 0) / greatest(n_gt + coalesce(n_pred, 0), 1)::DOUBLE, 6) AS f1 FROM (SELECT tile_id, count(*) AS n_gt FROM gt GROUP BY 1) LEFT JOIN (SELECT p.tile_id, count(*) AS n_pred, count(om.gt_id) AS tp FROM pred p LEFT JOIN om ON p.pred_id = om.pred_id WHERE score >= 0.3 GROUP BY 1) USING (tile_id) WHERE n_gt >= 4", *ONEED, extra=OMATCH))
 def m18(v):
-    m = M.greedy(v.cand(same_class=True).where("score >= 0.3"), ["tile_id", "pred_cls"], F.lit(0.5)).select("pred_id", F.lit(1).alias("hit"))
+    m = M.greedy(v.cand(same_class=True).where("score >= 0.3"), ["tile_id", "pred_cls"], 0.5).select("pred_id", F.lit(1).alias("hit"))
     p = v.pred().where("score >= 0.3").join(m, "pred_id", "left").groupBy("tile_id").agg(F.count(F.lit(1)).alias("n_pred"), F.count("hit").alias("tp"))
     g = v.gt().groupBy("tile_id").agg(F.count(F.lit(1)).alias("n_gt")).where("n_gt >= 4")
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -249,7 +250,7 @@ def m20(v):
 
 
 def missed(v):
-    m = M.greedy(v.cand().where(F.col("score") >= THRESHOLD), ["tile_id"], F.lit(0.1))
+    m = M.greedy(v.cand().where(F.col("score") >= THRESHOLD), ["tile_id"], 0.1)
     return v.gt().select("tile_id", "gt_id").join(m.select("gt_id"), "gt_id", "left_anti").select("tile_id", "gt_id")
 
 
@@ -289,7 +290,7 @@ def j6(v):
 
 @reg("j17_class_greedy", sql("SELECT tile_id, pred_cls AS cls, pred_id, gt_id FROM om", *ONEED, extra=OMATCH))
 def j17(v):
-    return M.greedy(v.cand(same_class=True), ["tile_id", "pred_cls"], F.lit(0.5)).select("tile_id", F.col("pred_cls").alias("cls"), "pred_id", "gt_id")
+    return M.greedy(v.cand(same_class=True), ["tile_id", "pred_cls"], 0.5).select("tile_id", F.col("pred_cls").alias("cls"), "pred_id", "gt_id")
 
 
 DUP_IOU = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"

@@ -355,7 +355,7 @@ def j6_masks(v, size: int = 1024):
 
     pairs = p.join(g, "tile_id").where(boxes.meets("p", "g"))
     cand = pairs.select("tile_id", "pred_id", "score", "gt_id", F.pandas_udf(iou, "double")(*box("p"), *box("g")).alias("iou"))
-    return M.greedy(cand, ["tile_id"], F.lit(0.5)).select("tile_id", "pred_id", "gt_id", r6(F.col("iou")).alias("iou"))
+    return M.greedy(cand, ["tile_id"], 0.5).select("tile_id", "pred_id", "gt_id", r6(F.col("iou")).alias("iou"))
 
 
 @reg("r13_resample_nearest", sql("SELECT t.tile, i AS r, j AS c, v FROM (SELECT DISTINCT tile FROM pixels) t, (SELECT unnest(range(0, 12)) AS i), (SELECT unnest(range(0, 12)) AS j) JOIN pixels p ON p.tile = t.tile AND p.r = (2 * i + 1) * 8 // 24 AND p.c = (2 * j + 1) * 8 // 24", "pixels"))

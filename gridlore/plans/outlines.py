@@ -142,7 +142,7 @@ def j6(v):
     pairs = side(p, "p_").join(side(g, "g_"), "tile_id").where(boxes.meets("p_", "g_")).withColumn("both", runs.shared("p_runs", "g_runs", SIZE * SIZE + 1))
     iou = F.col("both") / (F.col("p_area") + F.col("g_area") - F.col("both"))
     cand = pairs.select("tile_id", F.col("p_key").alias("pred_id"), F.col("p_score").alias("score"), F.col("g_key").alias("gt_id"), iou.alias("iou"))
-    return M.greedy(cand, ["tile_id"], F.lit(0.5)).select("tile_id", "pred_id", "gt_id", r6(F.col("iou")).alias("iou"))
+    return M.greedy(cand, ["tile_id"], 0.5).select("tile_id", "pred_id", "gt_id", r6(F.col("iou")).alias("iou"))
 
 
 @reg("g4_polygon_fill", sql("SELECT gt_id, coalesce(CAST(sum(a) AS BIGINT), 0) AS pixels FROM gt LEFT JOIN (SELECT gt_id AS id, a FROM clipped) ON id = gt_id WHERE gt_id % 101 <> 7 GROUP BY gt_id", "gt", extra=SHAPES))

@@ -75,7 +75,7 @@ class Views:
     def matches(self, least: float = 0.5) -> DataFrame:
         from gridlore.operators import matching
 
-        return matching.greedy(self.cand(), ["tile_id"], F.lit(least))
+        return matching.greedy(self.cand(), ["tile_id"], least)
 
     def records(self, least: float = 0.5) -> DataFrame:
         from gridlore.operators import matching
