@@ -42,9 +42,16 @@ def write_scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark, path, schema = df.sparkSession, new_path(df.sparkSession, name), df.schema
     df.write.parquet(path)
+    forget(spark, path)
     return spark.read.schema(schema).parquet(path), path
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Have a written scratch table deleted when the driver ends, if nothing deletes it before."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     return write_scratch(df, name)[0]
 

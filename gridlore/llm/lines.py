@@ -53,7 +53,9 @@ class Runs:
     def write(self, counts: DataFrame) -> str:
         """A run as a bucketed, sorted table in the shared folder. Its rows are dealt by key already, so each bucket is one file."""
         name = f"gridlore_run_{uuid.uuid4().hex}"
-        counts.write.bucketBy(self.buckets, "key").sortBy("key").option("path", common.new_path(self.spark, name)).saveAsTable(name)
+        path = common.new_path(self.spark, name)
+        counts.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        common.forget(self.spark, path)
         return name
 
     def drop(self, name: str) -> None:
@@ -109,6 +111,7 @@ def drop_frequent(docs: DataFrame, least: int = 10, batches: int = 4) -> DataFra
     batch = F.pmod(F.xxhash64("__file", "__row"), F.lit(batches)).cast("int").alias("__batch")
     path = common.new_path(spark, "lines")
     docs.select("__file", "__row", batch, F.transform(split(F.col("text")), key).alias("keys")).write.partitionBy("__batch").parquet(path)
+    common.forget(spark, path)
     lines = spark.read.schema("__file string, __row long, keys array<binary>, __batch int").parquet(path)
     runs = Runs(spark, least)
     for k in range(batches):

@@ -390,3 +390,20 @@ def test_vectors_index_in_two_levels(spark, monkeypatch):
     mine = np.array([got[i][0] for i in range(len(x))])
     assert (mine <= links).all() and links.sum() > 10_000
     assert mine.sum() >= 0.97 * links.sum(), mine.sum() / links.sum()
+
+
+def test_scratch_goes_when_the_driver_ends(tmp_path):
+    import subprocess
+    import sys
+
+    script = f"""
+from pyspark.sql import SparkSession
+from gridlore.llm import common, lines
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+df = s.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
+assert lines.drop_frequent(df, 2, 2).count() == 2
+assert common.MADE
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, cwd=str(__import__("pathlib").Path(__file__).resolve().parents[2]), capture_output=True, timeout=300)
+    left = [p for p in (tmp_path / "shared").rglob("*.parquet")]
+    assert not left
