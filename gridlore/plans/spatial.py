@@ -355,7 +355,19 @@ def c8(v, restarts: int = 32, frac: float = 0.2):
     return o.orderBy("objective", "restart").limit(1).select("restart", r6(F.col("objective")).alias("objective"), "labels")
 
 
-@reg("c9_balanced_folds")
+EMPTY = "struct_pack(n := 0::BIGINT, k0 := 0::BIGINT, k1 := 0::BIGINT, k2 := 0::BIGINT)"
+FOLDS = f"""WITH RECURSIVE cl AS (SELECT *, row_number() OVER (ORDER BY n DESC, label) AS o FROM (
+        SELECT label, count(*) AS n, count(*) FILTER (vec_id % 3 = 0) AS k0, count(*) FILTER (vec_id % 3 = 1) AS k1, count(*) FILTER (vec_id % 3 = 2) AS k2 FROM embeddings GROUP BY label)),
+    run AS (SELECT 0::BIGINT AS o, [{", ".join([EMPTY] * 5)}] AS fill, NULL::INTEGER AS label, NULL::INTEGER AS fold
+        UNION ALL SELECT o, list_transform(fill, lambda s, i: CASE WHEN i = b THEN struct_pack(n := s.n + cn, k0 := s.k0 + c0, k1 := s.k1 + c1, k2 := s.k2 + c2) ELSE s END), label, CAST(b - 1 AS INTEGER)
+        FROM (SELECT *, list_position(ds, list_min(ds)) AS b FROM (
+            SELECT c.o, c.label, c.n AS cn, c.k0 AS c0, c.k1 AS c1, c.k2 AS c2, r.fill,
+                list_transform(r.fill, lambda s: 2 * s.n * c.n + c.n * c.n + 2 * s.k0 * c.k0 + c.k0 * c.k0 + 2 * s.k1 * c.k1 + c.k1 * c.k1 + 2 * s.k2 * c.k2 + c.k2 * c.k2) AS ds
+            FROM run r JOIN cl c ON c.o = r.o + 1)))
+    SELECT label, fold FROM run WHERE o > 0"""
+
+
+@reg("c9_balanced_folds", FOLDS)
 def c9(v, folds: int = 5):
     """Largest cluster first into the fold it unbalances least; the first fold on ties."""
     c = clusters(v).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "label", "n", "k0", "k1", "k2"))).alias("cs"))
@@ -443,6 +455,14 @@ def u2(v):
     return s.where("val").select("tile_id").intersect(s.where("not val").select("tile_id")).agg((F.count(F.lit(1)) == 0).alias("disjoint"))
 
 
+@reg("u2_overlap_found", sql("SELECT count(*) AS shared, count(*) = 0 AS disjoint FROM (SELECT tile_id FROM sp WHERE val INTERSECT SELECT tile_id FROM sp WHERE NOT val OR tile_id % 7 = 5)", "grid", extra=SPLIT))
+def u2_overlap(v):
+    """The same assertion on a split that lets tiles into both sides."""
+    s = split(v)
+    both = s.where("val").select("tile_id").intersect(s.where("not val or tile_id % 7 = 5").select("tile_id"))
+    return both.agg(n_("shared")).withColumn("disjoint", F.col("shared") == 0)
+
+
 @reg("u3_fold_complement", sql("SELECT f.fold, count(*) AS n_train FROM (SELECT unnest(range(0, 5)) AS fold) f JOIN runs r ON r.fold <> f.fold GROUP BY f.fold", "runs"))
 def u3(v):
     by = v.runs().groupBy("fold").agg(n_())
