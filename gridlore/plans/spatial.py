@@ -74,13 +74,15 @@ def centres(df: DataFrame) -> DataFrame:
 
 
 def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """Pairs (a, b) of det_id at most `radius` apart: an equi-join on cells of that size and their neighbours."""
+    """Pairs (a, b) of det_id at most `radius` apart: an equi-join on cells of that size and their neighbours.
+
+    The side that stands in nine cells is shuffled: Spark's estimate of it leaves the nine out, and would broadcast it whole."""
     cell = lambda c: F.floor(F.col(c) / radius)
     around = F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     left = a.select(F.col("det_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.struct(cell("x").alias("cx"), cell("y").alias("cy")).alias("cell"))
     right = b.select(F.col("det_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("yb"), F.explode(around).alias("cell"))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("yb")
-    return left.join(right, "cell").where(dx * dx + dy * dy <= radius * radius).select("a", "b")
+    return left.join(right.hint("merge"), "cell").where(dx * dx + dy * dy <= radius * radius).select("a", "b")
 
 
 def sides(v):
