@@ -24,8 +24,9 @@ def coco(document: DataFrame) -> dict[str, DataFrame]:
     return parts
 
 
-def read_coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return coco(spark.read.schema(COCO).option("multiLine", True).json(path))
+def read_coco(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """Files that are a document each, or have one a line, which tasks share."""
+    return coco(spark.read.schema(COCO).option("multiLine", not lines).json(path))
 
 
 def segmentation(text) -> list:

@@ -8,6 +8,31 @@ from gridlore.plans.views import Views
 SF = "/root/testdata/sf0.001"
 
 
+def test_coco_documents_do_not_grow_with_their_group(spark):
+    from gridlore.sources import readers, writers
+
+    images = spark.range(10).select(F.lit("a").alias("aoi"), F.col("id").alias("image_id"), F.lit("x").alias("file_name"), F.lit(9).alias("width"), F.lit(9).alias("height"))
+    notes = images.where("image_id <> 4").select("aoi", (F.col("image_id") + 100).alias("id"), "image_id", F.lit(1).alias("cls"), *(F.lit(n).alias(c) for c, n in (("x0", 0), ("y0", 1), ("x1", 2), ("y1", 3))), F.lit(4).alias("area"))
+    docs = writers.coco_documents(images, notes, "aoi", most=3)
+    got = [(r.images, r.annotations) for r in docs.select(F.from_json("document", readers.COCO).alias("d")).select("d.*").collect()]
+    assert sorted(len(i) for i, _ in got) == [1, 3, 3, 3] and sum(len(a) for _, a in got) == 9
+    assert sorted(i.id for images, _ in got for i in images) == list(range(10))
+    assert all({a.image_id for a in a_} <= {i.id for i in i_} for i_, a_ in got)
+
+
+def test_areas_are_read_from_all_their_documents(spark, tmp_path):
+    from gridlore.plans import files
+
+    # Tiles 26 ids apart, over 75 stretches of ids.
+    spark.read.parquet(f"{SF}/orders.parquet").withColumn("o_orderkey", F.col("o_orderkey") * 1040).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{SF}/region.parquet").write.parquet(f"{tmp_path}/region.parquet")
+    v = Views(spark, str(tmp_path))
+    assert spark.read.text(files.documents(v)).count() > 50
+    want = {r.aoi: (r.i, r.n, r.w) for r in v.tiles().join(v.gt(), "tile_id", "left").groupBy("aoi").agg(F.count_distinct("tile_id").alias("i"), F.count("gt_id").alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).collect()}
+    assert {r.aoi: (r.images, r.annotations, r.width) for r in files.k1(v).collect()} == want
+    assert {r.id for r in files.s1(v).collect()} == {r.gt_id for r in v.gt().collect()}
+
+
 def test_the_side_in_nine_cells_is_never_broadcast(spark):
     v = Views(spark, SF)
     for name in ("j8_distance_semi_join", "m19_concordance"):
