@@ -41,8 +41,9 @@ def features(document: DataFrame) -> DataFrame:
     return document.select(F.coalesce("crs", F.lit("EPSG:4326")).alias("crs"), F.explode_outer("features").alias("f")).select("crs", "f.properties", "f.geometry")
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    return features(spark.read.schema(FEATURES).option("multiLine", True).json(path))
+def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Files that are a collection each, or have one a line, which tasks share."""
+    return features(spark.read.schema(FEATURES).option("multiLine", not lines).json(path))
 
 
 def read_flat_predictions(spark: SparkSession, paths: list[str], folds: int | None = None) -> DataFrame | None:

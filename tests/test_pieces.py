@@ -33,6 +33,16 @@ def test_areas_are_read_from_all_their_documents(spark, tmp_path):
     assert {r.id for r in files.s1(v).collect()} == {r.gt_id for r in v.gt().collect()}
 
 
+def test_feature_collections_do_not_grow_with_the_table(spark):
+    from gridlore.plans import files
+
+    v = Views(spark, SF)
+    lines = spark.read.text(files.collections(v, most=70))
+    sizes = [r[0] for r in lines.select(F.size(F.from_json("value", "features array<struct<type:string>>")["features"])).collect()]
+    assert sum(sizes) == v.gt().count() and max(sizes) <= 10
+    assert {r.det_id for r in files.k4(v).collect()} == {r.det_id for r in v.map_gt().where("det_id % 10 <> 0").collect()}
+
+
 def test_the_side_in_nine_cells_is_never_broadcast(spark):
     v = Views(spark, SF)
     for name in ("j8_distance_semi_join", "m19_concordance"):
