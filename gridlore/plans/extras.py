@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridlore.functions import rings, rle
+from gridlore.functions import rings, runs
 from gridlore.functions.numeric import r6
 from gridlore.operators import clustering, evaluator
 from gridlore.plans.cut import folder
@@ -28,23 +27,15 @@ def k9(v):
     return v.tiles().select("aoi", F.when(F.col("tile_id") % 5 == 0, "val").otherwise("train").alias("split"), "tile_id")
 
 
-def ring_area(mode: str):
-    from gridlore.functions.rle import fill
-
-    def area(x0, y0, x1, y1):
-        import numpy as np
-        import pandas as pd
-
-        out = [int(fill(np.array([a, c, c, a]), np.array([b, b, d, d]), 64, 64, mode).sum()) for a, b, c, d in zip(x0, y0, x1, y1, strict=True)]
-        return pd.Series(out, dtype="int32")
-
-    return F.pandas_udf(area, T.IntegerType())
+def ring_area(snap, size: int = 64):
+    """Pixels of the box from the origin to (w + 0.5, h + 0.5), its corners snapped first; a batch of rings is filled at once."""
+    low, right, bottom = snap(F.lit(0.0)), snap(F.col("w") + 0.5), snap(F.col("h") + 0.5)
+    return runs.size(runs.filled(F.array(rings.box_ring(low, low, right, bottom)), size, size)).cast("int")
 
 
 @reg("g4_fill_rounded_truncated", sql("SELECT gt_id, CAST(round_even(w + 0.5::DOUBLE, 0) * round_even(h + 0.5::DOUBLE, 0) AS INTEGER) AS rounded, CAST(w * h AS INTEGER) AS cut FROM gt", "gt"))
 def g4(v):
-    box = [F.lit(0.0), F.lit(0.0), F.col("w") + 0.5, F.col("h") + 0.5]
-    return v.gt().select("gt_id", ring_area("round")(*box).alias("rounded"), ring_area("trunc")(*box).alias("cut"))
+    return v.gt().select("gt_id", ring_area(F.rint).alias("rounded"), ring_area(lambda c: c.cast("long")).alias("cut"))
 
 
 @reg("m3_merged_instance", sql("SELECT gt_id, round(2 * area::DOUBLE, 6) AS area FROM gt", "gt"))
