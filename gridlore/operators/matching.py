@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridlore.functions import boxes
+from gridlore.functions import boxes, runs
 from gridlore.functions.numeric import prefix_sums, rates
 from gridlore.plans.cut import cut
 
@@ -29,6 +29,19 @@ def candidates(gt: DataFrame, pred: DataFrame, same_class: bool = False) -> Data
     return both.select("tile_id", "pred_id", "score", "pred_cls", "gt_id", "gt_cls", "gt_area", boxes.iou("p_", "g_").alias("iou"))
 
 
+def mask_candidates(gt: DataFrame, pred: DataFrame, span: int, least: float) -> DataFrame:
+    """tile_id, pred_id, score, gt_id, iou of pairs of masks that can have an IoU of `least`; sides have key, x0, y0, x1, y1, runs and area, pred a score.
+
+    No two masks share more pixels than their boxes, or than the smaller has. Where that is too few the run lists are not compared: only a
+    mask's neighbours of its own size are, not all that touch its box."""
+    side = lambda df, n: df.select("tile_id", *[F.col(c).alias(f"{n}{c}") for c in df.columns if c != "tile_id"])
+    most, areas = F.least(boxes.overlap("p_", "g_"), F.col("p_area"), F.col("g_area")), F.col("p_area") + F.col("g_area")
+    near = boxes.meets("p_", "g_") & (most >= (least - 1e-9) * (areas - most))
+    pairs = side(pred, "p_").join(side(gt, "g_"), "tile_id").where(near).withColumn("both", runs.shared("p_runs", "g_runs", span))
+    iou = F.try_divide(F.col("both").cast("double"), areas - F.col("both"))
+    return pairs.select("tile_id", F.col("p_key").alias("pred_id"), F.col("p_score").alias("score"), F.col("g_key").alias("gt_id"), iou.alias("iou"))
+
+
 def passed(cand: DataFrame, by: list[str], thresholds: list[float]) -> DataFrame:
     """by, pred_id, gt_id, iou, bits: pairs accepted for at least one threshold, a bit for each that accepts.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridlore.functions import boxes, rings, runs
+from gridlore.functions import rings, runs
 from gridlore.functions.numeric import r6
 from gridlore.operators import matching as M
 from gridlore.operators import outlines as O
@@ -138,10 +138,7 @@ MASKS = {
 def j6(v):
     """Greedy matches by the IoU of masks that are no boxes: boxes only choose the pairs whose run lists are compared."""
     g, p = instances(v.gt(), "gt_id", F.col("gt_id") % 3), instances(v.pred(), "pred_id", F.floor(F.col("pred_id") / 8) % 3)
-    side = lambda df, n: df.select("tile_id", *[F.col(c).alias(f"{n}{c}") for c in df.columns if c != "tile_id"])
-    pairs = side(p, "p_").join(side(g, "g_"), "tile_id").where(boxes.meets("p_", "g_")).withColumn("both", runs.shared("p_runs", "g_runs", SIZE * SIZE + 1))
-    iou = F.col("both") / (F.col("p_area") + F.col("g_area") - F.col("both"))
-    cand = pairs.select("tile_id", F.col("p_key").alias("pred_id"), F.col("p_score").alias("score"), F.col("g_key").alias("gt_id"), iou.alias("iou"))
+    cand = M.mask_candidates(g, p, SIZE * SIZE + 1, 0.5)
     return M.greedy(cand, ["tile_id"], 0.5).select("tile_id", "pred_id", "gt_id", r6(F.col("iou")).alias("iou"))
 
 

@@ -49,3 +49,25 @@ def test_the_side_in_nine_cells_is_never_broadcast(spark):
         plan = catalog.queries()[name](spark, v.dir)._jdf.queryExecution().executedPlan().toString()
         joins = [line for line in plan.splitlines() if "Join" in line and "cell" in line]
         assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_masks_that_cannot_match_are_not_compared(spark):
+    import numpy as np
+
+    from gridlore.functions import rings, runs
+    from gridlore.operators import matching as M
+
+    g = np.random.default_rng(4)
+    x, y, w, h = g.integers(0, 20, 80), g.integers(0, 20, 80), g.integers(1, 12, 80), g.integers(1, 12, 80)
+    rows = [(1, i, float(i), *map(int, b)) for i, b in enumerate(zip(x, y, x + w, y + h, strict=True))]
+    df = spark.createDataFrame(rows, "tile_id long, key long, score double, x0 long, y0 long, x1 long, y1 long")
+    df = df.withColumn("runs", runs.filled(F.array(rings.box_ring(*(F.col(c) for c in ("x0", "y0", "x1", "y1")))), 40, 40)).withColumn("area", runs.size("runs"))
+    got = {(r.pred_id, r.gt_id): r.iou for r in M.mask_candidates(df.drop("score"), df, 1601, 0.5).collect()}
+    want = {}
+    for _, i, _, *a in rows:
+        for _, j, _, *b in rows:
+            both = max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
+            one = lambda q: (q[2] - q[0]) * (q[3] - q[1])
+            want[i, j] = both / (one(a) + one(b) - both)
+    assert {k: round(i, 9) for k, i in got.items() if i >= 0.5} == {k: round(i, 9) for k, i in want.items() if i >= 0.5}
+    assert len(got) == sum(i >= 0.5 for i in want.values())  # of plain boxes the bound is exact
