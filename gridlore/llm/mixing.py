@@ -11,9 +11,11 @@ source down and rare ones up. The cell table has a row a combination that occurs
 raked in numpy and broadcast, more of them are raked and joined in Spark, by the same rounds, test and steps. Where
 ROUNDS leave a marginal further off than CLOSE, a warning tells how far.
 
-Topics are TOPICS clusters of hashed, weighted words, found by spherical k-means on a sample of at most SAMPLE documents
-(SAMPLE_CHARS characters of each), after the mean of a document's language is taken off, so that a topic is none of
-the languages. Every whole text is assigned to the nearest one.
+Topics are TOPICS clusters of hashed, weighted words, found by spherical k-means on the whole texts of all documents, a pass of
+Spark a round, after the mean of a document's language is taken off, so that a topic is none of the languages. Words are
+counted once and written; rarities, means and centres are sums of whole numbers over all of these rows, so that neither
+order nor partitions change them. Only the first centres are single documents, by a hash. Means of the MOST_LANGS
+commonest languages travel with a task, those of all others are joined to their documents.
 
 Null sources and languages are values of their own; a null or empty text is one token of topic -1; very long texts are
 read whole, one at a time; null ids share one draw; repeated rows are drawn alike; of equally near topics the first
@@ -23,9 +25,10 @@ counts; an empty table gives an empty result; other columns are ignored, or kept
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,69 +39,223 @@ from gridlore.llm.packing import Tokens
 
 ALPHA, KEEP, ROUNDS, CLOSE, STEPS, MOST_CELLS = 0.7, 0.85, 200, 1e-9, 100, 100_000
 DIMENSIONS = ("source", "lang", "topic")
-TOPICS, WIDTH, SAMPLE, SAMPLE_CHARS = 8, 1024, 4000, 4000
+TOPICS, WIDTH, FITS, SEEDS, MOST_LANGS = 8, 1024, 12, 64, 1000
+#: Sums are of whole multiples of 1 / UNIT; of a document this near to its language's mean no direction is left.
+UNIT, LEAST = 2.0**28, 1e-3
+#: Rows of a batch that are worked on at once.
+SLICE = 500
 
 
-class Topics:
-    """Clusters of hashed words, weighted by rarity, with each language's mean taken off."""
+class Words:
+    """Hashed words of a text, distinct, and how often each is there."""
 
-    def __init__(self, texts: list[str], langs: list[str | None], topics: int = TOPICS, rounds: int = 12, seed: int = 3):
+    def __init__(self):
         self.words = Shingler(1).words
-        counts = np.array([self.count(t) for t in texts]).reshape(len(texts), WIDTH)
-        self.rarity = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0)))
-        x = np.array([self.weigh(c) for c in counts]).reshape(len(texts), WIDTH)
-        self.mean = {None: x.mean(axis=0) if len(x) else np.zeros(WIDTH)}
-        for lang in set(langs) - {None}:
-            self.mean[lang] = x[[one == lang for one in langs]].mean(axis=0)
-        x = np.array([self.unit(v - self.mean[one]) for v, one in zip(x, langs, strict=True)]).reshape(len(texts), WIDTH)
-        r = np.random.default_rng(seed)
-        self.centres = x[r.choice(len(x), min(topics, len(x)), replace=False)] if len(x) else np.zeros((1, WIDTH))
-        for _ in range(rounds if len(x) else 0):
-            at = (x @ self.centres.T).argmax(axis=1)
-            for k in range(len(self.centres)):
-                if (at == k).any():
-                    self.centres[k] = self.unit(x[at == k].sum(axis=0))
-
-    def count(self, text: str) -> np.ndarray:
-        data = np.frombuffer(text.encode(errors="replace").lower(), np.uint8)
-        return np.bincount((self.words(data) % np.uint64(WIDTH)).astype(np.int64), minlength=WIDTH)
-
-    def weigh(self, counts: np.ndarray) -> np.ndarray:
-        return self.unit(np.sqrt(counts) * self.rarity)
+
+    def __call__(self, text: str | None) -> tuple[bytes, bytes]:
+        data = np.frombuffer((text or "").encode(errors="replace").lower(), np.uint8)
+        counts = np.bincount((self.words(data) % np.uint64(WIDTH)).astype(np.int64), minlength=WIDTH)
+        at = np.flatnonzero(counts)
+        return at.astype(np.uint16).tobytes(), counts[at].astype(np.uint32).tobytes()
+
+
+class Bags:
+    """The words of some rows, one after another: the row each is of, its place, how often it is there."""
+
+    def __init__(self, words: list[bytes], times: list[bytes]):
+        self.sizes = np.array([len(w) // 2 for w in words], np.int64)
+        self.row = np.repeat(np.arange(len(words)), self.sizes)
+        self.word = np.frombuffer(b"".join(words), np.uint16).astype(np.int64)
+        self.times = np.frombuffer(b"".join(times), np.uint32)
+
+    def weigh(self, rarity: np.ndarray) -> np.ndarray:
+        w = np.sqrt(self.times) * rarity[self.word]
+        return w / np.maximum(np.sqrt(self.sums(w * w)), 1e-12)[self.row]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, values, len(self.sizes))
+
+
+class Topics:
+    """Clusters of hashed words, weighted by rarity, with each language's mean taken off.
+
+    means has the mean of all documents, then those of the languages in `places`; a row may bring its own."""
+
+    def __init__(self, rarity: np.ndarray, means: np.ndarray, places: dict[str, int], centres: np.ndarray):
+        self.rarity, self.means, self.places, self.centres = rarity, means, places, centres
+
+    def near(self, words: list, times: list, langs: list, own: list) -> tuple:
+        """Of rows: words, their weights, the mean of each row, the length left without it, and the scores by centre."""
+        bags = Bags(words, times)
+        w, extra = bags.weigh(self.rarity), [i for i, m in enumerate(own) if m is not None]
+        at = np.array([self.places.get(one, 0) for one in langs], np.int64)
+        means = self.means
+        if extra:
+            at[extra] = len(means) + np.arange(len(extra))
+            means = np.concatenate([means, np.frombuffer(b"".join(own[i] for i in extra)).reshape(-1, WIDTH)])
+        square = np.array([(m * m).sum() for m in means])
+        left = np.sqrt(np.maximum(bags.sums(w * w) + square[at] - 2 * bags.sums(w * means[at[bags.row], bags.word]), 0))
+        taken = np.array([[(m * c).sum() for c in self.centres] for m in means])
+        score = np.stack([bags.sums(w * c[bags.word]) for c in self.centres], axis=1) - taken[at]
+        return bags, w, means, at, left, score
+
+    def __call__(self, words: list, times: list, langs: list, own: list) -> np.ndarray:
+        bags, *_, score = self.near(words, times, langs, own)
+        return np.where(bags.sizes > 0, score.argmax(axis=1), -1)
+
+    def moments(self, words: list, times: list, langs: list, own: list) -> np.ndarray:
+        """By centre, the sum of its rows' directions before the means in self.means are taken off, and how much of each of those to take off."""
+        bags, w, means, at, left, score = self.near(words, times, langs, own)
+        used, best = (bags.sizes > 0) & (left > LEAST), score.argmax(axis=1)
+        length = np.where(used, left, np.inf)
+        n, k = len(self.means), len(self.centres)
+        sums = np.bincount(best[bags.row] * WIDTH + bags.word, np.rint(w / length[bags.row] * UNIT), k * WIDTH).astype(np.int64)
+        off, kept = np.rint(UNIT / length), at < n
+        for i in np.flatnonzero(~kept & used):
+            sums[best[i] * WIDTH : (best[i] + 1) * WIDTH] -= np.rint(off[i] * means[at[i]]).astype(np.int64)
+        return np.concatenate([sums, np.bincount(best[kept] * n + at[kept], off[kept], k * n).astype(np.int64)])
 
     @staticmethod
     def unit(v: np.ndarray) -> np.ndarray:
         return v / max(float(np.sqrt((v * v).sum())), 1e-12)
 
-    def __call__(self, text: str | None, lang: str | None) -> int:
-        counts = self.count(text or "")
-        if not counts.any():
-            return -1
-        return int((self.centres @ (self.weigh(counts) - self.mean.get(lang, self.mean[None]))).argmax())
 
-    @classmethod
-    def of(cls, docs: DataFrame, sample: int = SAMPLE) -> Topics:
-        """Fitted on about `sample` documents by a hash of the id, thinned where they are read; of a long text on a window at a hashed place."""
-        place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
-        rows = docs.select(F.xxhash64("doc_id", F.lit(9)).alias("o"), F.substring("text", place + 1, F.lit(SAMPLE_CHARS)).alias("t"), "lang").where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
-        n = rows.count()
-        some = rows.where(F.pmod("o", F.lit(2**40)) <= int(min(1.0, 1.1 * sample / max(n, 1)) * 2**40))
-        got = sorted(some.orderBy("o", "t").limit(sample).collect(), key=lambda r: (r["o"], r["t"], r["lang"] or ""))
-        return cls([r["t"] for r in got], [r["lang"] for r in got])
+def total(rows: DataFrame, size: int, work: Callable[..., np.ndarray]) -> np.ndarray:
+    """The sum of vectors of `size` whole numbers that work gives for slices of rows, as lists of the columns: by task, then in eight tasks, then here."""
+
+    def add(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros(size, np.int64)
+        for part in parts:
+            got += part
+        yield pa.RecordBatch.from_pydict({"sum": pa.array([got.tobytes()], pa.binary())})
+        common.give_back()
+
+    def each(batches):
+        return add(work(*(c.to_pylist() for c in b.slice(i, SLICE).columns)) for b in batches for i in range(0, b.num_rows, SLICE))
+
+    def again(batches):
+        return add(np.frombuffer(x, np.int64) for b in batches for x in b.column(0).to_pylist())
+
+    got = rows.mapInArrow(each, "sum binary").repartition(8).mapInArrow(again, "sum binary").collect()
+    return sum((np.frombuffer(r["sum"], np.int64) for r in got), np.zeros(size, np.int64))
+
+
+def presence(words: list) -> np.ndarray:
+    """In how many rows each word is, then how many rows have words."""
+    have = np.bincount(np.frombuffer(b"".join(words), np.uint16), minlength=WIDTH)
+    return np.append(have, sum(len(w) > 0 for w in words)).astype(np.int64)
+
+
+def means_of(rarity: np.ndarray, places: dict[str, int]) -> Callable[..., np.ndarray]:
+    """Sums of weighted words of all rows and by language, then numbers of rows, for `total`."""
+
+    def work(words: list, times: list, langs: list) -> np.ndarray:
+        n, bags = len(places) + 1, Bags(words, times)
+        w = np.rint(bags.weigh(rarity) * UNIT)
+        at, full = np.array([places.get(one, 0) for one in langs], np.int64), bags.sizes > 0
+        sums = np.bincount(at[bags.row] * WIDTH + bags.word, w, n * WIDTH).astype(np.int64)
+        sums[:WIDTH] = np.bincount(bags.word, w, WIDTH)
+        count = np.bincount(at[full], minlength=n)
+        count[0] = full.sum()
+        return np.concatenate([sums, count])
 
+    return work
 
-def counter(topics: Topics, path: str | None) -> Callable[[], Callable[[list, list], tuple[list, list]]]:
-    """Topics and tokens of texts, for a task."""
+
+def own_means(rarity: np.ndarray) -> Callable[[], Callable[..., list]]:
+    """The mean of a group of one language, for map_groups."""
 
     def start():
-        from public_tokenizers import path as place
+        work = means_of(rarity, {})
 
-        tokens = Tokens(path or place("byte_bpe_50k.json"))
-        return lambda texts, langs: ([topics(t, one) for t, one in zip(texts, langs, strict=True)], [len(tokens.encode(t)) + 1 if t else 1 for t in texts])
+        def run(langs: list, words: list, times: list) -> list:
+            got = np.zeros(WIDTH + 1, np.int64)
+            for i in range(0, len(langs), SLICE):
+                got += work(words[i : i + SLICE], times[i : i + SLICE], langs[i : i + SLICE])
+            return [[langs[0]], [(got[:-1] / (max(got[-1], 1) * UNIT)).tobytes()]]
+
+        return run
 
     return start
 
 
+def fit(rows: DataFrame, topics: int = TOPICS, rounds: int = FITS, most_langs: int = MOST_LANGS) -> tuple[DataFrame, Topics]:
+    """Topics of all rows (key, lang, words, times, others; written), and the rows with `own`, a mean that only they need, or null."""
+    full = rows.where(F.length("words") > 0)
+    have = total(full.select("words"), WIDTH + 1, presence)
+    rarity = np.log((1 + have[-1]) / (1 + have[:-1]))
+    common_langs = full.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs + 1).collect()
+    places = {r["lang"]: i + 1 for i, r in enumerate(common_langs[:most_langs])}
+    n = len(places) + 1
+    got = total(full.select("words", "times", "lang"), n * WIDTH + n, means_of(rarity, places))
+    means = got[: n * WIDTH].reshape(n, WIDTH) / (np.maximum(got[n * WIDTH :, None], 1) * UNIT)
+    if len(common_langs) > most_langs:
+        known = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in places], "lang string"))
+        rest = full.where("lang is not null").join(known, "lang", "left_anti").select("lang", "words", "times")
+        own = common.scratch(common.map_groups(rest, ["lang"], "one string, own binary", own_means(rarity)), "means")
+        rows = common.scratch(common.look_up(rows, own, "lang", "one", ["key", "words"], "left").drop("one"), "owned")
+    else:
+        rows = rows.withColumn("own", F.lit(None).cast("binary"))
+    full = rows.where(F.length("words") > 0).select("words", "times", "lang", "own")
+    first = rows.where(F.length("words") > 0).orderBy(F.xxhash64("key", F.lit(9)), F.xxhash64("words", "times")).limit(SEEDS).select("words", "times", "lang", "own").collect()
+    model = Topics(rarity, means, places, np.zeros((1, WIDTH)))
+    centres = []
+    for r in list({(r["words"], r["times"]): r for r in first}.values())[:topics]:
+        bags, w, all_means, at, *_ = model.near(*([r[c]] for c in ("words", "times", "lang", "own")))
+        x = -all_means[at[0]]
+        x[bags.word] += w
+        centres.append(Topics.unit(x))
+    if not centres:
+        return rows, model
+    last = None
+    for _ in range(rounds):
+        model = Topics(rarity, means, places, np.array(centres))
+        got = total(full, len(centres) * (WIDTH + n), model.moments)
+        if last is not None and (got == last).all():
+            break
+        last = got
+        sums = got[: len(centres) * WIDTH].reshape(-1, WIDTH) - got[len(centres) * WIDTH :].reshape(-1, n) @ means
+        taken = got[len(centres) * WIDTH :].reshape(-1, n).any(axis=1) | got[: len(centres) * WIDTH].reshape(-1, WIDTH).any(axis=1)
+        centres = [Topics.unit(s) if t else c for s, t, c in zip(sums, taken, centres, strict=True)]
+    return rows, Topics(rarity, means, places, np.array(centres))
+
+
+def assigned(model: Topics) -> Column:
+    """The topic of a row of `fit`, as text."""
+
+    def topic(words: pa.Array, times: pa.Array, langs: pa.Array, own: pa.Array) -> pa.Array:
+        out = []
+        for i in range(0, len(words), SLICE):
+            out.extend(model(*(c.slice(i, SLICE).to_pylist() for c in (words, times, langs, own))).tolist())
+        return pa.array([str(t) for t in out], pa.string())
+
+    return F.arrow_udf(topic, T.StringType())("words", "times", "lang", "own")
+
+
+def counted(docs: DataFrame, names: dict[str, str], keep: list[str], path: str | None) -> DataFrame:
+    """Columns `keep` of docs, then key, lang, tokens, words and times; `names` has the columns of the id, language and text. Written."""
+    fields = [*[docs.schema[c] for c in keep], T.StructField("tokens", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("times", T.BinaryType())]
+    kind, text = T.StructType(fields), docs.columns.index(names["text"])
+    kept = [docs.columns.index(c) for c in keep]
+
+    def each(batches):
+        from public_tokenizers import path as place
+
+        tokens, count = Tokens(path or place("byte_bpe_50k.json")), Words()
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                texts = part.column(text).to_pylist()
+                words, times = zip(*map(count, texts), strict=True)
+                new = [pa.array([len(tokens.encode(t)) + 1 if t else 1 for t in texts], pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *new], names=kind.names)
+        tokens = batch = part = texts = words = times = new = None
+        common.give_back()
+
+    rows = docs.mapInArrow(each, kind)
+    return common.scratch(rows.withColumns({"key": F.col(names["doc_id"]).cast("long"), "lang": F.col(names["lang"]).cast("string")}), "counted")
+
+
 def draw(doc_id: Column, seed: int = 11) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(-1)), F.lit(seed)), F.lit(2**53)) / F.lit(float(2**53))
 
@@ -200,19 +357,9 @@ def probabilities(rows: DataFrame, wanted: dict[str, dict] | None = None, keep:
 
 def facts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens."""
-    start = counter(Topics.of(docs), path)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), "text")
-
-    def each():
-        work = start()
-
-        def run(ids: list, sources: list, langs: list, texts: list) -> list:
-            topic, tokens = work(texts, langs)
-            return [ids, sources, langs, [str(t) for t in topic], tokens]
-
-        return run
-
-    return common.map_columns(rows, "doc_id long, source string, lang string, topic string, tokens long", each, rows=500)
+    held, model = fit(counted(rows, {c: c for c in ("doc_id", "lang", "text")}, ["doc_id", "source", "lang"], path))
+    return held.select("doc_id", "source", "lang", assigned(model).alias("topic"), "tokens")
 
 
 def same_cell(cells: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -223,7 +370,9 @@ def same_cell(cells: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def mix(docs: DataFrame, wanted: dict[str, dict] | None = None, keep: float = KEEP, path: str | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability, kept."""
-    rows = common.scratch(facts(docs, path), "facts")
+    mark = len(common.MADE)
+    rows, place = common.write_scratch(facts(docs, path), "facts")
+    common.drop_since(docs.sparkSession, mark, place)
     cells, names = same_cell(probabilities(rows, wanted, keep))
     same = F.lit(True)
     for d, n in zip(DIMENSIONS, names, strict=True):
@@ -232,31 +381,16 @@ def mix(docs: DataFrame, wanted: dict[str, dict] | None = None, keep: float = KE
 
 
 def sample(docs: DataFrame, wanted: dict[str, dict] | None = None, keep: float = KEEP, path: str | None = None) -> DataFrame:
-    """The documents that are drawn, with all their columns. Topic and tokens are found once and written beside them."""
+    """The documents that are drawn, with all their columns. Words and tokens are counted once and written beside them."""
     own = [f"own {i}" for i in range(len(docs.columns))]
-    start = counter(Topics.of(docs), path)
-    plain = docs.toDF(*own)
     at = {name: own[i] for i, name in enumerate(docs.columns)}
-    kind = T.StructType([*plain.schema.fields, T.StructField("topic", T.StringType()), T.StructField("tokens", T.LongType())])
-    text, lang = (plain.columns.index(at[c]) for c in ("text", "lang"))
-
-    def each(batches):
-        import pyarrow as pa
-
-        work = start()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                topic, tokens = work(part.column(text).to_pylist(), [None if x is None else str(x) for x in part.column(lang).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([str(t) for t in topic], pa.string()), pa.array(tokens, pa.int64())], names=kind.names)
-        work = batch = part = None
-        common.give_back()
-
-    held = common.scratch(plain.mapInArrow(each, kind), "mixed")
-    cells = probabilities(held.select(F.col(at["source"]).cast("string").alias("source"), F.col(at["lang"]).cast("string").alias("lang"), "topic", "tokens"), wanted, keep)
-    cells, names = same_cell(cells.drop("tokens"))
-    same = F.col("topic").eqNullSafe(F.col(names[2])) & F.col(at["source"]).cast("string").eqNullSafe(F.col(names[0])) & F.col(at["lang"]).cast("string").eqNullSafe(F.col(names[1]))
-    kept = held.join(cells, same).where(draw(F.col(at["doc_id"]).cast("long")) < F.col("probability"))
+    held, model = fit(counted(docs.toDF(*own), {c: at[c] for c in ("doc_id", "lang", "text")}, own, path))
+    held = held.select(*own, "key", "lang", F.col(at["source"]).cast("string").alias("source"), assigned(model).alias("topic"), "tokens")
+    cells, names = same_cell(probabilities(held.select(*DIMENSIONS, "tokens"), wanted, keep).drop("tokens"))
+    same = F.lit(True)
+    for d, n in zip(DIMENSIONS, names, strict=True):
+        same &= F.col(d).eqNullSafe(F.col(n))
+    kept = held.join(cells, same).where(draw(F.col("key")) < F.col("probability"))
     return kept.select(*own).toDF(*docs.columns)
 
 

@@ -320,6 +320,38 @@ def test_mixing_counts_tokens_and_finds_topics(spark):
         assert sum(len({i % 2 for i, f in got.items() if f.topic == topic and i % 3 == k}) == 2 for topic in {f.topic for f in got.values()}) >= 1
 
 
+def test_mixing_topics_are_fitted_on_whole_texts_of_all_documents(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choices([f"{'ab'[i % 3 == 0]}{j}" for j in range(50)], k=30)) for i in range(4300)] + ["z " * 5000 + "only at the end", "z" * 9000 + " last", None, " "]
+    langs = [("en", "de", "fr", None)[i % 4] for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, n, "s") for i, (t, n) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string, source string")
+    names, count = {c: c for c in ("doc_id", "lang", "text")}, mixing.Words()
+    held = mixing.counted(df, names, ["doc_id", "source", "lang"], path)
+    bags = np.zeros((len(texts), mixing.WIDTH))
+    for i, t in enumerate(texts):
+        at, n = count(t)
+        bags[i, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
+    full = bags.any(axis=1)
+    rarity = np.log((1 + full.sum()) / (1 + (bags > 0).sum(axis=0)))
+    x = np.sqrt(bags) * rarity
+    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    mean = {n: x[full & np.array([n is None or m == n for m in langs])].mean(axis=0) for n in ("en", "de", "fr", None)}
+    left = x - np.array([mean[n] for n in langs])
+    got = {}
+    for most in (1000, 1):  # languages past the first are joined
+        rows, model = mixing.fit(held, topics=2, most_langs=most)
+        assert np.allclose(model.rarity, rarity) and np.allclose(model.means[0], mean[None])
+        topic = {t.doc_id: int(t.topic) for t in rows.select("doc_id", mixing.assigned(model).alias("topic")).collect()}
+        at = np.array([topic[i] for i in range(len(texts))])
+        assert (at[~full] == -1).all() and (at[full] == (left[full] @ model.centres.T).argmax(axis=1)).mean() > 0.999
+        for k in range(2):  # a fixed point of the fit, over all rows
+            own = left[full & (at == k)]
+            whole = (own / np.sqrt((own * own).sum(axis=1, keepdims=True))).sum(axis=0)
+            assert whole @ model.centres[k] > 0.999 * np.sqrt(whole @ whole)
+        got[most] = topic
+    assert got[1000] == got[1]
+
+
 def test_mixing_paths_agree_where_raking_is_slow(spark, monkeypatch):
     tokens = {("a", "x"): 9000, ("a", "y"): 300, ("b", "x"): 200, ("b", "y"): 4000, ("c", "y"): 50}
     rows = spark.createDataFrame([(*k, "prose", n) for k, n in tokens.items()], "source string, lang string, topic string, tokens long")
