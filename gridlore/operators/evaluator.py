@@ -39,8 +39,7 @@ class Evaluator:
         pred = self.predictions()
         if pred is None:
             return None
-        found = M.greedy(M.candidates(self.gt, pred), ["tile_id"], self.least)
-        return M.best(M.sweep(M.records(pred, found), self.gt.count()))
+        return M.best(M.curve(M.tally(pred, M.candidates(self.gt, pred), self.least, []), self.gt.count(), []))
 
 
 class Partial:
@@ -54,15 +53,15 @@ class Partial:
 
     @staticmethod
     def of(gt: DataFrame, pred: DataFrame, batch: int, least: float = 0.5) -> DataFrame:
-        rows = M.records(pred, M.greedy(M.candidates(gt, pred), ["tile_id"], least))
-        return rows.groupBy(F.col("tile_id").alias("image"), F.lit(batch).alias("batch"), "score").agg(F.sum("is_tp").cast("long").alias("tp"), F.count(F.lit(1)).alias("n"))
+        at = M.tally(pred, M.candidates(gt, pred), least, ["tile_id"])
+        return at.select(F.col("tile_id").alias("image"), F.lit(batch).alias("batch"), "score", F.col("tp1").alias("tp"), F.col("n1").alias("n"))
 
     @staticmethod
     def merge(*states: DataFrame) -> DataFrame:
         rows = states[0]
         for s in states[1:]:
             rows = rows.unionByName(s)
-        once = rows.groupBy("image", "batch", "score").agg(F.max("tp").alias("tp"), F.max("n").alias("n"))
+        once = rows.repartition("image").groupBy("image", "batch", "score").agg(F.max("tp").alias("tp"), F.max("n").alias("n"))
         first = F.min("batch").over(Window.partitionBy("image"))
         return once.withColumn("__first", first).where("batch = __first").drop("__first")
 

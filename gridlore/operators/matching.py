@@ -43,13 +43,14 @@ def mask_candidates(gt: DataFrame, pred: DataFrame, span: int, least: float) ->
 
 
 def passed(cand: DataFrame, by: list[str], thresholds: list[float]) -> DataFrame:
-    """by, pred_id, gt_id, iou, bits: pairs accepted for at least one threshold, a bit for each that accepts.
+    """by, pred_id, gt_id, iou, score, bits: pairs accepted for at least one threshold, a bit for each that accepts.
 
     One shuffle by group and one sort (both spill) bring a group's pairs in the order in which greedy matching looks at them: predictions
     by falling score, each with its ground truth by falling overlap, smaller ids first on ties. Then the first free
     ground truth of a prediction is its match, in one pass that holds only what is taken so far in the group."""
     columns = [*by, "pred_id", "gt_id", "iou"]
-    rows = cand.where(F.col("iou") >= min(thresholds)).select(*columns, "score").repartition(*by).sortWithinPartitions(*by, F.desc("score"), "pred_id", F.desc("iou"), "gt_id")
+    every = [*columns, "score"]
+    rows = cand.where(F.col("iou") >= min(thresholds)).select(*every).repartition(*by).sortWithinPartitions(*by, F.desc("score"), "pred_id", F.desc("iou"), "gt_id")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, taken, done = None, [], []
@@ -66,10 +67,10 @@ def passed(cand: DataFrame, by: list[str], thresholds: list[float]) -> DataFrame
                         bits |= 1 << i
                 out.append(bits)
             found = pa.array(out, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), found], names=[*columns, "bits"]).filter(pc.greater(found, 0))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in every), found], names=[*every, "bits"]).filter(pc.greater(found, 0))
 
     kinds = dict(cand.dtypes)
-    return rows.mapInArrow(each, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", bits long")
+    return rows.mapInArrow(each, ", ".join(f"{c} {kinds[c]}" for c in every) + ", bits long")
 
 
 def greedy(cand: DataFrame, by: list[str], least: Column | float) -> DataFrame:
@@ -77,7 +78,16 @@ def greedy(cand: DataFrame, by: list[str], least: Column | float) -> DataFrame:
 
     Returns by, pred_id, gt_id, iou of the accepted pairs (IoU >= least). Ties go to the smaller id. Pairs
     below the threshold cannot be accepted, so they are filtered out before the one shuffle on `by`."""
-    return passed(cand.where(F.col("iou") >= least), by, [0.0]).drop("bits")
+    return passed(cand.where(F.col("iou") >= least), by, [0.0]).drop("score", "bits")
+
+
+def tally(pred: DataFrame, cand: DataFrame, least: float, keys: list[str]) -> DataFrame:
+    """keys, score, tp1, n1: of the predictions of that score, how many are matched and how many there are.
+
+    Greedy matching by tile. A match brings its score along, so predictions need not meet matches again, one by one."""
+    found = passed(cand.where(F.col("iou") >= least), ["tile_id"], [0.0]).select(*keys, "score", F.lit(1).alias("tp"), F.lit(0).alias("n"))
+    both = pred.select(*keys, "score", F.lit(0).alias("tp"), F.lit(1).alias("n")).unionByName(found)
+    return both.groupBy(*keys, "score").agg(F.sum("tp").alias("tp1"), F.sum("n").alias("n1"))
 
 
 def records(pred: DataFrame, matches: DataFrame) -> DataFrame:

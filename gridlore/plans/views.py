@@ -26,7 +26,8 @@ class Views:
         return base.select("gt_id", "tile_id", "cls", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"), "w", "h", (F.col("w") * F.col("h")).alias("area"))
 
     def pred(self) -> DataFrame:
-        lines = self.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.max("l_extendedprice").alias("e"))
+        # Dealt by order first, so that the lines' aggregate and their join with orders need one shuffle.
+        lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.max("l_extendedprice").alias("e"))
         j = lines.join(self.gt(), F.col("l_orderkey") == F.col("gt_id"))
         x0, y0 = F.col("x0") + F.col("p") % 9 - 4, F.col("y0") + F.col("s") % 7 - 3
         w, h = F.col("w") + F.col("l_linenumber") % 3 - 1, F.col("h") + F.col("p") % 4 - 1
