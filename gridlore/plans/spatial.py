@@ -238,7 +238,9 @@ def nearest_train(v) -> DataFrame:
             return pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
         x, y = np.stack(a["embedding"]), np.stack(b["embedding"])
         x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
-        return pd.DataFrame({"vec_id": a["vec_id"].to_numpy(), "sim": (x @ y.T).max(axis=1)})
+        # A few rows of x at a time: a task holds no block of all products.
+        top = [(x[k : k + 250] @ y.T).max(axis=1) for k in range(0, len(x), 250)]
+        return pd.DataFrame({"vec_id": a["vec_id"].to_numpy(), "sim": np.concatenate(top)})
 
     return q.unionByName(t).groupBy("i", "j").applyInPandas(block, "vec_id long, sim double").groupBy("vec_id").agg(F.max("sim").alias("sim"))
 
@@ -257,55 +259,117 @@ SEAM = {"st": "SELECT tile, c, r, v FROM pixels WHERE c IN (0, 7)", "un": "SELEC
         "pr": "SELECT a.tile AS a, b.tile AS b, list_dot_product(a.u, b.u) AS rho FROM un a JOIN un b ON a.c = 7 AND b.c = 0 AND a.tile <> b.tile"}
 
 
-def edges(v) -> DataFrame:
+#: Correlations that a product of matrices brings nearer than this may be equal, and are added up anew.
+NEAR = 1e-12
+
+
+def units(strips):
+    """Strips, one a row, without their mean and of length 1; a constant one is 0."""
+    import numpy as np
+
+    x = np.stack(strips)
+    x = x - x.mean(axis=1, keepdims=True)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def strips(v) -> DataFrame:
+    """tile, c (7: right edge, 0: left edge), x: its pixels by row."""
+    return v.pixels().where("c in (0, 7)").groupBy("tile", "c").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("x"))
+
+
+def tops(x, y, same):
+    """By row of x, its greatest correlation to a row of y and the first row that has it; `same` are pairs (rows, rows) that do not meet.
+
+    A product of matrices finds the rows that may be it, and these are added up term by term, so that equal strips have equal
+    correlations wherever they are."""
+    import numpy as np
+
+    best, at, size = np.full(len(x), -np.inf), np.zeros(len(x), "int64"), 50  # products that stay in a core's cache
+    for k in range(0, len(x), size):
+        rho = x[k : k + size] @ y.T
+        own = (same[0] >= k) & (same[0] < k + size)
+        rho[same[0][own] - k, same[1][own]] = -np.inf
+        i, j = np.divmod(np.flatnonzero(rho >= (rho.max(axis=1) - NEAR)[:, None]), len(y))
+        exact = sum(x[k + i, d] * y[j, d] for d in range(x.shape[1]))
+        exact[np.isneginf(rho[i, j])] = -np.inf
+        order = np.lexsort((j, -exact, i))
+        first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+        best[k + i[first]], at[k + i[first]] = exact[first], j[first]
+    return best, at
+
+
+def edges(v, sides: str = "ab") -> DataFrame:
     """Every right edge against every other left edge, blocks against blocks; pairs are never listed.
 
-    side 'a' and 'b': tile, its greatest correlation rho and the least tile that has it; side 'all': count, sum
-    and sum of squares of the correlations. A constant strip correlates at 0."""
+    side 'a' (of a right edge) and 'b' (of a left one), those asked for: tile, its greatest correlation rho and the least tile that has it.
+    A constant strip correlates at 0."""
     import numpy as np
     import pandas as pd
 
-    s = v.pixels().where("c in (0, 7)").groupBy("tile", "c").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("x"))
+    s = strips(v)
     n = blocks(v.pixels().select("tile").distinct())
     part, every = F.pmod(F.xxhash64("tile"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     both = s.where("c = 7").withColumns({"i": part, "j": every}).unionByName(s.where("c = 0").withColumns({"j": part, "i": every}))
-    names = ["side", "tile", "rho", "other", "n", "t", "q"]
+    empty = pd.DataFrame({"side": pd.Series(dtype="str"), "tile": pd.Series(dtype="int64"), "rho": pd.Series(dtype="float64"), "other": pd.Series(dtype="int64")})
 
-    def unit(f: pd.DataFrame) -> tuple:
+    def block(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("tile")
-        x = np.stack(f["x"])
-        x = x - x.mean(axis=1, keepdims=True)
-        return f["tile"].to_numpy(), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        right, left = f[f["c"] == 7], f[f["c"] == 0]
+        if not len(right) or not len(left):
+            return empty
+        a, b, x, y = right["tile"].to_numpy(), left["tile"].to_numpy(), units(right["x"]), units(left["x"])
+        same = np.intersect1d(a, b, assume_unique=True, return_indices=True)[1:]
+        out = []
+        for side, own, others, p, q, pairs in (("a", a, b, x, y, same), ("b", b, a, y, x, same[::-1])):
+            if side in sides:
+                rho, at = tops(p, q, pairs)
+                out.append(pd.DataFrame({"side": side, "tile": own, "rho": rho, "other": others[at]})[rho > -np.inf])
+        return pd.concat(out)
+
+    got = both.groupBy("i", "j").applyInPandas(block, "side string, tile long, rho double, other long")
+    return got.groupBy("side", "tile").agg(F.max("rho").alias("rho"), F.max_by("other", F.struct("rho", -F.col("other"))).alias("other"))
+
+
+def seam_moments(v) -> tuple[float, float]:
+    """Mean and standard deviation of the correlations of all right edges with all other left edges, in one pass over the strips.
+
+    Sums of products over all pairs are products of sums: of the strips for the correlations, of their outer products for the squares.
+    A tile's own pair is taken off."""
+    import numpy as np
+    import pandas as pd
 
-    def block(f: pd.DataFrame) -> pd.DataFrame:
-        if f["c"].nunique() < 2:
-            return pd.DataFrame(columns=names)
-        (a, x), (b, y) = unit(f[f["c"] == 7]), unit(f[f["c"] == 0])
-        rows, top, own = [], np.full(len(b), -np.inf), np.zeros(len(b), "int64")
-        for k in range(0, len(a), 500):
-            # Added up term by term, so that equal strips have equal correlations wherever they are.
-            rho = sum(x[k : k + 500, d, None] * y[None, :, d] for d in range(x.shape[1]))
-            other = a[k : k + 500, None] != b[None, :]
-            rows.append(("all", None, None, None, int(other.sum()), rho[other].sum(), (rho[other] ** 2).sum()))
-            rho[~other] = -np.inf
-            best = rho.argmax(axis=1)
-            rows += [("a", t, rho[m, w], b[w], None, None, None) for m, (t, w) in enumerate(zip(a[k : k + 500], best, strict=True)) if rho[m, w] > -np.inf]
-            high, first = rho.max(axis=0), a[k + rho.argmax(axis=0)]
-            top, own = np.where(high > top, high, top), np.where(high > top, first, own)
-        rows += [("b", t, h, o, None, None, None) for t, h, o in zip(b, top, own, strict=True) if h > -np.inf]
-        f = pd.DataFrame(rows, columns=names)
-        return f.astype({"tile": "Int64", "other": "Int64", "n": "Int64"})
-
-    got = both.groupBy("i", "j").applyInPandas(block, "side string, tile long, rho double, other long, n long, t double, q double")
-    return got.groupBy("side", "tile").agg(F.max("rho").alias("rho"), F.max_by("other", F.struct("rho", -F.col("other"))).alias("other"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("q").alias("q"))
+    one = strips(v).groupBy("tile").agg(*(F.max(F.when(F.col("c") == c, F.col("x"))).alias(n) for c, n in ((7, "a"), (0, "b"))))
+
+    def each(frames):
+        for f in frames:
+            sums = {}
+            for n in ("a", "b"):
+                has = f[n].notna()
+                if has.any():
+                    x = units(f[n][has])
+                    sums |= {f"n{n}": [len(x)], f"s{n}": x.sum(axis=0), f"q{n}": (x.T @ x).ravel()}
+            two = f[f["a"].notna() & f["b"].notna()]
+            if len(two):
+                rho = (units(two["a"]) * units(two["b"])).sum(axis=1)
+                sums["own"] = [len(rho), rho.sum(), (rho**2).sum()]
+            yield pd.DataFrame([(k, i, float(t)) for k, row in sums.items() for i, t in enumerate(row)], columns=["name", "i", "t"])
+
+    found: dict[str, list] = {}
+    for r in one.mapInPandas(each, "name string, i int, t double").groupBy("name", "i").agg(F.sum("t").alias("t")).orderBy("name", "i").collect():  # some 150 rows
+        found.setdefault(r["name"], []).append(r["t"])
+    get = lambda k: np.array(found.get(k, [0.0]))
+    own = found.get("own", [0.0, 0.0, 0.0])
+    n = float(get("na")[0] * get("nb")[0] - own[0])
+    if n < 1:
+        return float("nan"), float("nan")
+    mean, square = (get("sa") @ get("sb") - own[1]) / n, (get("qa") @ get("qb") - own[2]) / n
+    return float(mean), float(np.sqrt(max(square - mean * mean, 0.0)))
 
 
 @reg("w14_best_match_z", sql("SELECT a, round((max(rho) - (SELECT avg(rho) FROM pr)) / (SELECT stddev_pop(rho) FROM pr), 6) AS z FROM pr GROUP BY a", "pixels", extra=SEAM))
 def w14(v):
-    e = edges(v)
-    m = F.col("t") / F.col("n")
-    all_ = e.where("side = 'all'").select(m.alias("m"), F.sqrt(F.col("q") / F.col("n") - m * m).alias("s"))
-    return e.where("side = 'a'").select(F.col("tile").alias("a"), "rho").crossJoin(F.broadcast(all_)).select("a", r6((F.col("rho") - F.col("m")) / F.col("s")).alias("z"))
+    mean, deviation = seam_moments(v)
+    return edges(v, "a").select(F.col("tile").alias("a"), r6((F.col("rho") - F.lit(mean)) / F.lit(deviation)).alias("z"))
 
 
 @reg("w15_reciprocal_best", sql("SELECT a, b, round(rho, 6) AS rho FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY rho DESC, b) AS ka, row_number() OVER (PARTITION BY b ORDER BY rho DESC, a) AS kb FROM pr) WHERE ka = 1 AND kb = 1", "pixels", extra=SEAM))

@@ -1,6 +1,7 @@
 """Whole-table queries against brute force on small tables."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridlore.plans import catalog
 
@@ -25,6 +26,36 @@ def test_seams_of_all_tiles(spark, tmp_path):
     assert got == {(i, int(c[i].argmax())) for i in range(90) if c[:, c[i].argmax()].argmax() == i} and (80, 75) in got
 
 
+def test_seam_tops_equal_sums_term_by_term_on_ties():
+    from gridlore.plans.spatial import tops, units
+
+    r = np.random.default_rng(8)
+    x, y = (units(list(r.integers(0, 4, (n, 8)).astype(float))) for n in (1203, 900))
+    y[700], y[30], x[5] = y[11], y[11], 0.0
+    same = (np.array([3, 501, 900]), np.array([11, 0, 899]))
+    rho = sum(x[:, d, None] * y[None, :, d] for d in range(8))
+    rho[same] = -np.inf
+    best, at = tops(x, y, same)
+    assert (best == rho.max(axis=1)).all() and (at == rho.argmax(axis=1)).all()
+    best, at = tops(y, x, same[::-1])
+    assert (best == rho.max(axis=0)).all() and (at == rho.argmax(axis=0)).all()
+    best, at = tops(x[:1], y[:1], (np.array([0]), np.array([0])))
+    assert np.isneginf(best).all()
+
+
+def test_predictions_are_shuffled_once_by_order(spark):
+    """One exchange of the lines serves their aggregate and their join with orders, and a tally does not join matches back."""
+    from gridlore.operators import matching as M
+    from gridlore.plans.views import Views
+
+    v = Views(spark, SF)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(v.pred()).count("hashpartitioning(l_orderkey") == 1 and "hashpartitioning(l_orderkey#" in plan(v.pred()) and ", l_linenumber" not in "".join(x for x in plan(v.pred()).split("\n") if "Exchange" in x)
+    got = {(r.score, r.tp1, r.n1) for r in M.tally(v.pred(), v.cand(), 0.5, []).collect()}
+    want = v.records().groupBy("score").agg(F.sum("is_tp").alias("tp1"), F.count(F.lit(1)).alias("n1")).collect()
+    assert got == {(r.score, r.tp1, r.n1) for r in want}
+
+
 SF = "/root/testdata/sf0.001"
 
 
