@@ -76,12 +76,19 @@ class Shingler:
 
     def words(self, data: np.ndarray) -> np.ndarray:
         """A hash of each word: a polynomial of its bytes from prefix sums, shifted to start at power 0."""
-        edge = np.flatnonzero(np.diff(_BLANK[data].astype(np.int8), prepend=1, append=1))
+        return self.found(data)[1]
+
+    def found(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word begins, and its hash, which does not depend on that place."""
+        blank = np.ones(len(data) + 2, bool)
+        blank[1:-1] = _BLANK[data]
+        edge = np.flatnonzero(blank[1:] != blank[:-1])
         begin, end = edge[0::2], edge[1::2]
         self.powers(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
-        return mix((sums[end] - sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+        terms, sums = np.add(data, 1, dtype=np.uint64), np.zeros(len(data) + 1, np.uint64)
+        terms *= self.up[: len(data)]
+        np.cumsum(terms, out=sums[1:])
+        return begin, mix((sums[end] - sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
     def __call__(self, text: str | None) -> np.ndarray:
         data = np.frombuffer((text or "").encode().lower(), np.uint8)

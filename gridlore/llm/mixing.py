@@ -42,21 +42,44 @@ DIMENSIONS = ("source", "lang", "topic")
 TOPICS, WIDTH, FITS, SEEDS, MOST_LANGS = 8, 1024, 12, 64, 1000
 #: Sums are of whole multiples of 1 / UNIT; of a document this near to its language's mean no direction is left.
 UNIT, LEAST = 2.0**28, 1e-3
+#: Scores further apart than this are told apart by a matrix product, whose error is below 1e-12.
+SURE = 1e-9
 #: Rows of a batch that are worked on at once.
 SLICE = 500
 
 
 class Words:
-    """Hashed words of a text, distinct, and how often each is there."""
+    """Hashed words of texts, distinct, and how often each is there."""
+
+    #: Texts and bytes of them that are hashed at once, a longer text alone.
+    TEXTS, BYTES = 64, 1 << 16
 
     def __init__(self):
-        self.words = Shingler(1).words
+        self.found = Shingler(1).found
 
     def __call__(self, text: str | None) -> tuple[bytes, bytes]:
-        data = np.frombuffer((text or "").encode(errors="replace").lower(), np.uint8)
-        counts = np.bincount((self.words(data) % np.uint64(WIDTH)).astype(np.int64), minlength=WIDTH)
+        return self.all([text])[0]
+
+    def all(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        out, held, size = [], [], 0
+        for text in texts:
+            data = (text or "").encode(errors="replace").lower()
+            if held and (len(held) == self.TEXTS or size + len(data) > self.BYTES):
+                out += self.counts(held)
+                held, size = [], 0
+            held.append(data)
+            size += len(data) + 1
+        return out + self.counts(held)
+
+    def counts(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Texts are put together with a blank between them, so that no word spans two."""
+        begin, words = self.found(np.frombuffer(b" ".join(texts), np.uint8))
+        row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, side="right")
+        counts = np.bincount(row * WIDTH + (words % np.uint64(WIDTH)).astype(np.int64), minlength=len(texts) * WIDTH)
         at = np.flatnonzero(counts)
-        return at.astype(np.uint16).tobytes(), counts[at].astype(np.uint32).tobytes()
+        word, times = (at % WIDTH).astype(np.uint16).tobytes(), counts[at].astype(np.uint32).tobytes()
+        ends = np.searchsorted(at, np.arange(len(texts) + 1) * WIDTH).tolist()
+        return [(word[2 * a : 2 * b], times[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])]
 
 
 class Bags:
@@ -83,30 +106,48 @@ class Topics:
 
     def __init__(self, rarity: np.ndarray, means: np.ndarray, places: dict[str, int], centres: np.ndarray):
         self.rarity, self.means, self.places, self.centres = rarity, means, places, centres
+        self.square, self.taken = self.of(means)
+
+    def of(self, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The square of each mean's length, and what taking it off takes from the score of each centre."""
+        return np.array([(m * m).sum() for m in means]), np.array([[(m * c).sum() for c in self.centres] for m in means])
 
     def near(self, words: list, times: list, langs: list, own: list) -> tuple:
-        """Of rows: words, their weights, the mean of each row, the length left without it, and the scores by centre."""
+        """Of rows: words, their weights, the mean of each row, the length left without it, and the nearest centre."""
         bags = Bags(words, times)
         w, extra = bags.weigh(self.rarity), [i for i, m in enumerate(own) if m is not None]
         at = np.array([self.places.get(one, 0) for one in langs], np.int64)
-        means = self.means
+        means, square, taken = self.means, self.square, self.taken
         if extra:
             at[extra] = len(means) + np.arange(len(extra))
-            means = np.concatenate([means, np.frombuffer(b"".join(own[i] for i in extra)).reshape(-1, WIDTH)])
-        square = np.array([(m * m).sum() for m in means])
+            more = np.frombuffer(b"".join(own[i] for i in extra)).reshape(-1, WIDTH)
+            means, square, taken = (np.concatenate(pair) for pair in zip((means, square, taken), (more, *self.of(more)), strict=True))
         left = np.sqrt(np.maximum(bags.sums(w * w) + square[at] - 2 * bags.sums(w * means[at[bags.row], bags.word]), 0))
-        taken = np.array([[(m * c).sum() for c in self.centres] for m in means])
-        score = np.stack([bags.sums(w * c[bags.word]) for c in self.centres], axis=1) - taken[at]
-        return bags, w, means, at, left, score
+        return bags, w, means, at, left, self.nearest(bags, w, taken[at])
+
+    def nearest(self, bags: Bags, w: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        """The centre of the greatest score, the first of equal ones.
+
+        A matrix product finds it; where the next one is within SURE, far more than the product's rounding, sums word by word
+        decide, so that which rows are worked on together changes nothing."""
+        whole = np.zeros(len(bags.sizes) * WIDTH)
+        whole[bags.row * WIDTH + bags.word] = w
+        score = whole.reshape(-1, WIDTH) @ self.centres.T - taken
+        close = (score >= score.max(axis=1, keepdims=True) - SURE).sum(axis=1) > 1
+        if close.any():
+            some = close[bags.row]
+            row, word, w = bags.row[some], bags.word[some], w[some]
+            score[close] = (np.stack([np.bincount(row, w * c[word], len(close)) for c in self.centres], axis=1) - taken)[close]
+        return score.argmax(axis=1)
 
     def __call__(self, words: list, times: list, langs: list, own: list) -> np.ndarray:
-        bags, *_, score = self.near(words, times, langs, own)
-        return np.where(bags.sizes > 0, score.argmax(axis=1), -1)
+        bags, *_, best = self.near(words, times, langs, own)
+        return np.where(bags.sizes > 0, best, -1)
 
     def moments(self, words: list, times: list, langs: list, own: list) -> np.ndarray:
         """By centre, the sum of its rows' directions before the means in self.means are taken off, and how much of each of those to take off."""
-        bags, w, means, at, left, score = self.near(words, times, langs, own)
-        used, best = (bags.sizes > 0) & (left > LEAST), score.argmax(axis=1)
+        bags, w, means, at, left, best = self.near(words, times, langs, own)
+        used = (bags.sizes > 0) & (left > LEAST)
         length = np.where(used, left, np.inf)
         n, k = len(self.means), len(self.centres)
         sums = np.bincount(best[bags.row] * WIDTH + bags.word, np.rint(w / length[bags.row] * UNIT), k * WIDTH).astype(np.int64)
@@ -246,7 +287,7 @@ def counted(docs: DataFrame, names: dict[str, str], keep: list[str], path: str |
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
                 texts = part.column(text).to_pylist()
-                words, times = zip(*map(count, texts), strict=True)
+                words, times = zip(*count.all(texts), strict=True)
                 new = [pa.array([len(tokens.encode(t)) + 1 if t else 1 for t in texts], pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), *new], names=kind.names)
         tokens = batch = part = texts = words = times = new = None

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -352,6 +353,31 @@ def test_mixing_topics_are_fitted_on_whole_texts_of_all_documents(spark):
     assert got[1000] == got[1]
 
 
+def test_mixing_works_on_many_texts_at_once(monkeypatch):
+    r, calls = random.Random(3), []
+    texts = [None, "", " ", "\n", "a", " A", "\u00e9 \u00fc x", "w " * 70000] + ["".join(r.choices("ab \n\t\u00e9", k=r.randrange(400))) for _ in range(500)]
+    words = mixing.Words()
+    monkeypatch.setattr(words, "found", lambda data, found=words.found: calls.append(len(data)) or found(data))
+    got = words.all(texts)
+    assert len(calls) <= 12 and sum(n > mixing.Words.BYTES for n in calls) == 1
+    for text, (at, times) in zip(texts, got, strict=True):
+        alone = [mixing.Words()(w) for w in (text or "").lower().split()]
+        want = Counter(int(np.frombuffer(a, np.uint16)[0]) for a, _ in alone)
+        assert dict(zip(np.frombuffer(at, np.uint16).tolist(), np.frombuffer(times, np.uint32).tolist(), strict=True)) == want
+    g = np.random.default_rng(2)
+    centres = g.normal(size=(6, mixing.WIDTH))
+    centres[4], centres[5] = centres[1], centres[1] + 1e-15  # nearer than a matrix product can tell
+    model = mixing.Topics(np.ones(mixing.WIDTH), np.zeros((1, mixing.WIDTH)), {}, centres / 32)
+    at, times = map(list, zip(*got, strict=True))
+    bags = mixing.Bags(at, times)
+    w = bags.weigh(model.rarity)
+    plain = np.stack([bags.sums(w * c[bags.word]) for c in model.centres], axis=1).argmax(axis=1)
+    none = np.zeros((len(at), 6))
+    assert (model.nearest(bags, w, none) == plain).all() and {1, 5} & set(plain.tolist())
+    alone = [model.nearest(one := mixing.Bags([a], [t]), one.weigh(model.rarity), none[:1])[0] for a, t in zip(at, times, strict=True)]
+    assert (np.array(alone) == plain).all()
+
+
 def test_mixing_paths_agree_where_raking_is_slow(spark, monkeypatch):
     tokens = {("a", "x"): 9000, ("a", "y"): 300, ("b", "x"): 200, ("b", "y"): 4000, ("c", "y"): 50}
     rows = spark.createDataFrame([(*k, "prose", n) for k, n in tokens.items()], "source string, lang string, topic string, tokens long")
