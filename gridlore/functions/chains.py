@@ -10,8 +10,13 @@ def successors(start: np.ndarray, end: np.ndarray, left: bool, group: np.ndarray
 
     Where several do, the one furthest to the left (or right) as seen with y down; never straight back unless alone."""
     both = np.concatenate([start, end])
-    _, vertex = np.unique(both if group is None else np.column_stack([both, np.tile(group, 2)]), axis=0, return_inverse=True)
-    begins, ends = np.split(vertex.ravel(), 2)
+    columns = [both[:, 0], both[:, 1], *([] if group is None else [np.tile(group, 2)])]
+    by, vertex = np.lexsort(columns), np.empty(len(both), np.int64)
+    new = np.zeros(len(both), bool)
+    for c in columns:
+        new[1:] |= np.diff(c[by]) != 0
+    vertex[by] = np.cumsum(new)
+    begins, ends = np.split(vertex, 2)
     order = np.argsort(begins, kind="stable")
     first, last = (np.searchsorted(begins[order], ends, side=s) for s in ("left", "right"))
     if (first == last).any():
@@ -40,12 +45,15 @@ def loops(start: np.ndarray, end: np.ndarray, left: bool, group: np.ndarray | No
     after = successors(start, end, left, group)
     label, jump = np.arange(n), after
     for _ in range(n.bit_length()):
-        label, jump = np.minimum(label, label[jump]), jump[jump]
+        low = np.minimum(label, label[jump])
+        if (low == label).all():
+            break
+        label, jump = low, jump[jump]
     before = np.empty(n, int)
     before[after] = np.arange(n)
     head = label == np.arange(n)
     place, jump = np.where(head, 0, 1), np.where(head, np.arange(n), before)
-    for _ in range(n.bit_length()):
+    while not head[jump].all():
         place, jump = place + place[jump], jump[jump]
     order = np.lexsort((place, label))
     return order, np.flatnonzero(np.diff(label[order], prepend=-1))

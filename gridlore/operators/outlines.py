@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridlore.functions import chains
+from gridlore.functions import chains, groups
 
 POINTS = "array<struct<x: double, y: double>>"
 #: Right, down, left, up with y down; a pixel's edges run clockwise, so the mask lies to the right of each.
@@ -35,34 +35,37 @@ def rings(mask: DataFrame, keys: list[str], part: str | None = None) -> DataFram
     With `part` (a whole number, as a component's label) pixels of different parts of a group are no neighbours.
 
     points runs along pixel edges, corners only; area is signed, holes are negative. border runs through the centres
-    of the pixels the loop goes by, as border following does, corners only; (px, py) is the centre of the first of them. A group's
-    edges are chained in one call on whole arrays, so a group should be a tile."""
+    of the pixels the loop goes by, as border following does, corners only; (px, py) is the centre of the first of them. The
+    edges of many groups are chained in one call on whole arrays, a group's all at once, so a group should be a tile."""
     kinds = dict(mask.dtypes)
     arrow = pa.schema([(k, pa.int64() if kinds[k] == "bigint" else pa.int32() if kinds[k] == "int" else pa.string()) for k in keys])
     point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 
-    def each(table: pa.Table) -> pa.Table:
+    def each(table: pa.Table, first: np.ndarray) -> pa.Table:
         start, way = np.stack([np.asarray(table["x"]), np.asarray(table["y"])], axis=1).astype(np.int64), np.asarray(table["way"])
         own = np.asarray(table[part]) if part else np.zeros(len(way), np.int64)
-        by = np.lexsort((way, start[:, 0], start[:, 1], own))
+        group = np.repeat(np.arange(len(first)), np.diff(first, append=len(way)))
+        by = np.lexsort((way, start[:, 0], start[:, 1], own, group))
         start, way, own = start[by], way[by], own[by]
-        order, begins = chains.loops(start, start + WAYS[way], True, own)
+        apart = np.cumsum((np.diff(own, prepend=own[:1]) != 0) | (np.diff(group, prepend=0) != 0))
+        order, begins = chains.loops(start, start + WAYS[way], True, apart)
         start, way, own = start[order], way[order], own[order]
         cross = start[:, 0] * WAYS[way, 1] - start[:, 1] * WAYS[way, 0]
         pixel = start + INSIDE[way]
 
         def lists(points: np.ndarray) -> pa.Array:
-            kept, first = chains.corners(points, begins)
+            kept, at = chains.corners(points, begins)
             both = pa.StructArray.from_arrays([pa.array(kept[:, 0].astype(float)), pa.array(kept[:, 1].astype(float))], ["x", "y"])
-            return pa.ListArray.from_arrays(pa.array(np.append(first, len(kept)), pa.int32()), both, type=point)
+            return pa.ListArray.from_arrays(pa.array(np.append(at, len(kept)), pa.int32()), both, type=point)
 
-        n = len(begins)
-        same = {k: pa.array([table[k][0].as_py()] * n, arrow.field(k).type) for k in keys} | ({part: pa.array(own[begins], pa.int64())} if part else {})
-        rest = {"ring": pa.array(np.arange(n), pa.int32()), "area": pa.array(np.add.reduceat(cross, begins) / 2), "points": lists(start), "border": lists(pixel), "px": pa.array(pixel[begins, 0] + 0.5), "py": pa.array(pixel[begins, 1] + 0.5)}
+        of = group[order][begins]
+        ring = np.arange(len(of)) - np.searchsorted(of, of)
+        same = {k: table[k].take(first[of]).cast(arrow.field(k).type) for k in keys} | ({part: pa.array(own[begins], pa.int64())} if part else {})
+        rest = {"ring": pa.array(ring, pa.int32()), "area": pa.array(np.add.reduceat(cross, begins) / 2), "points": lists(start), "border": lists(pixel), "px": pa.array(pixel[begins, 0] + 0.5), "py": pa.array(pixel[begins, 1] + 0.5)}
         return pa.table(same | rest)
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + (f", {part} long" if part else "") + f", ring int, area double, points {POINTS}, border {POINTS}, px double, py double"
-    return edges(mask, [*keys, part] if part else keys).groupBy(*keys).applyInArrow(each, schema)
+    return groups.map_groups(edges(mask.repartition(*keys), [*keys, part] if part else keys), keys, each, schema)
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:

@@ -10,6 +10,7 @@ from gridlore.operators import matching as M
 from gridlore.operators import outlines as O
 from gridlore.operators import polygons
 from gridlore.operators import raster as R
+from gridlore.plans.cut import cut
 from gridlore.plans.rasters import COMP, SIZES, components
 from gridlore.plans.registry import Registry
 from gridlore.plans.views import greedy_sql, sql
@@ -38,7 +39,7 @@ def g5(v):
     """Polygons of a mask a tile: their number, holes, corners, area and length, and pixels that filling them again gets wrong.
 
     SQL has them from 2 x 2 windows: Euler's number, convex and concave corners, and sides without a neighbour."""
-    found = O.rings(mask(v), ["tile"])
+    found = cut(O.rings(mask(v), ["tile"]).drop("border"))  # met four times below
     nested = O.polygons(found, ["tile"])
     after = F.concat(F.slice("points", 2, F.size("points")), F.slice("points", 1, 1))
     length = F.aggregate(F.zip_with("points", after, lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"])), F.lit(0.0), lambda s, x: s + x)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridlore.functions import chains, runs
+from gridlore.functions import chains, groups, runs
 from gridlore.operators import outlines, polygons
 
 POINT = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
@@ -103,6 +103,63 @@ def test_contours_follow_borders(spark):
     assert {f.dropped for f in found} == {None, "under_3_points", "under_4px"}
 
 
+class Plain:
+    """Stands in for a DataFrame: mapInArrow gives the function itself."""
+
+    def repartition(self, *keys):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_groups_come_whole_and_many_a_call():
+    keys = [None] * 3 + [0] * 2 + [1] * 9 + [2, 3, 4, 5, 6, 7] + [8] * 4
+    table, calls = pa.table({"k": pa.array(keys, pa.int64()), "i": range(len(keys))}), []
+
+    def each(rows, first):
+        calls.append([rows["k"][int(f)].as_py() for f in first])
+        assert [len(set(p)) for p in np.split(np.array([-1 if k is None else k for k in rows["k"].to_pylist()]), first[1:])] == [1] * len(first)
+        return rows
+
+    for size in (1, 3, 4, 5, 100):
+        calls.clear()
+        parts = table.to_batches(max_chunksize=size)
+        out = list(groups.map_groups(Plain(), ["k"], each, "")(iter([parts[0].slice(0, 0), *parts])))
+        assert pa.Table.from_batches(out).equals(table)
+        assert [k for c in calls for k in c] == [None, *range(9)]  # each group once
+        assert size < 100 or len(calls) == 2  # one call for all but the last of a batch
+    assert not list(groups.map_groups(Plain(), ["k"], each, "")(iter([])))
+
+
+def test_many_tiles_are_chained_in_a_call(spark):
+    g = np.random.default_rng(12)
+    masks = [g.random((9, 11)) < p for p in g.uniform(0.1, 0.95, 60)]
+    df = masks_table(spark, masks).withColumn("tile", F.when(F.col("tile") != 7, F.col("tile")))
+    named = df.withColumn("tile", F.concat(F.lit("t"), "tile"))
+    facts = ["ring", "area", "points", "border", "px", "py"]
+
+    def found(of, name=lambda t: t):
+        return {(name(r.tile), r.ring): tuple(r[f] for f in facts) for r in outlines.rings(of, ["tile"]).collect()}
+
+    whole = found(df)
+    alone = {i: outlines.rings(df.where(F.col("tile") == i), ["tile"]).collect() for i in (0, 59)}
+    for i, own in alone.items():
+        assert [whole[i, r.ring] for r in own] == [tuple(r[f] for f in facts) for r in own] and len(own) == sum(k[0] == i for k in whole)
+    assert {k[0] for k in whole} == {None, *range(60)} - {7} and found(named, lambda t: t and int(t[1:])) == whole
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "13")  # tiles reach over batches
+    try:
+        assert found(df) == whole
+    finally:
+        spark.conf.set(key, before)
+    text = outlines.rings(df, ["tile"])._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in text and text.count("REPARTITION_BY_COL") == 1 and text.count("ENSURE_REQUIREMENTS") == 0
+
+
 def test_simplified_rings_stay_near(spark):
     g = np.random.default_rng(1)
     angle = np.sort(g.random(300)) * 2 * np.pi
