@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridlore.functions import groups
+
+#: Cells of the grids that are labelled at once; a larger grid alone.
+CELLS = 1 << 18
+
 
 def spread3(df: DataFrame, value: str, out: str, erode: bool = False) -> DataFrame:
     """3 x 3 dilation (or erosion; outside counts as set) of a 0/1 column, by two running windows."""
@@ -20,24 +25,33 @@ def spread3(df: DataFrame, value: str, out: str, erode: bool = False) -> DataFra
 def label_components(mask: DataFrame, h: int, w: int) -> DataFrame:
     """tile, r, c, component of the set pixels: eight neighbours, named by the least r * w + c.
 
-    One tile is one group; its labels settle in numpy by taking the least of each pixel's neighbours."""
+    Labels of many tiles settle at once in numpy, by taking the least of each pixel's neighbours."""
 
-    def each(f: pd.DataFrame) -> pd.DataFrame:
-        grid = np.full((h + 2, w + 2), h * w, np.int64)
-        r, c = f["r"].to_numpy() + 1, f["c"].to_numpy() + 1
-        grid[r, c] = (r - 1) * w + c - 1
+    def settled(tile: np.ndarray, r: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+        grid = np.full((n, h + 2, w + 2), h * w, np.int64)
+        at = (tile, r + 1, c + 1)
+        grid[at] = r.astype(np.int64) * w + c
         while True:
             low = grid.copy()
             for dr in (-1, 0, 1):
                 for dc in (-1, 0, 1):
-                    np.minimum(low[1:-1, 1:-1], grid[1 + dr : h + 1 + dr, 1 + dc : w + 1 + dc], out=low[1:-1, 1:-1])
-            own = low[r, c]
-            if (own == grid[r, c]).all():
-                break
-            grid[r, c] = own
-        return pd.DataFrame({"tile": f["tile"], "r": f["r"], "c": f["c"], "component": grid[r, c]})
-
-    return mask.select("tile", "r", "c").groupBy("tile").applyInPandas(each, "tile long, r int, c int, component long")
+                    np.minimum(low[:, 1:-1, 1:-1], grid[:, 1 + dr : h + 1 + dr, 1 + dc : w + 1 + dc], out=low[:, 1:-1, 1:-1])
+            own = low[at]
+            if (own == grid[at]).all():
+                return own
+            grid[at] = own
+
+    def each(table: pa.Table, first: np.ndarray) -> pa.Table:
+        r, c, ends = np.asarray(table["r"]), np.asarray(table["c"]), np.append(first, table.num_rows)
+        tile, some, out = np.repeat(np.arange(len(first)), np.diff(ends)), max(1, CELLS // ((h + 2) * (w + 2))), []
+        for i in range(0, len(first), some):
+            n = min(some, len(first) - i)
+            rows = slice(ends[i], ends[i + n])
+            out.append(settled(tile[rows] - i, r[rows], c[rows], n))
+        return table.append_column("component", pa.array(np.concatenate(out)))
+
+    rows = mask.select(F.col("tile").cast("long"), F.col("r").cast("int"), F.col("c").cast("int"))
+    return groups.map_groups(rows, ["tile"], each, "tile long, r int, c int, component long")
 
 
 def horizon(dem: DataFrame, h: int, w: int, resolution: float, directions: int, radius: int) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlore.functions import chains, groups, runs
-from gridlore.operators import outlines, polygons
+from gridlore.operators import outlines, polygons, raster
 
 POINT = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 
@@ -160,6 +160,28 @@ def test_many_tiles_are_chained_in_a_call(spark):
     assert "FlatMapGroups" not in text and text.count("REPARTITION_BY_COL") == 1 and text.count("ENSURE_REQUIREMENTS") == 0
 
 
+def test_many_tiles_are_labelled_in_a_call(spark, monkeypatch):
+    g = np.random.default_rng(13)
+    masks = [g.random((9, 11)) < p for p in g.uniform(0.1, 0.95, 60)]
+    df = masks_table(spark, masks)
+    df = df.withColumn("tile", F.when(F.col("tile") != 7, F.col("tile")))
+    labels = {(r.tile, r.r, r.c): r.component for r in raster.label_components(df, 9, 11).collect()}
+    assert len(labels) == sum(m.sum() for m in masks)
+    for i, m in enumerate(masks):
+        flat = flood(m, EIGHT)[0]
+        least = {k: min(r * 11 + c for r, c in zip(*np.nonzero(flat == k), strict=True)) for k in range(1, flat.max() + 1)}
+        assert all(labels[None if i == 7 else i, r, c] == least[flat[r, c]] for r, c in zip(*np.nonzero(m), strict=True))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "13")  # tiles reach over batches
+    monkeypatch.setattr(raster, "CELLS", 1)
+    try:
+        assert {(r.tile, r.r, r.c): r.component for r in raster.label_components(df, 9, 11).collect()} == labels
+    finally:
+        spark.conf.set(key, before)
+    assert "FlatMapGroups" not in raster.label_components(df, 9, 11)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simplified_rings_stay_near(spark):
     g = np.random.default_rng(1)
     angle = np.sort(g.random(300)) * 2 * np.pi
