@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,14 +34,29 @@ def mask_candidates(gt: DataFrame, pred: DataFrame, span: int, least: float) ->
 
     No two masks share more pixels than their boxes, or than the smaller has. Where that is too few the run lists are not compared: only a
     mask's neighbours of its own size are, not all that touch its box."""
-    side = lambda df, n: df.select("tile_id", *[F.col(c).alias(f"{n}{c}") for c in df.columns if c != "tile_id"])
     most, areas = F.least(boxes.overlap("p_", "g_"), F.col("p_area"), F.col("g_area")), F.col("p_area") + F.col("g_area")
-    near = boxes.meets("p_", "g_") & (most >= (least - 1e-9) * (areas - most))
-    pairs = side(pred, "p_").join(side(gt, "g_"), "tile_id").where(near).withColumn("both", runs.shared("p_runs", "g_runs", span))
+    pairs = met(gt, pred).where(most >= (least - 1e-9) * (areas - most)).withColumn("both", runs.shared("p_runs", "g_runs", span))
     iou = F.try_divide(F.col("both").cast("double"), areas - F.col("both"))
     return pairs.select("tile_id", F.col("p_key").alias("pred_id"), F.col("p_score").alias("score"), F.col("g_key").alias("gt_id"), iou.alias("iou"))
 
 
+def ring_candidates(gt: DataFrame, pred: DataFrame, rings: Callable[[str], Column], size: int) -> DataFrame:
+    """tile_id, pred_id, score, gt_id, iou of pairs of masks whose boxes meet; sides have key, x0, y0, x1, y1, pred a score, and both what `rings` needs.
+
+    rings(prefix): an array of rings from the columns of a side, which carry that prefix. Numbers are shuffled, joined and sorted; masks stand in
+    a batch of pairs only, each made once there."""
+    iou = runs.ious("p_key", rings("p_"), "g_key", rings("g_"), size, size)
+    return met(gt, pred).select("tile_id", F.col("p_key").alias("pred_id"), F.col("p_score").alias("score"), F.col("g_key").alias("gt_id"), iou.alias("iou"))
+
+
+def met(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """Pairs of a tile whose boxes meet, columns of pred with p_, of gt with g_ in front.
+
+    Both sides are shuffled: Spark's estimate of gt leaves out what was made of its few columns, and would broadcast it whole."""
+    side = lambda df, n: df.select("tile_id", *[F.col(c).alias(f"{n}{c}") for c in df.columns if c != "tile_id"])
+    return side(pred, "p_").join(side(gt, "g_").hint("merge"), "tile_id").where(boxes.meets("p_", "g_"))
+
+
 def passed(cand: DataFrame, by: list[str], thresholds: list[float]) -> DataFrame:
     """by, pred_id, gt_id, iou, score, bits: pairs accepted for at least one threshold, a bit for each that accepts.
 

@@ -80,3 +80,43 @@ def test_rings_are_shuffled_once(spark):
     df = spark.createDataFrame([(1, 1, [ring]), (1, 2, [ring])], f"image long, id long, rings array<{outlines.POINTS}>")
     plan = polygons.bounding(polygons.sides(df, 9, 9), 9, 9)._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 1 and "Join" not in plan
+
+
+def masks_follow_the_join(spark, name):
+    """Masks are made once, after a join that shuffles numbers only."""
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join" in line and "p_x0" in line]
+    made = [i for i, line in enumerate(plan) if "ArrowEvalPython" in line]
+    return len(joins) == 1 and "SortMergeJoin [tile_id" in plan[joins[0]] and len(made) == 1 and made[0] < joins[0]
+
+
+def test_masks_of_boxes_are_never_broadcast(spark):
+    assert masks_follow_the_join(spark, "j6_mask_greedy")
+
+
+def test_masks_of_rings_equal_pixels(spark):
+    import numpy as np
+
+    from gridlore.functions import rings
+    from gridlore.operators import matching as M
+
+    g = np.random.default_rng(8)
+    x, y, w, h = g.integers(0, 20, 60), g.integers(0, 20, 60), g.integers(0, 12, 60), g.integers(1, 12, 60)
+    # Two rows a key with boxes of their own, so that a key does not stand for its rings.
+    rows = [(i % 2, i // 4, float(i), *map(int, b)) for i, b in enumerate(zip(x, y, x + w, y + h, strict=True))]
+    df = spark.createDataFrame(rows, "tile_id long, key long, score double, x0 long, y0 long, x1 long, y1 long")
+
+    def drawn(n):
+        x0, y0, x1, y1 = (F.col(n + c) for c in ("x0", "y0", "x1", "y1"))
+        return F.array(rings.box_ring(x0, y0, x1, y1), rings.box_ring(x0, y0, x1, (y0 + y1) / 2))
+
+    got = sorted((r.tile_id, r.score, r.gt_id, round(r.iou, 9)) for r in M.ring_candidates(df.drop("score"), df, drawn, 40).collect() if r.iou)  # empty masks share nothing
+    want = []
+    for t, _, score, *a in rows:
+        for u, key, _, *b in rows:
+            both = [max(min(a[i + 2], b[i + 2]) - max(a[i], b[i]), 0) for i in (0, 1)]
+            if t == u and all(both):
+                one = lambda q: (q[2] - q[0]) * (q[3] - q[1])
+                n = both[0] * both[1]
+                want.append((t, score, key, round(n / (one(a) + one(b) - n), 9)))
+    assert got == sorted(want) and len(got) > 100
