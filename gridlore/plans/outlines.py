@@ -110,14 +110,19 @@ def g1_why(v):
 
 
 def instances(df, key: str, shape):
-    """Masks of several rings from boxes: one box, a ring that crosses itself, or two boxes that overlap, which are one instance."""
-    x0, y0, x1, y1 = (F.col(n) + 16 for n in ("x0", "y0", "x1", "y1"))
+    """tile_id, key, score if there is one, shape and bounds of masks of several rings from boxes."""
+    bounds = [(F.col(n) + by).alias(n) for n, by in (("x0", 16), ("y0", 16), ("x1", 20), ("y1", 20))]
+    return df.select("tile_id", F.col(key).alias("key"), *[c for c in ("score",) if c in df.columns], *bounds, shape.alias("shape"))
+
+
+def drawn(side: str):
+    """Rings of an instance: one box, a ring that crosses itself, or two boxes that overlap, which are one instance."""
+    x0, y0, x1, y1 = (F.col(f"{side}{n}") - by for n, by in (("x0", 0), ("y0", 0), ("x1", 4), ("y1", 4)))
     xm, ym = x0 + F.floor((x1 - x0) / 2), y0 + F.floor((y1 - y0) / 2)
     box = rings.box_ring(x0, y0, x1, y1)
     eight = rings.ring((x0, y0), (xm, y0), (xm, y1), (x1, y1), (x1, ym), (x0, ym))
-    of = F.when(shape == 0, F.array(box)).when(shape == 1, F.array(eight)).otherwise(F.array(box, rings.box_ring(x0 + 4, y0 + 4, x1 + 4, y1 + 4)))
-    masked = df.withColumns({"runs": runs.filled(of, SIZE, SIZE), "x1": F.col("x1") + 4, "y1": F.col("y1") + 4})
-    return masked.select("tile_id", F.col(key).alias("key"), *[c for c in ("score",) if c in df.columns], "x0", "y0", "x1", "y1", "runs", runs.size("runs").alias("area"))
+    two = F.array(box, rings.box_ring(x0 + 4, y0 + 4, x1 + 4, y1 + 4))
+    return F.when(F.col(f"{side}shape") == 0, F.array(box)).when(F.col(f"{side}shape") == 1, F.array(eight)).otherwise(two)
 
 
 SIZE = 512
@@ -137,9 +142,9 @@ MASKS = {
 
 @reg("j6_true_masks", sql("SELECT tile_id, pred_id, gt_id, round(iou, 6) AS iou FROM m", "gt", "pred", extra=MASKS | greedy_sql()[1]))
 def j6(v):
-    """Greedy matches by the IoU of masks that are no boxes: boxes only choose the pairs whose run lists are compared."""
+    """Greedy matches by the IoU of masks that are no boxes: boxes only choose the pairs whose masks are made and compared."""
     g, p = instances(v.gt(), "gt_id", F.col("gt_id") % 3), instances(v.pred(), "pred_id", F.floor(F.col("pred_id") / 8) % 3)
-    cand = M.mask_candidates(g, p, SIZE * SIZE + 1, 0.5)
+    cand = M.ring_candidates(g, p, drawn, SIZE)
     return M.greedy(cand, ["tile_id"], 0.5).select("tile_id", "pred_id", "gt_id", r6(F.col("iou")).alias("iou"))
 
 

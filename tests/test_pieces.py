@@ -120,3 +120,7 @@ def test_masks_of_rings_equal_pixels(spark):
                 n = both[0] * both[1]
                 want.append((t, score, key, round(n / (one(a) + one(b) - n), 9)))
     assert got == sorted(want) and len(got) > 100
+
+
+def test_masks_of_several_rings_are_never_broadcast(spark):
+    assert masks_follow_the_join(spark, "j6_true_masks")
